@@ -1,0 +1,62 @@
+"""Pieces of a text that a byte-level BPE encodes apart from each other.
+
+The pre-tokenizer's pattern lets a token start with one space and never lets a token run on
+past a single space that stands between two characters which are not white space.  So a text
+may be cut before each such space, the pieces encoded alone and their ids strung together;
+pieces repeat far more than texts do, so a memo of them saves most of the work."""
+
+from __future__ import annotations
+
+import re
+
+_TWO = re.compile(r"\s\s")
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+
+
+def atoms(text: str) -> list[str]:
+    """The pieces; joined, they are the text."""
+    if not text:
+        return []
+    if _TWO.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    out = [" " + x for x in rest]
+    return [first, *out] if first else out
+
+
+class Memo:
+    """piece -> what `fill` makes of it, for many missing pieces at once.  When `most` pieces are
+    held, a new generation begins; what is used again is taken over from the one before."""
+
+    def __init__(self, fill, most: int) -> None:
+        self.fill, self.most = fill, most
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def learn(self, pieces) -> dict:
+        """A dict that has all of `pieces`."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before = self.now, self.before
+        missing = []
+        for p in {p for p in pieces if p not in now}:
+            if p in before:
+                now[p] = before[p]
+            else:
+                missing.append(p)
+        if missing:
+            now.update(zip(missing, self.fill(missing), strict=True))
+        return now
+
+
+def slices(texts: list[str], most: int = 1 << 20):
+    """Runs of texts of about `most` characters together."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

@@ -23,7 +23,32 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash)}
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op08_token_file import read_digests, write_token_files
+
+    return read_digests(write_token_files(table(spark, sf_dir, "documents"), byte_bpe()))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op09_embedding_dedup import embedding_groups
+
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_bpe import Bpe
+
+    docs = table(spark, sf_dir, "documents")
+    return Bpe(docs, byte_bpe()).digests(docs)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op8_token_file, op9_embedding_dedup, op10_bpe)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
