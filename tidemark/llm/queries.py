@@ -29,6 +29,24 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op04_warc import arc_records, read_archives, write_archives
+
+    return read_archives(write_archives(arc_records(table(spark, sf_dir, "pages"))))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op05_mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op07_html import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op08_token_file import read_digests, write_token_files
 
@@ -48,7 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Bpe(docs, byte_bpe()).digests(docs)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op8_token_file, op9_embedding_dedup, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_warc, op5_mixing, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -58,4 +76,28 @@ ORACLES: dict[str, str] = {
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256
         FROM n JOIN g USING (t)""",
+    "op5_mixing": """
+        WITH sizes AS (SELECT source, sum(greatest(length(coalesce(text, '')), 1))::DOUBLE AS size FROM documents GROUP BY source),
+        wanted AS (SELECT source, size, pow(size, 0.7) AS want FROM sizes),
+        rates AS (SELECT source, want * sum(size) OVER () / (sum(want) OVER () * size) AS rate FROM wanted),
+        pmf AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
+                FROM rates, LATERAL (SELECT unnest(range(0, ceil(rate + 10 * sqrt(rate) + 20)::BIGINT + 1)) AS k)),
+        cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM pmf),
+        drawn AS (SELECT *, (('0x' || left(md5('17:' || coalesce(doc_id::VARCHAR, 'null')), 12))::BIGINT + 0.5) / 281474976710656.0 AS u FROM documents),
+        counts AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*) FILTER (c.c <= d.u) AS repeats
+                   FROM drawn d JOIN cdf c ON c.source IS NOT DISTINCT FROM d.source GROUP BY ALL)
+        SELECT doc_id, text, lang, source, n_chars, r AS repeat_no, repeats,
+               md5('17:mix:' || coalesce(doc_id::VARCHAR, 'null') || ':' || r) AS mix_key
+        FROM counts, LATERAL (SELECT unnest(range(1, repeats + 1)) AS r)""",
+    "op4_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        f AS (SELECT b, min(page_id) AS first FROM p GROUP BY b),
+        h AS (SELECT page_id, octet_length(b) AS n, first, lower(sha1(b)) AS hex FROM p JOIN f USING (b)),
+        bits AS (SELECT page_id, n, first, string_agg(right(bin(('0x' || substr(hex, 2 * i + 1, 2))::INT + 256), 8), '' ORDER BY i) AS s
+                 FROM h, range(20) t(i) GROUP BY ALL),
+        b32 AS (SELECT page_id, n, first, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (list_sum(list_transform(range(5), lambda x: (substr(s, (5 * j + x + 1)::BIGINT, 1) = '1')::INT * (16 >> x))))::INT, 1), '' ORDER BY j) AS d
+                FROM bits, range(32) t(j) GROUP BY ALL)
+        SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM b32""",
 }
