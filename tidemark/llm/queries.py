@@ -17,6 +17,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op02_suffix_dedup import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("span_starts", "span_ends")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op03_simhash import near_groups
 
@@ -66,7 +72,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Bpe(docs, byte_bpe()).digests(docs)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash, op4_warc, op5_mixing, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_warc, op5_mixing, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
