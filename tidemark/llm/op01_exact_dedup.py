@@ -129,3 +129,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = marked.where("suspect").join(groups, F.col("sha") == F.col("group_sha"), "left").select("doc_id", "sha", "keep_id", "group_size")
     alone = marked.where("not suspect").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return joined.union(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that stay: of equal texts the one with the largest id, and of equal rows one."""
+    groups = staged(exact_groups(docs, id_col, text_col), "groups")
+    kept = groups.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
+    n = kept.agg(F.count("*"), F.count_distinct("_kept"), F.count_if(F.col("_kept").isNull())).first()
+    if n[0] == n[1]:  # ids are different, so they say which rows stay
+        return docs.join(kept.select("_kept"), docs[f"`{id_col}`"] == F.col("_kept"), "left_semi")
+    sha = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), sha.alias("_of"))
+    rows = rows.join(kept.distinct(), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_sha")), "left_semi")
+    return rows.dropDuplicates(["_id", "_of"]).select("_row.*")

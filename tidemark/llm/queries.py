@@ -47,6 +47,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op06_toxicity import scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op07_html import extract_pages
 
@@ -72,7 +79,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Bpe(docs, byte_bpe()).digests(docs)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_warc, op5_mixing, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_warc, op5_mixing, op6_toxicity, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe, pipeline)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
