@@ -42,7 +42,7 @@ LENGTH = 100
 GRAM = 24
 PIECE = 1 << 22
 TOGETHER = 1 << 18
-SHARD = 2 << 20
+SHARD = 1 << 20
 HOT = 20_000
 WORDS = 1 << 20  # of 64 bits, in each bitmap
 
@@ -265,7 +265,7 @@ def induce(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndarr
     heads = ends - count
     large_count = np.bincount(t[~small], minlength=511)
     letters = np.flatnonzero(count)
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     lms_of = {int(c): x for c in letters if len(x := lms_sorted[t[lms_sorted] == c])} if len(lms_sorted) < 4096 else None
     if lms_of is None:
         first = t[lms_sorted]  # sorted, since the suffixes are
@@ -323,11 +323,11 @@ def induce(t: np.ndarray, small: np.ndarray, lms_sorted: np.ndarray) -> np.ndarr
 
 def suffix_array(t: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     """Suffixes of `t` (letters 0 to 510, the last one and no other 0), in order to `depth` letters at least."""
-    t = np.asarray(t, np.int64)
+    t = np.asarray(t, np.int32)
     if len(t) == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
     small = classify(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     return induce(t, small, sort_lms(t, lms, depth))
 
 
@@ -335,28 +335,28 @@ def permuted_prefixes(t: np.ndarray, sa: np.ndarray, most: int = LENGTH) -> np.n
     """For each place of the text, the letters (at most `most`) that its suffix shares with the one
     before it in the array."""
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    padded = np.concatenate((np.asarray(t, np.int64), -1 - np.arange(8)))
-    words = np.zeros(n + 8, np.uint64)
+    padded = np.concatenate((np.asarray(t, np.int32), -1 - np.arange(8, dtype=np.int32)))
+    words = np.zeros(n + 1, np.uint64)
     for k in range(7):
-        words[: n + 1] = (words[: n + 1] << np.uint64(9)) | (padded[k : k + n + 1] & 511).astype(np.uint64)
-    plcp = np.zeros(n, np.int64)
-    live = np.flatnonzero(phi >= 0)
-    k = 0
-    while len(live) and k < most:
-        a, b = live + k, phi[live] + k
-        inside = (a < n) & (b < n)
-        differ = np.where(inside, words[np.minimum(a, n)] ^ words[np.minimum(b, n)], ~np.uint64(0))
-        same = differ == 0
-        ends = live[~same]
-        shared = np.zeros(len(ends), np.int64)
-        d = differ[~same]
-        for x in range(6, -1, -1):  # letters shared before the first that differs
-            shared += (shared == 6 - x) & ((d >> np.uint64(9 * x)) & np.uint64(511) == 0)
-        plcp[ends] = k + shared
-        live, k = live[same], k + 7
-    plcp[live] = most
+        words = (words << np.uint64(9)) | (padded[k : k + n + 1] & 511).astype(np.uint64)
+    plcp = np.zeros(n, np.int32)
+    for s in range(0, n, 1 << 17):  # a stretch of the text at a time bounds what is held
+        live = s + np.flatnonzero(phi[s : s + (1 << 17)] >= 0)
+        k = 0
+        while len(live) and k < most:
+            a, b = live + k, phi[live] + k
+            inside = (a < n) & (b < n)
+            differ = np.where(inside, words[np.minimum(a, n)] ^ words[np.minimum(b, n)], ~np.uint64(0))
+            same = differ == 0
+            d = differ[~same]
+            shared = np.zeros(len(d), np.int32)
+            for x in range(6, -1, -1):  # letters shared before the first that differs
+                shared += (shared == 6 - x) & ((d >> np.uint64(9 * x)) & np.uint64(511) == 0)
+            plcp[live[~same]] = k + shared
+            live, k = live[same], k + 7
+        plcp[live] = most
     return np.minimum(plcp, most)
 
 
@@ -367,7 +367,7 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, order: np.ndarray)
     `order`, or before in the same text."""
     size = np.array([len(x) for x in texts]) + 1
     begin = np.cumsum(size) - size
-    t = np.zeros(int(size.sum()) + 1, np.int64)
+    t = np.zeros(int(size.sum()) + 1, np.int32)
     t[:-1] = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
     t[:-1] += 2
     t[begin + size - 1] = 1  # parts texts, below any byte
@@ -416,21 +416,29 @@ def _shards(batches: Batches) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(w, pa.int32())], ["doc", "start", "n"])
 
 
+def _lists(column: pa.ListArray) -> tuple[list[int], dict[str, np.ndarray]]:
+    """Where each row's list begins, and the fields of all lists' structs."""
+    values = column.values
+    return column.offsets.to_pylist(), {f.name: values.field(f.name).to_numpy(zero_copy_only=False) for f in values.type}
+
+
 def _cut(batches: Batches) -> Iterator[pa.RecordBatch]:
     """The bytes of segments, from documents joined with a list of them; a hot anchor's window by window."""
     names = ["h", "doc", "start", "n", "text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for b in batches:
         rows = []
-        for key, text, wanted in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
-            for s in wanted:
-                at, n = s["start"], s["n"]
-                if s["hot"]:
+        cuts, fields = _lists(b.column(2))
+        h, start, size, hot = (fields[f].tolist() for f in ("h", "start", "n", "hot"))
+        for d, (key, text) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True)):
+            for x in range(cuts[d], cuts[d + 1]):
+                at, n = start[x], size[x]
+                if hot[x]:
                     for k in range(at, at + n):
                         w = text[k : k + LENGTH]
                         rows.append((xxhash.xxh64_intdigest(w, 7) - (1 << 63), key, k, 1, w))
                 else:
-                    rows.append((s["h"], key, at, n, text[at : at + n + LENGTH - 1]))
+                    rows.append((h[x], key, at, n, text[at : at + n + LENGTH - 1]))
             if len(rows) > 1 << 14:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 rows = []
@@ -442,13 +450,14 @@ def _finish(batches: Batches) -> Iterator[pa.RecordBatch]:
     """Each document's result: all repeated segments less first occurrences, and the shards' ranges."""
     for b in batches:
         rows = []
-        for key, text, ranges in zip(b.column(0).to_pylist(), utf8(b.column(1)), b.column(2).to_pylist(), strict=True):
+        cuts, fields = _lists(b.column(2))
+        for d, (key, text) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True)):
             gone = np.zeros(max(0, len(text) - LENGTH + 1), bool)
-            ranges = ranges or []
+            kinds, start, size = (fields[f][cuts[d] : cuts[d + 1]] for f in ("kind", "start", "n"))
             for kind in (0, 1, 2):  # segments that occur several times, first occurrences among them, ranges found in shards
-                for r in ranges:
-                    if r["kind"] == kind:
-                        gone[r["start"] : r["start"] + r["n"]] = kind != 1
+                own = kinds == kind
+                for x, n in zip(start[own].tolist(), size[own].tolist(), strict=True):
+                    gone[x : x + n] = kind != 1
             a, e = _ranges(gone)
             e = e + LENGTH - 1
             if len(a) > 1:  # ranges of bytes that touch or overlap are one
