@@ -30,7 +30,7 @@ def latest(rows: DataFrame, keys: list[str], at: str, tie: str, columns: list[st
 def roster_rollup(roster: DataFrame, scores: DataFrame) -> DataFrame:
     """(team, position): total, rated, unrated and best player; unscored players count as unrated."""
     j = roster.join(scores, "player", "left")
-    return j.groupBy("team", "position").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), F.count("score").alias("rated"), F.count_if(F.col("score").isNull()).alias("unrated"), F.max_by("player", F.struct("score", "player")).alias("best"))
+    return j.groupBy("team", "position").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("total"), F.count("score").alias("rated"), F.count_if(F.col("score").isNull()).alias("unrated"), F.max_by("player", F.when(F.col("score").isNotNull(), F.struct("score", "player"))).alias("best"))
 
 
 def power_ranks(teams: DataFrame, total: str, tie: str) -> DataFrame:
