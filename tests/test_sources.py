@@ -59,7 +59,7 @@ def test_embedded_array(spark):
 
 
 def test_adapters(spark, tmp_path):
-    (tmp_path / "d.jsonl").write_text('{"source": "s", "gsis_id": "g", "pfr_name": "N", "position": "QB", "team": "T", "pick": "12", "round": 1, "season": "2020"}\n\n')
+    (tmp_path / "d.jsonl").write_text('{"source": "s", "gsis_id": "g", "player_name": "N", "position": "QB", "team": "T", "pick": "12", "round": 1, "season": "2020"}\n\n')
     adapters.register(spark)
     r = spark.read.format("draft_lines").option("paths", str(tmp_path / "d.jsonl")).load().first()
     assert (r.player_id, r.rank, r.value) == ("g", 12, 1.0)

@@ -61,7 +61,7 @@ class RankingLines(DataSource):
 class DraftLines(RankingLines):
     """Draft picks, the pick as the rank."""
 
-    FIELDS = {"source": "source", "player_id": "gsis_id", "name": "pfr_name", "position": "position", "team": "team", "rank": "pick", "value": "round", "captured_at": "season"}
+    FIELDS = {"source": "source", "player_id": "gsis_id", "name": "player_name", "position": "position", "team": "team", "rank": "pick", "value": "round", "captured_at": "season"}
 
 
 def register(spark: SparkSession) -> None:
