@@ -55,15 +55,6 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in as_bytes.to_pylist()]
 
 
-def batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type) for f in schema], schema=schema)
-
-
-def runs(same: np.ndarray) -> np.ndarray:
-    """First index of each run, where `same[i]` says that row i + 1 belongs to row i's run."""
-    return np.concatenate(([0], np.flatnonzero(~same) + 1)) if len(same) or True else np.zeros(0, int)
-
-
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 15) -> Iterator[pa.Table]:
     """Tables of whole groups from batches that are sorted by `keys`.  What is held back
     is the last, unfinished group only, so memory follows the largest group."""

@@ -6,7 +6,7 @@ pair of rows still meets exactly once."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -88,11 +88,8 @@ class Forest:
             used_j.append(j[first])
             parent = np.arange(len(self.label))
             parent[high[first]] = low[first]
-            while (up := parent[parent]).tolist() != parent.tolist() if len(parent) < 64 else not np.array_equal(up := parent[parent], parent):
+            while not np.array_equal(up := parent[parent], parent):
                 parent = up
             self.label = parent[self.label]
         none = np.zeros(0, int)
         return (np.concatenate(used_i), np.concatenate(used_j)) if used_i else (none, none)
-
-
-Verify = Callable[[np.ndarray, np.ndarray], np.ndarray]
