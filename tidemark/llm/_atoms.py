@@ -8,8 +8,10 @@ pieces repeat far more than texts do, so a memo of them saves most of the work."
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 _TWO = re.compile(r"\s\s")
+MARKS = frozenset(".,;:!?")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -33,13 +35,13 @@ class Memo:
         self.now: dict = {}
         self.before: dict = {}
 
-    def learn(self, pieces) -> dict:
-        """A dict that has all of `pieces`."""
+    def learn(self, pieces: list[list[str]]) -> dict:
+        """A dict that has all pieces of all lists."""
         if len(self.now) > self.most:
             self.now, self.before = {}, self.now
         now, before = self.now, self.before
         missing = []
-        for p in {p for p in pieces if p not in now}:
+        for p in set(chain.from_iterable(pieces)).difference(now):
             if p in before:
                 now[p] = before[p]
             else:
@@ -49,6 +51,16 @@ class Memo:
         return now
 
 
+def words_of(piece: str, find) -> list[str]:
+    """The pre-tokens of a piece: letters, with a space before or a mark behind, need no pattern."""
+    body = piece[1:] if piece[0] == " " else piece
+    if body.isalpha():
+        return [piece]
+    if body[-1:] in MARKS and body[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return find(piece)
+
+
 def slices(texts: list[str], most: int = 1 << 20):
     """Runs of texts of about `most` characters together."""
     part, size = [], 0

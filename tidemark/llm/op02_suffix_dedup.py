@@ -205,9 +205,8 @@ def _mixed(key: np.ndarray) -> np.ndarray:
 def classify(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; the last letter is the only 0."""
     n = len(t)
-    differs = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)
-    nearest = differs[np.searchsorted(differs, np.arange(n))]
-    small = t[nearest] < t[np.minimum(nearest + 1, n - 1)]
+    ends = np.append(np.flatnonzero(t[1:] != t[:-1]), n - 1)  # of runs of equal letters
+    small = np.repeat(t[ends] < t[np.minimum(ends + 1, n - 1)], np.diff(ends, prepend=-1))
     small[-1] = True
     return small
 
@@ -373,11 +372,11 @@ def repeated_windows(texts: list[bytes], windows: np.ndarray, order: np.ndarray)
     t[begin + size - 1] = 1  # parts texts, below any byte
     sa = suffix_array(t)
     shared = permuted_prefixes(t, sa)[sa]
-    text = np.append(np.repeat(np.arange(len(texts)), size), 0)
-    offset = np.arange(len(t)) - begin[text]
+    text = np.append(np.repeat(np.arange(len(texts), dtype=np.int32), size), np.int32(0))
+    offset = np.arange(len(t), dtype=np.int32) - begin.astype(np.int32)[text]
     is_window = offset < windows[text]
     is_window[-1] = False
-    group = np.cumsum(shared < LENGTH)
+    group = np.cumsum(shared < LENGTH, dtype=np.int32)
     here = is_window[sa]
     place, group = sa[here], group[here]
     by = np.lexsort((offset[place], order[text[place]], group))

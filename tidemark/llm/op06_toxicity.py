@@ -163,17 +163,25 @@ class Network:
             dx += dgx @ self.p[f"x{k}"]
         return g, dx
 
-    def train(self, docs: list[list[str]], toxic: list[int], seed: int = 5) -> None:
+    def train(self, texts: list[str], toxic: list[int], seed: int = 5) -> None:
         """Adagrad over windows.  The first input of each table starts as the log-odds of its rows."""
         if len(set(toxic)) < 2:
             self.constant = float(np.mean(toxic)) if toxic else 0.0
             return
         r, label = np.random.default_rng(seed), np.array(toxic)
-        vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for d in docs for w in d))}
-        ids = [np.array([vocabulary[w] for w in d], np.int64) for d in docs]
-        word, gram, owner = Inputs.of(list(vocabulary))
-        order = np.argsort(owner, kind="stable")
-        gram, counts = gram[order], np.bincount(owner, minlength=len(vocabulary))
+        vocabulary: dict[str, int] = {}
+        ids = []
+        for t in texts:  # words are held once, documents as numbers
+            ids.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int32))
+        words = list(vocabulary)
+        del vocabulary
+        word, gram, counts = np.zeros(len(words), np.int64), [], np.zeros(len(words), np.int64)
+        for s in range(0, len(words), 1 << 14):
+            own, rows, of_word = Inputs.of(words[s : s + (1 << 14)])
+            word[s : s + len(own)] = own
+            gram.append(rows[np.argsort(of_word, kind="stable")].astype(np.uint16))
+            counts[s : s + len(own)] = np.bincount(of_word, minlength=len(own))
+        gram = np.concatenate(gram) if gram else np.zeros(0, np.uint16)
         begin = np.cumsum(counts) - counts
         seen = np.zeros((2, 2, BUCKETS))  # documents of each kind that have a word's or an n-gram's row
         for d, y in zip(ids, label, strict=True):
@@ -190,7 +198,7 @@ class Network:
         step, ranked = 0, -RANKED
         while step < STEPS:
             if step >= ranked + RANKED:
-                score = self._rank(ids, windows, list(vocabulary), first=not step)
+                score = self._rank(ids, windows, words, first=not step)
                 best = np.lexsort((score, of))
                 top = best[np.concatenate((np.flatnonzero(np.diff(of[best])), [len(best) - 1]))]
                 ranked = step
@@ -232,14 +240,14 @@ class Network:
     def _rank(self, ids: list[np.ndarray], windows: list[tuple[int, int]], words: list[str], first: bool) -> np.ndarray:
         """A score of each window: of the network, or before training of its words' log-odds."""
         if first:
-            e = self.embed(words)
-            value = np.maximum(e[:, 0], 0) + np.maximum(e[:, WIDTH], 0)
+            value = np.zeros(len(words))
+            for s in range(0, len(words), 1 << 14):
+                e = self.embed(words[s : s + (1 << 14)])
+                value[s : s + len(e)] = np.maximum(e[:, 0], 0) + np.maximum(e[:, WIDTH], 0)
             return np.array([value[ids[d][s : s + WINDOW]].sum() for d, s in windows])
-        scorer = Scorer(self.frozen())
+        scorer = Scorer(self.frozen(), len(words) + 1)
         scorer.learn(words)
-        table = np.array([scorer.row[w] for w in words], np.int64)
-        rows = [table[d] for d in ids]
-        return scorer.logits(rows, windows)
+        return scorer.logits([d + 1 for d in ids], windows)  # words are new to it, so their rows are in their order
 
     def frozen(self) -> dict:
         return {"constant": self.constant} | {k: v.astype(np.float32) for k, v in self.p.items()}
@@ -248,12 +256,12 @@ class Network:
 class Scorer:
     """Scores whole texts; a word's share of the gates is computed once while it is remembered."""
 
-    def __init__(self, p: dict) -> None:
+    def __init__(self, p: dict, room: int = 1 << 12) -> None:
         self.p, self.row = p, {}
         self.net = Network.__new__(Network)
         self.net.p = p
         self.size = 1  # row 0 is no word
-        self.gates = np.zeros((6 * HIDDEN, 1 << 12), np.float32)
+        self.gates = np.zeros((6 * HIDDEN, room), np.float32)
         self.most = KNOWN
 
     def learn(self, words) -> None:
@@ -350,7 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     net = Network()
-    net.train([r.text.split() for r in rows], [int(r.toxic) for r in rows])
+    net.train([r.text for r in rows], [int(r.toxic) for r in rows])
     return net.frozen()
 
 

@@ -20,6 +20,7 @@ import io
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._atoms import Memo, atoms, slices
+from ._atoms import Memo, atoms, slices, words_of
 from ._shared import Batches, BatchFn, columns_as, new_path, partitions, staged
 
 MAGIC = b"TMPF1\0\0\0"
@@ -37,8 +38,8 @@ BLOCK = 1 << 14
 PERCENTILE = 90
 END_ID = 2
 FILE_IDS = 1 << 24
-MEMO = 80_000
-WORDS = 250_000
+MEMO = 300_000
+WORDS = 700_000
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
@@ -182,12 +183,13 @@ class _Library:
     def _encode(self, words: list[str]) -> list[bytes]:
         out = []
         for s in range(0, len(words), 1 << 14):
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words[s : s + (1 << 14)], add_special_tokens=False)]
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[s : s + (1 << 14)], add_special_tokens=False)]
         return out
 
     def _join(self, pieces: list[str]) -> list[bytes]:
-        found = [[p] if p in self.special else self.find(p) for p in pieces]
-        known = self.words.learn(w for ws in found for w in ws)
+        special, find = self.special, self.find
+        found = [[p] if p in special else words_of(p, find) for p in pieces]
+        known = self.words.learn(found)
         return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in found]
 
     def _pieces(self, text: str) -> list[str]:
@@ -196,11 +198,12 @@ class _Library:
         return atoms(text)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for part in slices(texts):
+        for part in slices(texts, 1 << 22):
             cut = [self._pieces(t) for t in part]
-            memo = self.memo.learn(p for ps in cut for p in ps)
+            memo = self.memo.learn(cut)
+            get = memo.__getitem__
             for ps in cut:
-                yield np.frombuffer(b"".join([memo[p] for p in ps]), "<u4")
+                yield np.frombuffer(b"".join(map(get, ps)), "<u4")
 
 
 _library: dict[str, _Library] = {}

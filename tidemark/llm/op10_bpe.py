@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._atoms import Memo, atoms, slices
+from ._atoms import Memo, atoms, slices, words_of
 from ._shared import Batches, BatchFn, columns_as
 
 LEXICON_WORDS = 1 << 15
-MEMO = 60_000
-WORDS = 250_000
-COUNTED = 200_000
+MEMO = 300_000
+WORDS = 400_000
+COUNTED = 400_000
 BITS = 24
 MASK = (1 << BITS) - 1
 NEVER = 1 << 62  # the rank of a pair that does not merge
@@ -205,7 +205,7 @@ def _count(batches: Batches) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         words: Counter = Counter()
         for p, n in pieces.items():
-            for w in find(p):
+            for w in words_of(p, find):
                 words[w] += n
         pieces.clear()
         return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], ["word", "n"])
@@ -232,25 +232,32 @@ class Encoder:
 
         self.v, self.lexicon, self.find = vocabulary, lexicon, regex.compile(PATTERN).findall
         self.memo = Memo(self._render_all, MEMO)
-        self.words = Memo(self._word_ids, WORDS)
+        self.words = Memo(self._render_words, WORDS)
         self.names = {i: str(i) for i in vocabulary.spelling}
-        self.same = {i: i for i in vocabulary.spelling}  # one object for each id, however often it is held
+        self.odd: dict[str, str] = {}  # words that do not decode to themselves, and what they decode to
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
-    def _word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        get, merge, same = self.lexicon.get, self.v.merge, self.same
-        return [tuple([same[i] for i in get(b) or merge(b)]) for b in map(str.encode, words)]
-
-    def ids_of(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each piece: its words are looked up in the lexicon, or merged."""
-        special, find = self.v.special, self.find
-        words = [[] if p in special else find(p) for p in pieces]
-        known = self.words.learn(w for ws in words for w in ws)
-        return [(special[p],) if p in special else known[ws[0]] if len(ws) == 1 else tuple([i for w in ws for i in known[w]]) for p, ws in zip(pieces, words, strict=True)]
-
-    def _render_all(self, pieces: list[str]) -> list[tuple[str, int, bytes]]:
-        names = self.names
-        return [(",".join([names[i] for i in ids]), len(ids), self.decode(ids)) for ids in self.ids_of(pieces)]
+    def word_ids(self, word: bytes) -> list[int]:
+        """By the lexicon, or by merging."""
+        found = self.lexicon.get(word)
+        return self.v.merge(word) if found is None else found
+
+    def _render_words(self, words: list[str]) -> list[str]:
+        """The ids of words as text; each is decoded again, and kept apart if that gives another word."""
+        names, spell, out = self.names, self.v.spelling, []
+        for w in words:
+            b = w.encode()
+            ids = self.word_ids(b)
+            if (back := b"".join([spell[i] for i in ids])) != b:
+                self.odd[w] = back.decode(errors="replace")
+            out.append(",".join([names[i] for i in ids]))
+        return out
+
+    def _render_all(self, pieces: list[str]) -> list[str]:
+        special, find, names = self.v.special, self.find, self.names
+        words = [[] if p in special else words_of(p, find) for p in pieces]
+        known = self.words.learn(words)
+        return [names[special[p]] if p in special else known[ws[0]] if len(ws) == 1 else ",".join([known[w] for w in ws]) for p, ws in zip(pieces, words, strict=True)]
 
     def pieces(self, text: str) -> list[str]:
         if self.special and "<" in text and self.special.search(text):
@@ -258,20 +265,23 @@ class Encoder:
         return atoms(text)
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.ids_of(self.pieces(text)) for i in ids]
+        special, find = self.v.special, self.find
+        return [i for p in self.pieces(text) for i in ([special[p]] if p in special else [i for w in words_of(p, find) for i in self.word_ids(w.encode())])]
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.spelling.__getitem__, ids))
 
     def digests(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """(ids, digest of the ids, digest of the decoded text) of each text."""
-        for part in slices(texts):
+        for part in slices(texts, 1 << 22):
             cut = [self.pieces(t) for t in part]
-            memo = self.memo.learn(p for ps in cut for p in ps)
+            name = self.memo.learn(cut).__getitem__
             for ps in cut:
-                names, counts, spelled = zip(*[memo[p] for p in ps], strict=True) if ps else ((), (), ())
-                plain = b"".join(spelled).decode(errors="replace").encode()
-                yield sum(counts), hashlib.sha256(",".join(names).encode()).hexdigest(), hashlib.sha256(plain).hexdigest()
+                ids = ",".join(map(name, ps))
+                plain = "".join(ps)
+                if self.odd:  # else every word decodes to itself
+                    plain = "".join([self.odd.get(w, w) for p in ps for w in ([p] if p in self.v.special else words_of(p, self.find))])
+                yield ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(plain.encode()).hexdigest()
 
 
 _encoders: dict[str, Encoder] = {}
