@@ -197,6 +197,47 @@ def test_near_copies_go_and_others_stay(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 5, 50, None}
 
 
+def test_similar_groups_are_those_of_brute_force(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    common = " ".join(word() for _ in range(30))
+    rows = []
+    for k in range(240):  # pairs at 0.72 to 0.88, of 12 to 400 words, some with a passage that many share
+        a = [word() for _ in range(r.choice((12, 40, 120, 400)))]
+        b = list(a)
+        n = len(a) - 4
+        for at in r.sample(range(0, len(a), 5), max(1, round(n * r.uniform(0.06, 0.16) / 5))):
+            b[at] = word()
+        tail = [common] if k % 3 == 0 else []
+        rows += [(2 * k, " ".join(a + tail)), (2 * k + 1, " ".join(b + tail))]
+    hub = [word() for _ in range(200)]
+    for k in range(60):
+        c = list(hub)
+        for at in r.sample(range(200), 2):
+            c[at] = word()
+        rows.append((1000 + k, " ".join(c)))
+    sets = [{tuple(t.split()[x : x + 5]) for x in range(len(t.split()) - 4)} for _, t in rows]
+    label = list(range(len(rows)))
+    near = [0, 0]
+    for x in range(len(rows)):
+        for y in range(x):
+            shared = len(sets[x] & sets[y])
+            j = shared / (len(sets[x]) + len(sets[y]) - shared)
+            near[0] += 0.75 <= j < 0.8
+            near[1] += 0.8 <= j < 0.85
+            if j >= 0.8 and label[x] != label[y]:
+                low, high = sorted((label[x], label[y]))
+                label = [low if v == high else v for v in label]
+    assert min(near) > 20
+    marked = op03_simhash.SETS
+    try:
+        for op03_simhash.SETS in (marked, 8):
+            got = {g.doc_id: g.component_id for g in op03_simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+            assert got == {i: rows[v][0] for (i, _), v in zip(rows, label, strict=True)}
+    finally:
+        op03_simhash.SETS = marked
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b", "<p>é</p>", 1), (2, "http://b", "<p>é</p>", 1), (0, None, "", 1), (5, "http://c\n", None, 1), (7, "u", "x" * 300000, 1), (7, "u", "x" * 300000, 1), (3, "http://d", "<p>é</p>", 2)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int").repartition(3)

@@ -131,16 +131,23 @@ def near_groups(docs: DataFrame, words_each: int = 4, radius: int = 4, id_col: s
     return prints.join(label, F.col("fp") == F.col("node_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- wide fingerprints, for similarities that need more bits than 64
+# ---- groups by real similarity of shingle sets
 
 WIDE = 4  # 64-bit words of a wide fingerprint
-BLOCK_BITS = 12
-LIMIT = 46  # of 256 bits: a Jaccard similarity of 0.8 has 39 that differ, give or take 6
+LIMIT = 69  # of 256 bits: a Jaccard similarity of 0.8 has 39 that differ, give or take 6
+LEAST = 64  # sets of fewer shingles are not judged by their fingerprints, which scatter more
+SAMPLE = 20_000  # documents from which common shingles are learnt, and how many of those are
+COMMON = 200_000
+SETS = 256  # sets of one candidate group that are compared in one task, twice
 
 
-def wide_simhash(text: bytes, words_each: int) -> bytes:
-    """256 bits like simhash(): each shingle's hash is spread to four words."""
-    h = shingle_hashes(text, words_each)
+def shingle_set(text: bytes, words_each: int) -> np.ndarray:
+    """The different hashes of a text's shingles, sorted."""
+    return np.unique(shingle_hashes(text, words_each))
+
+
+def wide_simhash(h: np.ndarray) -> bytes:
+    """256 bits like simhash(), of a set of hashes: each one is spread to four words."""
     if not len(h):
         return bytes(8 * WIDE)
     ones = np.zeros(64 * WIDE, np.int64)
@@ -155,58 +162,144 @@ def wide_simhash(text: bytes, words_each: int) -> bytes:
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
-def _wide(words_each: int) -> BatchFn:
+def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The rarest n - ceil(0.8 n) + 1 of a set's n hashes, in an order that is the same for all sets.
+    Two sets with a Jaccard similarity of 0.8 share one of theirs, whatever the order."""
+    n = len(h)
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        rank = np.where(common[at] == h, times[at], 0)
+    return h[np.lexsort((h, rank))[: n - (4 * n + 4) // 5 + 1]] if n else h
+
+
+def _all_shingles(words_each: int) -> BatchFn:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                sets = [shingle_set(x, words_each) for x in utf8(b.column(0).slice(lo, 256))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+
+    return run
+
+
+def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest shingles in a sample, sorted, and their counts.  They only decide an order."""
+    every = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
+    seen = some.mapInArrow(_all_shingles(words_each), "h long").groupBy("h").count().where("count > 2")
+    top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, times = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
+    order = np.argsort(h)
+    return h[order], times[order]
+
+
+def _sets(words_each: int, common) -> BatchFn:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [shingle_set(x, words_each) for x in utf8(part.column(1))]
+                node = [xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets]
+                first = [prefix(h, *common.value).view(np.int64) for h in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(wide_simhash, sets), pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "th", "node", "n", "fp", "prefix"])
+
+    return run
+
+
+def _members(words_each: int) -> BatchFn:
+    """The sets themselves, for the nodes that have a candidate."""
+
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([wide_simhash(x, words_each) for x in utf8(b.column(1))], pa.binary())], ["doc_id", "fp"])
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                sets = [shingle_set(x, words_each) for x in utf8(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([h.tobytes() for h in sets], pa.binary())], ["bucket", "node", "fp", "hashes"])
 
     return run
 
 
-def _blocks(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """A row for each block of each fingerprint; the bucket holds the block's number and its bits."""
-    n = 64 * WIDE // BLOCK_BITS
-    weight = 1 << np.arange(BLOCK_BITS, dtype=np.int64)
-    for b in batches:
-        fp = b.column(0).to_pylist()
-        bits = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1)[:, : n * BLOCK_BITS]
-        bucket = (bits.reshape(len(fp), n, BLOCK_BITS) @ weight) + (np.arange(n, dtype=np.int64) << BLOCK_BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), b.column(0).take(pa.array(np.repeat(np.arange(len(fp)), n))), b.column(1).take(pa.array(np.repeat(np.arange(len(fp)), n)))], ["bucket", "fp", "node"])
+def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sizes and fingerprints allow a similarity of 0.8."""
+    low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+    go = 5 * low >= 4 * high
+    i, j, low = i[go], j[go], low[go]
+    go = (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= LIMIT) | (low < LEAST)
+    return i[go], j[go]
 
 
-def _near(batches: Batches) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Edges of a spanning forest of each bucket's possible pairs."""
     for t in whole_groups(batches, GROUP):
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        node = t.column("node").to_numpy()
+        node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
         forest, found = Forest(len(fp)), []
         for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 18):
             apart = forest.label[i] != forest.label[j]
-            i, j = i[apart], j[apart]
-            differ = np.zeros(len(i), np.int64)
-            for k in range(WIDE):
-                differ += np.bitwise_count(fp[i, k] ^ fp[j, k])
-                go = differ <= LIMIT
-                i, j, differ = i[go], j[go], differ[go]
-            found.append(forest.add(i, j))
+            found.append(forest.add(*_possible(i[apart], j[apart], n, fp)))
         if found:
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
 
 
+def _verified(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Edges that connect all sets of a group with a Jaccard similarity of 0.8 or more."""
+    for t in whole_groups(batches, GROUP, 1 << 10):
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+        node, n = t.column("node").to_numpy(), np.array([len(h) for h in sets])
+        up, a, b = list(range(len(sets))), [], []
+
+        def root(x: int, up: list[int] = up) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 16):
+            for x, y in zip(*(v.tolist() for v in _possible(i, j, n, fp)), strict=True):
+                p, q = root(x), root(y)
+                if p == q:
+                    continue
+                both = np.sort(np.concatenate((sets[x], sets[y])))
+                shared = int((both[1:] == both[:-1]).sum())
+                if 5 * shared >= 4 * (len(both) - shared):
+                    up[max(p, q)] = min(p, q)
+                    a.append(node[x])
+                    b.append(node[y])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id over links of fingerprints that differ in at most LIMIT of 256 bits.
+    """doc_id, component_id over links of documents whose sets of shingles have a Jaccard similarity
+    of at least 0.8.
+
+    Sets that share one of their rarest shingles (see prefix()) meet, which all such pairs do.  If
+    sizes and 256-bit fingerprints allow it, they become candidates; components of candidates hold
+    every pair that is looked for, and in them the sets themselves are compared."""
+    spark = docs.sparkSession
+    docs = columns_as(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    common = spark.sparkContext.broadcast(common_shingles(docs, words_each))
+    prints = staged(docs.mapInArrow(_sets(words_each, common), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
+    nodes = staged(nodes, "nodes")
+
+    rows = nodes.select("node", F.explode("prefix").alias("bucket"))
+    shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
+    rows = staged(rows.join(shared, "bucket").join(nodes.select("node", "n", "fp"), "node"), "meeting")
+    loose = connected_components(grouped(rows, "node", CAP).mapInArrow(_candidates, "a long, b long")).withColumnRenamed("node", "part")
+
+    # the text of one document for each set that has a candidate
+    chosen = nodes.join(loose, F.col("node") == F.col("part")).select("component", "node", "fp", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"))
+    texts = docs.join(chosen, (F.col("th") == F.col("one_th")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("component", "node", "fp", "text")
+    sets = staged(texts.mapInArrow(_members(words_each), "bucket long, node long, fp binary, hashes binary"), "members")
+    parts = connected_components(grouped(sets, "node", SETS).mapInArrow(_verified, "a long, b long"))
 
-    Pairs meet if one of 21 blocks of 12 bits agrees: always for 20 differing bits or fewer, and by
-    chance in 96 of 100 cases at a similarity of 0.8, 99 at 0.85."""
-    docs = columns_as(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    prints = staged(docs.mapInArrow(_wide(words_each), "doc_id long, fp binary").withColumn("node", F.xxhash64("fp")), "wide")
-    nodes = staged(prints.groupBy("fp", "node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    rows = nodes.select("fp", "node").mapInArrow(_blocks, "bucket long, fp binary, node long")
-    parts = connected_components(grouped(rows, "node", CAP).mapInArrow(_near, "a long, b long"))
     label = nodes.join(parts.withColumnRenamed("node", "part"), F.col("node") == F.col("part"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
     label = staged(label.join(smallest, "component").select(F.col("node").alias("n"), "component_id"), "labels")
-    return prints.join(label, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    return prints.select("doc_id", "node").join(label, F.col("node") == F.col("n")).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
