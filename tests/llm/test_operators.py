@@ -130,6 +130,25 @@ def test_suffix_hot_anchor(docs, monkeypatch):
     assert got == want
 
 
+def test_suffix_shards_do_not_grow_with_a_hot_passage(spark, monkeypatch):
+    r = random.Random(5)
+    passage = words(r, 60)
+    rows = [(k, words(r, 30) + passage + words(r, 30)) for k in range(40)]
+    shards = op02_suffix_dedup._shards
+
+    def small_shards(batches):
+        batches = list(batches)
+        keys = [h for b in batches for h in b.column(0).to_pylist()]
+        assert max(map(keys.count, keys), default=0) <= 20
+        yield from shards(iter(batches))
+
+    monkeypatch.setattr(op02_suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(op02_suffix_dedup, "_shards", small_shards)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in op02_suffix_dedup.repeated_spans(docs).collect()}
+    assert got == brute_spans(rows)
+
+
 def test_suffix_array():
     r = random.Random(1)
     for _ in range(200):

@@ -17,8 +17,9 @@ Two bitmaps of fixed size (of anchors that repeat, of documents that are concern
 the shuffling while the input is small; they admit some rows too many, never too few, and with
 ever larger input they spare less.
 
-An anchor with more than HOT different segments is dealt with window by window, keyed by a hash of
-the window, so that no shard grows with a group's size.
+The windows of an anchor with more than HOT different segments go to no shard: the first occurrence
+of each window's bytes is found by a minimum, which is combined before the shuffle, and all other
+windows of those segments are repeats.  So no shard grows with a group's size.
 
 Cases: null and empty texts, and all under 100 bytes, are kept whole.  Rows with equal ids or null
 ids are documents of their own, in the order of id (null last) and of the text's hash; equal rows
@@ -422,22 +423,17 @@ def _lists(column: pa.ListArray) -> tuple[list[int], dict[str, np.ndarray]]:
 
 
 def _cut(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """The bytes of segments, from documents joined with a list of them; a hot anchor's window by window."""
+    """The bytes of segments, from documents joined with a list of them."""
     names = ["h", "doc", "start", "n", "text"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for b in batches:
         rows = []
         cuts, fields = _lists(b.column(2))
-        h, start, size, hot = (fields[f].tolist() for f in ("h", "start", "n", "hot"))
+        h, start, size = (fields[f].tolist() for f in ("h", "start", "n"))
         for d, (key, text) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True)):
             for x in range(cuts[d], cuts[d + 1]):
                 at, n = start[x], size[x]
-                if hot[x]:
-                    for k in range(at, at + n):
-                        w = text[k : k + LENGTH]
-                        rows.append((xxhash.xxh64_intdigest(w, 7) - (1 << 63), key, k, 1, w))
-                else:
-                    rows.append((h[x], key, at, n, text[at : at + n + LENGTH - 1]))
+                rows.append((h[x], key, at, n, text[at : at + n + LENGTH - 1]))
             if len(rows) > 1 << 14:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 rows = []
@@ -445,18 +441,45 @@ def _cut(batches: Batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
+def _windows(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """The windows of hot segments, from documents joined with a list of them; of equal ones that are
+    held at a time only the first."""
+    first: dict[bytes, tuple[int, int]] = {}
+
+    def out() -> pa.RecordBatch:
+        docs, starts = zip(*first.values(), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(list(first), pa.binary())], ["doc", "start", "w"])
+
+    for b in batches:
+        cuts, fields = _lists(b.column(2))
+        start, size = (fields[f].tolist() for f in ("start", "n"))
+        for d, (key, text) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True)):
+            for x in range(cuts[d], cuts[d + 1]):
+                for k in range(start[x], start[x] + size[x]):
+                    w = text[k : k + LENGTH]
+                    if w not in first or (key, k) < first[w]:
+                        first[w] = (key, k)
+                if len(first) > 1 << 14:
+                    yield out()
+                    first.clear()
+    if first:
+        yield out()
+
+
 def _finish(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """Each document's result: all repeated segments less first occurrences, and the shards' ranges."""
+    """Each document's result: all repeated segments less first occurrences, and the shards' ranges
+    and hot segments, less the first occurrences of hot windows."""
     for b in batches:
         rows = []
         cuts, fields = _lists(b.column(2))
         for d, (key, text) in enumerate(zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True)):
             gone = np.zeros(max(0, len(text) - LENGTH + 1), bool)
             kinds, start, size = (fields[f][cuts[d] : cuts[d + 1]] for f in ("kind", "start", "n"))
-            for kind in (0, 1, 2):  # segments that occur several times, first occurrences among them, ranges found in shards
+            # segments that occur several times, first occurrences among them, ranges found in shards and hot segments, first hot windows
+            for kind in (0, 1, 2, 3):
                 own = kinds == kind
                 for x, n in zip(start[own].tolist(), size[own].tolist(), strict=True):
-                    gone[x : x + n] = kind != 1
+                    gone[x : x + n] = kind in (0, 2)
             a, e = _ranges(gone)
             e = e + LENGTH - 1
             if len(a) > 1:  # ranges of bytes that touch or overlap are one
@@ -509,15 +532,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = firsts.join(several, F.col("h") == F.col("anchor")).select("doc", "h", "start", "n", (F.col("kinds") > HOT).alias("hot"))
     wanted = staged(wanted, "wanted")
     key_hash = lambda df, c: df.select(F.xxhash64(c).alias("x"))
-    asked = spark.sparkContext.broadcast(bitmap(key_hash(wanted, "doc"), "x"))
-    some = texts.mapInArrow(_with_bit(asked, True), "key long, text string")
-    cut = some.join(_per_doc(wanted, "h", "start", "n", "hot"), F.col("key") == F.col("doc")).select("key", "text", "list")
+
+    def with_texts(part: DataFrame) -> tuple[DataFrame, object]:
+        asked = spark.sparkContext.broadcast(bitmap(key_hash(part, "doc"), "x"))
+        some = texts.mapInArrow(_with_bit(asked, True), "key long, text string")
+        return some.join(_per_doc(part, "h", "start", "n"), F.col("key") == F.col("doc")).select("key", "text", "list"), asked
+
+    marked.unpersist()
+    cut, asked = with_texts(wanted.where("not hot"))
     cut = cut.mapInArrow(_cut, "h long, doc long, start long, n int, text binary")
     # of equal segments only the first is here, so an anchor's rows are different texts
     shards = cut.repartition(partitions(spark), "h").sortWithinPartitions("h")
-    inner = staged(shards.mapInArrow(_shards, "doc long, start long, n int"), "inner")
-
-    ranges = repeats.select("doc", "start", "n", F.lit(0).alias("kind")).union(firsts.select("doc", "start", "n", F.lit(1).alias("kind"))).union(inner.select("doc", "start", "n", F.lit(2).alias("kind")))
+    inner = staged(shards.mapInArrow(_shards, "doc long, start long, n int"), "inner").withColumn("kind", F.lit(2))
+    asked.unpersist()
+    hot = wanted.where("hot").select("doc", "h", "start", "n")
+    if not hot.isEmpty():
+        cut, asked = with_texts(hot)
+        first = cut.mapInArrow(_windows, "doc long, start long, w binary").groupBy("w").agg(F.min(F.struct("doc", "start")).alias("f"))
+        first = staged(first.select("f.doc", "f.start"), "first")
+        asked.unpersist()
+        inner = inner.union(hot.select("doc", "start", "n", F.lit(2))).union(first.select("doc", "start", F.lit(1), F.lit(3)))
+
+    ranges = repeats.select("doc", "start", "n", F.lit(0).alias("kind")).union(firsts.select("doc", "start", "n", F.lit(1).alias("kind"))).union(inner.select("doc", "start", "n", "kind"))
     touched = spark.sparkContext.broadcast(bitmap(key_hash(repeats.where("h is null").select("doc").union(repeats.where("h is not null").select("doc")), "doc"), "x"))
     result = "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, span_starts array<long>, span_ends array<long>"
     joined = docs.mapInArrow(_with_bit(touched, True), "key long, text string, doc_id long").join(_per_doc(ranges, "start", "n", "kind"), F.col("key") == F.col("doc"), "left")
