@@ -364,6 +364,24 @@ def test_html():
     assert op07_html.extract(PAGE).split("\n") == ["- One", "- Two", "  - Sub", "", "Head", "", "A b c", "", "D & e", "f", "", "Name  | N", "alpha | 1", "b     | 22", "", " x", "  y", "", "3. c", "4. d", "", "end"]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><p>Hello", "Hello"),
+        ("<head><meta charset=x>\n<style>p{}</style> Hello <b>you</b>", "Hello you"),
+        ("<head><noscript><link></noscript><script>x</script><div>a</div></head><p>b", "a\n\nb"),
+        ("<html><head><title>t</title>\n</head>\n<body><p>c", "c"),
+        ("x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>z</annotation></math>", "x y=2"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs> no <text>one</text><g><text>two</text></g></svg> three", "one two three"),
+        ("<svg><foreignObject><p>in</p><svg>no</svg></foreignObject></svg>out", "in\n\nout"),
+        ("<select><optgroup label=G><option>a<option selected>b<optgroup label=H><option label=c>no</select>d", "G\na\nb\nH\nc\nd"),
+        ("<datalist><option>no</datalist><canvas>no</canvas>e", "e"),
+    ],
+)
+def test_html_shows_all_visible_text(page, text):
+    assert op07_html.extract(page) == text
+
+
 def test_html_table(spark):
     rows = [(1, None), (2, ""), (3, "<p>x"), (3, "<p>x"), (4, "<div>" * 5000 + "deep"), (5, "<a href='unclosed"), (None, "&lt;&#233;")]
     got = {(r.page_id, r.text) for r in op07_html.extract_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}

@@ -2,9 +2,10 @@
 
 A tree is built with the tags that HTML implies (a block ends an open paragraph, an item the
 item before it, a cell the cell before it, the end of an element all that are open in it).
-Hidden elements are left out.  What remains is laid out: blocks on lines of their own, with a
+An open head ends where the body must begin.  Hidden elements are left out.  What remains is laid out: blocks on lines of their own, with a
 blank line around paragraphs and headings, list items with bullets or numbers and indented by
-their depth, tables with cells padded to their column's width.
+their depth, tables with cells padded to their column's width, a selection's options on lines of
+their own; of SVG its text elements.
 
 Cases: null and empty pages give an empty text; broken and unclosed markup, and nesting of any
 depth, are rendered as far as they go; repeated rows are each returned; an empty table gives an
@@ -25,8 +26,10 @@ from ._shared import Batches, columns_as
 # fixed values: HTML's elements by the part they play
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas annotation annotation-xml".split())
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())  # any other start tag ends an open head
+SVG_UNSEEN = frozenset("defs desc metadata symbol clippath mask pattern marker".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 # a start tag on the left ends open elements on the right, but not past the scope
@@ -34,7 +37,8 @@ IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
-    "option": ({"option"}, {"select", "optgroup"}),
+    "option": ({"option"}, {"select", "optgroup", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th", "caption"}, {"table"}),
     "td": ({"td", "th"}, {"table", "tr"}),
     "th": ({"td", "th"}, {"table", "tr"}),
@@ -78,7 +82,10 @@ def parse(page: str) -> Element:
 
     def text(s: str) -> None:
         if s:
-            stack[-1].children.append(html.unescape(s) if "&" in s else s)
+            s = html.unescape(s) if "&" in s else s
+            if stack[-1].tag == "head" and s.strip(" \t\n\f\r"):  # the body begins without a tag
+                stack.pop()
+            stack[-1].children.append(s)
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -104,6 +111,8 @@ def parse(page: str) -> Element:
         if not m[2]:
             continue
         tag = m[2].lower()
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in IMPLIED:
             ends, scope = IMPLIED[tag]
             last = None
@@ -203,10 +212,13 @@ def render(root: Element) -> str:
     outs, tables, lists = [Lines()], [], []
     todo: list = [(root, 0)]
     pre = 0
+    drawn: list[int] = []  # for each open svg, how many of its text elements are open
     while todo:
         node, done = todo.pop()
         out = outs[-1]
         if isinstance(node, str):
+            if drawn and not drawn[-1]:
+                continue
             if pre:
                 *whole, rest = node.split("\n")
                 for line in whole:
@@ -220,8 +232,18 @@ def render(root: Element) -> str:
             continue
         tag = node.tag
         if not done:
-            if node.hidden:
+            if node.hidden or (drawn and not drawn[-1] and tag in SVG_UNSEEN):
                 continue
+            if tag in ("option", "optgroup") and node.attributes.get("label"):
+                out.end()
+                out.write(node.attributes["label"])
+                out.end()
+                if tag == "option":
+                    continue
+            if tag == "svg":
+                drawn.append(0)
+            elif tag in ("text", "foreignobject") and drawn:
+                drawn[-1] += 1
             if tag == "br":
                 if out.parts:
                     out.end()
@@ -260,6 +282,11 @@ def render(root: Element) -> str:
             todo.append((node, 1))
             todo += [(c, 0) for c in reversed(node.children)]
             continue
+        if tag == "svg":
+            drawn.pop()
+        elif tag in ("text", "foreignobject") and drawn:
+            drawn[-1] -= 1
+            out.space |= bool(out.parts)
         if tag in ("td", "th") and tables:
             cell = outs.pop()
             cell.end()
