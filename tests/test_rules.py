@@ -140,3 +140,42 @@ def test_fill_only_never_overwrites(spark):
     base = spark.createDataFrame([(1, "a", None), (2, None, "t")], "k int, x string, y string")
     new = spark.createDataFrame([(1, "z", "n"), (3, "q", None)], "k int, x string, y string")
     assert {tuple(r) for r in identity.fill_only(base, new, "k", ["x", "y"]).collect()} == {(1, "a", "n"), (2, None, "t"), (3, "q", None)}
+
+
+def test_nearest_season_is_that_of_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(k, r.choice("abc"), r.randint(1980, 2010)) for k in range(300)] + [(300, None, 1990)]
+    cand = [(k, r.choice("ab"), 1970 + 3 * r.randint(0, 9) + r.randint(0, 1)) for k in range(25)]
+    want = {}
+    for i, p, s in rows:
+        near = min(((abs(s - cs), -cs, c) for c, cp, cs in cand if cp == p), default=(9,))
+        want[i] = (near[2], near[0]) if near[0] <= 2 else (None, None)
+    got = identity.nearest_season(spark.createDataFrame(rows, "row_id int, position string, season int"), spark.createDataFrame(cand, "id int, position string, season int"), ["position"])
+    assert {g.row_id: (g.c_id, g.delta) for g in got.collect()} == want
+
+
+def test_nearest_season_meets_no_whole_position(spark):
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), F.lit("a").alias("position"), F.lit(1990).alias("season"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    frame = type(rows)
+    join = frame.join
+
+    def counted(self, *a, **k):
+        out = join(self, *a, **k)
+        return out.mapInArrow(count, out.schema)
+
+    frame.join = counted
+    try:
+        got = identity.nearest_season(rows, rows.select(F.col("row_id").alias("id"), "position", "season"), ["position"]).collect()
+    finally:
+        frame.join = join
+    assert len(got) == 1000 and {(g.c_id, g.delta) for g in got} == {(0, 0)}
+    assert seen.value == 1000

@@ -37,13 +37,14 @@ def unique_cascade(rows: DataFrame, candidates: DataFrame, steps: list[list[str]
 
 
 def nearest_season(rows: DataFrame, candidates: DataFrame, keys: list[str], most: int = 2) -> DataFrame:
-    """The candidate of the same keys whose season is nearest to row's; ties go to the later one."""
-    c = candidates.select(*keys, F.col("season").alias("c_season"), F.col("id").alias("c_id"))
-    j = rows.join(c, keys, "left").withColumn("delta", F.abs(F.col("season") - F.col("c_season")))
-    w = Window.partitionBy("row_id").orderBy(F.col("delta").asc_nulls_last(), F.desc("c_season"), "c_id")
-    j = j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    near = F.col("delta") <= most
-    return j.withColumns({"c_id": F.when(near, F.col("c_id")), "delta": F.when(near, F.col("delta"))}).drop("c_season")
+    """The candidate of the same keys whose season is nearest to row's; ties go to the later one.
+    Each season of the keys is offered to the seasons around it once, so no row meets all candidates."""
+    one = candidates.groupBy(*keys, "season").agg(F.min("id").alias("c_id"))
+    near = one.select(*keys, "season", "c_id", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("_d"))
+    near = near.groupBy(*keys, (F.col("season") + F.col("_d")).alias("season")).agg(F.min(F.struct(F.abs("_d").alias("delta"), "_d", "c_id")).alias("_near"))
+    j = rows.join(near, [*keys, "season"], "left").withColumns({"c_id": F.col("_near.c_id"), "delta": F.col("_near.delta")})
+    w = Window.partitionBy("row_id").orderBy(F.col("delta").asc_nulls_last(), F.desc(F.col("season") - F.col("_near._d")), "c_id")
+    return j.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_near")
 
 
 def merged_first_nonnull(tables: list[DataFrame], keys: list[str], columns: list[str]) -> DataFrame:
