@@ -6,11 +6,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import op01_exact_dedup, op02_suffix_dedup, op03_simhash, op04_warc, op05_mixing, op06_toxicity, op07_html, op08_token_file, op09_embedding_dedup, op10_bpe
+from tidemark.llm import _shared, op01_exact_dedup, op02_suffix_dedup, op03_simhash, op04_warc, op05_mixing, op06_toxicity, op07_html, op08_token_file, op09_embedding_dedup, op10_bpe
 from tidemark.llm.queries import byte_bpe
 from tidemark.llm.components import connected_components
 
@@ -410,6 +411,14 @@ def test_token_files(docs, none):
     assert op08_token_file.read_digests(op08_token_file.write_token_files(none, byte_bpe())).count() == 0
 
 
+def test_files_in_a_folder_given_as_a_uri(spark, docs, monkeypatch, tmp_path):
+    monkeypatch.setattr(_shared, "shared_dir", lambda _: f"file:{tmp_path}")
+    got = op08_token_file.read_digests(op08_token_file.write_token_files(docs, byte_bpe()))
+    assert got.count() == docs.count() and list(tmp_path.rglob("*.tmpf"))
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x").alias("url"), F.col("text").alias("html"))
+    assert op04_warc.read_archives(op04_warc.write_archives(op04_warc.arc_records(pages))).count() == docs.count() and list(tmp_path.rglob("*.warc.gz"))
+
+
 def test_token_file_blocks():
     r = np.random.default_rng(1)
     for ids in ([7], [0, 2**32 - 1], r.integers(0, 50000, 40000).tolist(), [5] * 20000, [*range(100), 2**31]):
@@ -417,8 +426,6 @@ def test_token_file_blocks():
     docs = [(k if k % 7 else None, r.integers(0, 60000, n).tolist()) for k, n in enumerate([0, 3, 70000, 1, 16384, 16383, 2])]
     data = op08_token_file.write_ids(docs)
     assert op08_token_file.read_ids(data) == docs
-    import pyarrow as pa
-
     reader = op08_token_file.Reader(pa.BufferReader(data))
     assert [reader.one(k).tolist() for k in (1, 2, 5, 6)] == [docs[k][1] for k in (1, 2, 5, 6)]
 
@@ -471,9 +478,43 @@ def test_bpe_on_random_texts():
     texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a" * 4000, " " * 500 + "x", "é" * 700]
     _, ids = reference_ids(texts)
     e = op10_bpe.Encoder(op10_bpe.Vocabulary(byte_bpe()), op10_bpe.Lexicon(op10_bpe.compile_lexicon([])))
-    lib = op08_token_file._Library(byte_bpe())
     assert [list(e.encode(t)) for t in texts] == ids
-    assert [x.tolist() for x in lib.encode(texts)] == ids
+
+
+def test_library_by_pieces_is_the_library_by_texts():
+    r = random.Random(16)
+    letters = [*"ab é ñ\n\t 12'sll.,!ß ü漢🙂\x1c\u3000\u2003\xa0 \r\x85\u200b", "<|endoftext|>", " <|endoftext|> ", "  ", "   ", "\n", " x", " yz", "'s", " 'll", "-", "_x", "word. ", "etc.\nNew"]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(4000)] + ["a" * 4000, " " * 500 + "x", "é" * 700, ""]
+    _, ids = reference_ids(texts)
+    lib = op08_token_file.Library(byte_bpe())
+    for lo in (0, 2000):  # the second half meets pieces that are remembered
+        got = [x.tolist() for a, n in lib.encode(pa.array(texts[lo : lo + 2000])) for x in np.split(a, np.cumsum(n)[:-1])]
+        assert got == ids[lo : lo + 2000]
+    ended = [x.tolist() for a, n in lib.encode(pa.array([None, *texts[:50]]).slice(0, 40), 2) for x in np.split(a, np.cumsum(n)[:-1])]
+    assert ended == [[2], *([*x, 2] for x in ids[:39])]
+
+
+def test_library_with_another_kind_of_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["Hello, World  again.", "", "a\nb <|startoftext|> c", "Hello, World  again."]
+    lib, t = op08_token_file.Library(path), Tokenizer.from_file(path)
+    got = [x.tolist() for a, n in lib.encode(pa.array(texts)) for x in np.split(a, np.cumsum(n)[:-1])]
+    assert not lib.cut and got == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_stores_as_hadoop_names_them():
+    from pyarrow import fs
+
+    from tidemark.llm._shared import store_of
+
+    for uri in ("/tmp/a b", "file:/tmp/a%20b", "file:///tmp/a%20b"):
+        store, path = store_of(uri)
+        assert isinstance(store, fs.LocalFileSystem) and path == "/tmp/a b"
+    with pytest.raises(pa.ArrowInvalid):
+        store_of("nowhere://x/y")
 
 
 def test_lexicon_shares_suffixes():

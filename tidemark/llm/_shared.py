@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,12 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share.  Only a local session, whose executors are in the
+    driver's process, may leave it unset; it then has a temporary folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="tidemark-")
@@ -34,6 +40,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """(Arrow's file system, path in it) of a folder as Hadoop names it: a path, file:/path, or a
+    store's URI (hdfs, s3, s3a, s3n, gs, abfs, abfss)."""
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):/", uri)
+    if not scheme:
+        return fs.LocalFileSystem(), uri
+    if scheme[1].lower() == "file":
+        return fs.LocalFileSystem(), unquote(urlsplit(uri).path)
+    if scheme[1].lower() in ("s3a", "s3n"):
+        uri = "s3" + uri[len(scheme[1]) :]
+    return fs.FileSystem.from_uri(uri)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """`df` written to the shared folder and read again: lineage ends here and
     a lost executor costs no recomputation."""

@@ -22,12 +22,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, new_path, partitions, shared_dir, staged, utf8
+from ._shared import Batches, BatchFn, columns_as, new_path, partitions, shared_dir, staged, store_of, utf8
 
 # fixed values: the field names of either version's record lines
 ARC_FIELDS = {
@@ -221,7 +220,7 @@ def _digest(batches: Batches) -> Iterator[pa.RecordBatch]:
 
 def _write(folder: str) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        store, root = store_of(folder)
         task, number, out, part, size, done = TaskContext.get(), 0, None, "", 0, []
 
         def put(record: bytes) -> int:
@@ -267,7 +266,7 @@ def write_archives(records: DataFrame, least: int = 0) -> DataFrame:
     with_digest = records.mapInArrow(_with_digest, RAW + ", digest string")
     rows = with_digest.join(chosen, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left").drop("s", "d")
     folder = new_path(spark, "warc")
-    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store, root = store_of(folder)
     store.create_dir(root, recursive=True)
     return staged(rows.mapInArrow(_write(folder), "path string"), "files")
 
@@ -280,7 +279,7 @@ def _with_digest(batches: Batches) -> Iterator[pa.RecordBatch]:
 
 def _read(uri: str) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        store = fs.FileSystem.from_uri(uri)[0] if "://" in uri else fs.LocalFileSystem()
+        store, _ = store_of(uri)
         names = ["source_id", "n", "digest", "type", "record_id", "refers_to"]
         for b in batches:
             for path in b.column(0).to_pylist():

@@ -17,29 +17,30 @@ named columns are read."""
 from __future__ import annotations
 
 import io
+import itertools
+import json
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._atoms import Memo, atoms, slices, words_of
-from ._shared import Batches, BatchFn, columns_as, new_path, partitions, staged
+from ._pieces import Memo, buffers, ids_of_texts, slices, solid_before, solid_from
+from ._shared import Batches, BatchFn, columns_as, new_path, partitions, shared_dir, staged, store_of
 
 MAGIC = b"TMPF1\0\0\0"
 BLOCK = 1 << 14
 PERCENTILE = 90
 END_ID = 2
 FILE_IDS = 1 << 24
-MEMO = 300_000
-WORDS = 700_000
+KNOWN = 1 << 20  # pieces remembered in a worker
+TOGETHER = 1 << 14  # bytes of pieces that are encoded together
 
 
 def pack_bits(values: np.ndarray, width: int) -> bytes:
@@ -86,9 +87,10 @@ class Writer:
         out.write(MAGIC)
         self.at = len(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
-        self.starts.append(self.n)
+    def extend(self, docs: list[int | None], ids: np.ndarray, count: np.ndarray) -> None:
+        """Documents with `count` ids each, which follow each other in `ids`."""
+        self.docs += docs
+        self.starts += (self.n + np.cumsum(count) - count).tolist()
         self.held.append(ids)
         self.n += len(ids)
         self.waiting += len(ids)
@@ -163,60 +165,98 @@ class Reader:
         return ids[at:] if hi is None else ids[at : at + hi - lo]
 
 
-class _Library:
-    """The tokenizers library over pieces; a word is given to it once while it is remembered."""
+class Library:
+    """The tokenizers library over whole texts; a piece is given to it once while it is remembered.
+
+    Pieces that begin with a space are strung together and others are parted by line feeds, since
+    the library's pattern cuts there; the bytes that ids stand for tell which ids are whose.  With a
+    tokenizer that is not a plain byte-level one, texts are not cut and each is encoded alone."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
-        from .op10_bpe import PATTERN
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.find = regex.compile(PATTERN).findall
-        self.words = Memo(self._encode, WORDS)
-        self.memo = Memo(self._join, MEMO)
-
-    def _encode(self, words: list[str]) -> list[bytes]:
-        out = []
-        for s in range(0, len(words), 1 << 14):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words[s : s + (1 << 14)], add_special_tokens=False)]
-        return out
-
-    def _join(self, pieces: list[str]) -> list[bytes]:
-        special, find = self.special, self.find
-        found = [[p] if p in special else words_of(p, find) for p in pieces]
-        known = self.words.learn(found)
-        return [known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for ws in found]
-
-    def _pieces(self, text: str) -> list[str]:
-        if self.parts and "<" in text and self.parts.search(text):
-            return [p for part in self.parts.split(text) for p in ([part] if part in self.special else atoms(part))]
-        return atoms(text)
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for part in slices(texts, 1 << 22):
-            cut = [self._pieces(t) for t in part]
-            memo = self.memo.learn(cut)
-            get = memo.__getitem__
-            for ps in cut:
-                yield np.frombuffer(b"".join(map(get, ps)), "<u4")
-
-
-_library: dict[str, _Library] = {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        first, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
+        plain = first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True) and not spec["normalizer"] and spec["model"]["type"] == "BPE"
+        self.cut = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for word, i in vocabulary.items():
+            self.size[i] = len(word)  # a letter for each byte
+        for t in added:
+            self.size[t["id"]] = len(t["content"].encode())
+        self.memo = Memo(self._fill, KNOWN)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _strung(self, pieces: pa.Array, mark: bytes) -> tuple[np.ndarray, np.ndarray] | None:
+        """(ids, how many each piece has) of pieces that are encoded together, each with `mark` behind
+        it; None if ids do not end where pieces do."""
+        if mark:
+            pieces = pc.binary_join_element_wise(pieces, pa.scalar(mark, pa.large_binary()), pa.scalar(b"", pa.large_binary()))
+        data, at = buffers(pieces)
+        ends = at[1:]
+        stops = np.unique(np.append(np.searchsorted(ends, np.arange(at[0] + TOGETHER, ends[-1], TOGETHER)), len(ends) - 1))
+        texts = [data[lo:hi].tobytes().decode() for lo, hi in itertools.pairwise([int(at[0]), *ends[stops].tolist()])]
+        ids = np.concatenate(self._ids(texts))
+        upto = at[0] + np.cumsum(self.size[ids])
+        last = np.minimum(np.searchsorted(upto, ends), len(ids) - 1)
+        if upto[-1] != ends[-1] or (upto[last] != ends).any() or (mark and (self.size[ids[last]] != len(mark)).any()):
+            return None
+        return ids, np.diff(last, prepend=-1)
+
+    def _fill(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        begin, count, parts, total = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), [], 0
+        rest = np.arange(len(pieces))
+        if self.cut:
+            data, at = buffers(pieces)
+            lo, hi = at[:-1], at[1:]
+            ends_solid = solid_before(data, hi)
+            spaced = ends_solid & (data[lo] == 32) & (hi - lo > 1) & solid_from(data, lo + 1)
+            parted = ends_solid & solid_from(data, lo)
+            rest = np.flatnonzero(~spaced & ~parted)
+            for own, mark in ((np.flatnonzero(spaced), b""), (np.flatnonzero(parted), b"\n")):
+                got = self._strung(pieces.take(pa.array(own)), mark) if len(own) else None
+                if got is None:
+                    rest = np.concatenate((rest, own))
+                    continue
+                ids, n = got
+                begin[own], count[own] = total + np.cumsum(n) - n, n - len(mark)
+                parts.append(ids)
+                total += len(ids)
+        for s in range(0, len(rest), 1 << 12):
+            own = rest[s : s + (1 << 12)]
+            got = self._ids([x.decode() for x in pieces.take(pa.array(own)).to_pylist()])
+            count[own] = n = np.array([len(x) for x in got])
+            begin[own] = total + np.cumsum(n) - n
+            parts += got
+            total += int(n.sum())
+        return np.concatenate(parts), begin, count
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts in turn, how many each has), for runs of texts of bounded size."""
+        for data, at in slices(texts):
+            if not self.cut:
+                self.memo.clear()
+            yield ids_of_texts(self.memo, data, at, self.cut, end_id)
+
+
+_library: dict[str, Library] = {}
 
 
 def _write(folder: str, vocabulary_path: str, end_id: int) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         if vocabulary_path not in _library:
             _library.clear()
-            _library[vocabulary_path] = _Library(vocabulary_path)
+            _library[vocabulary_path] = Library(vocabulary_path)
         lib, task = _library[vocabulary_path], TaskContext.get()
-        store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        end, number, writer, done = np.array([end_id], np.uint32), 0, None, []
+        store, root = store_of(folder)
+        number, writer, done = 0, None, []
 
         def finish() -> None:
             writer.close()
@@ -225,14 +265,22 @@ def _write(folder: str, vocabulary_path: str, end_id: int) -> BatchFn:
             done.append((path, task.partitionId(), number, writer.n))
 
         for b in batches:
-            for doc_id, ids in zip(b.column(0).to_pylist(), lib.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
-                if writer is None:
-                    part = f"{root}/_{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}"
-                    writer = Writer(store.open_output_stream(part))
-                writer.add(doc_id, np.concatenate((ids, end)))
-                if writer.n >= FILE_IDS:
-                    finish()
-                    writer, number = None, number + 1
+            docs, at = b.column(0).to_pylist(), 0
+            for ids, count in lib.encode(b.column(1), end_id):
+                upto = np.cumsum(count)
+                lo = 0
+                while lo < len(count):  # a file takes whole documents until it has FILE_IDS ids
+                    if writer is None:
+                        part = f"{root}/_{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}"
+                        writer = Writer(store.open_output_stream(part))
+                    first = int(upto[lo] - count[lo])
+                    hi = min(len(count), int(np.searchsorted(upto, first + FILE_IDS - writer.n)) + 1)
+                    writer.extend(docs[at + lo : at + hi], ids[first : int(upto[hi - 1])], count[lo:hi])
+                    lo = hi
+                    if writer.n >= FILE_IDS:
+                        finish()
+                        writer, number = None, number + 1
+                at += len(count)
         if writer is not None:
             finish()
         if done:
@@ -247,18 +295,20 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_
     spark = docs.sparkSession
     docs = columns_as(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     folder = new_path(spark, "tokens")
-    store, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    store, root = store_of(folder)
     store.create_dir(root, recursive=True)
     ordered = docs.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     files = staged(ordered.mapInArrow(_write(folder, vocabulary_path, end_id), "path string, task int, number int, n_ids long"), "files")
-    # one row a file of up to FILE_IDS ids: few enough for a running sum over all
-    before = F.sum("n_ids").over(Window.orderBy("task", "number").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("start", F.coalesce(before, F.lit(0)))
+    # sums by task, then within the task: a task has few files, and there are as many tasks as partitions
+    tasks = files.groupBy("task").agg(F.sum("n_ids").alias("ids"))
+    before = tasks.select(F.col("task").alias("of"), F.coalesce(F.sum("ids").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.sum("n_ids").over(Window.partitionBy("task").orderBy("number").rowsBetween(Window.unboundedPreceding, -1))
+    return files.withColumn("own", F.coalesce(own, F.lit(0))).join(before, F.col("task") == F.col("of")).select("path", "task", "number", "n_ids", (F.col("before") + F.col("own")).alias("start"))
 
 
 def _read(uri: str) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        store = fs.FileSystem.from_uri(uri)[0] if "://" in uri else fs.LocalFileSystem()
+        store, _ = store_of(uri)
         for b in batches:
             for path, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with store.open_input_file(path) as f:
@@ -272,8 +322,6 @@ def _read(uri: str) -> BatchFn:
 def read_digests(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
     spark = files.sparkSession
-    from ._shared import shared_dir
-
     dealt = files.select("path", "start").repartition(partitions(spark), "path")
     return dealt.mapInArrow(_read(shared_dir(spark)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -287,6 +335,6 @@ def write_ids(docs: list[tuple[int | None, list[int]]]) -> bytes:
     out = io.BytesIO()
     out.close, w = lambda: None, Writer(out)
     for d, ids in docs:
-        w.add(d, np.array(ids, np.uint32))
+        w.extend([d], np.array(ids, np.uint32), np.array([len(ids)]))
     w.close()
     return out.getvalue()
