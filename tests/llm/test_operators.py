@@ -474,11 +474,37 @@ def test_bpe(docs, none):
 
 def test_bpe_on_random_texts():
     r = random.Random(6)
-    letters = [*"ab é ñ\n\t 12'sll.,!ß ü漢🙂\x1c　 \r\x85​", "<|endoftext|>", "  ", "   ", "'s", " 'll", "-", "_x"]
-    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a" * 4000, " " * 500 + "x", "é" * 700]
-    _, ids = reference_ids(texts)
-    e = op10_bpe.Encoder(op10_bpe.Vocabulary(byte_bpe()), op10_bpe.Lexicon(op10_bpe.compile_lexicon([])))
-    assert [list(e.encode(t)) for t in texts] == ids
+    letters = [*"ab é ñ\n\t 12'sll.,!ß ü漢🙂\x1c　 \r\x85​", "<|endoftext|>", "  ", "   ", "'s", " 'll", "-", "_x", " the", "ing", ". "]
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(3000)] + ["a" * 4000, " " * 500 + "x", "é" * 700, "thing" * 12, ""]
+    t, ids = reference_ids(texts)
+    v = op10_bpe.Vocabulary(byte_bpe())
+    some = sorted({b" the", b"ing", b"s", b"1", b".", "é".encode()})
+    flat, begin, count = v.merge_all(pa.array(some, pa.large_binary()))
+    full = op10_bpe.compile_lexicon((w, flat[b : b + n].tolist()) for w, b, n in zip(some, begin.tolist(), count.tolist(), strict=True))
+    for blob in (op10_bpe.compile_lexicon([]), full):
+        e = op10_bpe.Encoder(v, op10_bpe.Lexicon(blob))
+        for lo in (0, 1500):  # the second half meets pieces that are remembered
+            part = texts[lo : lo + 1500] if not lo else texts[lo:]
+            got = [(a, n) for a, n in e.encode(pa.array(part))]
+            assert [x.tolist() for a, n in got for x in np.split(a, np.cumsum(n)[:-1])] == ids[lo : lo + len(part)]
+            assert [x.decode() for a, n in got for x in e.decode(a, n)] == [t.decode(i, skip_special_tokens=False) for i in ids[lo : lo + len(part)]]
+    odd = [[255 - k, 200, 50256, 64] for k in range(100)]  # ids whose bytes are no UTF-8
+    back = e.decode(np.array(sum(odd, []), np.int64), np.array([len(x) for x in odd]))
+    assert [x.decode() for x in back] == [t.decode(x, skip_special_tokens=False) for x in odd]
+
+
+def test_frequent_words_are_bounded(spark):
+    rows = [(k, " ".join(f"w{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(200) if k % (j + 1) == 0)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    times = {}
+    for _, t in rows:
+        for j, w in enumerate(t.split(" ")):
+            w = (" " + w if j else w).encode()
+            times[w] = times.get(w, 0) + bool(w)
+    for most in (0, 1, 20, 50, 10_000):
+        got = op10_bpe.frequent_words(docs, most=most)
+        assert len(got) <= most and got == sorted(set(got)) and all(times[w] > times[x] for w in got for x in set(times) - set(got) if x)
+    assert len(op10_bpe.frequent_words(docs, most=50)) > 20
 
 
 def test_library_by_pieces_is_the_library_by_texts():
@@ -522,6 +548,7 @@ def test_lexicon_shares_suffixes():
     blob = op10_bpe.compile_lexicon(entries)
     x = op10_bpe.Lexicon.mapped(blob)
     assert all(x.get(w) == ids for w, ids in entries)
+    assert x.find(pa.array([w for w, _ in entries], pa.large_binary())).tolist() == [sorted(w for w, _ in entries).index(w) for w, _ in entries]
     assert [x.get(w) for w in (b"s", b"singing", b"ringss", b"zz")] == [None] * 4
     assert len(x.final) < sum(len(w) for w, _ in entries)
 

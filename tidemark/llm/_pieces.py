@@ -102,6 +102,21 @@ def piece_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins[:-1])
 
 
+def whole_in_pieces(words: list[str]) -> bool:
+    """Whether no text is cut within one of these words."""
+    return all(w.split() == [w] and len(piece_starts(np.frombuffer(w.encode(), np.uint8), np.array([0]))) == 1 for w in words)
+
+
+def gathered(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Runs of `values`, one after the other."""
+    parts = []
+    for lo in range(0, len(begin), 1 << 20):
+        n = count[lo : lo + (1 << 20)]
+        ends = np.cumsum(n)
+        parts.append(values[np.repeat(begin[lo : lo + (1 << 20)] - ends + n, n) + np.arange(int(ends[-1]))])
+    return np.concatenate(parts) if parts else values[:0]
+
+
 def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """(different pieces, which of them each piece is)."""
     found = pc.dictionary_encode(binary(data, starts))
@@ -141,13 +156,7 @@ class Memo:
 
     def strung(self, place: np.ndarray) -> np.ndarray:
         """The ids of pieces, one after the other."""
-        parts = []
-        for lo in range(0, len(place), 1 << 20):
-            at = place[lo : lo + (1 << 20)]
-            count = self.count[at]
-            ends = np.cumsum(count)
-            parts.append(self.ids[np.repeat(self.begin[at] - ends + count, count) + np.arange(int(ends[-1]))])
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return gathered(self.ids, self.begin[place], self.count[place])
 
 
 def ids_of_texts(memo: Memo, data: np.ndarray, texts: np.ndarray, cut: bool = True, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._pieces import Memo, buffers, ids_of_texts, slices, solid_before, solid_from
+from ._pieces import Memo, buffers, ids_of_texts, slices, solid_before, solid_from, whole_in_pieces
 from ._shared import Batches, BatchFn, columns_as, new_path, partitions, shared_dir, staged, store_of
 
 MAGIC = b"TMPF1\0\0\0"
@@ -182,7 +182,7 @@ class Library:
         spec = json.loads(self.tokenizer.to_str())
         first, added = spec["pre_tokenizer"] or {}, spec["added_tokens"]
         plain = first.get("type") == "ByteLevel" and not first["add_prefix_space"] and first.get("use_regex", True) and not spec["normalizer"] and spec["model"]["type"] == "BPE"
-        self.cut = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in added)
+        self.cut = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in added) and whole_in_pieces([t["content"] for t in added])
         vocabulary = self.tokenizer.get_vocab()
         self.size = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for word, i in vocabulary.items():
