@@ -90,6 +90,26 @@ def test_exact_keeps_one_of_equal_rows(docs):
     assert kept.columns == docs.columns
 
 
+def test_only_suspects_of_exact_dedup_leave_their_tasks(spark, tmp_path):
+    rows = [(k, f"text {k if k > 40 else k % 7} of its own", 0, 0, 0, 0, 0) for k in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, _kept int, `row` int, sha int, id int, kept_id int").repartition(5).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    marked, folder, n = op01_exact_dedup.mark(docs, "doc_id", "text")
+    assert n == 400 and {r.doc_id for r in op01_exact_dedup.suspects(docs, folder, "text").collect()} == set(range(41))
+    assert {r.doc_id for r in op01_exact_dedup.suspects(docs, folder, "text", want=False).collect()} == set(range(41, 400))
+    # another order of rows than that which was marked: none that is equal to another is missed
+    again = docs.repartition(3, "doc_id")
+    assert set(range(41)) <= {r.doc_id for r in op01_exact_dedup.suspects(again, folder, "text").collect()}
+    kept = op01_exact_dedup.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(34, 400))
+
+
+def test_exact_groups_that_are_hot(docs, monkeypatch):
+    want = sorted(op01_exact_dedup.exact_groups(docs).collect(), key=str)
+    monkeypatch.setattr(op01_exact_dedup, "max", lambda *x: 1 if x[0] == 10_000 else max(*x), raising=False)
+    assert sorted(op01_exact_dedup.exact_groups(docs).collect(), key=str) == want
+
+
 def brute_spans(rows):
     seen, out = set(), {}
     for i, t in rows:

@@ -1,32 +1,36 @@
 """Exact dedup by an exchange of Golomb-coded fingerprints.
 
-Every block of documents sends the sorted fingerprints of each owner's range, Golomb
-coded, to that owner; the owner answers with one bit a fingerprint: seen elsewhere or not.
-Only documents whose bit is set, and those equal within their block, are suspects; their
-texts alone are shuffled and compared byte by byte.
+Every block of documents (a stretch of one task's rows) sends the sorted fingerprints of each
+owner's range, Golomb coded, to that owner; the owner answers with one bit a fingerprint: seen
+elsewhere or not.  Each block's bits are written beside its fingerprints.  A second scan has them
+at hand row by row, so only suspects (bit set, or equal to another of their block) leave their
+tasks; their whole texts are shuffled and grouped byte by byte.  If the second scan deals out rows
+otherwise than the first, which fingerprints tell, rows without a bit of their own are suspects.
 
 Cases: a null text counts as empty, empty texts are equal to each other.  Repeated rows
 (same id and text) are rows of one group and all are returned; rows with a null id form
 groups like any other and are never preferred to a row with an id.  An empty table gives
-an empty result.  Only the two named columns are read, so others cannot clash."""
+an empty result.  Columns of any name may stand beside the two that are read."""
 
 from __future__ import annotations
 
 import hashlib
 import math
-import string
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, staged, utf8
+from ._shared import Batches, BatchFn, columns_as, new_path, partitions, staged, store_of, utf8
 
-BLOCK_ROWS = 1 << 15
-OWNER_ROWS = 1 << 18
+BLOCK_ROWS = 1 << 17
+OWNER_ROWS = 1 << 22  # at most so many fingerprints come to an owner
+HOT = 100_000  # groups of more rows than all rows / HOT (10,000 at least) are broadcast: fewer than HOT
+NEAR = 4  # marks of 2**NEAR tasks lie in one folder
 
 
 def golomb_encode(sorted_values: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -61,12 +65,21 @@ def owner_of(fp: np.ndarray, owners: int) -> np.ndarray:
 BLOCKS = "block long, docs array<struct<doc_id: long, rank: int, sha: binary>>, packets array<struct<owner: int, first: int, n: int, k: int, unary: binary, rest: binary>>"
 DOC = pa.list_(pa.struct([("doc_id", pa.int64()), ("rank", pa.int32()), ("sha", pa.binary())]))
 PACKET = pa.list_(pa.struct([("owner", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("k", pa.int32()), ("unary", pa.binary()), ("rest", pa.binary())]))
+MARKED = "block long, docs array<struct<doc_id: long, sha: binary, suspect: boolean>>, prints binary, bits binary"
+MARK = pa.list_(pa.struct([("doc_id", pa.int64()), ("sha", pa.binary()), ("suspect", pa.bool_())]))
+
+
+def shas_of(column: pa.Array) -> list[bytes]:
+    return [hashlib.sha256(x.lower()).digest() for x in utf8(column)]  # bytes.lower changes A-Z only
+
+
+def prints_of(shas: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(s[:8] for s in shas), ">u8").astype(np.uint64)
 
 
 def _send(owners: int) -> BatchFn:
     def block(number: int, ids: list, shas: list[bytes]) -> pa.RecordBatch:
-        fp = np.frombuffer(b"".join(s[:8] for s in shas), ">u8").astype(np.uint64)
-        distinct, where, times = np.unique(fp, return_inverse=True, return_counts=True)
+        distinct, where, times = np.unique(prints_of(shas), return_inverse=True, return_counts=True)
         rank = np.where(times[where] > 1, -1 - where, where)  # below zero: equal to another of its block
         to = owner_of(distinct, owners)
         cuts = np.concatenate((np.flatnonzero(np.diff(to, prepend=np.uint64(owners))), [len(to)]))
@@ -81,7 +94,7 @@ def _send(owners: int) -> BatchFn:
         number, ids, shas = TaskContext.get().partitionId() << 32, [], []
         for b in batches:
             ids += b.column(0).to_pylist()
-            shas += [hashlib.sha256(x.lower()).digest() for x in utf8(b.column(1))]  # bytes.lower changes A-Z only
+            shas += shas_of(b.column(1))
             if len(ids) >= BLOCK_ROWS:
                 yield block(number, ids, shas)
                 number, ids, shas = number + 1, [], []
@@ -101,44 +114,101 @@ def _answer(t: pa.Table) -> pa.Table:
 
 
 def _mark(docs: pa.Table, answers: pa.Table) -> pa.Table:
-    """A block's side: which of its documents are suspects."""
-    rank = docs.column("rank").to_numpy()
+    """A block's side: which of its documents are suspects, in the order of its rows."""
+    held = docs.column("docs").combine_chunks().flatten()
+    rank, shas = held.field("rank").to_numpy(), held.field("sha")
     at = np.where(rank < 0, -1 - rank, rank)
     seen = np.zeros(int(at.max(initial=0)) + 1, bool)
     for r in answers.to_pylist():
         seen[r["first"] : r["first"] + r["n"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8))[: r["n"]]
-    return pa.table({"doc_id": docs.column("doc_id"), "sha": docs.column("sha"), "suspect": pa.array((rank < 0) | seen[at])})
+    suspect = (rank < 0) | seen[at]
+    marks = pa.StructArray.from_arrays([held.field("doc_id"), shas, pa.array(suspect)], names=["doc_id", "sha", "suspect"])
+    prints = prints_of(shas.to_pylist()).tobytes()
+    lists = pa.ListArray.from_arrays(pa.array([0, len(marks)], pa.int32()), marks)
+    return pa.table({"block": docs.column("block"), "docs": lists, "prints": pa.array([prints], pa.binary()), "bits": pa.array([np.packbits(suspect).tobytes()], pa.binary())})
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def mark(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, int]:
+    """(doc_id, sha and suspect of every row; the folder of each task's marks; the number of rows)."""
+    spark = docs.sparkSession
     docs = columns_as(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    owners = max(1, math.ceil(docs.count() / OWNER_ROWS))
+    n = docs.count()
+    owners = max(math.ceil(n / OWNER_ROWS), min(partitions(spark), math.ceil(n / 4096)), 1)
     sent = staged(docs.mapInArrow(_send(owners), BLOCKS), "blocks")
-    packets = sent.select("block", F.inline("packets"))
-    answers = packets.groupBy("owner").applyInArrow(_answer, "block long, first int, n int, bits binary")
-    marked = sent.select("block", F.inline("docs")).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_mark, "doc_id long, sha binary, suspect boolean")
-    marked = staged(marked, "marked")
-
-    suspects = marked.where("suspect").select(F.col("doc_id").alias("suspect_id")).distinct()
-    texts = docs.join(suspects, F.col("doc_id").eqNullSafe(F.col("suspect_id")), "left_semi")
-    same = texts.select("doc_id", F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase).alias("text"))
+    answers = sent.select("block", F.inline("packets")).groupBy("owner").applyInArrow(_answer, "block long, first int, n int, bits binary")
+    marked = staged(sent.select("block", "docs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_mark, MARKED), "marked")
+    folder = new_path(spark, "marks")
+    near = marked.select("block", "prints", "bits", F.shiftright("block", 32 + NEAR).alias("near"))
+    near.repartition("near").write.partitionBy("near").parquet(folder)
+    return marked.select(F.inline("docs")), folder, n
+
+
+def _with_mark(folder: str, at: int, want: bool) -> BatchFn:
+    """The rows that are suspects, or are not."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        store, root = store_of(folder)
+        task = TaskContext.get().partitionId()
+        path = f"{root}/near={task >> NEAR}"
+        prints, bits = np.zeros(0, np.uint64), np.zeros(0, bool)
+        if store.get_file_info(path).type.name == "Directory":
+            t = pq.read_table(path, columns=["block", "prints", "bits"], filesystem=store, partitioning=None, filters=[("block", ">=", task << 32), ("block", "<", (task + 1) << 32)]).sort_by("block")
+            prints = np.frombuffer(b"".join(t.column("prints").to_pylist()), np.uint64)
+            bits = np.concatenate([bits, *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(p) // 8).astype(bool) for x, p in zip(t.column("bits").to_pylist(), t.column("prints").to_pylist(), strict=True))])
+        row = 0
+        for b in batches:
+            own = prints_of(shas_of(b.column(at)))
+            suspect = np.ones(len(own), bool)
+            known = slice(row, min(row + len(own), len(prints)))
+            n = max(0, known.stop - known.start)
+            suspect[:n] = bits[known][:n] | (prints[known][:n] != own[:n])
+            row += len(own)
+            keep = suspect == want
+            if keep.any():
+                yield b.filter(pa.array(keep))
+
+    return run
+
+
+def suspects(docs: DataFrame, folder: str, text_col: str, want: bool = True) -> DataFrame:
+    """The rows of `docs` that the marks in `folder` call suspects (or, with want=False, the others)."""
+    return docs.mapInArrow(_with_mark(folder, docs.columns.index(text_col), want), docs.schema)
+
+
+def _lowered(batches: Batches) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.lower() for x in utf8(b.column(1))], pa.binary())], ["doc_id", "text"])
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+    return _groups(docs, *mark(docs, id_col, text_col), id_col, text_col)
+
+
+def _groups(docs: DataFrame, marked: DataFrame, folder: str, n: int, id_col: str, text_col: str) -> DataFrame:
+    rows = columns_as(docs, doc_id=id_col, text=text_col)
+    same = suspects(rows, folder, "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_lowered, "doc_id long, text binary")
     # equal bytes, not equal hashes, make a group: the whole text is the grouping key
     groups = same.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    groups = groups.select(F.unhex(F.sha2("text", 256)).alias("group_sha"), "keep_id", "group_size")
-    joined = marked.where("suspect").join(groups, F.col("sha") == F.col("group_sha"), "left").select("doc_id", "sha", "keep_id", "group_size")
+    groups = staged(groups.select(F.unhex(F.sha2("text", 256)).alias("group_sha"), "keep_id", "group_size"), "groups")
+    least = max(10_000, n // HOT)
+    hot = F.broadcast(groups.where(F.col("group_size") > least))  # fewer than HOT rows
+    rest = groups.where(F.col("group_size") <= least)
+    some, own = marked.where("suspect"), F.col("sha") == F.col("group_sha")
+    columns = ["doc_id", "sha", "keep_id", "group_size"]
+    joined = some.join(hot, own).select(*columns).union(some.join(hot, own, "left_anti").join(rest, own).select(*columns))
     alone = marked.where("not suspect").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     return joined.union(alone).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay: of equal texts the one with the largest id, and of equal rows one."""
-    groups = staged(exact_groups(docs, id_col, text_col), "groups")
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept"), F.col("text_sha256").alias("_sha"))
-    n = kept.agg(F.count("*"), F.count_distinct("_kept"), F.count_if(F.col("_kept").isNull())).first()
-    if n[0] == n[1]:  # ids are different, so they say which rows stay
-        return docs.join(kept.select("_kept"), docs[f"`{id_col}`"] == F.col("_kept"), "left_semi")
-    sha = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
-    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), sha.alias("_of"))
-    rows = rows.join(kept.distinct(), F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_of") == F.col("_sha")), "left_semi")
-    return rows.dropDuplicates(["_id", "_of"]).select("_row.*")
+    """The rows of `docs` that stay: of equal texts the one with the largest id, and of equal rows one.
+    Rows that are no suspects are not shuffled."""
+    marked, folder, n = mark(docs, id_col, text_col)
+    kept = _groups(docs, marked.where("suspect"), folder, n, id_col, text_col).where("kept")
+    kept = staged(kept.select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha")).distinct(), "kept")
+    held = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    again = suspects(held, folder, "text").withColumn("sha", F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)))
+    again = again.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
+    again = again.dropDuplicates(["id", "sha"]).select("row.*")
+    return suspects(docs, folder, text_col, want=False).union(again)
