@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
 import uuid
@@ -72,10 +73,31 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(f"`{col}`").alias(name) for name, col in names.items()))
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
-    as_bytes = column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary())
-    return [b"" if x is None else x for x in as_bytes.to_pylist()]
+HOT = 100_000
+
+
+def hot_from(total: int) -> int:
+    """Keys with more rows than this are hot; of `total` rows there are at most HOT such keys."""
+    return max(1_000, total // HOT)
+
+
+def join_one(rows: DataFrame, one: DataFrame, on: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` with the one row that `one` has for each key.  `weight` counts a key's rows, of `total`:
+    the rows of hot keys stay where they are and meet a broadcast of at most HOT rows, the others are
+    shuffled, so no task gets all rows of a hot key.  With how="left" rows without a partner stay."""
+    hot = F.broadcast(one.where(F.col(weight) > hot_from(total)).drop(weight))
+    rest = one.where(F.col(weight) <= hot_from(total)).drop(weight)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(rest, on, how))
+
+
+def utf8(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each string of a column; null counts as empty.  One is copied at a time."""
+    a = column.cast(pa.large_binary())
+    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1].tolist() if len(a) else [0]
+    valid = a.is_valid().to_pylist() if a.null_count else itertools.repeat(True)
+    data = memoryview(a.buffers()[2] or b"")
+    for (lo, hi), ok in zip(itertools.pairwise(offsets), valid, strict=False):
+        yield bytes(data[lo:hi]) if ok else b""
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 1 << 15) -> Iterator[pa.Table]:

@@ -1,15 +1,14 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is joins and grouped minima only.  A hub's edges meet in a join, which
-adaptive execution splits, and in a minimum, which is combined before the shuffle;
-no node's neighbours are collected."""
+Each round is joins and grouped minima only.  A minimum is combined before the shuffle, and a hub's
+edges meet its minimum by broadcast; no node's neighbours are collected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import staged
+from ._shared import join_one, staged
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -18,15 +17,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Loops, repeated and null edges are ignored; an empty table gives an empty result."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = staged(e.distinct(), "edges")
-    before = None
+    before = (e.count(), None)
     for _ in range(max_rounds):
         both = e.union(e.select("v", "u")).toDF("x", "y")
-        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m")
-        small = small.union(least.select("u", "m")).toDF("u", "v")
-        e = staged(small.where("u > v").distinct(), "edges")
+        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+        large = join_one(both, least, ["x"], "n", 2 * before[0]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_one(large, least, ["u"], "n", 2 * before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m")
+        e = staged(small.toDF("u", "v").where("u > v").distinct(), "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -41,7 +41,7 @@ from ._shared import Batches, BatchFn, columns_as, partitions, staged, utf8, who
 
 LENGTH = 100
 GRAM = 24
-PIECE = 1 << 22
+PIECE = 1 << 18
 TOGETHER = 1 << 18
 SHARD = 1 << 20
 HOT = 20_000

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, staged, utf8, whole_groups
+from ._shared import Batches, BatchFn, columns_as, join_one, staged, utf8, whole_groups
 from .buckets import GROUP, Forest, group_ids, grouped, pairs
 from .components import connected_components
 
@@ -123,12 +123,22 @@ def fingerprints(docs: DataFrame, words_each: int, id_col: str = "doc_id", text_
 def near_groups(docs: DataFrame, words_each: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id."""
     prints = staged(fingerprints(docs, words_each, id_col, text_col), "simhash")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    parts = connected_components(links(nodes, radius))
-    label = nodes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
-    smallest = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    label = staged(label.join(smallest, "component").select(F.col("fp").alias("node_fp"), "component_id"), "labels")
-    return prints.join(label, F.col("fp") == F.col("node_fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+    parts = connected_components(links(nodes.select("fp"), radius))
+    rows = labelled(prints.select("doc_id", F.col("fp").alias("node")), nodes.withColumnRenamed("fp", "node"), parts)
+    return rows.withColumnRenamed("node", "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def labelled(rows: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """`rows` (with a `node` each) and the component_id: the smallest first_id of all nodes of the
+    component.  `nodes` has node, first_id and n, the number of its rows."""
+    label = nodes.join(parts.withColumnRenamed("node", "part"), F.col("node") == F.col("part"), "left").select("node", "first_id", "n", F.coalesce("component", "node").alias("component"))
+    label = staged(label, "components")
+    total = label.agg(F.count("*"), F.sum("n")).first()
+    smallest = label.groupBy("component").agg(F.min("first_id").alias("component_id"), F.count("*").alias("many"))
+    label = join_one(label.select("node", "n", "component"), smallest, ["component"], "many", total[0])
+    label = staged(label.select("node", "component_id", "n"), "labels")
+    return join_one(rows, label, ["node"], "n", total[1] or 0)
 
 
 # ---- groups by real similarity of shingle sets
@@ -282,7 +292,7 @@ def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id",
     docs = columns_as(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words_each))
     prints = staged(docs.mapInArrow(_sets(words_each, common), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
     nodes = staged(nodes, "nodes")
 
     rows = nodes.select("node", F.explode("prefix").alias("bucket"))
@@ -296,10 +306,7 @@ def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id",
     sets = staged(texts.mapInArrow(_members(words_each), "bucket long, node long, fp binary, hashes binary"), "members")
     parts = connected_components(grouped(sets, "node", SETS).mapInArrow(_verified, "a long, b long"))
 
-    label = nodes.join(parts.withColumnRenamed("node", "part"), F.col("node") == F.col("part"), "left").select("node", "first_id", F.coalesce("component", "node").alias("component"))
-    smallest = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    label = staged(label.join(smallest, "component").select(F.col("node").alias("n"), "component_id"), "labels")
-    return prints.select("doc_id", "node").join(label, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    return labelled(prints.select("doc_id", "node"), nodes.select("node", "first_id", F.col("times").alias("n")), parts).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, new_path, partitions, shared_dir, staged, store_of, utf8
+from ._shared import Batches, BatchFn, columns_as, join_one, new_path, partitions, shared_dir, staged, store_of, utf8
 
 # fixed values: the field names of either version's record lines
 ARC_FIELDS = {
@@ -260,8 +260,8 @@ def write_archives(records: DataFrame, least: int = 0) -> DataFrame:
     known = staged(records.select("source_id", "url", "date", "content").mapInArrow(_digest, "source_id long, url string, date string, digest string, n long"), "digests")
     # null ids last: a struct's fields are compared in turn
     own = F.struct(F.col("source_id").isNull().alias("unnamed"), "source_id", "url", "date")
-    first = known.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min(own).alias("first"))
-    chosen = known.join(first, ["digest", "n"], "left").where(~F.col("first.source_id").eqNullSafe(F.col("source_id")))
+    first = staged(known.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min(own).alias("first"), F.count("*").alias("times")), "firsts")
+    chosen = join_one(known.where(F.col("n") >= least), first, ["digest", "n"], "times", known.count()).where(~F.col("first.source_id").eqNullSafe(F.col("source_id")))
     chosen = staged(chosen.select(F.col("source_id").alias("s"), F.col("digest").alias("d"), "first").distinct(), "revisits")
     with_digest = records.mapInArrow(_with_digest, RAW + ", digest string")
     rows = with_digest.join(chosen, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left").drop("s", "d")

@@ -1,11 +1,12 @@
 """Embedding near-dedup by iterative quantisation and multi-index Hamming tables.
 
-A rotation that makes sign codes balanced is learned on at most SAMPLE vectors; every vector
-is coded.  Codes are looked up in tables keyed by the label and a choice of whole blocks of
-the code: two codes that differ in at most RADIUS bits meet in at least one table.  Pairs that
-meet are reranked by the cosine of the original vectors in double precision.  A pair that
-meets in several tables counts in the first only, so links are counted in place and pairs
-are never written out: tables give each vector's number of links and a spanning forest.
+A rotation that makes sign codes balanced is learned on at most SAMPLE different vectors; every
+vector is coded.  Codes are looked up in tables keyed by the label and a choice of whole blocks of
+the code: two codes that differ in at most RADIUS bits meet in at least one table, others by
+chance.  Tables hold codes only; rows with a partner at most MOST bits away then get their
+vectors, and pairs are reranked by the cosine in double precision.  A pair that meets in several
+tables counts in the first only, so links are counted in place and pairs are never written out:
+tables give each vector's number of links and a spanning forest.
 
 Equal vectors of one label are one node with a multiplicity.  Vectors of other lengths than
 the sample's share a bucket for each label and length and are compared exactly.
@@ -25,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, staged, whole_groups
+from ._shared import Batches, BatchFn, columns_as, join_one, staged, whole_groups
 from .buckets import GROUP, Forest, group_ids, grouped, pairs
 from .components import connected_components
-from .op03_simhash import block_masks, choose_extra
+from .op03_simhash import block_masks, choose_extra, labelled
 
 SAMPLE = 20_000
 RADIUS = 7
+MOST = 3 * RADIUS
 CAP = 512
 THRESHOLD = 0.98
 ROUNDS = 50
@@ -57,41 +59,89 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits(padded, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def _vectors(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """Usable vectors as bytes with a digest; others with nulls."""
-    for b in batches:
-        keys, raw = [], []
-        for label, v in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            ok = label is not None and v and None not in v
-            x = np.asarray(v, np.float64) if ok else None
-            if ok and np.isfinite(x).all() and x.any():
-                raw.append(data := (x + 0.0).tobytes())
-                keys.append(hashlib.blake2b(data, digest_size=16).digest())
-            else:
-                raw.append(None)
-                keys.append(None)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "key", "vec"])
-
-
-def _unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _vectors(single: bool) -> BatchFn:
+    """Usable vectors as bytes, in their own precision, with a digest; others with nulls."""
+    kind = np.float32 if single else np.float64
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, raw = [], []
+            column = b.column(2)
+            values = column.flatten()
+            absent = values.is_null().to_numpy(zero_copy_only=False)
+            flat = values.fill_null(0).to_numpy(zero_copy_only=False).astype(kind) + kind(0)
+            ok = np.isfinite(flat) & ~absent
+            sizes = [0 if n is None else n for n in column.value_lengths().to_pylist()]
+            hi = 0
+            for label, n in zip(b.column(1).to_pylist(), sizes, strict=True):
+                lo, hi = hi, hi + n
+                if label is not None and n and ok[lo:hi].all() and flat[lo:hi].any():
+                    raw.append(data := flat[lo:hi].tobytes())
+                    keys.append(hashlib.blake2b(data, digest_size=16).digest())
+                else:
+                    raw.append(None)
+                    keys.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], ["vec_id", "label", "key", "vec"])
+
+    return run
+
+
+def _matrix(raw: list[bytes], single: bool) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), np.float32 if single else np.float64).reshape(len(raw), -1).astype(np.float64)
+
+
+def _unit(raw: list[bytes], single: bool) -> np.ndarray:
+    x = _matrix(raw, single)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _code(mean: np.ndarray, projection: np.ndarray) -> BatchFn:
+def _code(mean: np.ndarray, projection: np.ndarray, single: bool, beside: bool = False) -> BatchFn:
+    """The code of the first column's vectors, in its place or (beside) with it."""
+
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = b.column(0).to_pylist()
-            usual = np.array([len(r) == 8 * len(mean) for r in raw], bool)
+            usual = np.array([len(r) == (4 if single else 8) * len(mean) for r in raw], bool)
             code = np.zeros(len(raw), np.uint64)
             if usual.any():
-                code[usual] = codes(_unit([r for r, u in zip(raw, usual, strict=True) if u]), mean, projection)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(code.view(np.int64))], [*b.schema.names, "code"])
+                code[usual] = codes(_unit([r for r, u in zip(raw, usual, strict=True) if u], single), mean, projection)
+            kept = 0 if beside else 1
+            yield pa.RecordBatch.from_arrays([*b.columns[kept:], pa.array(code.view(np.int64))], [*b.schema.names[kept:], "code"])
 
     return run
 
 
-def _rerank(masks: list[int], threshold: float) -> BatchFn:
+def _first_tables(differ: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """The first table in which codes with these differing bits meet."""
+    first = np.full(len(differ), -1)
+    for k, mask in enumerate(tables):
+        first[(first < 0) & (differ & mask == 0)] = k
+    return first
+
+
+def _meeting(masks: list[int]) -> BatchFn:
+    """Rows of buckets that have a partner whose code is near and that meets them here first."""
+    tables = np.array(masks, np.uint64)
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, GROUP, 1 << 14):
+            code, at = t.column("code").to_numpy().view(np.uint64), t.column("t").to_numpy()
+            met = np.zeros(len(code), bool)
+            for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 18):
+                open_ = ~(met[i] & met[j])
+                i, j = i[open_], j[open_]
+                differ = code[i] ^ code[j]
+                near = np.bitwise_count(differ) <= MOST
+                i, j, differ = i[near], j[near], differ[near]
+                here = _first_tables(differ, tables) == at[i]
+                met[i[here]] = met[j[here]] = True
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(met)) for c in ("node", "t", "bucket")], ["node", "t", "bucket"])
+
+    return run
+
+
+def _rerank(masks: list[int], threshold: float, single: bool) -> BatchFn:
     tables = np.array(masks, np.uint64)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -101,15 +151,13 @@ def _rerank(masks: list[int], threshold: float) -> BatchFn:
             raw = t.column("vec").to_pylist()
             width = np.array([len(r) for r in raw])
             links, forest, found = np.zeros(len(ids), np.int64), Forest(len(ids)), []
-            vectors = {w: (np.cumsum(width == w) - 1, np.frombuffer(b"".join(r for r in raw if len(r) == w), np.float64).reshape(-1, w // 8)) for w in set(width.tolist())}
+            vectors = {w: (np.cumsum(width == w) - 1, _matrix([r for r in raw if len(r) == w], single)) for w in set(width.tolist())}
             norms = {w: np.sqrt(np.einsum("ij,ij->i", v, v)) for w, (_, v) in vectors.items()}
             for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 18):
                 differ = code[i] ^ code[j]
-                first = np.full(len(i), -1)
-                near = np.bitwise_count(differ) <= 3 * RADIUS
-                i, j, differ, first = i[near], j[near], differ[near], first[near]
-                for k, mask in enumerate(tables):  # the first table in which the two meet
-                    first[(first < 0) & (differ & mask == 0)] = k
+                near = np.bitwise_count(differ) <= MOST
+                i, j = i[near], j[near]
+                first = _first_tables(differ[near], tables)
                 here = (first == at[i]) & (width[i] == width[j])
                 i, j = i[here], j[here]
                 for w, (row, v) in vectors.items():
@@ -132,29 +180,40 @@ def _rerank(masks: list[int], threshold: float) -> BatchFn:
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept."""
+    single = vectors.schema[vector_col].dataType.elementType.typeName() == "float"
     rows = columns_as(vectors, vec_id=id_col, label=label_col, embedding=vector_col).select(F.col("vec_id").cast("long"), F.col("label").cast("string"), "embedding")
-    rows = staged(rows.mapInArrow(_vectors, "vec_id long, label string, key binary, vec binary"), "vectors")
+    rows = staged(rows.mapInArrow(_vectors(single), "vec_id long, label string, key binary, vec binary"), "vectors")
     used = rows.where("key is not null")
     named = used.groupBy("label", "key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("times"), F.first("vec").alias("vec"))
-    named = named.withColumn("node", F.xxhash64("label", "key"))
-    sample = [r.vec for r in used.orderBy(F.xxhash64("key")).select("vec").limit(SAMPLE).collect()]
-    usual = max({len(r) for r in sample}, key=[len(r) for r in sample].count) if sample else 8
-    x = _unit([r for r in sample if len(r) == usual]) if sample else np.eye(1)
-    mean, projection = learn_rotation(x) if len(x) > 1 else (np.zeros(usual // 8), np.eye(usual // 8)[:, :64])
-    nodes = staged(named.select("vec", "label", "key", "node", "first_id", "times").mapInArrow(_code(mean, projection), "vec binary, label string, key binary, node long, first_id long, times long, code long"), "codes")
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-    masks = block_masks(radius, choose_extra(largest, radius, 200))
+    named = staged(named.withColumn("node", F.xxhash64("label", "key")), "named")
+    sizes = named.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
+    mean, projection = _learned(named, sizes[0] or 0, single)
+    nodes = named.select("vec", "node", "label", F.length("vec").alias("size")).mapInArrow(_code(mean, projection, single), "node long, label string, size int, code long")
+    masks = block_masks(radius, choose_extra(sizes[1] or 1, radius, 200))
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    tables = nodes.select("node", "code", "times", "vec", "label", F.posexplode(F.array(*(F.lit(m) for m in signed))).alias("t", "mask"))
-    tables = tables.select("node", "code", "times", "vec", "t", F.xxhash64("t", "label", F.length("vec"), F.col("code").bitwiseAND(F.col("mask"))).alias("bucket"))
-    met = staged(grouped(tables, "node", cap).mapInArrow(_rerank(masks, threshold), "a long, b long, n long"), "links")
-
-    links = met.groupBy("a").agg(F.sum("n").alias("n"))
+    tables = nodes.select("node", "code", "label", "size", F.posexplode(F.array(*(F.lit(m) for m in signed))).alias("t", "mask"))
+    tables = tables.select("node", "code", "t", F.xxhash64("t", "label", "size", F.col("code").bitwiseAND(F.col("mask"))).alias("bucket"))
+    meeting = grouped(tables, "node", cap).mapInArrow(_meeting(masks), "node long, t int, bucket long").distinct()
+    whole = named.select("vec", "node", "times").mapInArrow(_code(mean, projection, single, beside=True), "vec binary, node long, times long, code long")
+    meeting = staged(meeting.join(whole, "node"), "meeting")
+    met = staged(grouped(meeting, "node", cap).mapInArrow(_rerank(masks, threshold, single), "a long, b long, n long"), "links")
+
+    links = met.groupBy("a").agg(F.sum("n").alias("links"))
     parts = connected_components(met.where("b is not null").select("a", "b"))
-    label = nodes.join(links, F.col("node") == F.col("a"), "left").join(parts.withColumnRenamed("node", "part_of"), F.col("node") == F.col("part_of"), "left")
-    label = staged(label.select("label", "key", "first_id", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "labels")
-    smallest = label.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    label = label.join(smallest, "component").select(F.col("label").alias("l"), F.col("key").alias("k"), "n_links", "component_id")
-    linked = used.join(label, (F.col("label") == F.col("l")) & (F.col("key") == F.col("k"))).select("vec_id", "n_links", "component_id")
+    groups = labelled(named.select("label", "key", "node", "times"), named.select("node", "first_id", F.lit(1).cast("long").alias("n")), parts)
+    label = groups.join(links, F.col("node") == F.col("a"), "left").select("label", "key", "times", "component_id", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("n_links"))
+    linked = join_one(used.select("vec_id", "label", "key"), staged(label, "labels"), ["label", "key"], "times", used.count()).select("vec_id", "n_links", "component_id")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _learned(named: DataFrame, n: int, single: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The rotation, from the SAMPLE different vectors of least hash; a bound on the hash lets few more
+    than those leave their partitions."""
+    h = F.pmod(F.xxhash64("key", F.lit(SAMPLE)), F.lit(1 << 30))
+    bound = int((1 << 30) * min(1.0, 1.2 * SAMPLE / max(n, 1)))
+    sample = [r.vec for r in named.where(h < bound).orderBy(h, "key").select("vec").limit(SAMPLE).collect()]
+    size = 4 if single else 8
+    usual = max({len(r) for r in sample}, key=[len(r) for r in sample].count) if sample else size
+    x = _unit([r for r in sample if len(r) == usual], single) if sample else np.eye(1)
+    return learn_rotation(x) if len(x) > 1 else (np.zeros(usual // size), np.eye(usual // size)[:, :64])
