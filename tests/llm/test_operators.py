@@ -18,6 +18,10 @@ from tidemark.llm.components import connected_components
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, block int, node string, `group` string, _row int"
 
 
+def shared_path(spark):
+    return _shared.new_path(spark, "test")
+
+
 def words(r, n):
     return " ".join("".join(r.choice("abcdeéß") for _ in range(r.randint(1, 6))) for _ in range(n))
 
@@ -232,9 +236,32 @@ def test_near_copies_go_and_others_stay(spark):
         c = list(b)
         c[100] = "changed"
         rows.append((10 + k, " ".join(c)))
-    rows += [(50, None), (None, "x y z")]
-    kept = op03_simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 4, 5, 50, None}
+    rows += [(50, None), (None, "x y z"), (12, "another text of the same id " + " ".join(base[2][:9]))]
+    docs = spark.createDataFrame([(*x, 1, 2, 3, 4, 5) for x in rows], "doc_id long, text string, _gone int, `row` int, id int, of int, own int")
+    kept = op03_simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 12, 50, None} and [r.text[:7] for r in got if r.doc_id == 12] == ["another"]
+    assert op03_simhash.keep_one_of_each(docs.limit(0)).count() == 0
+
+
+def test_shared_prefixes_meet(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(k, r.integers(0, 4000, n).tolist() if k % 9 else []) for k, n in enumerate(r.integers(0, 40, 300))]
+    rows = [(k, sorted(set(x))) for k, x in rows]
+    spark.createDataFrame(rows, "node long, prefix array<long>").repartition(3, "node").write.parquet(path := str(shared_path(spark)))
+    times = {}
+    for _, x in rows:
+        for h in x:
+            times[h] = times.get(h, 0) + 1
+    want = {(k, h) for k, x in rows for h in x if times[h] > 1}
+    df = spark.read.parquet(path)
+    assert {(m.node, m.bucket) for m in op03_simhash.meeting(df).collect()} == want
+    # rows that are dealt out anew after they were sent: none that is shared is missed
+    write = op03_simhash.write_marks
+    monkeypatch.setattr(op03_simhash, "write_marks", lambda marks: write(marks.withColumn("check", F.col("check") + 1)))
+    assert want <= {(m.node, m.bucket) for m in op03_simhash.meeting(df).collect()}
+    assert op03_simhash.meeting(df.limit(0)).count() == 0
 
 
 def test_similar_groups_are_those_of_brute_force(spark):
@@ -343,6 +370,43 @@ def test_gradient():
     assert abs(slope(x, (3, 1, 4)) - dx[3, 1, 4]) < 1e-6
 
 
+def test_scorer_gives_what_the_network_gives():
+    r = random.Random(12)
+    texts = [words(r, n) for n in (0, 1, 5, 47, 48, 49, 130, 700)] + ["grobble " * 60, "!!! ... ¿", "é" * 3000]
+    net = op06_toxicity.Network(3)
+    for k in ("word", "gram"):
+        net.p[k] *= 20
+    got = op06_toxicity.Scorer(net.frozen()).scores(texts)
+    want = []
+    for t in texts:
+        w, logits = t.split(), []
+        for s in op06_toxicity.window_starts(len(w)):
+            own = w[s : s + op06_toxicity.WINDOW]
+            x, mask = np.zeros((op06_toxicity.WINDOW, 1, 2 * op06_toxicity.WIDTH)), np.zeros((op06_toxicity.WINDOW, 1))
+            if own:
+                x[: len(own), 0] = net.embed(own)
+                mask[: len(own)] = 1
+            logits.append(net.forward(x, mask)[0][0])
+        want.append(1 / (1 + np.exp(-max(logits))))
+    assert np.allclose(got, want, atol=1e-4) and np.ptp(want) > 0.01
+
+
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(k, ("snerk " if k % 2 else "") + words(r, 300 if k % 5 == 0 else 20), "x") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    labels = spark.createDataFrame([(k, k % 2, 1) for k in range(200)] + [(3, 7, 1), (None, 1, 1)], "doc_id long, toxic int, text int")
+    seen = []
+    monkeypatch.setattr(op06_toxicity, "TRAIN_CHARS", 1500)
+    monkeypatch.setattr(op06_toxicity.Network, "train", lambda self, texts, toxic: seen.append((texts, toxic)))
+    op06_toxicity.train(docs, labels)
+    texts, toxic = seen[0]
+    for y in (0, 1):
+        assert 700 < sum(len(t) for t, z in zip(texts, toxic, strict=True) if z == y) <= 1500
+    parameters = op06_toxicity.Network().frozen()
+    assert op06_toxicity.reject(docs, parameters).columns == docs.columns
+
+
 def test_toxicity_by_held_out_labels(spark):
     r = random.Random(3)
     bad = ["grobble", "snerk", "fluzz"]

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import Batches, BatchFn, columns_as, new_path, partitions, staged, store_of, utf8
@@ -69,6 +69,43 @@ MARKED = "block long, docs array<struct<doc_id: long, sha: binary, suspect: bool
 MARK = pa.list_(pa.struct([("doc_id", pa.int64()), ("sha", pa.binary()), ("suspect", pa.bool_())]))
 
 
+def packets_of(distinct: np.ndarray, owners: int) -> list[dict]:
+    """Each owner's part of ascending fingerprints, coded; `first` is where it begins."""
+    to = owner_of(distinct, owners)
+    cuts = np.concatenate((np.flatnonzero(np.diff(to, prepend=np.uint64(owners))), [len(to)]))
+    packets = []
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        k, unary, rest = golomb_encode(distinct[lo:hi])
+        packets.append({"owner": int(to[lo]), "first": lo, "n": hi - lo, "k": k, "unary": unary, "rest": rest})
+    return packets
+
+
+def own_marks(folder: str, columns: list[str]) -> pa.Table | None:
+    """The rows that were written for blocks of this task, from a folder of write_marks()."""
+    store, root = store_of(folder)
+    task = TaskContext.get().partitionId()
+    path = f"{root}/near={task >> NEAR}"
+    if store.get_file_info(path).type.name != "Directory":
+        return None
+    return pq.read_table(path, columns=columns, filesystem=store, partitioning=None, filters=[("block", ">=", task << 32), ("block", "<", (task + 1) << 32)]).sort_by("block")
+
+
+def write_marks(marks: DataFrame) -> str:
+    """Writes rows about blocks where their tasks find them; returns the folder."""
+    folder = new_path(marks.sparkSession, "marks")
+    marks.withColumn("near", F.shiftright("block", 32 + NEAR)).repartition("near").write.partitionBy("near").parquet(folder)
+    return folder
+
+
+def answers_of(packets: DataFrame) -> DataFrame:
+    """block, first, n and bits: which of the packets' fingerprints other packets have too."""
+    return packets.groupBy("owner").applyInArrow(_answer, "block long, first int, n int, bits binary")
+
+
+def owners_for(n: int, spark: SparkSession) -> int:
+    return max(math.ceil(n / OWNER_ROWS), min(partitions(spark), math.ceil(n / 4096)), 1)
+
+
 def shas_of(column: pa.Array) -> list[bytes]:
     return [hashlib.sha256(x.lower()).digest() for x in utf8(column)]  # bytes.lower changes A-Z only
 
@@ -81,12 +118,7 @@ def _send(owners: int) -> BatchFn:
     def block(number: int, ids: list, shas: list[bytes]) -> pa.RecordBatch:
         distinct, where, times = np.unique(prints_of(shas), return_inverse=True, return_counts=True)
         rank = np.where(times[where] > 1, -1 - where, where)  # below zero: equal to another of its block
-        to = owner_of(distinct, owners)
-        cuts = np.concatenate((np.flatnonzero(np.diff(to, prepend=np.uint64(owners))), [len(to)]))
-        packets = []
-        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            k, unary, rest = golomb_encode(distinct[lo:hi])
-            packets.append({"owner": int(to[lo]), "first": lo, "n": hi - lo, "k": k, "unary": unary, "rest": rest})
+        packets = packets_of(distinct, owners)
         docs = [{"doc_id": i, "rank": r, "sha": s} for i, r, s in zip(ids, rank.tolist(), shas, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], DOC), pa.array([packets], PACKET)], ["block", "docs", "packets"])
 
@@ -133,26 +165,18 @@ def mark(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str, i
     spark = docs.sparkSession
     docs = columns_as(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     n = docs.count()
-    owners = max(math.ceil(n / OWNER_ROWS), min(partitions(spark), math.ceil(n / 4096)), 1)
-    sent = staged(docs.mapInArrow(_send(owners), BLOCKS), "blocks")
-    answers = sent.select("block", F.inline("packets")).groupBy("owner").applyInArrow(_answer, "block long, first int, n int, bits binary")
+    sent = staged(docs.mapInArrow(_send(owners_for(n, spark)), BLOCKS), "blocks")
+    answers = answers_of(sent.select("block", F.inline("packets")))
     marked = staged(sent.select("block", "docs").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_mark, MARKED), "marked")
-    folder = new_path(spark, "marks")
-    near = marked.select("block", "prints", "bits", F.shiftright("block", 32 + NEAR).alias("near"))
-    near.repartition("near").write.partitionBy("near").parquet(folder)
-    return marked.select(F.inline("docs")), folder, n
+    return marked.select(F.inline("docs")), write_marks(marked.select("block", "prints", "bits")), n
 
 
 def _with_mark(folder: str, at: int, want: bool) -> BatchFn:
     """The rows that are suspects, or are not."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        store, root = store_of(folder)
-        task = TaskContext.get().partitionId()
-        path = f"{root}/near={task >> NEAR}"
         prints, bits = np.zeros(0, np.uint64), np.zeros(0, bool)
-        if store.get_file_info(path).type.name == "Directory":
-            t = pq.read_table(path, columns=["block", "prints", "bits"], filesystem=store, partitioning=None, filters=[("block", ">=", task << 32), ("block", "<", (task + 1) << 32)]).sort_by("block")
+        if (t := own_marks(folder, ["block", "prints", "bits"])) is not None:
             prints = np.frombuffer(b"".join(t.column("prints").to_pylist()), np.uint64)
             bits = np.concatenate([bits, *(np.unpackbits(np.frombuffer(x, np.uint8), count=len(p) // 8).astype(bool) for x, p in zip(t.column("bits").to_pylist(), t.column("prints").to_pylist(), strict=True))])
         row = 0

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import Batches, BatchFn, columns_as, partitions, staged, utf8, whole_groups
+from .bitmaps import bitmap, has
 
 LENGTH = 100
 GRAM = 24
@@ -45,7 +46,6 @@ PIECE = 1 << 18
 TOGETHER = 1 << 18
 SHARD = 1 << 20
 HOT = 20_000
-WORDS = 1 << 20  # of 64 bits, in each bitmap
 
 
 # ---- anchors and segments
@@ -168,22 +168,7 @@ def _segments(bitmap) -> BatchFn:
     return run
 
 
-# ---- bitmaps of fixed size
-
-def has(words: np.ndarray, h: np.ndarray) -> np.ndarray:
-    h = h.view(np.uint64)
-    return (words[(h % np.uint64(WORDS)).astype(np.int64)] >> (h >> np.uint64(58))) & np.uint64(1) > 0
-
-
-def bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bit for each hash; at most WORDS rows come to the driver, whatever the input."""
-    u = F.col(column)
-    word = F.pmod(u, F.lit(WORDS))
-    rows = hashes.select(word.alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, 58) as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(WORDS, np.int64)
-    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
-    return out.view(np.uint64)
-
+# ---- documents by bitmap
 
 def _with_bit(words, want: bool) -> BatchFn:
     """Documents of which the bitmap has (or has not) the key."""

@@ -20,12 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import Batches, BatchFn, columns_as, join_one, staged, utf8, whole_groups
+from .bitmaps import bitmap, has, with_bit
 from .buckets import GROUP, Forest, group_ids, grouped, pairs
 from .components import connected_components
+from .op01_exact_dedup import PACKET, answers_of, own_marks, owners_for, packets_of, write_marks
 
 SEED = 42
 PIECE = 1 << 16
@@ -146,8 +149,9 @@ def labelled(rows: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
 WIDE = 4  # 64-bit words of a wide fingerprint
 LIMIT = 69  # of 256 bits: a Jaccard similarity of 0.8 has 39 that differ, give or take 6
 LEAST = 64  # sets of fewer shingles are not judged by their fingerprints, which scatter more
-SAMPLE = 20_000  # documents from which common shingles are learnt, and how many of those are
+SAMPLE = 5_000  # documents from which common shingles are learnt, and how many of those are
 COMMON = 200_000
+BLOCK_HASHES = 1 << 19  # of prefixes, in a block
 SETS = 256  # sets of one candidate group that are compared in one task, twice
 
 
@@ -210,26 +214,101 @@ def _sets(words_each: int, common) -> BatchFn:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
                 sets = [shingle_set(x, words_each) for x in utf8(part.column(1))]
-                node = [xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63) for h in sets]
+                node = list(map(node_of, sets))
                 first = [prefix(h, *common.value).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(wide_simhash, sets), pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "th", "node", "n", "fp", "prefix"])
 
     return run
 
 
-def _members(words_each: int) -> BatchFn:
-    """The sets themselves, for the nodes that have a candidate."""
+def _members(words_each: int, asked) -> BatchFn:
+    """The sets of documents of which the bitmap has the key."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
-                sets = [shingle_set(x, words_each) for x in utf8(part.column(3))]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([h.tobytes() for h in sets], pa.binary())], ["bucket", "node", "fp", "hashes"])
+            own = b.filter(pa.array(has(asked.value, b.column(0).to_numpy())))
+            for lo in range(0, own.num_rows, 1024):
+                sets = [shingle_set(x, words_each) for x in utf8(own.column(1).slice(lo, 1024))]
+                yield pa.RecordBatch.from_arrays([pa.array(map(node_of, sets), pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "hashes"])
+
+    return run
+
+
+def node_of(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
+
+
+# Which prefix hashes occur in several rows: the exchange of compressed fingerprints of exact dedup.
+
+def _blocks(batches: Batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(number, node of each hash, different hashes, which of them each is, how often each occurs, check)
+    of blocks of whole rows; where rows are cut into blocks does not depend on batches."""
+    number, nodes, lists, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def block() -> tuple:
+        h = np.concatenate(lists)
+        distinct, where, times = np.unique(h.view(np.uint64), return_inverse=True, return_counts=True)
+        return number, np.repeat(np.array(nodes, np.int64), [len(x) for x in lists]), distinct, where, times, xxhash.xxh64_intdigest(h.tobytes()) >> 1
+
+    for b in batches:
+        prefixes = b.column(1)
+        values, cuts = prefixes.flatten().to_numpy(), np.concatenate(([0], np.cumsum(prefixes.value_lengths().to_numpy()))).tolist()
+        for node, (lo, hi) in zip(b.column(0).to_pylist(), itertools.pairwise(cuts), strict=True):
+            if lo == hi:
+                continue
+            nodes.append(node)
+            lists.append(values[lo:hi].copy())
+            held += hi - lo
+            if held >= BLOCK_HASHES:
+                yield block()
+                number, nodes, lists, held = number + 1, [], [], 0
+    if lists:
+        yield block()
+
+
+def _sent(owners: int) -> BatchFn:
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for number, _, distinct, _, _, check in _blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([check], pa.int64()), pa.array([packets_of(distinct, owners)], PACKET)], ["block", "check", "packets"])
+
+    return run
+
+
+def _meet(folder: str) -> BatchFn:
+    """(node, bucket) of each hash that another row has too.  If a block is not the one that was sent,
+    all its hashes are taken to be shared."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        checks, answers = {}, {}
+        if (t := own_marks(folder, ["block", "first", "n", "bits", "check"])) is not None:
+            for r in t.to_pylist():
+                if r["check"] is not None:
+                    checks[r["block"]] = r["check"]
+                else:
+                    answers.setdefault(r["block"], []).append(r)
+        for number, nodes, distinct, where, times, check in _blocks(batches):
+            shared = times > 1
+            for r in answers.pop(number, []) if checks.get(number) == check else []:
+                shared[r["first"] : r["first"] + r["n"]] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool)
+            if checks.get(number) != check:
+                shared[:] = True
+            keep = shared[where]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(distinct[where[keep]].view(np.int64))], ["node", "bucket"])
 
     return run
 
 
+def meeting(rows: DataFrame) -> DataFrame:
+    """(node, bucket) of rows (node, prefix) that share a hash of their prefix with another row.  Hashes
+    are sent compressed to the owners of their ranges, which send back a bit for each."""
+    spark = rows.sparkSession
+    n = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    sent = staged(rows.mapInArrow(_sent(owners_for(n, spark)), "block long, check long, packets array<struct<owner: int, first: int, n: int, k: int, unary: binary, rest: binary>>"), "blocks")
+    answers = answers_of(sent.select("block", F.inline("packets"))).withColumn("check", F.lit(None).cast("long"))
+    checks = sent.select("block", F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("bits"), "check")
+    return rows.mapInArrow(_meet(write_marks(answers.union(checks))), "node long, bucket long")
+
+
 def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose sizes and fingerprints allow a similarity of 0.8."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -283,7 +362,12 @@ def _verified(batches: Batches) -> Iterator[pa.RecordBatch]:
 
 def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id over links of documents whose sets of shingles have a Jaccard similarity
-    of at least 0.8.
+    of at least 0.8.  Texts without a shingle have one empty set and are a group."""
+    return _similar(docs, words_each, id_col, text_col).select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, th (the text's hash), component_id.
 
     Sets that share one of their rarest shingles (see prefix()) meet, which all such pairs do.  If
     sizes and 256-bit fingerprints allow it, they become candidates; components of candidates hold
@@ -295,21 +379,27 @@ def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id",
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
     nodes = staged(nodes, "nodes")
 
-    rows = nodes.select("node", F.explode("prefix").alias("bucket"))
-    shared = rows.groupBy("bucket").count().where("count > 1").select("bucket")
-    rows = staged(rows.join(shared, "bucket").join(nodes.select("node", "n", "fp"), "node"), "meeting")
+    met = staged(meeting(nodes.select("node", "prefix")), "meeting")
+    rows = staged(met.join(nodes.select("node", "n", "fp"), "node"), "candidates")
     loose = connected_components(grouped(rows, "node", CAP).mapInArrow(_candidates, "a long, b long")).withColumnRenamed("node", "part")
 
-    # the text of one document for each set that has a candidate
-    chosen = nodes.join(loose, F.col("node") == F.col("part")).select("component", "node", "fp", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"))
-    texts = docs.join(chosen, (F.col("th") == F.col("one_th")) & F.col("doc_id").eqNullSafe(F.col("one_id"))).select("component", "node", "fp", "text")
-    sets = staged(texts.mapInArrow(_members(words_each), "bucket long, node long, fp binary, hashes binary"), "members")
+    # the set of one document for each node that has a candidate: a bitmap says which documents to read
+    chosen = staged(nodes.join(loose, F.col("node") == F.col("part")).select(F.col("component").alias("bucket"), "node", "fp", F.xxhash64("one.doc_id", "one.th").alias("key")), "chosen")
+    asked = spark.sparkContext.broadcast(bitmap(chosen, "key"))
+    found = docs.select(F.xxhash64("doc_id", "th").alias("key"), "text").mapInArrow(_members(words_each, asked), "node long, hashes binary")
+    sets = staged(found.join(chosen.select("bucket", "node", "fp"), "node").select("bucket", "node", "fp", "hashes"), "members")
     parts = connected_components(grouped(sets, "node", SETS).mapInArrow(_verified, "a long, b long"))
 
-    return labelled(prints.select("doc_id", "node"), nodes.select("node", "first_id", F.col("times").alias("n")), parts).select("doc_id", "component_id")
+    return labelled(prints.select("doc_id", "th", "node"), nodes.select("node", "first_id", F.col("times").alias("n")), parts).select("doc_id", "th", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with the smallest id of their group.  Rows with a null id stay."""
-    gone = staged(similar_groups(docs, words_each, id_col, text_col).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).where("_gone is not null").distinct(), "gone")
-    return docs.join(gone, docs[f"`{id_col}`"] == F.col("_gone"), "left_anti")
+    """The rows of `docs` with the smallest id of their group; a text goes by its id and its hash, so
+    another text with the same id is judged by its own group.  Rows with a null id stay."""
+    gone = _similar(docs, words_each, id_col, text_col).where("doc_id is not null and not (doc_id <=> component_id)")
+    gone = staged(gone.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("key")).distinct(), "gone")
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap(gone, "key"))
+    own = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(f"`{text_col}`")]
+    held = docs.select(F.struct("*").alias("row"), *(c.alias(name) for c, name in zip(own, ("id", "of"), strict=True)), F.xxhash64(*own).alias("own"))
+    some = with_bit(held, "own", asked, True).join(gone, (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("th")), "left_anti")
+    return with_bit(held, "own", asked, False).union(some).select("row.*")

@@ -4,15 +4,17 @@ Each word's input is an embedding of the word and the scaled sum of the embeddin
 character n-grams, both from hashed tables.  Two GRUs read each window of words, one each way; attention
 weighs the words' states and a logistic unit scores their mean.  A document's score is that of
 its most toxic window.  The network is trained here, in numpy, on at most SAMPLE_TOXIC +
-SAMPLE_CLEAN labelled documents; a toxic document teaches by the window that scores highest,
+SAMPLE_CLEAN labelled documents, of TRAIN_CHARS characters of each kind together; a toxic document teaches by the window that scores highest,
 a clean one by that and a random one.
 
 Windows overlap and cover every word of every text; a text shorter than a window is one window.
 
 Cases: null and empty texts have the score of a window without words; texts of any length are
-scored whole; repeated rows are each returned; a null id is not held out.  Without labels of both
+scored whole; repeated rows are each returned; a null id is not held out.  Labels other than 0 and 1
+teach nothing; of different labels of one id the larger counts.  Without labels of both
 kinds the score is the share of toxic labels, or 0.  An empty table gives an empty result.
-Only the named columns are read, and labels only of documents that are not held out."""
+Columns of any name may stand beside those named; labels are read only of documents that are not
+held out."""
 
 from __future__ import annotations
 
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as
+from ._shared import Batches, BatchFn, columns_as, staged
 
 WINDOW, STRIDE = 48, 32
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
+TRAIN_CHARS = 1 << 23
 BUCKETS = 1 << 15
 WIDTH, HIDDEN = 6, 8
 GRAMS = (3, 4, 5)
@@ -350,12 +353,27 @@ class Scorer:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> dict:
     """The network's parameters, from a bounded sample of documents that are not held out."""
-    docs = columns_as(docs, doc_id=id_col, text=text_col)
+    docs = columns_as(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     labels = columns_as(labels, doc_id=label_id, toxic=label_col).where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    kind = lambda y, n: labels.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = kind(1, SAMPLE_TOXIC).union(kind(0, SAMPLE_CLEAN))  # at most the two bounds' rows
-    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()
+    labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    labels = staged(labels, "labels")
+    many = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+
+    def kind(toxic: int, n: int) -> DataFrame:
+        """The n labels of least hash; a bound on the hash lets few more leave their partitions."""
+        bound = int((1 << 30) * min(1.0, (1.2 * n + 100) / max(1, many.get(toxic, 0))))
+        return labels.where((F.col("toxic") == toxic) & (order <= bound)).orderBy(order, "doc_id").limit(n)
+
+    chosen = staged(kind(1, SAMPLE_TOXIC).union(kind(0, SAMPLE_CLEAN)), "chosen")  # at most the two bounds' rows
+    sizes = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.length(F.coalesce("text", F.lit("")))).alias("n"), F.first(order).alias("h"))
+    taken, room = [], {0: TRAIN_CHARS, 1: TRAIN_CHARS}
+    for r in sorted(sizes.collect(), key=lambda r: (r.h, r.doc_id)):
+        if r.n <= room[int(r.toxic)]:  # one that does not fit is passed over
+            room[int(r.toxic)] -= r.n
+            taken.append((r.doc_id, int(r.toxic)))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int"))
+    rows = docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     net = Network()
     net.train([r.text for r in rows], [int(r.toxic) for r in rows])
@@ -396,7 +414,8 @@ class _Shared:
 
 
 def reject(docs: DataFrame, parameters: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose text scores below `threshold`."""
+    """The rows of `docs`, with all columns, whose text scores below `threshold`; null and empty texts
+    have the score of no words, equal rows go or stay together."""
     shared = _Shared(docs.sparkSession.sparkContext.broadcast(parameters))
     at = docs.columns.index(text_col)
 
