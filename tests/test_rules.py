@@ -123,10 +123,17 @@ def test_starters():
     assert [round(x, 1) for x in got.values()] == [22.2, 29.4, 42.6, 13.8]
 
 
-def test_global_rank_equals_row_number(spark):
-    rows = spark.range(500).select(F.col("id"), (F.col("id") * 7919 % 101).cast("double").alias("v"))
-    got = [r.id for r in ranking.global_rank(rows, "v", "id", buckets=16).orderBy("rank").collect()]
+def test_ranks_equal_row_number(spark):
+    rows = spark.range(500).select(F.col("id"), (F.col("id") * 7919 % 101).cast("double").alias("v"), F.when(F.col("id") % 10 > 2, "a").when(F.col("id") % 10 > 0, "b").alias("g"))
+    rows = rows.union(spark.sql("SELECT id + 500, 7.0D, 'a' FROM range(200)"))  # many with one score
+    got = [r.id for r in ranking.ranked(rows, "v", "id").orderBy("rank").collect()]
     assert got == [r.id for r in rows.orderBy(F.desc("v"), "id").collect()]
+    within = ranking.ranked(rows, "v", "id", by="g", out="place")
+    assert within.columns == ["id", "v", "g", "place"]
+    for g in ("a", "b", None):
+        one = within.where(F.col("g").eqNullSafe(F.lit(g))).orderBy("place").collect()
+        assert [r.place for r in one] == list(range(1, len(one) + 1)) and [(-r.v, r.id) for r in one] == sorted((-r.v, r.id) for r in one)
+    assert ranking.ranked(rows.limit(0), "v", "id").count() == 0
 
 
 def test_unique_cascade_falls_through(spark):

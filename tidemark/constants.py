@@ -9,8 +9,11 @@ ERA_ENDS = (2004, 2014, 2019)
 # career neighbours
 CAREER_WEIGHTS = (2.0, 1.5, 1.0, 3.0, 4.0, 3.0, 0.8, 0.2, 0.3, 0.5, 5.0)
 CAREER_SCALE, ROOKIE_SCALE = 20.0, 15.0
-ROOKIE_WEIGHTS = (8.0, 0.1, 0.0005, 0.003, 0.003, 0.2, 0.3, 0.3, 0.1, 20.0, 0.0)
-NEIGHBOURS = 25
+ROOKIE_WEIGHTS = {"rate": 8.0, "played": 0.1, "passing_yards_pg": 0.0005, "rushing_yards_pg": 0.003, "receiving_yards_pg": 0.003, "passing_tds_pg": 0.2, "rushing_tds_pg": 0.3, "receiving_tds_pg": 0.3, "completion_rate": 0.1, "age": 20.0}
+NEIGHBOURS, ROOKIE_NEIGHBOURS = 25, 20
+LIMITED_GAMES, ROOKIE_FULL_GAMES, ROOKIE_FLOOR, ROOKIE_COMPS_SHARE = 10, 8.0, 0.35, 0.70
+ROOKIE_CAREER = (8.0, 0.80)
+ROOKIE_CAREERS = {"QB": (8.0, 0.72), "RB": (8.5, 0.85), "WR": (9.5, 0.85), "TE": (9.0, 0.85)}
 DISCOUNT = 0.05
 OLD_HAIRCUT = 0.9
 POSITION_BARS = {"QB": 18.0, "RB": 15.0, "WR": 16.0, "TE": 12.0}

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import NAME_SUFFIXES
 
 _TAIL = "|".join(NAME_SUFFIXES)
-# fixed values: Latin letters with marks, and the letters below them
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+def plain(s: str) -> str:
+    """Compatibility forms decomposed, marks dropped."""
+    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
 def fold(x: Column) -> Column:
-    """Latin letters without their marks, in the JVM."""
-    return F.translate(x, MARKED, PLAIN)
+    """Letters without their marks.  Spark has no normal forms, so this is done in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def folded(v: pd.Series) -> pd.Series:
+        return v.map(plain, na_action="ignore")
+
+    return folded(x)
 
 
 def _squeeze(x: Column) -> Column:
@@ -23,14 +33,14 @@ def _squeeze(x: Column) -> Column:
 
 
 def identity_name(x: Column) -> Column:
-    """1: folded, lower case, all suffixes and dots gone; null if nothing is left."""
-    y = _squeeze(F.regexp_replace(F.lower(fold(x)), r"\.", ""))
-    return F.nullif(F.regexp_replace(y, rf"( ({_TAIL}))+$", ""), F.lit(""))
+    """1: folded, lower case, all suffixes (after a comma or space) and then dots gone; null if nothing is left."""
+    y = F.regexp_replace(F.trim(F.regexp_replace(F.lower(fold(x)), r"\s+", " ")), rf"((,\s*|\s+)({_TAIL})\.?)+$", "")
+    return F.nullif(_squeeze(F.regexp_replace(y, r"\.", "")), F.lit(""))
 
 
 def compact_name(x: Column) -> Column:
     """2: folded, one suffix gone, only letters and digits."""
-    y = F.regexp_replace(F.lower(fold(x)), rf"[ ]({_TAIL})\.?$", "")
+    y = F.regexp_replace(F.trim(F.lower(fold(x))), rf"\s+({_TAIL})\.?$", "")
     return F.regexp_replace(y, "[^a-z0-9]", "")
 
 

@@ -42,9 +42,9 @@ def late_breakout(age: Column) -> Column:
     return F.when(age.isNull() | (age <= 22), 1.0).when(age == 23, 0.95).when(age == 24, 0.88).otherwise(0.80)
 
 
-def upper_median_of_best(rows: DataFrame, key: str, value: str, n: int = 50) -> DataFrame:
+def upper_median_of_best(rows: DataFrame, key: str, value: str, n: int = 50, tie: str | None = None) -> DataFrame:
     """Per key, of the n largest values the one at place floor(n / 2): not the mean of two."""
-    order = Window.partitionBy(key).orderBy(F.desc(value))
+    order = Window.partitionBy(key).orderBy(F.desc(value), *([tie] if tie else []))
     top = rows.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= n)
     sizes = top.groupBy(key).agg((F.floor(F.count("*") / 2) + 1).alias("at"))
     return top.join(sizes, key).where(F.col("rn") == F.col("at")).select(key, F.col(value).alias("baseline"))

@@ -6,40 +6,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import tier
+from ..staging import staged
 
 
 def ranked(rows: DataFrame, score: str, tie: str, by: str | None = None, out: str = "rank", tiers: bool = False) -> DataFrame:
-    """Ranks from 1 by falling score.  Over all rows the order is global, so ranks come from each
-    range's offset; within `by` from a window."""
-    if by is not None:
-        w = Window.partitionBy(by).orderBy(F.desc(score), tie)
-        ranked_rows = rows.withColumn(out, F.row_number().over(w))
-    else:
-        ranked_rows = global_rank(rows, score, tie, out)
-    return ranked_rows.withColumn("tier", tier(out)) if tiers else ranked_rows
-
-
-def global_rank(rows: DataFrame, score: str, tie: str, out: str = "rank", buckets: int = 1024) -> DataFrame:
-    """row_number() over all rows without one task for all: scores are cut into buckets at sampled
-    quantiles, ranked within, and lifted by the sizes of the buckets above."""
-    cuts = rows.approxQuantile(score, [k / buckets for k in range(1, buckets)], 0.001)
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c < F.col(score))) if cuts else F.lit(0)
-    b = rows.withColumn("_b", bucket)
-    sizes = b.groupBy("_b").count()  # at most `buckets` rows
-    above = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    lifts = sizes.select("_b", F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_lift"))
-    w = Window.partitionBy("_b").orderBy(F.desc(score), tie)
-    return b.withColumn("_rn", F.row_number().over(w)).join(F.broadcast(lifts), "_b").withColumn(out, F.col("_rn") + F.col("_lift")).drop("_b", "_rn", "_lift")
+    """Ranks from 1 by falling score, over all rows or within `by`.
+
+    Rows are dealt out by ranges of (by, score, tie), so neither a group nor many equal scores must
+    fit one task; a row's rank is its place in its range and the size of its group's ranges above."""
+    spark, keys = rows.sparkSession, [by] if by else []
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [*keys, F.desc(score), tie]
+    r = staged(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    above = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = r.groupBy(*keys, "_p").count()  # one row a range, and one more for each group
+    lifts = sizes.select(*(F.col(k).alias("_by") for k in keys), F.col("_p").alias("_q"), F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_lift"))
+    same = F.col("_p") == F.col("_q")
+    same = same & F.col(by).eqNullSafe(F.col("_by")) if by else same
+    own = Window.partitionBy(*keys, "_p").orderBy(F.desc(score), tie)
+    out_rows = r.withColumn("_rn", F.row_number().over(own)).join(lifts, same).withColumn(out, F.col("_rn") + F.col("_lift")).select(*(F.col(f"`{c}`") for c in rows.columns if c != out), out)
+    return out_rows.withColumn("tier", tier(out)) if tiers else out_rows
 
 
 def replacement_baseline(rows: DataFrame, score: str, tie: str, starters: dict[str, float], extra: int = 6) -> DataFrame:
     """Per position the score of rank round(starters) + extra, or of the last one."""
-    n = F.coalesce(*(F.when(F.col("position") == p, F.lit(round(s) + extra)) for p, s in starters.items()), F.lit(1))
-    r = ranked(rows, score, tie, by="position")
-    size = Window.partitionBy("position")
-    r = r.withColumn("at", F.least(n, F.count("*").over(size)))
-    return r.where("rank = at").select("position", F.col(score).alias("baseline"))
+    places = {p: round(s) + extra for p, s in starters.items()}
+    n = F.coalesce(*(F.when(F.col("position") == p, F.lit(k)) for p, k in places.items()), F.lit(1))
+    order = Window.partitionBy("position").orderBy(F.desc(score), tie)
+    # no more than the first few of each position leave their partitions
+    top = rows.select("position", score, tie).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= max([1, *places.values()])).where(F.col("rn") <= n)
+    return top.groupBy("position").agg(F.max_by(score, "rn").alias("baseline"))
 
 
 def starters_per_position(teams: int, qb: float, rb: float, wr: float, te: float, flex: float, superflex: float) -> dict[str, float]:

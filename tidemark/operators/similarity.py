@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.numeric import inverse_distance, ratio0, squared_distance
+from ..staging import staged
 from .careers import by_season, strict_percentile, with_rate
 
 V = [f"v{k}" for k in range(11)]
@@ -54,28 +57,69 @@ def vectors(seasons: DataFrame, long_arc: DataFrame, min_games: int = C.MIN_GAME
     return s.select("player", "position", "season", "age", "stage", *(c.cast("double").alias(name) for c, name in zip(v, V, strict=True)))
 
 
+def snapshots(pool: DataFrame, spans: DataFrame) -> DataFrame:
+    """For each candidate and age at which a target may meet it, the season to compare with: at that
+    age, else a year before, else a year after; only if the candidate went on beyond that age."""
+    spans = spans.select(F.col("player").alias("comp"), F.col("n_seasons").alias("comp_seasons"), F.col("max_age").alias("comp_max_age"))
+    p = pool.select(F.col("player").alias("comp"), "position", F.col("season").alias("comp_season"), F.col("age").alias("comp_age"), F.col("stage").alias("comp_stage"), *(F.col(c).alias(f"c{c}") for c in V)).join(spans, "comp")
+    p = p.withColumn("meets", F.explode(F.array(*(F.struct((F.col("comp_age") + d).alias("age"), F.lit(rank).alias("choice")) for d, rank in ((0, 0), (1, 1), (-1, 2))))))
+    p = p.select("*", F.col("meets.age").alias("age"), F.col("meets.choice").alias("choice")).drop("meets").where(F.col("comp_max_age") > F.col("age"))
+    first = Window.partitionBy("comp", "age").orderBy("choice")
+    return p.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "choice", "comp_max_age")
+
+
 def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C.NEIGHBOURS, old_before: int | None = None, haircut: float = C.OLD_HAIRCUT) -> DataFrame:
     """The k most similar careers of each target, by weighted inverse distance.
 
     targets: one vector row per player, with its n_seasons; pool: vector rows of candidates;
-    spans: (player, n_seasons, max_age) of candidates.  A candidate is met at the target's age,
-    else a year before, else a year after; it must be as long (or 2 short of 9 and more), go on
-    beyond the target's age, and be within one stage.  Ages are keys of an equi-join."""
-    spans = spans.select(F.col("player").alias("comp"), F.col("n_seasons").alias("comp_seasons"), F.col("max_age").alias("comp_max_age"))
-    p = pool.select(F.col("player").alias("comp"), "position", F.col("season").alias("comp_season"), F.col("age").alias("comp_age"), F.col("stage").alias("comp_stage"), *(F.col(c).alias(f"c{c}") for c in V)).join(spans, "comp")
-    p = p.withColumn("meets", F.explode(F.array(*(F.struct((F.col("comp_age") + d).alias("age"), F.lit(rank).alias("choice")) for d, rank in ((0, 0), (1, 1), (-1, 2))))))
-    p = p.select("*", F.col("meets.age").alias("age"), F.col("meets.choice").alias("choice")).drop("meets")
-    t = targets.select("player", "position", "age", "stage", "n_seasons", *V)
+    spans: (player, n_seasons, max_age) of candidates.  A candidate must be as long (or 2 short of 9
+    and more) and within one stage.  Each is offered once for each age and stage that it may meet, so
+    position, age and stage are keys of an equi-join; distances are taken where pairs are made, and
+    only identifiers and similarities go on to the ranking."""
+    p = snapshots(pool, spans).withColumn("stage", F.explode(F.array(*(F.col("comp_stage") + d for d in (-1, 0, 1)))))
     need = F.when(F.col("n_seasons") >= 9, F.greatest(F.col("n_seasons") - 2, F.lit(3))).otherwise(F.greatest("n_seasons", F.lit(3)))
-    e = t.join(p, ["position", "age"]).where((F.col("player") != F.col("comp")) & (F.col("comp_seasons") >= need) & (F.col("comp_max_age") > F.col("age")))
-    first = Window.partitionBy("player", "comp").orderBy("choice")
-    e = e.withColumn("rn", F.row_number().over(first)).where("rn = 1").where(F.abs(F.col("comp_stage") - F.col("stage")) <= 1)
+    t = targets.select("player", "position", "age", "stage", need.alias("need"), *V)
+    e = t.join(p, ["position", "age", "stage"]).where((F.col("player") != F.col("comp")) & (F.col("comp_seasons") >= F.col("need")))
     raw = inverse_distance(squared_distance([(c, f"c{c}") for c in V], C.CAREER_WEIGHTS), C.CAREER_SCALE)
-    e = e.withColumn("raw_sim", raw)
+    e = e.select("player", "comp", "comp_age", "comp_season", raw.alias("raw_sim"))
     sim = F.when(F.col("comp_season") < old_before, F.col("raw_sim") * F.lit(haircut)).otherwise(F.col("raw_sim")) if old_before is not None else F.col("raw_sim")
-    e = e.withColumn("sim", sim)
     best = Window.partitionBy("player").orderBy(F.desc("sim"), "comp")
-    return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("player", "comp", "comp_age", "comp_season", "sim", "raw_sim", "rank")
+    return e.withColumn("sim", sim).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("player", "comp", "comp_age", "comp_season", "sim", "raw_sim", "rank")
+
+
+def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str = "position", order: str = "last_season") -> DataFrame:
+    """For every row the k nearest rows (weighted Euclidean distance, ties by player) of its group whose
+    `order` is lower; fewer where there are fewer.
+
+    The space is cut into cells along the first and the last weighted column, and a row meets the cells
+    around its own.  Whose k nearest lie within a cell's width is done; the rest go on with wider cells,
+    so the search is exact.  The first width follows from how densely the rows lie."""
+    first, last = next(iter(weights)), list(weights)[-1]
+    n, groups, *spread = rows.agg(F.count("*"), F.count_distinct(by), F.stddev_pop(first), F.stddev_pop(last)).first()
+    area = 16 * max(spread[0] or 0, 1e-6) * max(spread[1] or 0, 1e-6) * (weights[first] * weights[last]) ** 0.5
+    reach = (40 * k * area * max(groups, 1) / max(n, 1)) ** 0.5
+    times = rows.groupBy(by, order).count()
+    below = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = times.select(by, order, F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_earlier"))
+    left = staged(rows.join(earlier, [by, order]).where("_earlier > 0").withColumn("_need", F.least(F.lit(k), "_earlier")).drop("_earlier"), "left")
+    distance = F.sqrt(squared_distance([(f"t_{c}", c) for c in weights], weights.values()))
+    best = Window.partitionBy("player").orderBy("distance", "comp")
+    parts = []
+    while left.count():
+        cell = lambda c: F.floor(F.col(c) * F.lit(weights[c] ** 0.5) / F.lit(reach))  # noqa: E731, B023
+        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))  # noqa: E731, B023
+        t = left.select("player", by, F.col(order).alias("_at"), "_need", *(F.col(c).alias(f"t_{c}") for c in weights), around(first).alias("_x"), cell(last).alias("_own"))
+        t = t.withColumn("_y", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
+        c = rows.select(F.col("player").alias("comp"), by, order, *weights, cell(first).alias("_x"), cell(last).alias("_y"))
+        e = t.join(c, [by, "_x", "_y"]).where(F.col(order) < F.col("_at")).select("player", "comp", "_need", distance.alias("distance")).where(F.col("distance") <= reach)
+        near = e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        near = staged(near.withColumn("_n", F.count("*").over(Window.partitionBy("player"))).where("_n >= _need").drop("_n", "_need"), "near")
+        parts.append(near)
+        left = staged(left.join(near.select("player").distinct(), "player", "left_anti"), "left")
+        reach *= 3
+    if not parts:
+        return rows.select("player", F.col("player").alias("comp"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    return functools.reduce(DataFrame.union, parts)
 
 
 def comp_projection(edges: DataFrame, futures: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names, rules
 from ..functions.numeric import clip, inverse_distance, ratio0, squared_distance
-from ..operators import careers, consensus, evaluation, identity, penalties, ranking, similarity
+from .. import constants as C
+from ..operators import careers, consensus, evaluation, identity, penalties, ranking, rookies, similarity
+from ..staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,9 +104,9 @@ def running_total_stage(spark, sf_dir):
 
 @query
 def percentile_strict(spark, sf_dir):
-    st = careers.stages(played(spark, sf_dir))
-    odd, even = st.where("player % 2 = 1"), st.where("player % 2 = 0").select("player", "position", "stage", "total")
-    return _round(careers.strict_percentile(odd, even, ["position", "stage"], "total"), pct=6)
+    now, done = groups_of(played(spark, sf_dir))
+    values = careers.stages(now).select("player", "position", "stage", "total")
+    return _round(careers.strict_percentile(careers.stages(done), values, ["position", "stage"], "total"), pct=6)
 
 
 @query
@@ -119,20 +121,38 @@ def discounted_future(spark, sf_dir):
     return _round(f.withColumn("future_points", F.col("future_points") + F.lit(1e-7)), future_points=4)  # off the exact halves
 
 
+CURRENT = 2001
+
+
+def groups_of(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seasons of active players, seasons of finished careers of two seasons or more)."""
+    span = Window.partitionBy("player")
+    s = s.withColumns({"_last": F.max("season").over(span), "_n": F.count("*").over(span)})
+    plain = lambda df: df.drop("_last", "_n")
+    return plain(s.where(F.col("_last") >= CURRENT - 1)), plain(s.where((F.col("_last") < CURRENT - 1) & (F.col("_n") >= 2)))
+
+
+def active(spark, sf_dir) -> DataFrame:
+    return groups_of(played(spark, sf_dir))[0]
+
+
+def finished(spark, sf_dir) -> DataFrame:
+    return groups_of(played(spark, sf_dir))[1]
+
+
 def all_vectors(spark, sf_dir) -> DataFrame:
-    s = played(spark, sf_dir)
-    return similarity.vectors(s, careers.stages(s.where("player % 2 = 1")))
+    return similarity.vectors(played(spark, sf_dir), careers.stages(finished(spark, sf_dir)))
 
 
 def targets_and_pool(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    s = played(spark, sf_dir)
-    table_ = careers.stages(s.where("player % 2 = 1"))
-    pool = similarity.vectors(s.where("player % 2 = 1"), table_)
-    own = similarity.vectors(s.where(f"player % 2 = 0 and season <= {CUT}"), table_)
+    """Active players at their last season, and finished careers at all of theirs."""
+    now, done = groups_of(played(spark, sf_dir))
+    vectors = staged(all_vectors(spark, sf_dir), "vectors")
     last = Window.partitionBy("player").orderBy(F.desc("season"))
+    own = vectors.join(now.select("player").distinct(), "player", "left_semi")
     targets = own.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn").withColumn("n_seasons", F.col("stage"))
-    spans = s.where("player % 2 = 1").groupBy("player").agg(F.count("*").alias("n_seasons"), F.max("age").alias("max_age"))
-    return targets, pool, spans
+    spans = done.groupBy("player").agg(F.count("*").alias("n_seasons"), F.max("age").alias("max_age"))
+    return targets, vectors.join(spans.select("player"), "player", "left_semi"), spans
 
 
 def edges(spark, sf_dir) -> DataFrame:
@@ -151,34 +171,36 @@ def knn_top25(spark, sf_dir):
 
 
 def futures(spark, sf_dir) -> DataFrame:
-    s = played(spark, sf_dir).where("player % 2 = 1")
+    s = finished(spark, sf_dir)
     return careers.discounted_after(s, s.select("player", F.col("age").alias("snapshot_age")))
 
 
-def projections(spark, sf_dir) -> DataFrame:
-    """Comps' mean, anchor and blend for every target."""
-    p = similarity.comp_projection(edges(spark, sf_dir), futures(spark, sf_dir))
-    own = played(spark, sf_dir).where(f"player % 2 = 0 and season <= {CUT}")
+def projections(spark, sf_dir, e: DataFrame) -> DataFrame:
+    """Comps' mean, anchor and blend for every target, from its edges."""
+    p = similarity.comp_projection(e, futures(spark, sf_dir))
+    own = active(spark, sf_dir)
     p = p.join(careers.recent(own, 3), "player").join(careers.peak3(own), "player")
-    p = p.join(own.groupBy("player", "position").agg(F.sum("games").alias("career_games"), F.max("season").alias("last_season"), F.max_by("games", "season").alias("last_games")), "player")
+    recent = F.sum(F.when(F.col("season") >= CURRENT - 1, F.col("games")).otherwise(0)).alias("recent_games")
+    breakout = F.min_by("age", F.when(F.col("games") >= 10, F.col("season"))).alias("breakout_age")
+    p = p.join(own.groupBy("player", "position").agg(F.sum("games").alias("career_games"), F.max("season").alias("last_season"), F.max_by("games", "season").alias("last_games"), F.max("age").alias("age"), recent, breakout), "player")
     return similarity.blended(p, 24.0)
 
 
 @query
 def weighted_projection(spark, sf_dir):
-    p = projections(spark, sf_dir).select("player", "comp_mean", "years", "best_comp", "n_comps", "anchor", "projection")
+    p = projections(spark, sf_dir, edges(spark, sf_dir)).select("player", "comp_mean", "years", "best_comp", "n_comps", "anchor", "projection")
     return _round(p, comp_mean=3, years=5, best_comp=3, anchor=3, projection=3)
 
 
-def survivals(spark, sf_dir) -> DataFrame:
-    c = careers.rollup(played(spark, sf_dir).where("player % 2 = 1"), through=1999)
+def survivals(spark, sf_dir, e: DataFrame) -> DataFrame:
+    c = careers.rollup(finished(spark, sf_dir), through=1998)
     c = c.select(F.col("player").alias("comp"), F.col("max_age").alias("comp_last_age"), F.col("n_seasons").alias("comp_n_seasons"), F.col("retired").alias("comp_retired"))
-    return penalties.survival(edges(spark, sf_dir).join(c, "comp"))
+    return penalties.survival(e.join(c, "comp"))
 
 
 @query
 def survival(spark, sf_dir):
-    return _round(survivals(spark, sf_dir), bust_rate=5, short_rate=5, survival=5)
+    return _round(survivals(spark, sf_dir, edges(spark, sf_dir)), bust_rate=5, short_rate=5, survival=5)
 
 
 @query
@@ -201,19 +223,21 @@ def late_breakout(spark, sf_dir):
 
 
 def stacked(spark, sf_dir) -> DataFrame:
-    p = projections(spark, sf_dir).join(survivals(spark, sf_dir), "player")
-    base = penalties.upper_median_of_best(p, "position", "projection")
+    e = staged(edges(spark, sf_dir), "edges")
+    p = staged(projections(spark, sf_dir, e).join(survivals(spark, sf_dir, e), "player"), "projections")
+    base = penalties.upper_median_of_best(p, "position", "projection", tie="player")
     p = p.join(F.broadcast(base), "position", "left")  # one row a position
     conf = penalties.confidence(F.col("career_games").cast("double"), F.col("position") == "MACHINERY")
-    missed = penalties.missed_season(F.col("last_season"), F.col("last_games"), F.lit(CUT))
-    stale = F.col("last_games") < 6
-    final = penalties.stack(F.col("projection"), F.col("survival"), conf, F.col("baseline"), F.lit(0.95), stale, missed)
-    return p.withColumn("final", final)
+    missed = penalties.missed_season(F.col("last_season"), F.col("last_games"), F.lit(CURRENT))
+    late = F.when(F.col("position") == "MACHINERY", penalties.late_breakout(F.col("breakout_age"))).otherwise(1.0)
+    stale = F.col("recent_games") < C.STALE_GAMES
+    final = penalties.stack(F.col("projection"), F.col("survival"), conf, F.col("baseline"), late, stale, missed)
+    return p.withColumns({"late": late, "stale": stale, "missed": missed, "final": final})
 
 
 @query
 def penalty_stack(spark, sf_dir):
-    return _round(stacked(spark, sf_dir).select("player", "position", "projection", "baseline", "survival", "final"), projection=3, baseline=3, survival=5, final=3)
+    return _round(stacked(spark, sf_dir).select("player", "position", "projection", "baseline", "survival", "late", "stale", "missed", "final"), projection=3, baseline=3, survival=5, final=3)
 
 
 @query
@@ -241,24 +265,39 @@ def overlay_baseline(spark, sf_dir):
     return o.select("player", "position", "value", F.col("base_rank").cast("long"), F.col("new_rank").cast("long"), (F.col("base_rank") - F.col("new_rank")).cast("long").alias("rank_delta"))
 
 
+STATS = ("qty", "returns", "cents")
+
+
+def rookie_profiles(spark, sf_dir) -> DataFrame:
+    return rookies.profiles(careers.with_rate(played(spark, sf_dir)), STATS)
+
+
+def rookie_edges(spark, sf_dir) -> DataFrame:
+    """Players who began in 1997 or later against those who began before."""
+    f = staged(rookie_profiles(spark, sf_dir), "rookies")
+    return rookies.neighbours(f.where("season >= 1997"), f.where("season < 1997"), ROOKIE_WEIGHTS, 25, first=1995, last=2001)
+
+
+ROOKIE_WEIGHTS = {"rate": 8.0, "played": 0.1, "qty_pg": 0.1, "returns_pg": 0.3, "cents_pg": 0.0000001, "age": 20.0}
+
+
+@query
+def rookie_profile(spark, sf_dir):
+    f = rookie_profiles(spark, sf_dir).select("player", "position", "season", "age", "games", "rate", "played", "qty_pg", "returns_pg", "cents_pg", "later", "later_discounted", "later_seasons")
+    return _round(f.withColumn("later_discounted", F.col("later_discounted") + F.lit(1e-7)), rate=6, played=6, qty_pg=6, returns_pg=6, cents_pg=5, later_discounted=4)
+
+
 @query
 def rookie_knn_widen(spark, sf_dir):
-    s = careers.with_rate(played(spark, sf_dir))
-    first = Window.partitionBy("player").orderBy("season")
-    r = s.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    later = s.join(r.select("player", F.col("season").alias("s0")), "player").where("season > s0").groupBy("player").agg(F.sum("points").alias("later"))
-    f = r.join(later, "player", "left").select("player", "position", "age", "season", "games", "rate", (F.col("qty") / F.col("games")).alias("qpg"), (F.col("returns") / F.col("games")).alias("rpg"), F.coalesce("later", F.lit(0.0)).alias("later"))
-    t = f.where("player % 2 = 0").select(F.col("player").alias("target"), "position", F.col("age").alias("t_age"), F.col("rate").alias("t_rate"), F.col("qpg").alias("t_qpg"), F.col("rpg").alias("t_rpg"))
-    c = f.where("player % 2 = 1").withColumn("near", F.explode(F.sequence(F.lit(-3), F.lit(3)))).withColumn("t_age", F.col("age") + F.col("near"))
-    e = t.join(c, ["position", "t_age"])
-    near = Window.partitionBy("target")
-    e = e.withColumn("n_near", F.count_if(F.abs("near") <= 2).over(near)).where((F.abs("near") <= 2) | (F.col("n_near") < 25))
-    raw = inverse_distance(squared_distance([("t_rate", "rate"), ("t_qpg", "qpg"), ("t_rpg", "rpg"), ("t_age", "age")], (8.0, 0.1, 0.3, 20.0)), 15.0)
-    boost = F.when(F.col("games") >= 10, rules.breakout_bonus(F.col("later"))).otherwise(1.0) * rules.recency_bonus(F.col("season"), 1995, 2001)
-    e = e.withColumn("raw", raw).withColumn("sim", F.round(F.col("raw") * boost, 9))
-    best = Window.partitionBy("target").orderBy(F.desc("sim"), "player")
-    e = e.withColumn("rank", F.row_number().over(best)).where("rank <= 25")
-    return _round(e.select("target", F.col("player").alias("comp"), "raw", "sim", "rank", "n_near"), raw=6, sim=6)
+    return _round(rookie_edges(spark, sf_dir).select("player", "comp", "raw", "sim", "rank", "n_near"), raw=6, sim=6)
+
+
+@query
+def rookie_projection(spark, sf_dir):
+    e = staged(rookie_edges(spark, sf_dir), "rookie-edges")
+    f = rookie_profiles(spark, sf_dir)
+    p = rookies.projection(f.where("season >= 1997"), e, {"MACHINERY": (12.0, 0.75), "BUILDING": (7.0, 0.8)})
+    return _round(p.select("player", "n_comps", "comp_mean", "anchor", "confidence", "projection", "years", "bust_rate"), comp_mean=3, anchor=3, confidence=6, projection=3, years=5, bust_rate=6)
 
 
 def z_rates(spark, sf_dir) -> DataFrame:
@@ -283,14 +322,9 @@ def prospects(spark, sf_dir) -> DataFrame:
 
 @query
 def prospect_knn(spark, sf_dir):
-    p = prospects(spark, sf_dir)
-    t = p.where("player % 16 = 0").select(F.col("player").alias("target"), "position", *(F.col(c).alias(f"t_{c}") for c in ("z_mean_rate", "z_best_rate", "z_last_rate", "age", "last_season")))
-    e = t.join(p, "position").where((F.col("player") != F.col("target")) & (F.col("last_season") < F.col("t_last_season")))
-    d = squared_distance([("t_z_mean_rate", "z_mean_rate"), ("t_z_best_rate", "z_best_rate"), ("t_z_last_rate", "z_last_rate"), ("t_age", "age")], (3.0, 2.0, 2.0, 1.5))
-    e = e.withColumn("distance", F.sqrt(d))
-    best = Window.partitionBy("target").orderBy("distance", "player")
-    e = e.withColumn("rank", F.row_number().over(best)).where("rank <= 10")
-    return _round(e.select("target", F.col("player").alias("comp"), "distance", (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("sim"), "rank"), distance=5, sim=5)
+    p = staged(prospects(spark, sf_dir), "prospects")
+    e = similarity.nearest_before(p, {"z_mean_rate": 3.0, "z_best_rate": 2.0, "z_last_rate": 2.0, "age": 1.5}, 10)
+    return _round(e.select(F.col("player").alias("target"), "comp", "distance", (F.lit(1.0) / (F.lit(1.0) + F.col("distance"))).alias("sim"), "rank"), distance=5, sim=5)
 
 
 @query
@@ -305,10 +339,10 @@ def pick_tier_blend(spark, sf_dir):
 
 @query
 def crosswalk_cascade(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    rows = c.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_custkey")).alias("a"), F.when(F.col("c_custkey") % 3 == 1, F.col("c_custkey") * 2).alias("b"), names.compact_name(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("position"))
-    by_a = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("a"), F.concat(F.lit("A"), "c_custkey").alias("gid"))
-    by_b = c.where("c_custkey % 5 <> 0").select((F.col("c_custkey") * 2).alias("b"), F.concat(F.lit("B"), "c_custkey").alias("gid"))
+    c = table(spark, sf_dir, "customer").withColumn("bal", F.col("c_acctbal"))
+    rows = c.select("c_custkey", F.when(F.col("bal") >= 5000, F.col("c_custkey")).alias("a"), F.when(F.col("bal").between(0, 4999), F.col("c_custkey") * 2).alias("b"), names.compact_name(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("position"))
+    by_a = c.where("c_nationkey < 15").select(F.col("c_custkey").alias("a"), F.concat(F.lit("A"), "c_custkey").alias("gid"))
+    by_b = c.where("c_nationkey >= 10").select((F.col("c_custkey") * 2).alias("b"), F.concat(F.lit("B"), "c_custkey").alias("gid"))
     by_n = identity.first_wins(c.select(names.compact_name(F.col("c_name")).alias("name"), F.col("c_mktsegment").alias("position"), F.concat(F.lit("N"), "c_custkey").alias("gid")), "name", "gid")
     out = identity.cascade(rows, [(["a"], by_a), (["b"], by_b), (["name", "position"], by_n)], "gid")
     return out.select("c_custkey", "resolved")
@@ -317,23 +351,22 @@ def crosswalk_cascade(spark, sf_dir):
 @query
 def unique_match_cascade(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size"))
-    rows = p.where("id % 2 = 0").select(F.col("id").alias("row_id"), "brand", "type", "size")
-    out = identity.unique_cascade(rows, p.where("id % 2 = 1"), [["brand", "type", "size"], ["brand", "size"], ["type", "size"]], "id")
+    out = identity.unique_cascade(p.withColumnRenamed("id", "row_id"), p, [["brand", "type", "size"], ["brand", "size"], ["type", "size"]], "id")
     return out.select("row_id", "resolved")
 
 
 @query
 def nearest_season(spark, sf_dir):
     s = played(spark, sf_dir)
-    rows = s.where("player % 10 = 0").groupBy("player", "position").agg(F.max("season").alias("season")).select(F.col("player").alias("row_id"), "position", "season")
-    cand = s.where("player % 50 = 1").groupBy("player", "position").agg(F.min("season").alias("season")).select(F.col("player").alias("id"), "position", "season")
+    rows = s.groupBy("player", "position").agg(F.max("season").alias("season")).select(F.col("player").alias("row_id"), "position", "season")
+    cand = s.groupBy("player", "position").agg(F.min("season").alias("season")).select(F.col("player").alias("id"), "position", "season")
     return identity.nearest_season(rows, cand, ["position"]).select("row_id", F.col("c_id").alias("found"), F.col("delta").cast("int"))
 
 
 def _model_and_outside(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    c = careers.rollup(played(spark, sf_dir)).where("player % 3 <> 0").select("player", "career_points")
+    c = careers.rollup(played(spark, sf_dir)).where("career_games >= 25").select("player", "career_points")
     model = ranking.ranked(c, "career_points", "player", out="model_rank")
-    cust = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("player"), (F.col("c_acctbal")).alias("bal"))
+    cust = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("player"), (F.col("c_acctbal")).alias("bal"))
     outside = ranking.ranked(cust, "bal", "player", out="outside_rank").select("player", "outside_rank")
     return model, outside
 
@@ -416,16 +449,16 @@ def multi_row_collapse(spark, sf_dir):
 @query
 def full_outer_first_nonnull(spark, sf_dir):
     s = played(spark, sf_dir)
-    a = s.where("season % 2 = 0 and player % 3 = 0").select("player", "season", F.when(F.col("games") > 6, F.col("points")).alias("x"), F.col("games").cast("double").alias("y"))
-    b = s.where("player % 2 = 0").select("player", "season", F.col("qty").cast("double").alias("x"))
-    c = s.where("player % 5 = 0").select("player", "season", F.col("returns").cast("double").alias("y"), (F.col("cents") / 100).alias("z"))
+    a = s.where("games >= 6").select("player", "season", F.when(F.col("games") > 6, F.col("points")).alias("x"), F.col("games").cast("double").alias("y"))
+    b = s.where("returns >= 2").select("player", "season", F.col("qty").cast("double").alias("x"))
+    c = s.where("qty >= 250").select("player", "season", F.col("returns").cast("double").alias("y"), (F.col("cents") / 100).alias("z"))
     return identity.merged_first_nonnull([a, b, c], ["player", "season"], ["x", "y", "z"])
 
 
 def _roster(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer")
     roster = c.select(F.col("c_nationkey").alias("team"), F.col("c_custkey").alias("player"), F.col("c_mktsegment").alias("position"))
-    scores = careers.rollup(played(spark, sf_dir)).where("player % 7 <> 0").select("player", F.col("career_points").alias("score"))
+    scores = careers.rollup(played(spark, sf_dir)).where("career_games >= 20").select("player", F.col("career_points").alias("score"))
     return roster, scores
 
 
@@ -502,9 +535,9 @@ def conference_tier(spark, sf_dir):
 
 
 def _names(spark, sf_dir) -> DataFrame:
-    """Accented, suffixed and dotted names made from the first words of documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), r"[\n\t\r]", " ").alias("t"))
-    tail = F.element_at(F.array(*(F.lit(s) for s in ("", " Jr.", " III", " sr", " O'Neil-Smith", " V"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    """Whole texts on one line, accented letters among them, with the tails of names."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\n\t\r]", " ").alias("t"))
+    tail = F.element_at(F.array(*(F.lit(s) for s in (" Žan Dončić Jr.", " III", ", Jr.", " J.R. sr", " O'Neil-Smith Őrsi", " V jr"))), (F.col("doc_id") % 6 + 1).cast("int"))
     return d.select("doc_id", F.concat(F.trim("t"), tail).alias("name"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from ..functions.names import MARKED, PLAIN
-
 SEASONS = """
 lines AS (SELECT l_orderkey, count(*) AS games, sum(l_quantity::BIGINT)::BIGINT AS qty, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents,
                  count(*) FILTER (l_returnflag = 'R') AS returns FROM lineitem GROUP BY 1),
@@ -18,6 +16,13 @@ CAREER = """
 c AS (SELECT player, position, min(season) AS first_season, max(season) AS last_season, count(*) AS n_seasons, sum(games)::BIGINT AS career_games,
              sum(points) AS career_points, max(age) AS max_age FROM s GROUP BY 1, 2)"""
 
+# active players, and finished careers of two seasons or more
+SPAN = """
+span AS (SELECT player, max(season) AS last, count(*) AS n FROM s GROUP BY 1),
+now_p AS (SELECT player FROM span WHERE last >= 2000),
+done_p AS (SELECT player FROM span WHERE last < 2000 AND n >= 2)"""
+DONE, NOW = "player IN (SELECT player FROM done_p)", "player IN (SELECT player FROM now_p)"
+
 STAGES = """
 st AS (SELECT player, position, season, row_number() OVER w AS stage, sum(points) OVER (PARTITION BY player ORDER BY season ROWS UNBOUNDED PRECEDING) AS total
        FROM s WINDOW w AS (PARTITION BY player ORDER BY season))"""
@@ -36,7 +41,7 @@ def _vectors(name: str, where: str) -> str:
         CASE WHEN a.k > 1 THEN round((a.k * sum((b.k - 1) * b.rate) - sum(b.k - 1) * sum(b.rate)) / (a.k * sum((b.k - 1) * (b.k - 1)) - sum(b.k - 1) * sum(b.k - 1))::DOUBLE, 6) ELSE 0 END AS slope
      FROM {name}_i a JOIN {name}_i b ON a.player = b.player AND b.k <= a.k GROUP BY 1, 2, 3, 4, 5, 6),
 {name}_p AS (SELECT v.player, v.stage, coalesce(count(m.total) FILTER (m.total < v.total) / nullif(count(m.total), 0), 0.5) AS pct
-     FROM {name}_a v LEFT JOIN (SELECT * FROM st WHERE player % 2 = 1) m ON m.position = v.position AND m.stage = v.stage GROUP BY 1, 2),
+     FROM {name}_a v LEFT JOIN (SELECT * FROM st WHERE player IN (SELECT player FROM done_p)) m ON m.position = v.position AND m.stage = v.stage GROUP BY 1, 2),
 {name} AS (SELECT a.player, position, season, age, a.stage,
         CASE WHEN rate <> 0 THEN rate ELSE last_good END AS v0, 0.7::DOUBLE * b1 AS v1, 0.5::DOUBLE * b2 AS v2, total / g AS v3, greatest(peak3, 0) AS v4, peak1 AS v5, total / 100.0::DOUBLE AS v6,
         slope::DOUBLE AS v7, 10.0::DOUBLE * least(1.0::DOUBLE, g / (17.0::DOUBLE * a.stage)) AS v8, 30.0::DOUBLE * pct AS v9, 0.5::DOUBLE * age AS v10
@@ -45,9 +50,9 @@ def _vectors(name: str, where: str) -> str:
 
 _D2 = " + ".join(f"{w}::DOUBLE * (t.v{k} - p.v{k}) * (t.v{k} - p.v{k})" for k, w in enumerate((2.0, 1.5, 1.0, 3.0, 4.0, 3.0, 0.8, 0.2, 0.3, 0.5, 5.0)))
 EDGES = f"""
-{STAGES.strip()},{_vectors("pool", "player % 2 = 1")},{_vectors("own", "player % 2 = 0 AND season <= 1998")},
+{SPAN.strip()},{STAGES.strip()},{_vectors("pool", DONE)},{_vectors("own", NOW)},
 t AS (SELECT * FROM own QUALIFY row_number() OVER (PARTITION BY player ORDER BY season DESC) = 1),
-spans AS (SELECT player AS comp, count(*) AS comp_seasons, max(age) AS comp_max_age FROM s WHERE player % 2 = 1 GROUP BY 1),
+spans AS (SELECT player AS comp, count(*) AS comp_seasons, max(age) AS comp_max_age FROM s WHERE {DONE} GROUP BY 1),
 met AS (SELECT t.player, p.player AS comp, p.age AS comp_age, p.season AS comp_season, p.stage AS comp_stage, t.stage AS stage,
                1.0::DOUBLE / (1.0::DOUBLE + sqrt(0.0::DOUBLE + {_D2}) / 20.0::DOUBLE) AS raw_sim
         FROM t JOIN pool p ON p.position = t.position AND p.player <> t.player AND abs(p.age - t.age) <= 1
@@ -69,17 +74,18 @@ PROJECTION = f"""
 cm AS (SELECT e.player, sum(sim * coalesce(future_points, 0)) / CASE WHEN sum(sim) = 0 THEN 1 ELSE sum(sim) END AS comp_mean,
               sum(sim * coalesce(future_seasons, 0)) / CASE WHEN sum(sim) = 0 THEN 1 ELSE sum(sim) END AS years, max(coalesce(future_points, 0)) AS best_comp, count(*) AS n_comps
        FROM top e LEFT JOIN fut f ON f.player = e.comp AND f.snapshot_age = e.comp_age GROUP BY 1),
-own_s AS (SELECT * FROM s WHERE player % 2 = 0 AND season <= 1998),
+own_s AS (SELECT * FROM s WHERE {NOW}),
 r3 AS (SELECT player, sum(points) / sum(games) AS recent3 FROM (SELECT * FROM own_s QUALIFY row_number() OVER (PARTITION BY player ORDER BY season DESC) <= 3) GROUP BY 1),
 {PEAK3.strip().format(s="own_s")},
-ow AS (SELECT player, position, sum(games) AS career_games, max(season) AS last_season, arg_max(games, season) AS last_games FROM own_s GROUP BY 1, 2),
+ow AS (SELECT player, position, sum(games) AS career_games, max(season) AS last_season, arg_max(games, season) AS last_games, sum(CASE WHEN season >= 2000 THEN games ELSE 0 END) AS recent_games,
+              arg_min(age, season) FILTER (games >= 10) AS breakout_age, max(age) AS age FROM own_s GROUP BY 1, 2),
 an AS (SELECT *, least(CASE WHEN n_comps >= 3 THEN greatest(1.1::DOUBLE * recent3, 0.9::DOUBLE * peak3) * 17.0::DOUBLE * years * pow(0.95::DOUBLE, years / 2.0::DOUBLE) ELSE 0 END, 1.25::DOUBLE * best_comp) AS anchor,
               0.4::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (recent3 - 19.0::DOUBLE) / 5.0::DOUBLE)) AS share
        FROM cm JOIN r3 USING (player) JOIN pk USING (player) JOIN ow USING (player)),
 pr AS (SELECT *, CASE WHEN anchor > comp_mean THEN comp_mean * (1.0::DOUBLE - share) + anchor * share ELSE comp_mean END AS projection FROM an)"""
 
 SURVIVAL = """
-cc AS (SELECT player AS comp, max(age) AS la, count(*) AS ns, max(season) <= 1999 AS retired FROM s WHERE player % 2 = 1 GROUP BY 1),
+cc AS (SELECT player AS comp, max(age) AS la, count(*) AS ns, max(season) <= 1998 AS retired FROM s WHERE player IN (SELECT player FROM done_p) GROUP BY 1),
 sv0 AS (SELECT e.player, sum(CASE WHEN retired AND la <= 30 AND ns < 8 THEN sim ELSE 0 END) / sum(sim) AS bust_rate,
                sum(CASE WHEN CASE WHEN retired THEN ns <= 5 ELSE ns <= 2 END THEN sim ELSE 0 END) / sum(sim) AS short_rate,
                count(*) FILTER (retired AND la <= 30 AND ns < 8 AND rank <= 5) AS top5_busts
@@ -99,17 +105,28 @@ nat AS (SELECT season, team, avg(games) AS strength FROM s GROUP BY 1, 2),
 zs AS (SELECT season, team, (strength - avg(strength) OVER w) / CASE WHEN stddev_pop(strength) OVER w <= 1e-9 OR count(*) OVER w < 2 THEN 1 ELSE stddev_pop(strength) OVER w END AS z FROM nat WINDOW w AS (PARTITION BY season)),
 zr AS (SELECT s.*, z, rate * least(1.10::DOUBLE, greatest(0.65::DOUBLE, 1 + 0.15::DOUBLE * coalesce(z, 0))) AS adjusted FROM s LEFT JOIN zs USING (season, team))"""
 ROSTER = """
-sc AS (SELECT player, sum(points) AS score FROM s WHERE player % 7 <> 0 GROUP BY 1)"""
+sc AS (SELECT player, sum(points) AS score FROM s GROUP BY 1 HAVING sum(games) >= 20)"""
 TRADES = """
 sides AS (SELECT DISTINCT l_orderkey AS trade, l_suppkey % 12 AS team, l_partkey % 1500 + 1 AS player FROM lineitem),
 got AS (SELECT trade, team, sum(coalesce(score, 0)) AS received FROM sides LEFT JOIN sc USING (player) GROUP BY 1, 2),
 tr AS (SELECT trade, team, received * 2 - sum(received) OVER (PARTITION BY trade) AS delta FROM got)"""
+ROOKIES = """
+ro AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY season) - 1 AS k FROM s),
+lt AS (SELECT player, sum(points) AS later, sum(points * pow(0.95::DOUBLE, k - 1)) AS later_discounted, count(*) AS later_seasons FROM ro WHERE k > 0 GROUP BY 1),
+f AS (SELECT player, position, age, season, games, rate, qty / games AS qpg, returns / games AS rpg, cents / games AS cpg, games / 17.0::DOUBLE AS played, coalesce(later, 0.0) AS later, coalesce(later_discounted, 0.0) AS later_discounted, coalesce(later_seasons, 0) AS later_seasons FROM ro LEFT JOIN lt USING (player) WHERE k = 0)"""
+ROOKIE_EDGES = """
+pe AS (SELECT t.player, t.games AS t_games, c.player AS comp, abs(c.age - t.age) AS gap, c.later, c.later_discounted, c.later_seasons, count(*) FILTER (abs(c.age - t.age) <= 2) OVER (PARTITION BY t.player) AS n_near,
+              1.0::DOUBLE / (1.0::DOUBLE + sqrt(0.0::DOUBLE + 8.0::DOUBLE * (t.rate - c.rate) * (t.rate - c.rate) + 0.1::DOUBLE * (t.played - c.played) * (t.played - c.played) + 0.1::DOUBLE * (t.qpg - c.qpg) * (t.qpg - c.qpg) + 0.3::DOUBLE * (t.rpg - c.rpg) * (t.rpg - c.rpg)
+                + 0.0000001::DOUBLE * (t.cpg - c.cpg) * (t.cpg - c.cpg) + 20.0::DOUBLE * (t.age - c.age) * (t.age - c.age)) / 15.0::DOUBLE) AS raw,
+              CASE WHEN t.games >= 10 THEN 1 + 0.3::DOUBLE * log2(1 + greatest(c.later, 0) / 1500.0::DOUBLE) ELSE 1.0::DOUBLE END * (1 + 0.25::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (c.season - 1995) / 6.0::DOUBLE))) AS boost
+       FROM f t JOIN f c ON t.position = c.position AND t.season >= 1997 AND c.season < 1997 AND abs(c.age - t.age) <= 3),
+re AS (SELECT *, round(raw * boost, 9) AS sim, row_number() OVER (PARTITION BY player ORDER BY round(raw * boost, 9) DESC, comp) AS rank FROM pe WHERE gap <= 2 OR n_near < 25 QUALIFY rank <= 25)"""
 RANKED = f"""
-m AS (SELECT player, row_number() OVER (ORDER BY career_points DESC, player) AS model_rank FROM (SELECT player, sum(points) AS career_points FROM s WHERE player % 3 <> 0 GROUP BY 1)),
-o AS (SELECT c_custkey AS player, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS outside_rank FROM customer WHERE c_custkey % 4 <> 0)"""
+m AS (SELECT player, row_number() OVER (ORDER BY career_points DESC, player) AS model_rank FROM (SELECT player, sum(points) AS career_points FROM s GROUP BY 1 HAVING sum(games) >= 25)),
+o AS (SELECT c_custkey AS player, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS outside_rank FROM customer WHERE c_acctbal > 0)"""
 NAMES = """
-nm AS (SELECT doc_id, trim(regexp_replace(substr(text, 1, 40), '[\\n\\t\\r]', ' ', 'g'), ' ') || ['', ' Jr.', ' III', ' sr', ' O''Neil-Smith', ' V'][doc_id % 6 + 1] AS name FROM documents)"""
-FOLD = f"translate(name, '{MARKED}', '{PLAIN}')"
+nm AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[\\n\\t\\r]', ' ', 'g'), ' ') || [' Žan Dončić Jr.', ' III', ', Jr.', ' J.R. sr', ' O''Neil-Smith Őrsi', ' V jr'][doc_id % 6 + 1] AS name FROM documents)"""
+FOLD = "strip_accents(name)"
 TAIL = "jr|sr|ii|iii|iv|v"
 
 
@@ -135,10 +152,10 @@ ORACLES: dict[str, str] = {
     "q_peak3_rolling": with_(SEASONS, PEAK3.format(s="s"), select="SELECT player, round(peak3, 6) AS peak3 FROM pk"),
     "q_recent_n": with_(SEASONS, "r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY season DESC) AS rn FROM s)", select="SELECT player, " + ", ".join(f"round(sum(points) FILTER (rn <= {n}) / sum(games) FILTER (rn <= {n}), 6) AS recent{n}" for n in (1, 2, 3)) + " FROM r GROUP BY 1"),
     "q_running_total_stage": with_(SEASONS, STAGES, select="SELECT * FROM st"),
-    "q_percentile_strict": with_(SEASONS, STAGES, select="SELECT v.player, v.position, v.stage, v.total, round(coalesce(count(m.total) FILTER (m.total < v.total) / nullif(count(m.total), 0), 0.5), 6) AS pct FROM st v LEFT JOIN (SELECT * FROM st WHERE player % 2 = 1) m ON m.position = v.position AND m.stage = v.stage WHERE v.player % 2 = 0 GROUP BY 1, 2, 3, 4"),
+    "q_percentile_strict": with_(SEASONS, SPAN, STAGES, select=f"SELECT v.player, v.position, v.stage, v.total, round(coalesce(count(m.total) FILTER (m.total < v.total) / nullif(count(m.total), 0), 0.5), 6) AS pct FROM st v LEFT JOIN (SELECT * FROM st WHERE {DONE}) m ON m.position = v.position AND m.stage = v.stage WHERE v.{NOW} GROUP BY 1, 2, 3, 4"),
     "q_trend_slope": with_(SEASONS, "x AS (SELECT player, rate, row_number() OVER (PARTITION BY player ORDER BY season) - 1 AS x FROM s)", select="SELECT player, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(rate, x) END, 6) AS slope FROM x GROUP BY 1"),
     "q_discounted_future": with_(SEASONS, FUTURE, select="SELECT player, snapshot_age, round(future_points + 0.0000001::DOUBLE, 4) AS future_points, future_seasons FROM fut"),
-    "q_vector11": with_(SEASONS, STAGES, _vectors("vec", "true"), select="SELECT player, position, season, age, stage, " + ", ".join(f"round(v{k}, {6 if k == 7 else 5}) AS v{k}" for k in range(11)) + " FROM vec"),
+    "q_vector11": with_(SEASONS, SPAN, STAGES, _vectors("vec", "true"), select="SELECT player, position, season, age, stage, " + ", ".join(f"round(v{k}, {6 if k == 7 else 5}) AS v{k}" for k in range(11)) + " FROM vec"),
     "q_knn_top25": with_(SEASONS, EDGES, select="SELECT player, comp, comp_age, comp_season, round(sim, 6) AS sim, round(raw_sim, 6) AS raw_sim, rank FROM top"),
     "q_weighted_projection": with_(SEASONS, EDGES, FUTURE, PROJECTION, select="SELECT player, round(comp_mean, 3) AS comp_mean, round(years, 5) AS years, round(best_comp, 3) AS best_comp, n_comps, round(anchor, 3) AS anchor, round(projection, 3) AS projection FROM pr"),
     "q_survival": with_(SEASONS, EDGES, SURVIVAL, select="SELECT player, round(bust_rate, 5) AS bust_rate, round(short_rate, 5) AS short_rate, top5_busts, round(survival, 5) AS survival FROM sv"),
@@ -146,32 +163,32 @@ ORACLES: dict[str, str] = {
     "q_missed_season": with_(SEASONS, "g AS (SELECT player, max(season) AS last_season, arg_max(games, season) AS last_games FROM s GROUP BY 1)", select="SELECT *, CASE WHEN 2001 - last_season >= 2 THEN 0.45::DOUBLE WHEN 2001 - last_season = 1 THEN 0.70::DOUBLE WHEN last_games < 8 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS multiplier FROM g"),
     "q_late_breakout": with_(SEASONS, "g AS (SELECT player, arg_min(age, season) AS breakout_age FROM s WHERE games >= 10 GROUP BY 1)", select="SELECT *, CASE WHEN breakout_age <= 22 THEN 1.0::DOUBLE WHEN breakout_age = 23 THEN 0.95::DOUBLE WHEN breakout_age = 24 THEN 0.88::DOUBLE ELSE 0.80::DOUBLE END AS multiplier FROM g"),
     "q_penalty_stack": with_(SEASONS, EDGES, FUTURE, PROJECTION, SURVIVAL, f"""
-        tp AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY projection DESC) AS rn FROM pr JOIN sv USING (player) QUALIFY rn <= 50),
+        tp AS (SELECT *, row_number() OVER (PARTITION BY position ORDER BY projection DESC, player) AS rn FROM pr JOIN sv USING (player) QUALIFY rn <= 50),
         bl AS (SELECT a.position, a.projection AS baseline FROM tp a JOIN (SELECT position, count(*) // 2 + 1 AS place FROM tp GROUP BY 1) b ON a.position = b.position AND a.rn = b.place),
-        x AS (SELECT player, position, projection, baseline, survival, projection * survival AS ps, last_games < 6 AS stale, {CONF.format(qb="position = 'MACHINERY'", g="career_games::DOUBLE")} AS conf,
-                     CASE WHEN 1998 - last_season >= 2 THEN 0.45::DOUBLE WHEN 1998 - last_season = 1 THEN 0.70::DOUBLE WHEN last_games < 8 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS missed
+        x AS (SELECT player, position, projection, baseline, survival, projection * survival AS ps, recent_games < 12 AS stale, {CONF.format(qb="position = 'MACHINERY'", g="career_games::DOUBLE")} AS conf,
+                     CASE WHEN position <> 'MACHINERY' OR breakout_age IS NULL OR breakout_age <= 22 THEN 1.0::DOUBLE WHEN breakout_age = 23 THEN 0.95::DOUBLE WHEN breakout_age = 24 THEN 0.88::DOUBLE ELSE 0.80::DOUBLE END AS late,
+                     CASE WHEN 2001 - last_season >= 2 THEN 0.45::DOUBLE WHEN 2001 - last_season = 1 THEN 0.70::DOUBLE WHEN last_games < 8 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS missed
               FROM pr JOIN sv USING (player) LEFT JOIN bl USING (position)),
         y AS (SELECT *, CASE WHEN ps > baseline AND NOT stale THEN ps * conf + baseline * (1 - conf) ELSE ps * conf END AS shrunk FROM x)""",
-        select="SELECT player, position, round(projection, 3) AS projection, round(baseline, 3) AS baseline, round(survival, 5) AS survival, round(least(projection, greatest(0.2::DOUBLE * projection, shrunk * (1 - 0.05::DOUBLE * conf) * missed)), 3) AS final FROM y"),
+        select="SELECT player, position, round(projection, 3) AS projection, round(baseline, 3) AS baseline, round(survival, 5) AS survival, late, stale, missed, round(least(projection, greatest(0.2::DOUBLE * projection, shrunk * (1.0::DOUBLE - (1.0::DOUBLE - late) * conf) * missed)), 3) AS final FROM y"),
     "q_upper_median_top50": with_(SEASONS, CAREER, "tp AS (SELECT position, career_points, row_number() OVER (PARTITION BY position ORDER BY career_points DESC) AS rn FROM c QUALIFY rn <= 50)", select="SELECT a.position, career_points AS baseline FROM tp a JOIN (SELECT position, count(*) // 2 + 1 AS place FROM tp GROUP BY 1) b ON a.position = b.position AND rn = place"),
     "q_rank_tier": with_(SEASONS, CAREER, "r AS (SELECT player, position, career_points, row_number() OVER (ORDER BY career_points DESC, player) AS rank, row_number() OVER (PARTITION BY position ORDER BY career_points DESC, player) AS position_rank FROM c)", select=f"SELECT *, {TIER} AS tier FROM r"),
     "q_overlay_baseline": with_(SEASONS, CAREER, "n(position, n) AS (VALUES ('AUTOMOBILE', 28), ('BUILDING', 35), ('FURNITURE', 49), ('HOUSEHOLD', 20), ('MACHINERY', 16)), r AS (SELECT player, position, career_points, row_number() OVER (PARTITION BY position ORDER BY career_points DESC, player) AS rk, count(*) OVER (PARTITION BY position) AS cnt, row_number() OVER (ORDER BY career_points DESC, player) AS base_rank FROM c), b AS (SELECT position, career_points AS baseline FROM r JOIN n USING (position) WHERE rk = least(n, cnt)), v AS (SELECT player, position, career_points - baseline AS value, base_rank FROM r JOIN b USING (position)), w AS (SELECT *, row_number() OVER (ORDER BY value DESC, player) AS new_rank FROM v)", select="SELECT *, base_rank - new_rank AS rank_delta FROM w"),
-    "q_rookie_knn_widen": with_(SEASONS, """
-        r AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY player ORDER BY season) = 1),
-        lt AS (SELECT s.player, sum(s.points) AS later FROM s JOIN r ON s.player = r.player AND s.season > r.season GROUP BY 1),
-        f AS (SELECT player, position, age, season, games, rate, qty / games AS qpg, returns / games AS rpg, coalesce(later, 0) AS later FROM r LEFT JOIN lt USING (player)),
-        e AS (SELECT t.player AS target, c.player AS comp, abs(c.age - t.age) AS gap, count(*) FILTER (abs(c.age - t.age) <= 2) OVER (PARTITION BY t.player) AS n_near,
-                     1.0::DOUBLE / (1.0::DOUBLE + sqrt(8.0::DOUBLE * (t.rate - c.rate) * (t.rate - c.rate) + 0.1::DOUBLE * (t.qpg - c.qpg) * (t.qpg - c.qpg) + 0.3::DOUBLE * (t.rpg - c.rpg) * (t.rpg - c.rpg) + 20.0::DOUBLE * (t.age - c.age) * (t.age - c.age)) / 15.0::DOUBLE) AS raw,
-                     CASE WHEN c.games >= 10 THEN 1 + 0.3::DOUBLE * log2(1 + greatest(c.later, 0) / 1500.0::DOUBLE) ELSE 1.0::DOUBLE END * (1 + 0.25::DOUBLE * least(1.0::DOUBLE, greatest(0.0::DOUBLE, (c.season - 1995) / 6.0::DOUBLE))) AS boost
-              FROM f t JOIN f c ON t.position = c.position AND t.player % 2 = 0 AND c.player % 2 = 1 AND abs(c.age - t.age) <= 3),
-        k AS (SELECT *, round(raw * boost, 9) AS sim FROM e WHERE gap <= 2 OR n_near < 25),
-        b AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY sim DESC, comp) AS rank FROM k QUALIFY rank <= 25)""", select="SELECT target, comp, round(raw, 6) AS raw, round(sim, 6) AS sim, rank, n_near FROM b"),
+    "q_rookie_profile": with_(SEASONS, ROOKIES, select="SELECT player, position, season, age, games, round(rate, 6) AS rate, round(games / 17.0::DOUBLE, 6) AS played, round(qpg, 6) AS qty_pg, round(rpg, 6) AS returns_pg, round(cpg, 5) AS cents_pg, later, round(later_discounted + 0.0000001::DOUBLE, 4) AS later_discounted, later_seasons FROM f"),
+    "q_rookie_knn_widen": with_(SEASONS, ROOKIES, ROOKIE_EDGES, select="SELECT player, comp, round(raw, 6) AS raw, round(sim, 6) AS sim, rank, n_near FROM re"),
+    "q_rookie_projection": with_(SEASONS, ROOKIES, ROOKIE_EDGES, """
+        g AS (SELECT player, sum(sim * later_discounted) / CASE WHEN sum(sim) = 0 THEN 1 ELSE sum(sim) END AS comp_mean, max(later) AS best, count(*) AS n_comps, count(*) FILTER (later <= 0) / count(*) AS bust_rate FROM re GROUP BY 1),
+        x AS (SELECT f.player, games, coalesce(n_comps, 0) AS n_comps, coalesce(comp_mean, 0.0) AS comp_mean, coalesce(best, 0.0) AS best, coalesce(bust_rate, 0.0) AS bust_rate, rate,
+                     CASE position WHEN 'MACHINERY' THEN 12.0::DOUBLE WHEN 'BUILDING' THEN 7.0::DOUBLE ELSE 8.0::DOUBLE END AS len, CASE position WHEN 'MACHINERY' THEN 0.75::DOUBLE WHEN 'BUILDING' THEN 0.8::DOUBLE ELSE 0.8::DOUBLE END AS disc FROM f LEFT JOIN g USING (player) WHERE season >= 1997),
+        y AS (SELECT *, CASE WHEN n_comps > 0 THEN rate * 17.0::DOUBLE * len * disc ELSE 0 END AS anchor, CASE WHEN n_comps > 0 THEN least(1.0::DOUBLE, greatest(0.35::DOUBLE, games / 8.0::DOUBLE)) ELSE 0 END AS confidence FROM x),
+        z AS (SELECT *, CASE WHEN best > 0 THEN least(anchor, 1.25::DOUBLE * best) ELSE anchor END AS capped FROM y)""",
+        select="SELECT player, n_comps, round(comp_mean, 3) AS comp_mean, round(anchor, 3) AS anchor, round(confidence, 6) AS confidence, round(CASE WHEN capped > comp_mean THEN 0.7::DOUBLE * comp_mean + (1.0::DOUBLE - 0.7::DOUBLE) * capped ELSE comp_mean END * confidence, 3) AS projection, round(len * confidence, 5) AS years, round(bust_rate, 6) AS bust_rate FROM z"),
     "q_zscore_clip": with_(SEASONS, ZRATES, select="SELECT player, season, round(z, 6) AS z, round(adjusted, 6) AS adjusted FROM zr"),
     "q_prospect_knn": with_(SEASONS, ZRATES, """
         g AS (SELECT player, position, round(avg(adjusted), 6) AS a, round(max(adjusted), 6) AS b, round(arg_max(adjusted, season), 6) AS l, max(age) AS age, max(season) AS last_season FROM zr WHERE season <= 1998 GROUP BY 1, 2),
         z AS (SELECT player, position, age, last_season, """ + ", ".join(f"round(({x} - avg({x}) OVER w) / CASE WHEN stddev_pop({x}) OVER w <= 1e-9 OR count(*) OVER w < 2 THEN 1 ELSE stddev_pop({x}) OVER w END, 6) AS z{x}" for x in "abl") + """ FROM g WINDOW w AS (PARTITION BY position)),
         e AS (SELECT t.player AS target, p.player AS comp, sqrt(3.0::DOUBLE * (t.za - p.za) * (t.za - p.za) + 2.0::DOUBLE * (t.zb - p.zb) * (t.zb - p.zb) + 2.0::DOUBLE * (t.zl - p.zl) * (t.zl - p.zl) + 1.5::DOUBLE * (t.age - p.age) * (t.age - p.age)) AS distance
-              FROM z t JOIN z p ON t.position = p.position AND t.player % 16 = 0 AND p.player <> t.player AND p.last_season < t.last_season),
+              FROM z t JOIN z p ON t.position = p.position AND p.player <> t.player AND p.last_season < t.last_season),
         r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY distance, comp) AS rank FROM e QUALIFY rank <= 10)""", select="SELECT target, comp, round(distance, 5) AS distance, round(1.0::DOUBLE / (1.0::DOUBLE + distance), 5) AS sim, rank FROM r"),
     "q_pick_tier_blend": """
         WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 260 END AS pick, floor(o_totalprice) AS price, least(1.0::DOUBLE, (o_orderkey % 9) / 8.0::DOUBLE) AS share FROM orders),
@@ -179,15 +196,15 @@ ORACLES: dict[str, str] = {
         b AS (SELECT *, CASE tier WHEN 'R1_top10' THEN 1600 WHEN 'R1' THEN 1250 WHEN 'R2' THEN 900 WHEN 'R3' THEN 600 WHEN 'R4_5' THEN 400 WHEN 'R6' THEN 250 WHEN 'R7' THEN 180 ELSE 100 END AS base, coalesce(pick, 999) AS p FROM t)
         SELECT o_orderkey, tier, round(CASE WHEN p <= 0 THEN 100.0::DOUBLE WHEN p > 250 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * (1 - (p - 1) / 250.0::DOUBLE) END, 6) AS expected, round(price * share + base * (1 - share), 6) AS blend FROM b""",
     "q_crosswalk_cascade": """
-        WITH n AS (SELECT regexp_replace(regexp_replace(lower(c_name), '[ ](jr|sr|ii|iii|iv|v)\\.?$', ''), '[^a-z0-9]', '', 'g') AS name, c_mktsegment AS position, 'N' || c_custkey AS gid, c_custkey FROM customer),
+        WITH n AS (SELECT regexp_replace(regexp_replace(lower(c_name), '[ ](jr|sr|ii|iii|iv|v)\\.?$', ''), '[^a-z0-9]', '', 'g') AS name, c_mktsegment AS position, 'N' || c_custkey AS gid, c_custkey, c_acctbal AS bal, c_nationkey AS nat FROM customer),
         f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY name ORDER BY gid) = 1)
-        SELECT n.c_custkey, CASE WHEN n.c_custkey % 3 = 0 AND n.c_custkey % 2 = 0 THEN 'A' || n.c_custkey WHEN n.c_custkey % 3 = 1 AND n.c_custkey % 5 <> 0 THEN 'B' || n.c_custkey ELSE f.gid END AS resolved
+        SELECT n.c_custkey, CASE WHEN n.bal >= 5000 AND n.nat < 15 THEN 'A' || n.c_custkey WHEN n.bal BETWEEN 0 AND 4999 AND n.nat >= 10 THEN 'B' || n.c_custkey ELSE f.gid END AS resolved
         FROM n LEFT JOIN f ON f.name = n.name AND f.position = n.position""",
     "q_unique_match_cascade": """
-        WITH p AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size AS z FROM part), c AS (SELECT * FROM p WHERE id % 2 = 1),
-        u1 AS (SELECT b, t, z, min(id) AS id FROM c GROUP BY 1, 2, 3 HAVING count(*) = 1), u2 AS (SELECT b, z, min(id) AS id FROM c GROUP BY 1, 2 HAVING count(*) = 1), u3 AS (SELECT t, z, min(id) AS id FROM c GROUP BY 1, 2 HAVING count(*) = 1)
-        SELECT p.id AS row_id, coalesce(u1.id, u2.id, u3.id) AS resolved FROM p LEFT JOIN u1 USING (b, t, z) LEFT JOIN u2 ON u2.b = p.b AND u2.z = p.z LEFT JOIN u3 ON u3.t = p.t AND u3.z = p.z WHERE p.id % 2 = 0""",
-    "q_nearest_season": with_(SEASONS, "a AS (SELECT player AS row_id, position, max(season) AS season FROM s WHERE player % 10 = 0 GROUP BY 1, 2), b AS (SELECT player AS id, position, min(season) AS season FROM s WHERE player % 50 = 1 GROUP BY 1, 2), j AS (SELECT row_id, id, abs(a.season - b.season) AS delta FROM a LEFT JOIN b USING (position) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY delta NULLS LAST, b.season DESC, id) = 1)", select="SELECT row_id, CASE WHEN delta <= 2 THEN id END AS found, CASE WHEN delta <= 2 THEN delta END AS delta FROM j"),
+        WITH p AS (SELECT p_partkey AS id, p_brand AS b, p_type AS t, p_size AS z FROM part),
+        u1 AS (SELECT b, t, z, min(id) AS id FROM p GROUP BY 1, 2, 3 HAVING count(*) = 1), u2 AS (SELECT b, z, min(id) AS id FROM p GROUP BY 1, 2 HAVING count(*) = 1), u3 AS (SELECT t, z, min(id) AS id FROM p GROUP BY 1, 2 HAVING count(*) = 1)
+        SELECT p.id AS row_id, coalesce(u1.id, u2.id, u3.id) AS resolved FROM p LEFT JOIN u1 USING (b, t, z) LEFT JOIN u2 ON u2.b = p.b AND u2.z = p.z LEFT JOIN u3 ON u3.t = p.t AND u3.z = p.z""",
+    "q_nearest_season": with_(SEASONS, "a AS (SELECT player AS row_id, position, max(season) AS season FROM s GROUP BY 1, 2), b AS (SELECT player AS id, position, min(season) AS season FROM s GROUP BY 1, 2), j AS (SELECT row_id, id, abs(a.season - b.season) AS delta FROM a LEFT JOIN b USING (position) QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY delta NULLS LAST, b.season DESC, id) = 1)", select="SELECT row_id, CASE WHEN delta <= 2 THEN id END AS found, CASE WHEN delta <= 2 THEN delta END AS delta FROM j"),
     "q_consensus_rows": with_(SEASONS, RANKED, select="SELECT player, model_rank, outside_rank, model_rank - outside_rank AS delta FROM m JOIN o USING (player)"),
     "q_consensus_counts": with_(SEASONS, RANKED, select="SELECT count(*) FILTER (m.player IS NOT NULL AND o.player IS NOT NULL) AS matched, count(*) FILTER (o.player IS NULL) AS model_only, count(*) FILTER (m.player IS NULL) AS outside_only FROM m FULL JOIN o ON m.player = o.player"),
     "q_latest_snapshot": "SELECT event_type, user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1",
@@ -199,7 +216,7 @@ ORACLES: dict[str, str] = {
     "q_percentile_cutoffs": with_(SEASONS, PEAK3.format(s="s"), select="SELECT c_mktsegment AS position, round(quantile_cont(peak3, 0.8), 5) AS elite, round(quantile_cont(peak3, 0.3), 5) AS bust FROM pk JOIN customer ON player = c_custkey GROUP BY 1"),
     "q_ras_minmax": "WITH g AS (SELECT *, min(p_size) OVER w AS lo, max(p_size) OVER w AS hi, min(p_retailprice) OVER w AS l2, max(p_retailprice) OVER w AS h2, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, CASE WHEN n >= 5 THEN round((10.0::DOUBLE - (p_size::DOUBLE - lo) / (hi - lo) * 10.0::DOUBLE + (p_retailprice - l2) / (h2 - l2) * 10.0::DOUBLE) / 2.0::DOUBLE, 5) END AS ras FROM g",
     "q_multi_row_collapse": "WITH l AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN '3TM' ELSE 'S' || (l_suppkey % 7) END AS team, l_partkey, {'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey} AS o FROM lineitem), r AS (SELECT l_orderkey, arg_max(team, o) FILTER (team <> '3TM') AS recent_team FROM l GROUP BY 1) SELECT l_orderkey, l_linenumber, team, l_partkey, recent_team FROM (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY (team <> '3TM')::INT, o) = 1) l JOIN r USING (l_orderkey)",
-    "q_full_outer_first_nonnull": with_(SEASONS, "a AS (SELECT player, season, CASE WHEN games > 6 THEN points END AS x, games::DOUBLE AS y FROM s WHERE season % 2 = 0 AND player % 3 = 0), b AS (SELECT player, season, qty::DOUBLE AS x FROM s WHERE player % 2 = 0), d AS (SELECT player, season, returns::DOUBLE AS y, cents / 100 AS z FROM s WHERE player % 5 = 0), k AS (SELECT player, season FROM a UNION SELECT player, season FROM b UNION SELECT player, season FROM d)", select="SELECT k.player, k.season, coalesce(a.x, b.x) AS x, coalesce(a.y, d.y) AS y, d.z FROM k LEFT JOIN a USING (player, season) LEFT JOIN b USING (player, season) LEFT JOIN d USING (player, season)"),
+    "q_full_outer_first_nonnull": with_(SEASONS, "a AS (SELECT player, season, CASE WHEN games > 6 THEN points END AS x, games::DOUBLE AS y FROM s WHERE games >= 6), b AS (SELECT player, season, qty::DOUBLE AS x FROM s WHERE returns >= 2), d AS (SELECT player, season, returns::DOUBLE AS y, cents / 100 AS z FROM s WHERE qty >= 250), k AS (SELECT player, season FROM a UNION SELECT player, season FROM b UNION SELECT player, season FROM d)", select="SELECT k.player, k.season, coalesce(a.x, b.x) AS x, coalesce(a.y, d.y) AS y, d.z FROM k LEFT JOIN a USING (player, season) LEFT JOIN b USING (player, season) LEFT JOIN d USING (player, season)"),
     "q_roster_rollup": with_(SEASONS, ROSTER, select="SELECT c_nationkey AS team, c_mktsegment AS position, sum(coalesce(score, 0)) AS total, count(score) AS rated, count(*) FILTER (score IS NULL) AS unrated, arg_max(c_custkey, {'a': score, 'b': c_custkey}) FILTER (score IS NOT NULL) AS best FROM customer LEFT JOIN sc ON player = c_custkey GROUP BY 1, 2"),
     "q_power_ranks": with_(SEASONS, ROSTER, "t AS (SELECT c_nationkey AS team, sum(coalesce(score, 0)) AS total FROM customer LEFT JOIN sc ON player = c_custkey GROUP BY 1)", select="SELECT team, total, row_number() OVER (ORDER BY total DESC, team) AS power_rank, round(total - avg(total) OVER (), 4) AS above_mean FROM t"),
     "q_trade_deltas": with_(SEASONS, ROSTER, TRADES, select="SELECT * FROM tr"),
@@ -213,8 +230,8 @@ ORACLES: dict[str, str] = {
         k AS (SELECT n, CASE WHEN per < 20 THEN 'low' WHEN per < 28 THEN 'mid' ELSE 'high' END AS style, least({ERA.format('mid')}, 3) AS era FROM g),
         md AS (SELECT style, era, median(n) AS med, count(*) AS careers FROM k GROUP BY 1, 2)""", select="SELECT md.style, md.era, md.careers, round(CASE WHEN md.careers < 3 THEN 1.0 WHEN l.med IS NULL THEN 1.0 ELSE least(1.5, greatest(1.0, l.med / md.med)) END, 6) AS lift FROM md LEFT JOIN md l ON l.era = md.era AND l.style = 'low'"),
     "q_conference_tier": "WITH n AS (SELECT n_nationkey, ['Big East', 'WAC', 'SEC', 'MAC', 'American', 'Ivy'][n_nationkey % 6 + 1] AS c, unnest(range(2005, 2015))::INT AS year FROM nation) SELECT n_nationkey, year, CASE WHEN c = 'SEC' THEN 'P5' WHEN c = 'Big East' THEN CASE WHEN year <= 2012 THEN 'P5' ELSE 'G5_top' END WHEN c = 'WAC' THEN CASE WHEN year BETWEEN 2007 AND 2012 THEN 'G5_top' ELSE 'G5' END WHEN c = 'American' THEN 'G5_top' WHEN c = 'MAC' THEN 'G5' ELSE 'FCS' END AS tier FROM n",
-    "q_name_normalise_1": with_(NAMES, select=rf"SELECT doc_id, nullif(regexp_replace({_squeeze(f'regexp_replace(lower({FOLD}), {chr(39)}[.]{chr(39)}, {chr(39)*2}, {chr(39)}g{chr(39)})')}, '( ({TAIL}))+$', ''), '') AS normal FROM nm"),
-    "q_name_normalise_2": with_(NAMES, select=rf"SELECT doc_id, regexp_replace(regexp_replace(lower({FOLD}), '[ ]({TAIL})\.?$', ''), '[^a-z0-9]', '', 'g') AS normal FROM nm"),
+    "q_name_normalise_1": with_(NAMES, select=rf"SELECT doc_id, nullif({_squeeze('regexp_replace(regexp_replace(' + _squeeze(f'lower({FOLD})') + rf", '((,\s*|\s+)({TAIL})\.?)+$', ''), '[.]', '', 'g')")}, '') AS normal FROM nm"),
+    "q_name_normalise_2": with_(NAMES, select=rf"SELECT doc_id, regexp_replace(regexp_replace(trim(lower({FOLD}), ' '), '\s+({TAIL})\.?$', ''), '[^a-z0-9]', '', 'g') AS normal FROM nm"),
     "q_name_normalise_3": with_(NAMES, select=f"SELECT doc_id, {_prospect('trim(lower(name), chr(32))')} AS normal FROM nm"),
     "q_name_normalise_4": with_(NAMES, select=rf"SELECT doc_id, regexp_replace({_squeeze('regexp_replace(lower(name), ' + chr(39) + '[.,' + chr(39) * 2 + '`-]' + chr(39) + ', chr(32), ' + chr(39) + 'g' + chr(39) + ')')}, ' ({TAIL})$', '') AS normal FROM nm"),
     "q_name_normalise_5": with_(NAMES, select=f"SELECT doc_id, {_squeeze('regexp_replace(lower(name), ' + chr(39) + '[.,' + chr(39) * 2 + '`-]' + chr(39) + ', chr(32), ' + chr(39) + 'g' + chr(39) + ')')} AS normal FROM nm"),
