@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import re
 import tempfile
@@ -73,6 +74,27 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(f"`{col}`").alias(name) for name, col in names.items()))
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(operator: str) -> dict:
+    """What this process keeps for an operator from task to task; what it kept for others is let go."""
+    others = [d for name, d in _kept.items() if name != operator and d]
+    for d in others:
+        d.clear()
+    if others:
+        give_back()
+    return _kept.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Memory that was freed goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 HOT = 100_000
 
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, new_path, partitions, staged, store_of, utf8
+from ._shared import Batches, BatchFn, columns_as, kept, new_path, partitions, staged, store_of, utf8
 
 BLOCK_ROWS = 1 << 17
 OWNER_ROWS = 1 << 22  # at most so many fingerprints come to an owner
@@ -123,6 +123,7 @@ def _send(owners: int) -> BatchFn:
         return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([docs], DOC), pa.array([packets], PACKET)], ["block", "docs", "packets"])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        kept("exact")
         number, ids, shas = TaskContext.get().partitionId() << 32, [], []
         for b in batches:
             ids += b.column(0).to_pylist()

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, join_one, staged, utf8, whole_groups
+from ._shared import Batches, BatchFn, columns_as, join_one, kept, staged, utf8, whole_groups
 from .bitmaps import bitmap, has, with_bit
 from .buckets import GROUP, Forest, group_ids, grouped, pairs
 from .components import connected_components
@@ -64,6 +64,7 @@ def simhash(text: bytes, words_each: int) -> int:
 
 def _fingerprints(words_each: int) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in batches:
             fp = np.array([simhash(x, words_each) for x in utf8(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
@@ -189,6 +190,7 @@ def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
 
 def _all_shingles(words_each: int) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 sets = [shingle_set(x, words_each) for x in utf8(b.column(0).slice(lo, 256))]
@@ -210,6 +212,7 @@ def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.nd
 
 def _sets(words_each: int, common) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
@@ -225,6 +228,7 @@ def _members(words_each: int, asked) -> BatchFn:
     """The sets of documents of which the bitmap has the key."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        kept("simhash")
         for b in batches:
             own = b.filter(pa.array(has(asked.value, b.column(0).to_numpy())))
             for lo in range(0, own.num_rows, 1024):

@@ -18,14 +18,14 @@ held out."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, staged
+from ._shared import Batches, BatchFn, columns_as, give_back, kept, staged, utf8
 
 WINDOW, STRIDE = 48, 32
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
@@ -36,8 +36,8 @@ GRAMS = (3, 4, 5)
 STEPS, BATCH, RATE = 270, 128, 0.05
 RANKED = 54  # steps after which each document's top window is chosen anew
 THRESHOLD = 0.7
-KNOWN = 200_000
-LANES = 4096
+KNOWN = 1 << 16
+LANES = 1024
 # fixed value: marks that are stripped from a word's ends
 MARKS = ".,;:!?\"'()[]{}<>|*_-¡¿«»…"
 
@@ -324,14 +324,14 @@ class Scorer:
         a = np.exp(score[0] - score[0].max(axis=0))
         return (a * score[1]).sum(axis=0) / a.sum(axis=0) + p["b"][0]
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: Iterable[str]) -> np.ndarray:
         if self.p["constant"] is not None:
-            return np.full(len(texts), self.p["constant"])
+            return np.array([self.p["constant"] for _ in texts])
         out, part, n = [], [], 0
         for t in texts:
             part.append(t.split())
             n += len(part[-1])
-            if n >= 1 << 17:
+            if n >= 1 << 16:
                 out.append(self._slice(part))
                 part, n = [], 0
         out.append(self._slice(part))
@@ -377,24 +377,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows.sort(key=lambda r: r.doc_id)
     net = Network()
     net.train([r.text for r in rows], [int(r.toxic) for r in rows])
+    del rows
+    give_back()
     return net.frozen()
 
 
-_scorers: dict[str, Scorer] = {}
+def _scorer(shared) -> Scorer:
+    scorers = kept("toxicity")
+    if shared.id not in scorers:
+        scorers.clear()
+        scorers[shared.id] = Scorer(shared.value)
+    return scorers[shared.id]
 
 
-def _scorer(shared) -> Scorer:
-    if shared.id not in _scorers:
-        _scorers.clear()
-        _scorers[shared.id] = Scorer(shared.value)
-    return _scorers[shared.id]
+def _strings(column: pa.Array) -> Iterator[str]:
+    return (x.decode() for x in utf8(column))
 
 
 def _score(shared) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for b in batches:
-            scores = scorer.scores([t or "" for t in b.column(1).to_pylist()])
+            scores = scorer.scores(_strings(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -422,7 +426,7 @@ def reject(docs: DataFrame, parameters: dict, text_col: str = "text", threshold:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for b in batches:
-            clean = scorer.scores([t or "" for t in b.column(at).to_pylist()]) < threshold
+            clean = scorer.scores(_strings(b.column(at))) < threshold
             yield b.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._pieces import Memo, buffers, ids_of_texts, slices, solid_before, solid_from, whole_in_pieces
-from ._shared import Batches, BatchFn, columns_as, new_path, partitions, shared_dir, staged, store_of
+from ._shared import Batches, BatchFn, columns_as, kept, new_path, partitions, shared_dir, staged, store_of
 
 MAGIC = b"TMPF1\0\0\0"
 BLOCK = 1 << 14
@@ -246,15 +246,13 @@ class Library:
             yield ids_of_texts(self.memo, data, at, self.cut, end_id)
 
 
-_library: dict[str, Library] = {}
-
-
 def _write(folder: str, vocabulary_path: str, end_id: int) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        if vocabulary_path not in _library:
-            _library.clear()
-            _library[vocabulary_path] = Library(vocabulary_path)
-        lib, task = _library[vocabulary_path], TaskContext.get()
+        libraries, task = kept("tokens"), TaskContext.get()
+        if vocabulary_path not in libraries:
+            libraries.clear()
+            libraries[vocabulary_path] = Library(vocabulary_path)
+        lib = libraries[vocabulary_path]
         store, root = store_of(folder)
         number, writer, done = 0, None, []
 

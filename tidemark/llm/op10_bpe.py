@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import KIND, LETTER, Memo, buffers, distinct, gathered, ids_of_texts, piece_starts, slices, whole_in_pieces
-from ._shared import Batches, BatchFn, columns_as, staged
+from ._shared import Batches, BatchFn, columns_as, kept, staged
 
 LEXICON_WORDS = 1 << 15
 KNOWN = 1 << 20  # pieces remembered in a worker
@@ -284,6 +284,7 @@ def _count(special: list[str]) -> BatchFn:
     """Counts of words, combined within the task; a full table of counts is sent on and begun anew."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        kept("bpe")
         words, held, rows = Words(special), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -385,16 +386,13 @@ class Encoder:
                 yield n, hashlib.sha256(raw[lo : max(lo, hi - 1)]).hexdigest(), hashlib.sha256(back).hexdigest()
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(shared) -> Encoder:
     blob, path = shared.value
-    key = hashlib.sha256(blob).hexdigest() + path
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(Vocabulary(path), Lexicon.mapped(blob))
-    return _encoders[key]
+    encoders, key = kept("bpe"), hashlib.sha256(blob).hexdigest() + path
+    if key not in encoders:
+        encoders.clear()
+        encoders[key] = Encoder(Vocabulary(path), Lexicon.mapped(blob))
+    return encoders[key]
 
 
 def _apply(shared, make) -> BatchFn:
