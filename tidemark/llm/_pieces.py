@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 23
+SLICE = 1 << 22
 # fixed values: white space beyond ASCII, as UTF-8
 BLANK_TWO = [0xC285, 0xC2A0]
 BLANK_THREE = [0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
@@ -110,10 +110,10 @@ def whole_in_pieces(words: list[str]) -> bool:
 def gathered(values: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """Runs of `values`, one after the other."""
     parts = []
-    for lo in range(0, len(begin), 1 << 20):
-        n = count[lo : lo + (1 << 20)]
+    for lo in range(0, len(begin), 1 << 17):
+        n = count[lo : lo + (1 << 17)]
         ends = np.cumsum(n)
-        parts.append(values[np.repeat(begin[lo : lo + (1 << 20)] - ends + n, n) + np.arange(int(ends[-1]))])
+        parts.append(values[np.repeat(begin[lo : lo + (1 << 17)] - ends + n, n) + np.arange(int(ends[-1]))])
     return np.concatenate(parts) if parts else values[:0]
 
 

@@ -5,10 +5,22 @@ edges meet its minimum by broadcast; no node's neighbours are collected."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import join_one, staged
+from ._shared import hot_from, join_one, staged
+
+
+def _both(e: DataFrame) -> DataFrame:
+    return e.union(e.select("v", "u")).toDF("x", "y")
+
+
+def _known(e: DataFrame) -> tuple:
+    """(edges of the largest hub, edges counted from both ends, a sum of hashes that tells rounds apart)."""
+    h = F.xxhash64(F.greatest("x", "y"), F.least("x", "y")).cast("decimal(38,0)")
+    return tuple(_both(e).groupBy("x").agg(F.count("*").alias("n"), F.sum(h).alias("h")).agg(F.max("n"), F.sum("n"), F.sum("h")).first())
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -17,15 +29,16 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     Loops, repeated and null edges are ignored; an empty table gives an empty result."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = staged(e.distinct(), "edges")
-    before = (e.count(), None)
+    before = _known(e)
     for _ in range(max_rounds):
-        both = e.union(e.select("v", "u")).toDF("x", "y")
+        meet = functools.partial(join_one, weight="n", total=before[1] or 0) if (before[0] or 0) > hot_from(before[1] or 0) else lambda rows, one, on: rows.join(one.drop("n"), on)
+        both = _both(e)
         least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        large = join_one(both, least, ["x"], "n", 2 * before[0]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both, least, ["x"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_one(large, least, ["u"], "n", 2 * before[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m")
+        small = meet(large, least, ["u"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m")
         e = staged(small.toDF("u", "v").where("u > v").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _known(e)
         if now == before:
             break
         before = now

@@ -33,8 +33,9 @@ from ._pieces import KIND, LETTER, Memo, buffers, distinct, gathered, ids_of_tex
 from ._shared import Batches, BatchFn, columns_as, kept, staged
 
 LEXICON_WORDS = 1 << 15
-KNOWN = 1 << 20  # pieces remembered in a worker
-COUNTED = 1 << 21  # rows of counts held before they are sent on
+KNOWN = 1 << 19  # pieces remembered in a worker
+COUNTED = 1 << 19  # rows of counts held before they are sent on
+STEP = 1 << 15  # words merged in step
 LONG = 64  # bytes; longer words are merged one by one
 BITS = 24
 NEVER = 1 << 62  # the rank of a pair that does not merge
@@ -83,8 +84,17 @@ class Vocabulary:
         return np.where(self.keys[at] == key, self.ranks[at], NEVER)
 
     def merge_all(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each word's begin, how many it has): in each word the pair of lowest rank,
-        leftmost first, is merged until none is left; all words go on in step."""
+        """(ids, where each word's begin, how many it has), for a bounded number of words at a time."""
+        parts, total = [(np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for lo in range(0, len(words), STEP):
+            ids, begin, count = self._merge(words.slice(lo, STEP))
+            parts.append((ids, begin + total, count))
+            total += len(ids)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _merge(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """In each word the pair of lowest rank, leftmost first, is merged until none is left; all words
+        go on in step."""
         data, at = buffers(words)
         size = np.diff(at)
         begin, count, parts, total = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [np.zeros(0, np.int64)], 0
@@ -327,6 +337,17 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
     return [] if least is None else sorted(bytes(r.word) for r in counts.where(F.col("bar") >= least).select("word").collect())
 
 
+def bounded(runs: Iterable[tuple[np.ndarray, np.ndarray]], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same runs of texts' ids, in parts of about `most` ids; a longer text is alone."""
+    for ids, count in runs:
+        ends, lo = np.cumsum(count), 0
+        while lo < len(count):
+            first = int(ends[lo] - count[lo])
+            hi = max(lo + 1, int(np.searchsorted(ends, first + most, "right")))
+            yield ids[first : int(ends[hi - 1])], count[lo:hi]
+            lo = hi
+
+
 class Encoder:
     """Encodes texts by the lexicon, else by merging; one for each worker process."""
 
@@ -378,7 +399,7 @@ class Encoder:
 
     def digests(self, texts: pa.Array) -> Iterator[tuple[int, str, str]]:
         """(ids, digest of the ids, digest of the text that they decode to) of each text."""
-        for ids, count in self.encode(texts):
+        for ids, count in bounded(self.encode(texts)):
             data, at = buffers(self.v.names.take(pa.array(ids)))
             cuts = at[np.concatenate(([0], np.cumsum(count)))].tolist()
             raw = memoryview(data)
