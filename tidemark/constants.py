@@ -26,6 +26,10 @@ STALE_GAMES = 12
 FLOOR = 0.20
 MISSED = (0.45, 0.70, 0.85, 8)
 
+# lifts and their gates
+DECLINE_AGE, DECLINE_SHARE = 27, 0.85
+LATE_AGE, LATE_RATE = 30, 16.0
+
 # tables
 TIER_ENDS = (12, 24, 48, 72, 108, 144, 200, 260)
 PICK_TIERS = ((10, "R1_top10"), (32, "R1"), (64, "R2"), (100, "R3"), (150, "R4_5"), (200, "R6"))

@@ -78,6 +78,51 @@ def conference_tier(conference: Column, season: Column) -> Column:
     )
 
 
+# fixed values: position labels and what they count as, conferences' short names, and tiers by full name
+POSITIONS = {"QB": "QB", "RB": "RB", "HB": "RB", "FB": "RB", "TB": "RB", "WR": "WR", "FL": "WR", "SE": "WR", "SL": "WR", "WB": "WR", "TE": "TE"}
+LEADING = {"RB": "RB", "HB": "RB", "FB": "RB", "WR": "WR", "FL": "WR", "SE": "WR", "TE": "TE", "QB": "QB"}
+CONFERENCES = {"American": "American Athletic", "CUSA": "Conference USA", "MAC": "Mid-American", "MWC": "Mountain West", "Ind": "FBS Independents"}
+CONFERENCE_TIERS = {
+    "P5": ["ACC", "Big 12", "Big East", "Big Ten", "Pac-10", "Pac-12", "SEC", "FBS Independents"],
+    "G5_top": ["American Athletic", "Mountain West", "Sun Belt"],
+    "G5": ["Conference USA", "Mid-American", "WAC", "Big West"],
+    "FCS": ["Big Sky", "Big South", "CAA", "FCS Independents", "Ivy", "MEAC", "MVFC", "NEC", "OVC", "Patriot", "Pioneer", "SWAC", "Southern", "Southland", "UAC"],
+}
+
+
+def _literal_map(pairs: Mapping[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
+
+
+def any_position(label: Column) -> Column:
+    """The first part of a label such as "QB/WR" that is a skill position, else null."""
+    parts = F.split(F.upper(F.trim(label)), r"[/\\,\s]+")
+    found = F.filter(F.transform(parts, lambda p: F.try_element_at(_literal_map(POSITIONS), p)), lambda p: p.isNotNull())
+    return F.try_element_at(found, F.lit(1))
+
+
+def first_position(label: Column) -> Column:
+    """The first part of a label only."""
+    return F.try_element_at(_literal_map(LEADING), F.try_element_at(F.split(F.upper(F.trim(label)), r"[/,\-\s]"), F.lit(1)))
+
+
+def canonical_tier(conference: Column) -> Column:
+    """By the conference's full name, without its division; null if unknown."""
+    short = F.trim(F.regexp_replace(conference, r"\(.*$", ""))
+    full = F.coalesce(F.try_element_at(_literal_map(CONFERENCES), short), short)
+    return F.try_element_at(_literal_map({c: t for t, cs in CONFERENCE_TIERS.items() for c in cs}), full)
+
+
+def comp_label(points: Column, name: Column) -> Column:
+    tier_ = F.when(points >= 1800, "elite").when(points >= 1100, "above-avg").when(points >= 600, "starter").otherwise("deep")
+    return F.concat(tier_, F.lit(" ("), name, F.lit(")"))
+
+
+def first_int(*columns: str) -> Column:
+    """The first column that converts to a whole number."""
+    return F.coalesce(*(F.col(c).cast("string").try_cast("double").try_cast("int") for c in columns))
+
+
 def age_at(day: Column, birth: Column) -> Column:
     """Whole years, counting the birthday itself."""
     return F.year(day) - F.year(birth) - F.when(F.date_format(day, "MMdd") < F.date_format(birth, "MMdd"), 1).otherwise(0)

@@ -1,0 +1,5 @@
+"""The operators bound to tables: `commerce` and `scouting` register queries, `oracles` their SQL."""
+
+from . import commerce, oracles, scouting
+
+__all__ = ["commerce", "oracles", "scouting"]
