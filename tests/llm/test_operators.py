@@ -461,16 +461,38 @@ def test_html():
         ("<svg><foreignObject><p>in</p><svg>no</svg></foreignObject></svg>out", "in\n\nout"),
         ("<select><optgroup label=G><option>a<option selected>b<optgroup label=H><option label=c>no</select>d", "G\na\nb\nH\nc\nd"),
         ("<datalist><option>no</datalist><canvas>no</canvas>e", "e"),
+        ("a<br><br>b<br>c<br><br><p>d<br></p>", "a\n\nb\nc\n\nd"),
+        ("<br><br>a<br> <br>\n<br>b", "a\n\n\nb"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>e</table>", "a  | b\n   | c\ndd | e"),
+        ("<table><tr><td colspan=2 rowspan=2>wide<td>b<tr><td>c</table>", "wide | b\n |  | c"),
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z", "yes\nz"),
+        ("<div style='display:none'>no <b style='visibility: visible'>no</b></div>z", "z"),
+        ("<select style='visibility:hidden'><option label=no>no</select>z", "z"),
     ],
 )
 def test_html_shows_all_visible_text(page, text):
     assert op07_html.extract(page) == text
 
 
+def test_html_cost_is_in_proportion():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        text = op07_html.extract(page)
+        return time.process_time() - began, len(text)
+
+    for make in (lambda n: "<b>" * n + "</i>" * n, lambda n: "<ul><li>x" * n, lambda n: "<p>" + "<b>" * n + "<div>" * n, lambda n: "<td>" * n + "</p>" * n):
+        (a, _), (b, size) = took(make(2000)), took(make(16000))
+        assert b < 30 * a + 0.5 and size <= 16000 * (2 * op07_html.DEPTH + 4)
+
+
 def test_html_table(spark):
     rows = [(1, None), (2, ""), (3, "<p>x"), (3, "<p>x"), (4, "<div>" * 5000 + "deep"), (5, "<a href='unclosed"), (None, "&lt;&#233;")]
     got = {(r.page_id, r.text) for r in op07_html.extract_pages(spark.createDataFrame(rows, "page_id long, html string")).collect()}
     assert got == {(1, ""), (2, ""), (3, "x"), (4, "deep"), (5, "<a href='unclosed"), (None, "<é")}
+    clash = spark.createDataFrame([(1, "<p>x", "y", 2)], "page_id long, html string, text string, n_chars int")
+    assert [(r.text, r.n_chars) for r in op07_html.extract_pages(clash).collect()] == [("x", 1)] and op07_html.extract_pages(clash.limit(0)).count() == 0
 
 
 def reference_ids(texts):

@@ -2,10 +2,12 @@
 
 A tree is built with the tags that HTML implies (a block ends an open paragraph, an item the
 item before it, a cell the cell before it, the end of an element all that are open in it).
-An open head ends where the body must begin.  Hidden elements are left out.  What remains is laid out: blocks on lines of their own, with a
-blank line around paragraphs and headings, list items with bullets or numbers and indented by
-their depth, tables with cells padded to their column's width, a selection's options on lines of
-their own; of SVG its text elements.
+An open head ends where the body must begin.  Elements that an attribute or an inline style hides
+are left out (style sheets are not read); in what is merely invisible, visible parts are shown.  What
+remains is laid out: blocks on lines of their own, with a blank line around paragraphs and headings,
+line breaks in a row as blank lines, list items with bullets or numbers and indented by their depth
+(up to DEPTH levels), tables with cells padded to their column's width and kept below each other past
+cells that span rows, a selection's options on lines of their own; of SVG its text elements.
 
 Cases: null and empty pages give an empty text; broken and unclosed markup, and nesting of any
 depth, are rendered as far as they go; repeated rows are each returned; an empty table gives an
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,16 +54,21 @@ BARRIER = frozenset({"table", "td", "th", "caption", "html", "button"})
 
 TOKEN = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*)[^>]*+>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+DEPTH = 40
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
 class Element:
-    __slots__ = ("attributes", "children", "hidden", "tag")
+    __slots__ = ("attributes", "children", "hidden", "tag", "visible")
 
     def __init__(self, tag: str, attributes: dict[str, str]) -> None:
         self.tag, self.attributes, self.children = tag, attributes, []
-        self.hidden = tag in UNSEEN or "hidden" in attributes or (tag == "input") or (bool(attributes.get("style")) and bool(HIDING.search(attributes["style"])))
+        style = attributes.get("style") or ""
+        self.hidden = tag in UNSEEN or "hidden" in attributes or tag == "input" or bool(style and HIDING.search(style))
+        said = VISIBILITY.findall(style) if style else []
+        self.visible = said[-1].lower() == "visible" if said else None  # None: as around it
 
 
 def attributes_of(text: str) -> dict[str, str]:
@@ -76,15 +84,22 @@ def parse(page: str) -> Element:
     """The tree of a page, below a root of its own."""
     root = Element("#root", {})
     stack, at, n = [root], 0, len(page)
+    opened: Counter = Counter()  # open elements by tag, so that none is looked for in vain
 
     def close(count: int) -> None:
+        for e in stack[count:]:
+            opened[e.tag] -= 1
         del stack[count:]
 
+    def open_(node: Element) -> None:
+        opened[node.tag] += 1
+        stack.append(node)
+
     def text(s: str) -> None:
         if s:
             s = html.unescape(s) if "&" in s else s
             if stack[-1].tag == "head" and s.strip(" \t\n\f\r"):  # the body begins without a tag
-                stack.pop()
+                close(len(stack) - 1)
             stack[-1].children.append(s)
 
     while at < n:
@@ -96,7 +111,7 @@ def parse(page: str) -> Element:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 if stack[k].tag == tag:
                     close(k)
                     break
@@ -112,8 +127,8 @@ def parse(page: str) -> Element:
             continue
         tag = m[2].lower()
         if stack[-1].tag == "head" and tag not in IN_HEAD:
-            stack.pop()
-        if tag in IMPLIED:
+            close(len(stack) - 1)
+        if tag in IMPLIED and any(opened[e] for e in IMPLIED[tag][0]):
             ends, scope = IMPLIED[tag]
             last = None
             for k in range(len(stack) - 1, 0, -1):
@@ -123,7 +138,7 @@ def parse(page: str) -> Element:
                     last = k
             if last is not None:
                 close(last)
-        if tag in ENDS_P:
+        if tag in ENDS_P and opened["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == "p":
                     close(k)
@@ -133,7 +148,7 @@ def parse(page: str) -> Element:
         if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
             row = Element("tr", {})
             stack[-1].children.append(row)
-            stack.append(row)
+            open_(row)
         node = Element(tag, attributes_of(m[3]))
         stack[-1].children.append(node)
         if tag in RAW:
@@ -141,7 +156,7 @@ def parse(page: str) -> Element:
             node.children.append(page[at : end.start() if end else n])
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
-            stack.append(node)
+            open_(node)
     return root
 
 
@@ -151,10 +166,23 @@ class Lines:
     def __init__(self) -> None:
         self.lines: list[str] = []
         self.parts: list[str] = []
-        self.space = self.gap = False
+        self.space = self.gap = self.broken = False
+        self.breaks = 0  # line breaks in a row, beyond the first
         self.indents: list[str] = []
         self.bullet = ""
 
+    def line_break(self) -> None:
+        if self.parts:
+            self.end()
+            self.broken = True
+        else:
+            self.breaks += self.broken
+
+    def block(self) -> None:
+        """A block begins or ends here; breaks before it show nothing."""
+        self.end()
+        self.broken, self.breaks = False, 0
+
     def write(self, s: str) -> None:
         s = SPACE.sub(" ", s)
         if s[0] == " ":
@@ -162,6 +190,9 @@ class Lines:
             s = s[1:]
         if not s:
             return
+        for _ in range(self.breaks):
+            self.put("")
+        self.broken, self.breaks = False, 0
         tail = s[-1] == " "
         if self.parts and self.space:
             self.parts.append(" ")
@@ -178,23 +209,35 @@ class Lines:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        indent = "".join(self.indents)
+        indent = "".join(self.indents[:DEPTH])
         if self.bullet:
             indent = indent[: len(indent) - len(self.bullet)] + self.bullet
             self.bullet = ""
         self.lines.append((indent + line).rstrip())
 
 
-def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
-    """Rows of (cell text, columns it spans), padded so that columns stand below each other."""
+def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Rows of (cell text, columns it spans, rows it spans), padded so that columns stand below each
+    other; where a cell from above still stands, its columns are empty."""
     width: dict[int, int] = {}
-    split = [[(cell.split("\n"), span) for cell, span in row] for row in rows]
-    for row in split:
-        at = 0
-        for cell, span in row:
+    split: list[list[tuple[list[str], int]]] = []
+    above: dict[int, int] = {}  # column -> rows that a cell from above still takes
+    for row in rows:
+        placed: list[tuple[list[str], int]] = []
+        at, taken = 0, {}
+        for cell, span, down in row:
+            while above.get(at):
+                placed.append(([""], 1))
+                at += 1
+            text = cell.split("\n")
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, cell))
+                width[at] = max(width.get(at, 0), *map(len, text))
+            placed.append((text, span))
+            if down > 1:
+                taken |= {x: down - 1 for x in range(at, at + span)}
             at += span
+        above = {x: n - 1 for x, n in above.items() if n > 1} | taken
+        split.append(placed)
     out = []
     for row in split:
         for k in range(max((len(c) for c, _ in row), default=0)):
@@ -207,17 +250,24 @@ def table_lines(rows: list[list[tuple[str, int]]]) -> list[str]:
     return out
 
 
+def spanned(attributes: dict[str, str], name: str, whole: int = 1) -> int:
+    """A cell's span, 1,000 at most; `whole` where it is 0."""
+    text = attributes.get(name, "1").strip()
+    n = int(text) if text.isdecimal() and len(text) < 9 else 1
+    return min(1000, n) or whole
+
+
 def render(root: Element) -> str:
     """The visible text.  The walk keeps its own stack, so depth is not bounded."""
     outs, tables, lists = [Lines()], [], []
-    todo: list = [(root, 0)]
+    todo: list = [(root, 0, True)]  # node, whether it is done, whether what surrounds it is visible
     pre = 0
     drawn: list[int] = []  # for each open svg, how many of its text elements are open
     while todo:
-        node, done = todo.pop()
+        node, done, seen = todo.pop()
         out = outs[-1]
         if isinstance(node, str):
-            if drawn and not drawn[-1]:
+            if not seen or (drawn and not drawn[-1]):
                 continue
             if pre:
                 *whole, rest = node.split("\n")
@@ -234,8 +284,9 @@ def render(root: Element) -> str:
         if not done:
             if node.hidden or (drawn and not drawn[-1] and tag in SVG_UNSEEN):
                 continue
-            if tag in ("option", "optgroup") and node.attributes.get("label"):
-                out.end()
+            seen = seen if node.visible is None else node.visible
+            if tag in ("option", "optgroup") and node.attributes.get("label") and seen:
+                out.block()
                 out.write(node.attributes["label"])
                 out.end()
                 if tag == "option":
@@ -245,15 +296,14 @@ def render(root: Element) -> str:
             elif tag in ("text", "foreignobject") and drawn:
                 drawn[-1] += 1
             if tag == "br":
-                if out.parts:
-                    out.end()
+                out.line_break()
                 continue
             if tag == "img":
-                if node.attributes.get("alt"):
+                if node.attributes.get("alt") and seen:
                     out.write(node.attributes["alt"])
                 continue
             if tag in BLOCK:
-                out.end()
+                out.block()
                 out.gap |= tag in SPACED and not (tag in ("ul", "ol") and lists)
             if tag == "hr":
                 out.put("----")
@@ -279,8 +329,8 @@ def render(root: Element) -> str:
                 if not tables[-1]:
                     tables[-1].append([])
                 outs.append(Lines())
-            todo.append((node, 1))
-            todo += [(c, 0) for c in reversed(node.children)]
+            todo.append((node, 1, seen))
+            todo += [(c, 0, seen) for c in reversed(node.children)]
             continue
         if tag == "svg":
             drawn.pop()
@@ -290,11 +340,10 @@ def render(root: Element) -> str:
         if tag in ("td", "th") and tables:
             cell = outs.pop()
             cell.end()
-            span = node.attributes.get("colspan", "1")
-            tables[-1][-1].append(("\n".join(cell.lines), max(1, min(1000, int(span))) if span.isdigit() and len(span) < 9 else 1))
+            tables[-1][-1].append(("\n".join(cell.lines), spanned(node.attributes, "colspan"), spanned(node.attributes, "rowspan", 1000)))
             continue
         if tag in BLOCK:
-            out.end()
+            out.block()
             out.gap |= tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1)
         if tag in ("ul", "ol", "menu", "dir"):
             lists.pop()
