@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def correlation(x: str, y: str) -> Column:
+    """An aggregate; null without spread, where corr() would divide by zero."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
     """Ranks from the smallest, ties share their mean rank; within groups."""
     order, same = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
@@ -15,7 +20,7 @@ def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataF
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 2) -> DataFrame:
     """Rank correlation with average ties; 0 for fewer than `least` rows or no spread."""
     r = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
-    rho = F.when((F.count("*") < least) | (F.stddev_pop("_rx") == 0) | (F.stddev_pop("_ry") == 0), 0.0).otherwise(F.corr("_rx", "_ry"))
+    rho = F.when((F.count("*") < least) | (F.stddev_pop("_rx") == 0) | (F.stddev_pop("_ry") == 0), 0.0).otherwise(correlation("_rx", "_ry"))
     return r.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import expected_at_pick
-from .evaluation import average_ranks
+from .evaluation import average_ranks, correlation
 
 
 def top_assets(roster: DataFrame, scores: DataFrame, n: int = 5) -> DataFrame:
@@ -57,7 +57,7 @@ def source_backtest(rows: DataFrame, by: list[str], rank: str, actual: str, item
     own = Window.partitionBy(*by)
     r = r.withColumns({"_s": F.row_number().over(own.orderBy(rank, item)), "_a": F.row_number().over(own.orderBy(F.desc(actual), item))})
     hit = lambda k: F.when(F.count("*") >= k, F.count_if((F.col("_s") <= k) & (F.col("_a") <= k)) / F.lit(k))
-    rho = F.when((F.stddev_pop("_x") == 0) | (F.stddev_pop("_y") == 0), None).otherwise(F.corr("_x", "_y"))
+    rho = correlation("_x", "_y")
     g = r.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"), F.avg(F.abs(F.col("_s") - F.col("_a"))).alias("mae"), hit(12).alias("hit12"), hit(24).alias("hit24"))
     return g.where(F.col("n") >= least).withColumn("r2", F.col("rho") * F.col("rho"))
 
@@ -65,7 +65,7 @@ def source_backtest(rows: DataFrame, by: list[str], rank: str, actual: str, item
 def pearson(rows: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> DataFrame:
     """Correlation; 0 for fewer than `least` rows or no spread."""
     none = (F.count("*") < least) | (F.stddev_pop(x) == 0) | (F.stddev_pop(y) == 0)
-    return rows.groupBy(*by).agg(F.when(none, 0.0).otherwise(F.corr(x, y)).alias("r"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.when(none, 0.0).otherwise(correlation(x, y)).alias("r"), F.count("*").alias("n"))
 
 
 def differences(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
