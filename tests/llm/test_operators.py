@@ -228,7 +228,7 @@ def test_simhash_links_in_crowded_buckets(spark):
     assert {int(f): got.get(int(f), int(f)) for f in fp.view(np.int64)} == dict(zip(fp.view(np.int64).tolist(), label.tolist(), strict=True))
 
 
-def test_near_copies_go_and_others_stay(spark):
+def test_near_copies_go_and_others_stay(spark, monkeypatch):
     r = random.Random(8)
     base = [[w for w in words(r, 300).split()] for _ in range(6)]
     rows = [(k, " ".join(b)) for k, b in enumerate(base)]
@@ -238,10 +238,12 @@ def test_near_copies_go_and_others_stay(spark):
         rows.append((10 + k, " ".join(c)))
     rows += [(50, None), (None, "x y z"), (12, "another text of the same id " + " ".join(base[2][:9]))]
     docs = spark.createDataFrame([(*x, 1, 2, 3, 4, 5) for x in rows], "doc_id long, text string, _gone int, `row` int, id int, of int, own int")
-    kept = op03_simhash.keep_one_of_each(docs)
-    assert kept.columns == docs.columns
-    got = kept.collect()
-    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 12, 50, None} and [r.text[:7] for r in got if r.doc_id == 12] == ["another"]
+    for few in (op03_simhash.FEW_GONE, 0):
+        monkeypatch.setattr(op03_simhash, "FEW_GONE", few)
+        kept = op03_simhash.keep_one_of_each(docs)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 12, 50, None} and [r.text[:7] for r in got if r.doc_id == 12] == ["another"]
     assert op03_simhash.keep_one_of_each(docs.limit(0)).count() == 0
 
 

@@ -152,6 +152,7 @@ LIMIT = 69  # of 256 bits: a Jaccard similarity of 0.8 has 39 that differ, give
 LEAST = 64  # sets of fewer shingles are not judged by their fingerprints, which scatter more
 SAMPLE = 5_000  # documents from which common shingles are learnt, and how many of those are
 COMMON = 200_000
+FEW_GONE = 500_000  # so many ids and hashes of rows that go are broadcast
 BLOCK_HASHES = 1 << 19  # of prefixes, in a block
 SETS = 256  # sets of one candidate group that are compared in one task, twice
 
@@ -402,8 +403,12 @@ def keep_one_of_each(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id
     another text with the same id is judged by its own group.  Rows with a null id stay."""
     gone = _similar(docs, words_each, id_col, text_col).where("doc_id is not null and not (doc_id <=> component_id)")
     gone = staged(gone.select("doc_id", "th", F.xxhash64("doc_id", "th").alias("key")).distinct(), "gone")
-    asked = docs.sparkSession.sparkContext.broadcast(bitmap(gone, "key"))
     own = [F.col(f"`{id_col}`").cast("long"), F.xxhash64(f"`{text_col}`")]
     held = docs.select(F.struct("*").alias("row"), *(c.alias(name) for c, name in zip(own, ("id", "of"), strict=True)), F.xxhash64(*own).alias("own"))
-    some = with_bit(held, "own", asked, True).join(gone, (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("th")), "left_anti")
+    same = (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("th"))
+    if gone.count() <= FEW_GONE:
+        return held.join(F.broadcast(gone), same, "left_anti").select("row.*")
+    # too many to broadcast: a bitmap tells most of the rows that stay, the others are shuffled
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap(gone, "key"))
+    some = with_bit(held, "own", asked, True).join(gone, same, "left_anti")
     return with_bit(held, "own", asked, False).union(some).select("row.*")
