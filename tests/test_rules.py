@@ -186,3 +186,34 @@ def test_nearest_season_meets_no_whole_position(spark):
         frame.join = join
     assert len(got) == 1000 and {(g.c_id, g.delta) for g in got} == {(0, 0)}
     assert seen.value == 1000
+
+
+def test_player_dimension_prefers_the_last_skill_row(spark):
+    main = spark.createDataFrame([("a", "K", 1), ("a", "QB", 2), ("a", "P", 3), ("b", "K", 4), ("b", "P", 5), ("", "QB", 6), (None, "QB", 7), ("c", "WR", 8)], "id string, position string, order int")
+    side = spark.createDataFrame([("c", "TE", "x", 1), ("d", "K", "y", 2)], "id string, position string, note string, order int")
+    got = {r.id: (r.position, r.note) for r in identity.player_dimension([main, side], "id", "position").collect()}
+    assert got == {"a": ("QB", None), "b": ("K", None), "c": ("TE", "x"), "d": ("K", "y")}
+
+
+def test_crosswalk_maps_know_who_wins(spark):
+    rows = spark.createDataFrame([("g1", "k1", "m1", "ann", "QB", 1), ("g2", "k1", "NA", "ann", "QB", 2), ("NA", "k9", "m9", "bob", "WR", 3), (None, "k8", "", "cy", "WR", 4), ("g3", "", "m1", "ann", "WR", 5)], "gid string, k string, m string, name string, position string, order int")
+    maps = identity.crosswalk_maps(rows, "gid", ["k", "m"], "name")
+    assert {r.k: r.gid for r in maps["k"].collect()} == {"k1": "g2"} and {r.m: r.gid for r in maps["m"].collect()} == {"m1": "g3"}
+    assert {(r.name, r.position): r.gid for r in maps["name"].collect()} == {("ann", "QB"): "g1", ("ann", "WR"): "g3"}
+
+
+def test_import_finds_new_players(spark):
+    players = spark.createDataFrame([("ann", "QB")], "match_name string, position string")
+    rows = spark.createDataFrame([("ANN", "QB", 1), ("Bob", "WR", 2), ("bob", "WR", 3)], "name string, position string, rank int")
+    stamped, new = identity.imported(rows, players, F.lower("name"), ["position"], "2024-01-02 00:00:00")
+    assert stamped.count() == 3 and [tuple(r) for r in new.collect()] == [("bob", "WR")]
+    assert {str(r.captured_at) for r in stamped.collect()} == {"2024-01-02 00:00:00"}
+
+
+def test_sync_resolves_fills_and_creates(spark):
+    players = spark.createDataFrame([(1, "s1", None, "ann", "QB", None), (2, None, "g2", "bob", "WR", "old"), (3, None, None, "bob", "TE", None)], "pid int, sid string, gid string, name string, position string, team string")
+    records = spark.createDataFrame([("s1", None, "x", "QB", "new"), ("s9", "g2", "y", "WR", "new"), ("s8", None, "bob", "TE", "new"), ("s7", None, "zed", "QB", "new")], "sid string, gid string, name string, position string, team string")
+    out, filled, new = identity.synced(records, players, [["sid"], ["gid"], ["name", "position"], ["name"]], "pid", ["sid", "gid", "team"])
+    assert {r.sid: r.resolved for r in out.collect()} == {"s1": 1, "s9": 2, "s8": 3, "s7": None}
+    assert {r.pid: (r.sid, r.gid, r.team) for r in filled.collect()} == {1: ("s1", None, "new"), 2: ("s9", "g2", "old"), 3: ("s8", None, "new")}
+    assert [r.name for r in new.collect()] == ["zed"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,47 @@ def fill_only(base: DataFrame, update: DataFrame, key: str, columns: list[str])
     """Upsert that never overwrites: what is missing is filled, new keys are added."""
     u = update.select(key, *(F.col(c).alias(f"_u_{c}") for c in columns))
     return base.join(u, key, "full_outer").select(key, *(F.coalesce(c, f"_u_{c}").alias(c) for c in columns))
+
+
+SKILL = ("QB", "RB", "WR", "TE")
+
+
+def player_dimension(files: list[DataFrame], key: str, position: str, skill: tuple[str, ...] = SKILL) -> DataFrame:
+    """One row per player of several files in turn, each with an `order` of its rows: the last one of a
+    skill position, else the first."""
+    both = files[0].withColumn("_at", F.struct(F.lit(0).alias("file"), F.col("order").cast("long").alias("row")))
+    for k, f in enumerate(files[1:], 1):
+        both = both.unionByName(f.withColumn("_at", F.struct(F.lit(k).alias("file"), F.col("order").cast("long").alias("row"))), allowMissingColumns=True)
+    columns = [c for c in both.columns if c not in ("order", "_at")]
+    good = F.col(position).isin(*skill)
+    row = F.struct(*columns)
+    g = both.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(F.col(key).alias("_key")).agg(F.max_by(row, F.when(good, F.col("_at"))).alias("_good"), F.min_by(row, F.col("_at")).alias("_first"))
+    return g.select(F.coalesce("_good", "_first").alias("_row")).select("_row.*")
+
+
+def crosswalk_maps(rows: DataFrame, found: str, ids: list[str], name: str, order: str = "order") -> dict[str, DataFrame]:
+    """A lookup for each id (the last row wins) and one for the name with its position (the first wins);
+    rows without a usable id to find are left out."""
+    usable = rows.where(F.col(found).isNotNull() & ~F.trim(F.upper(found)).isin("", "NA"))
+    filled = lambda c: F.col(c).isNotNull() & ~F.trim(F.upper(c)).isin("", "NA")
+    maps = {c: usable.where(filled(c)).groupBy(c).agg(F.max_by(found, order).alias(found)) for c in ids}
+    maps[name] = usable.where(filled(name)).groupBy(name, "position").agg(F.min_by(found, order).alias(found))
+    return maps
+
+
+def imported(rankings: DataFrame, players: DataFrame, name: Column, keys: list[str], captured_at: str) -> tuple[DataFrame, DataFrame]:
+    """(ranking rows stamped with captured_at, rows for players that `players` lacks): by the
+    normalised name and the other keys."""
+    stamped = rankings.withColumn("match_name", name).withColumn("captured_at", F.lit(captured_at).cast("timestamp"))
+    new = stamped.select("match_name", *keys).distinct().join(players.select("match_name", *keys), ["match_name", *keys], "left_anti")
+    return stamped, new
+
+
+def synced(records: DataFrame, players: DataFrame, steps: list[list[str]], found: str, columns: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records with the player they resolve to, players with what was missing filled in, records that
+    need a new player): each step's columns are tried in turn, the player with the least id first."""
+    lookups = [(keys, players.where(functools.reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))).groupBy(*keys).agg(F.min(found).alias(found))) for keys in steps]
+    out = cascade(records, lookups, found)
+    known = out.where("resolved is not null")
+    update = known.groupBy(F.col("resolved").alias(found)).agg(*(F.first(c, ignorenulls=True).alias(c) for c in columns))
+    return out, fill_only(players, update, found, columns), out.where("resolved is null").drop("resolved")
