@@ -566,6 +566,8 @@ def test_embeddings(spark):
     if found == whole:
         assert all(got[k][1:] == (label[k], label[k] == k) for k in range(len(rows)))
     assert op09_embedding_dedup.embedding_groups(df.limit(0)).count() == 0
+    clash = df.limit(40).selectExpr("*", "1 AS node", "2 AS code", "'k' AS key", "3 AS vec", "4 AS times")
+    assert op09_embedding_dedup.embedding_groups(clash).count() == 40
 
 
 def test_bpe(docs, none):
@@ -665,8 +667,10 @@ def test_pipeline(spark, tmp_path):
     r = random.Random(9)
     rows = [(k, words(r, 80)) for k in range(60)]
     rows += [(100, rows[0][1].replace("a", "A").replace("d", "D")), (101, rows[1][1] + " end"), (102, "snerk " + rows[2][1])]
-    d = [(i, t, "en", "a" if i % 2 else "b", len(t)) for i, t in rows]
-    spark.createDataFrame(d, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows += [(200, None), (201, ""), (202, " \n"), (203, "one two"), (203, "one two"), (None, "no id at all"), (None, None), (204, words(r, 9000))]
+    d = [(i, t, "en", "a" if i and i % 2 else None if i == 203 else "b", len(t or ""), 1, "x", 2) for i, t in rows]
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _kept int, `row` string, node int"
+    spark.createDataFrame(d, columns).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     import corpus_pipeline
 
@@ -674,10 +678,20 @@ def test_pipeline(spark, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        ids = {x.doc_id for x in docs.collect()}
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_kept", "row", "node"]
+        held = [(x.doc_id, x.text) for x in docs.collect()]
+        ids = {x for x, _ in held}
+        if name == "toxicity":  # no toxic label: nothing is rejected
+            assert len(held) == len(rows)
         if name == "exact_dedup":
+            want = {}
+            for x, t in rows:
+                want[lower(t or "")] = max(want.get(lower(t or ""), -1), -1 if x is None else x)
+            assert sorted(-1 if x is None else x for x, _ in held) == sorted(want.values())
             assert 0 not in ids and 100 in ids
         if name == "simhash_near_dedup":
             assert 1 in ids and 101 not in ids and {k for k in range(3, 60)} <= ids
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+    empty = spark.createDataFrame([], columns)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
