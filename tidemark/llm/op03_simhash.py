@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, join_one, kept, staged, utf8, whole_groups
+from ._shared import Batches, BatchFn, columns_as, join_one, kept, staged, tidy, utf8, whole_groups
 from .bitmaps import bitmap, has, with_bit
 from .buckets import GROUP, Forest, group_ids, grouped, pairs
 from .components import connected_components
@@ -204,7 +204,7 @@ def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.nd
     """Hashes of the commonest shingles in a sample, sorted, and their counts.  They only decide an order."""
     every = max(1, docs.count() // SAMPLE)
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
-    seen = some.mapInArrow(_all_shingles(words_each), "h long").groupBy("h").count().where("count > 2")
+    seen = some.mapInArrow(tidy(_all_shingles(words_each)), "h long").groupBy("h").count().where("count > 2")
     top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
     h, times = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(h)
@@ -308,10 +308,10 @@ def meeting(rows: DataFrame) -> DataFrame:
     are sent compressed to the owners of their ranges, which send back a bit for each."""
     spark = rows.sparkSession
     n = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    sent = staged(rows.mapInArrow(_sent(owners_for(n, spark)), "block long, check long, packets array<struct<owner: int, first: int, n: int, k: int, unary: binary, rest: binary>>"), "blocks")
+    sent = staged(rows.mapInArrow(tidy(_sent(owners_for(n, spark))), "block long, check long, packets array<struct<owner: int, first: int, n: int, k: int, unary: binary, rest: binary>>"), "blocks")
     answers = answers_of(sent.select("block", F.inline("packets"))).withColumn("check", F.lit(None).cast("long"))
     checks = sent.select("block", F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("bits"), "check")
-    return rows.mapInArrow(_meet(write_marks(answers.union(checks))), "node long, bucket long")
+    return rows.mapInArrow(tidy(_meet(write_marks(answers.union(checks)))), "node long, bucket long")
 
 
 def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,20 +380,20 @@ def _similar(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> Da
     spark = docs.sparkSession
     docs = columns_as(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words_each))
-    prints = staged(docs.mapInArrow(_sets(words_each, common), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
+    prints = staged(docs.mapInArrow(tidy(_sets(words_each, common)), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
     nodes = staged(nodes, "nodes")
 
     met = staged(meeting(nodes.select("node", "prefix")), "meeting")
     rows = staged(met.join(nodes.select("node", "n", "fp"), "node"), "candidates")
-    loose = connected_components(grouped(rows, "node", CAP).mapInArrow(_candidates, "a long, b long")).withColumnRenamed("node", "part")
+    loose = connected_components(grouped(rows, "node", CAP).mapInArrow(tidy(_candidates), "a long, b long")).withColumnRenamed("node", "part")
 
     # the set of one document for each node that has a candidate: a bitmap says which documents to read
     chosen = staged(nodes.join(loose, F.col("node") == F.col("part")).select(F.col("component").alias("bucket"), "node", "fp", F.xxhash64("one.doc_id", "one.th").alias("key")), "chosen")
     asked = spark.sparkContext.broadcast(bitmap(chosen, "key"))
-    found = docs.select(F.xxhash64("doc_id", "th").alias("key"), "text").mapInArrow(_members(words_each, asked), "node long, hashes binary")
+    found = docs.select(F.xxhash64("doc_id", "th").alias("key"), "text").mapInArrow(tidy(_members(words_each, asked)), "node long, hashes binary")
     sets = staged(found.join(chosen.select("bucket", "node", "fp"), "node").select("bucket", "node", "fp", "hashes"), "members")
-    parts = connected_components(grouped(sets, "node", SETS).mapInArrow(_verified, "a long, b long"))
+    parts = connected_components(grouped(sets, "node", SETS).mapInArrow(tidy(_verified), "a long, b long"))
 
     return labelled(prints.select("doc_id", "th", "node"), nodes.select("node", "first_id", F.col("times").alias("n")), parts).select("doc_id", "th", "component_id")
 
