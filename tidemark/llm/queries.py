@@ -79,13 +79,32 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Bpe(docs, byte_bpe()).digests(docs)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op11_periodic_runs import collapse_runs, planted, run_digests
+
+    return run_digests(collapse_runs(table(spark, sf_dir, "documents"), loop=planted()))
+
+
+def op12_elkan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op12_elkan import cluster_report
+
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_token_counts import TokenCounts
+
+    docs = table(spark, sf_dir, "documents")
+    return TokenCounts(docs, byte_bpe()).counts(docs)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_warc, op5_mixing, op6_toxicity, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_dedup, op3_simhash, op4_warc, op5_mixing, op6_toxicity, op7_html, op8_token_file, op9_embedding_dedup, op10_bpe, op11_periodic_runs, op12_elkan, op13_token_counts, pipeline)}
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
