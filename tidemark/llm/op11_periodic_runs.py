@@ -155,6 +155,7 @@ def main_lorentz(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, min_length
     ext = Extensions(ids, begin, end)
     lo = np.unique(begin)
     hi = end[lo]
+    aside = min(repeats // 2, 2)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(lo := lo[(wide := hi - lo >= min_length)]):
         hi = hi[wide]
@@ -163,11 +164,12 @@ def main_lorentz(ids: np.ndarray, begin: np.ndarray, end: np.ndarray, min_length
         own = np.repeat(np.arange(len(lo)), most)
         p = np.arange(len(own)) - np.repeat(np.cumsum(most) - most, most) + 1
         m, j = mid[own], np.frexp(p)[1].astype(np.int64) - 1
-        # a run across the middle has two periods on one side of it: right of it, then left of it
-        for x, inside in ((m, m + 2 * p <= hi[own]), (m - 2 * p, m - 2 * p >= lo[own])):
+        # a run across the middle has `aside` periods on one side of it: right of it, then left of it
+        for x, inside in ((m, m + aside * p <= hi[own]), (m - aside * p, m - aside * p >= lo[own])):
             x, q, i = x[inside], p[inside], j[inside]
-            same = ext.equal(i, x, x + q) & ext.equal(i, x + q - (1 << i), x + 2 * q - (1 << i))
-            x, q = x[same], q[same]
+            if aside == 2:
+                same = ext.equal(i, x, x + q) & ext.equal(i, x + q - (1 << i), x + 2 * q - (1 << i))
+                x, q = x[same], q[same]
             start, stop = x - ext.behind(x, x + q), x + q + ext.ahead(x, x + q)
             long = stop - start >= np.maximum(min_length, repeats * q)
             found.append((start[long], stop[long], q[long]))

@@ -114,7 +114,7 @@ class Centroids:
 
     @staticmethod
     def _array(rows: list[list[int]]) -> np.ndarray:
-        x = np.array(rows, object).reshape(len(rows), -1)
+        x = np.array(rows, object).reshape(len(rows), len(rows[0]) if rows else 0)
         return x.astype(np.int64) if not x.size or max(abs(v) for v in x.ravel()) <= SMALL else x
 
 

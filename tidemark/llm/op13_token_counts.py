@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ def pre_tokens(words: Words, data: np.ndarray, texts: np.ndarray) -> tuple[pa.Ar
     return pa.concat_arrays([pieces.take(pa.array(plain)), split]), piece, which, starts
 
 
-def cut(words: pa.Array, n: np.ndarray, most: int = SUMMARY) -> tuple[pa.Array, np.ndarray]:
+def cut(words: pa.Array, n: np.ndarray, most: int) -> tuple[pa.Array, np.ndarray]:
     """At most `most` counters: the next largest count is taken from all, what is left above zero stays.
     A word's count falls short by at most a (most + 1)-th of all that was counted."""
     if len(n) > most:
@@ -75,7 +75,7 @@ def _as_row(part: int, words: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), *lists], ["part", "words", "counts"])
 
 
-def _summary(special: list[str]) -> BatchFn:
+def _summary(special: list[str], most: int) -> BatchFn:
     """One row for a task: the counters of its documents' pre-tokens."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -89,33 +89,37 @@ def _summary(special: list[str]) -> BatchFn:
                 held.append((tokens, np.bincount(which, minlength=int(piece.max()) + 1)[piece]))
                 rows += len(tokens)
                 if rows > HELD:
-                    total, held, rows = _gather([total, *held]), [], 0
-        total = _gather([total, *held])
+                    total, held, rows = _gather([total, *held], most), [], 0
+        total = _gather([total, *held], most)
         if len(total[0]):
             yield _as_row(TaskContext.get().partitionId(), *total)
 
     return tidy(run)
 
 
-def _gather(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
-    return cut(*added(pa.concat_arrays([w for w, _ in parts]), np.concatenate([n for _, n in parts])))
+def _gather(parts: list[tuple[pa.Array, np.ndarray]], most: int) -> tuple[pa.Array, np.ndarray]:
+    return cut(*added(pa.concat_arrays([w for w, _ in parts]), np.concatenate([n for _, n in parts])), most)
 
 
-def _merge(t: pa.Table) -> pa.Table:
+def _merge(most: int, fan: int) -> Callable[[pa.Table], pa.Table]:
     """The summaries of one group as one."""
-    total = (pa.array([], pa.large_binary()), np.zeros(0, np.int64))
-    for b in t.to_batches():
-        for k in range(b.num_rows):
-            total = _gather([total, (b.column("words")[k].values.cast(pa.large_binary()), b.column("counts")[k].values.to_numpy())])
-    return pa.Table.from_batches([_as_row(t.column("part")[0].as_py() // FAN, *total)])
 
+    def run(t: pa.Table) -> pa.Table:
+        total = (pa.array([], pa.large_binary()), np.zeros(0, np.int64))
+        for b in t.to_batches():
+            for k in range(b.num_rows):
+                total = _gather([total, (b.column("words")[k].values.cast(pa.large_binary()), b.column("counts")[k].values.to_numpy())], most)
+        return pa.Table.from_batches([_as_row(t.column("part")[0].as_py() // fan, *total)])
 
-def frequent_pre_tokens(docs: DataFrame, special: list[str], text_col: str = "text") -> tuple[list[bytes], list[int]]:
-    """(pre-tokens, lower bounds of their counts): SUMMARY at most, over all documents."""
+    return run
+
+
+def frequent_pre_tokens(docs: DataFrame, special: list[str], text_col: str = "text", most: int = SUMMARY, fan: int = FAN) -> tuple[list[bytes], list[int]]:
+    """(pre-tokens, lower bounds of their counts): `most` at most, over all documents."""
     schema = "part long, words array<binary>, counts array<long>"
-    rows = staged(columns_as(docs, text=text_col).mapInArrow(_summary(special), schema), "summaries")
-    while (most := rows.agg(F.max("part")).first()[0]) is not None and (most >= FAN or rows.count() > 1):
-        rows = staged(rows.groupBy(F.floor(F.col("part") / FAN)).applyInArrow(_merge, schema), "summaries")
+    rows = staged(columns_as(docs, text=text_col).mapInArrow(_summary(special, most), schema), "summaries")
+    while (last := rows.agg(F.max("part")).first()[0]) is not None and (last >= fan or rows.count() > 1):
+        rows = staged(rows.groupBy(F.floor(F.col("part") / fan)).applyInArrow(_merge(most, fan), schema), "summaries")
     one = rows.first()
     return ([bytes(w) for w in one.words], list(one.counts)) if one else ([], [])
 
