@@ -669,7 +669,7 @@ def test_pipeline(spark, tmp_path):
     rows += [(100, rows[0][1].replace("a", "A").replace("d", "D")), (101, rows[1][1] + " end"), (102, "snerk " + rows[2][1])]
     rows += [(200, None), (201, ""), (202, " \n"), (203, "one two"), (203, "one two"), (None, "no id at all"), (None, None), (204, words(r, 9000))]
     d = [(i, t, "en", "a" if i and i % 2 else None if i == 203 else "b", len(t or ""), 1, "x", 2) for i, t in rows]
-    columns = "doc_id long, text string, lang string, source string, n_chars long, _kept int, `row` string, node int"
+    columns = "doc_id long, text string, lang string, source string, n_chars long, _kept int, `doc.id` string, node int"
     spark.createDataFrame(d, columns).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     import corpus_pipeline
@@ -678,7 +678,7 @@ def test_pipeline(spark, tmp_path):
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_kept", "row", "node"]
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "_kept", "doc.id", "node"]
         held = [(x.doc_id, x.text) for x in docs.collect()]
         ids = {x for x, _ in held}
         if name == "toxicity":  # no toxic label: nothing is rejected

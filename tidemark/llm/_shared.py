@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+Batches = Iterator[pa.RecordBatch]
+BatchFn = Callable[[Batches], Batches]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,6 +86,12 @@ def columns_as(df: DataFrame, **names: str) -> DataFrame:
     return df.select(*(F.col(f"`{col}`").alias(name) for name, col in names.items()))
 
 
+def rows_in_arrow(df: DataFrame, run: BatchFn) -> DataFrame:
+    """Rows of `df` that `run` lets through, whatever the columns' names are."""
+    plain = df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 _kept: dict[str, dict] = {}
 
 
@@ -157,10 +167,6 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int
         yield pa.Table.from_batches(kept).combine_chunks()
 
 
-Batches = Iterator[pa.RecordBatch]
-BatchFn = Callable[[Batches], Batches]
-
-
 def tidy(run: BatchFn) -> BatchFn:
     """The same; when a task ends, its memory goes back, so that the next stage has it."""
 

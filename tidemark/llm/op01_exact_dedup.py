@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, kept, new_path, partitions, staged, store_of, utf8
+from ._shared import Batches, BatchFn, columns_as, kept, new_path, partitions, rows_in_arrow, staged, store_of, utf8
 
 BLOCK_ROWS = 1 << 17
 OWNER_ROWS = 1 << 22  # at most so many fingerprints come to an owner
@@ -197,7 +197,7 @@ def _with_mark(folder: str, at: int, want: bool) -> BatchFn:
 
 def suspects(docs: DataFrame, folder: str, text_col: str, want: bool = True) -> DataFrame:
     """The rows of `docs` that the marks in `folder` call suspects (or, with want=False, the others)."""
-    return docs.mapInArrow(_with_mark(folder, docs.columns.index(text_col), want), docs.schema)
+    return rows_in_arrow(docs, _with_mark(folder, docs.columns.index(text_col), want))
 
 
 def _lowered(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -232,8 +232,8 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marked, folder, n = mark(docs, id_col, text_col)
     kept = _groups(docs, marked.where("suspect"), folder, n, id_col, text_col).where("kept")
     kept = staged(kept.select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha")).distinct(), "kept")
-    held = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    again = suspects(held, folder, "text").withColumn("sha", F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)))
+    again = suspects(docs, folder, text_col).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    again = again.withColumn("sha", F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)))
     again = again.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
     again = again.dropDuplicates(["id", "sha"]).select("row.*")
     return suspects(docs, folder, text_col, want=False).union(again)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, give_back, kept, staged, utf8
+from ._shared import Batches, BatchFn, columns_as, give_back, kept, rows_in_arrow, staged, utf8
 
 WINDOW, STRIDE = 48, 32
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
@@ -429,7 +429,7 @@ def reject(docs: DataFrame, parameters: dict, text_col: str = "text", threshold:
             clean = scorer.scores(_strings(b.column(at))) < threshold
             yield b.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows_in_arrow(docs, run)
 
 
 def scores(docs: DataFrame, parameters: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
