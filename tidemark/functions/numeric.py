@@ -24,6 +24,12 @@ def clip(x: Column | str, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), _col(x)))
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A sum of doubles, rounded: first to five digits more, so that the order in which it was summed,
+    which shows in the last bits only, can't decide a half."""
+    return F.round(F.round(_col(x), digits + 5), digits)
+
+
 def ratio0(a: Column | str, b: Column | str) -> Column:
     """a / b, or 0 where b is 0 or either is null."""
     return F.coalesce(F.try_divide(_col(a), _col(b)), F.lit(0.0))

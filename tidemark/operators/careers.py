@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.numeric import ratio0
+from ..functions.numeric import clip, ratio0
+from ..staging import staged
+from . import order_stats
 
 
 def by_season() -> WindowSpec:
@@ -43,7 +45,7 @@ def era_ratios(seasons: DataFrame, stats: list[str], base_era: int = 4, low: flo
     """Multipliers position x stat x era: the median rate of the base era over that of the era."""
     names = ", ".join(f"'{s}', cast({s} as double) / games" for s in stats)
     long = seasons.select("position", "era", F.expr(f"stack({len(stats)}, {names}) as (stat, rate)"))
-    med = long.groupBy("position", "stat", "era").agg(F.median("rate").alias("med"))
+    med = order_stats.quantiles(long, ["position", "stat", "era"], "rate", {"med": 0.5}).drop("_n")
     base = med.where(F.col("era") == base_era).select("position", "stat", F.col("med").alias("base"))
     ratio = F.when((F.col("med") <= 1e-6) | F.col("base").isNull(), 1.0).otherwise(F.least(F.lit(high), F.greatest(F.lit(low), F.col("base") / F.col("med"))))
     return med.join(base, ["position", "stat"], "left").select("position", "stat", "era", "med", ratio.alias("multiplier"))
@@ -71,19 +73,8 @@ def stages(seasons: DataFrame) -> DataFrame:
 def strict_percentile(members: DataFrame, values: DataFrame, keys: list[str], value: str, out: str = "pct") -> DataFrame:
     """For each row of `values` the share of its bucket strictly below it; 0.5 for an empty bucket.
 
-    The bucket's distinct values carry running counts, and the last one below is found in one
-    ordered pass over both tables, so no value meets a whole bucket."""
-    table = members.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    tagged = values.withColumns({"_v": F.col(value), "_n": F.lit(0).cast("long"), "_m": F.lit(0)})
-    others = [c for c in values.columns if c not in keys]
-    marks = table.select(*keys, *(F.lit(None).cast(values.schema[c].dataType).alias(c) for c in others), "_v", "_n", F.lit(1).alias("_m"))
-    both = tagged.select(*keys, *others, "_v", "_n", "_m").union(marks)
-    below = Window.partitionBy(*keys).orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy(*keys, "_v")
-    whole = Window.partitionBy(*keys)
-    n = F.sum("_n").over(whole)
-    under = F.sum("_n").over(below) - F.sum("_n").over(same)
-    return both.withColumn(out, F.when(n == 0, 0.5).otherwise(under / n)).where("_m = 0").select(*values.columns, out)
+    The bucket's different values carry running counts over ranges, so no bucket is in one task."""
+    return order_stats.strict_shares(members, values, keys, value, out).select(*values.columns, out)
 
 
 def slope(seasons: DataFrame) -> DataFrame:
@@ -101,5 +92,15 @@ def discounted_after(seasons: DataFrame, snapshots: DataFrame, min_games: int =
     return rows.groupBy("player", "snapshot_age").agg(F.sum(F.col("points") * F.pow(F.lit(1 - rate), "n")).alias("future_points"), F.count("*").alias("future_seasons"))
 
 
+def style_lifts(seasons: DataFrame, style: Column, era: Column, base: str, low: float = 1.0, high: float = 1.5, least: int = 3) -> DataFrame:
+    """style, era, careers, lift: the base style's median number of seasons over the style's own, in one
+    era, kept between `low` and `high`; 1 for fewer than `least` careers or without a base."""
+    med = order_stats.quantiles(seasons.select("n", style.alias("style"), era.alias("era")), ["style", "era"], "n", {"med": 0.5}).withColumnRenamed("_n", "careers")
+    med = staged(med, "lengths")
+    plain = med.where(F.col("style") == base).select("era", F.col("med").alias("_base"))
+    lift = F.when(F.col("careers") < least, 1.0).otherwise(F.coalesce(clip(F.try_divide("_base", "med"), low, high), F.lit(1.0)))
+    return med.join(plain, "era", "left").select("style", "era", "careers", lift.alias("lift"))
+
+
 def durability(games: Column, seasons: Column, whole: int = C.SEASON_GAMES) -> Column:
     return F.least(F.lit(1.0), games / (F.lit(float(whole)) * seasons))

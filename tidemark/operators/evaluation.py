@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .order_stats import average_ranks, top
+
 
 def correlation(x: str, y: str) -> Column:
     """An aggregate; null without spread, where corr() would divide by zero."""
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataFrame:
-    """Ranks from the smallest, ties share their mean rank; within groups."""
-    order, same = Window.partitionBy(*by).orderBy(value), Window.partitionBy(*by, value)
-    return rows.withColumn(out, F.rank().over(order) + (F.count("*").over(same) - 1) / F.lit(2.0))
-
-
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 2) -> DataFrame:
     """Rank correlation with average ties; 0 for fewer than `least` rows or no spread."""
     r = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
@@ -25,11 +21,12 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 2) ->
 
 
 def hit_at_k(rows: DataFrame, predicted: str, actual: str, tie: str, by: list[str], k: int) -> DataFrame:
-    """The share of the k predicted best that are among the k actual best."""
-    p = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(predicted), tie))
-    a = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(actual), tie))
-    r = rows.withColumn("_p", p).withColumn("_a", a)
-    return r.groupBy(*by).agg((F.count_if((F.col("_p") <= k) & (F.col("_a") <= k)) / F.least(F.lit(k), F.count("*"))).alias("hit_rate"))
+    """The share of the k predicted best that are among the k actual best.  Only those meet."""
+    p = top(rows, by, [F.desc(predicted), tie], k, "_p").select(*by, tie)
+    a = top(rows, by, [F.desc(actual), tie], k, "_a").select(*by, tie)
+    hits = p.join(a, [*by, tie]).groupBy(*by).agg(F.count("*").alias("_hits"))
+    n = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    return n.join(hits, by, "left").select(*by, (F.coalesce("_hits", F.lit(0)) / F.least(F.lit(k), F.col("_n"))).alias("hit_rate"))
 
 
 def pair_wins(rows: DataFrame, model: str, other: str, actual: str, item: str, by: list[str], most: int = 5) -> DataFrame:

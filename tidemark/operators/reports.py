@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import expected_at_pick
-from .evaluation import average_ranks, correlation
+from .evaluation import correlation
+from .order_stats import average_ranks
+from .ranking import ranked
 
 
 def top_assets(roster: DataFrame, scores: DataFrame, n: int = 5) -> DataFrame:
@@ -53,9 +55,10 @@ def manager_report(teams: DataFrame, picks: DataFrame, deltas: DataFrame, scores
 def source_backtest(rows: DataFrame, by: list[str], rank: str, actual: str, item: str, least: int = 5) -> DataFrame:
     """Per source: n, Spearman (average ties), its square, mean error of ordinal ranks, and hits among
     the first 12 and 24; sources with fewer than `least` rows are left out, as are hits beyond n."""
-    r = average_ranks(average_ranks(rows, rank, by, "_x"), actual, by, "_y")
-    own = Window.partitionBy(*by)
-    r = r.withColumns({"_s": F.row_number().over(own.orderBy(rank, item)), "_a": F.row_number().over(own.orderBy(F.desc(actual), item))})
+    key = F.concat_ws("/", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
+    r = ranked(rows.withColumns({"_group": key, "_low": -F.col(rank)}), "_low", item, by="_group", out="_s")
+    r = ranked(r, actual, item, by="_group", out="_a")
+    r = average_ranks(average_ranks(r, rank, by, "_x"), actual, by, "_y")
     hit = lambda k: F.when(F.count("*") >= k, F.count_if((F.col("_s") <= k) & (F.col("_a") <= k)) / F.lit(k))
     rho = correlation("_x", "_y")
     g = r.groupBy(*by).agg(F.count("*").alias("n"), rho.alias("rho"), F.avg(F.abs(F.col("_s") - F.col("_a"))).alias("mae"), hit(12).alias("hit12"), hit(24).alias("hit24"))

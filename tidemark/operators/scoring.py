@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.numeric import clip, ratio0
+from ..functions.numeric import clip, ratio0, rounded
 from ..functions.rules import one_way_lift
 
 Fallback = Mapping[tuple[str, str, int], float]
@@ -97,7 +97,7 @@ def overlay(targets: DataFrame, records: DataFrame, futures: DataFrame, bars: Ma
     at = F.coalesce(*(F.when(F.col("position") == p, F.lit(b)) for p, b in bars.items()), F.lit(bar))
     share = clip((F.col("peak3") - (at - C.BLEND_BAND)) / F.lit(C.BLEND_BAND), 0.0, 1.0)
     mixed = (F.lit(1.0) - share) * F.col("comp_mean") + share * F.greatest("comp_mean", "anchor")
-    return r.withColumn("anchor", anchor).withColumn("score", F.round(one_way_lift(mixed, F.col("lift")), 1))
+    return r.withColumn("anchor", anchor).withColumn("score", rounded(one_way_lift(mixed, F.col("lift")), 1))
 
 
 def best_rates(seasons: DataFrame, n: int = 3) -> DataFrame:

@@ -54,22 +54,32 @@ def coverage(rows: DataFrame, resolved: str, by: Sequence[str]) -> DataFrame:
 
 def name_bridge(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], school: str, college: str, found: str, order: str) -> DataFrame:
     """The one candidate of a name, or of several the first whose college and the row's school hold
-    each other; else none.  Candidates of a name are counted before the join."""
-    several = candidates.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    c = several.select(*keys, F.col(found).alias("_found"), F.lower(F.trim(college)).alias("_college"), F.col(order).alias("_order"), "_n")
-    s = F.lower(F.trim(school))
-    fits = (F.col("_n") == 1) | ((s != "") & (F.col("_college") != "") & (F.col("_college").contains(s) | s.contains(F.col("_college"))))
-    hit = F.when(fits, F.struct("_order", "_found"))
-    return rows.join(c, list(keys), "left").groupBy(*rows.columns).agg(F.min(hit).alias("_hit")).select(*rows.columns, F.col("_hit._found").alias("resolved"))
+    each other; else none.
+
+    Candidates become one per name and college, and rows one per name and school, before they meet,
+    so the pairs of a name are those of its schools and colleges, however many share it."""
+    text = lambda c: F.lower(F.trim(c))
+    first = F.min(F.struct(F.col(order).alias("_order"), F.col(found).alias("_found")))
+    alone = candidates.groupBy(*keys).agg(F.count("*").alias("_n"), first.alias("_f")).where("_n = 1").select(*keys, F.col("_f._found").alias("_alone"))
+    by_college = candidates.groupBy(*keys, text(college).alias("_college")).agg(first.alias("_f")).where("_college <> ''")
+    schools = rows.select(*keys, text(school).alias("_school")).distinct().where("_school <> ''")
+    hold = F.col("_college").contains(F.col("_school")) | F.col("_school").contains(F.col("_college"))
+    hits = schools.join(by_college, list(keys)).where(hold).groupBy(*keys, "_school").agg(F.min("_f").alias("_hit"))
+    j = rows.withColumn("_school", text(school)).join(alone, list(keys), "left").join(hits, [*keys, "_school"], "left")
+    return j.select(*rows.columns, F.coalesce("_alone", "_hit._found").alias("resolved"))
 
 
 def draft_match(picks: DataFrame, corpus: DataFrame, keys: Sequence[str], most: int = 2) -> DataFrame:
     """For each pick the row of the corpus with its keys whose last season is nearest to the year before
-    the draft, the later one of two; none beyond `most` seasons."""
-    gap = F.abs(F.col("last_season") - (F.col("year") - 1))
-    near = picks.join(corpus.select(*keys, "player", "last_season"), list(keys), "left").withColumn("_gap", gap)
-    best = near.groupBy(*picks.columns).agg(F.min(F.when(F.col("_gap") <= most, F.struct("_gap", (-F.col("last_season")).alias("_late"), "player"))).alias("_b"))
-    return best.select(*picks.columns, F.col("_b.player").alias("matched"), F.col("_b").isNotNull().alias("corpus_match"))
+    the draft, the later one of two; none beyond `most` seasons.
+
+    Of namesakes with one last season the least stands for all, and it is offered to the years around
+    once, so a pick meets one row of the corpus, not every namesake."""
+    one = corpus.groupBy(*keys, "last_season").agg(F.min("player").alias("_player"))
+    near = one.select(*keys, "last_season", "_player", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("_d"))
+    offer = F.struct(F.abs("_d").alias("gap"), (-F.col("last_season")).alias("late"), F.col("_player").alias("player"))
+    near = near.groupBy(*keys, (F.col("last_season") + F.col("_d") + 1).alias("year")).agg(F.min(offer).alias("_b"))
+    return picks.join(near, [*keys, "year"], "left").select(*picks.columns, F.col("_b.player").alias("matched"), F.col("_b").isNotNull().alias("corpus_match"))
 
 
 def draft_enrich(rows: DataFrame, picks: DataFrame, keys: Sequence[str], year: str, columns: Sequence[str]) -> DataFrame:
@@ -103,7 +113,7 @@ def college_points(row: Mapping[str, str], quarterback: Column) -> Column:
     return F.when(v("games") <= 0, 0.0).otherwise(F.when(quarterback, passer).otherwise(other) / v("games"))
 
 
-def college_age(class_year: Column, last: Column, first: Column, freshman: float = 18.0) -> tuple[Column, Column]:
+def college_age(class_year: Column, last: Column, first: Column, freshman: float = 19.0) -> tuple[Column, Column]:
     """(age at the last season, whether it is inferred): by class, else by seasons since the first."""
     order = F.array_position(F.array(*(F.lit(c) for c in ("FR", "SO", "JR", "SR"))), F.upper(F.trim(class_year)))
     known = F.coalesce(order > 0, F.lit(False))

@@ -93,8 +93,10 @@ def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str =
 
     The space is cut into cells along the first and the last weighted column, and a row meets the cells
     around its own.  Whose k nearest lie within a cell's width is done; the rest go on with wider cells,
-    so the search is exact.  The first width follows from how densely the rows lie."""
+    so the search is exact.  The first width follows from how densely the rows lie.  Rows with a
+    coordinate that is null or not finite are left out on both sides."""
     first, last = next(iter(weights)), list(weights)[-1]
+    rows = rows.where(functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in weights)))
     n, groups, *spread = rows.agg(F.count("*"), F.count_distinct(by), F.stddev_pop(first), F.stddev_pop(last)).first()
     area = 16 * max(spread[0] or 0, 1e-6) * max(spread[1] or 0, 1e-6) * (weights[first] * weights[last]) ** 0.5
     reach = (40 * k * area * max(groups, 1) / max(n, 1)) ** 0.5

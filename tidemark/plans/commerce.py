@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, rules
-from ..functions.numeric import clip, inverse_distance, ratio0, squared_distance
+from ..functions.numeric import ratio0, rounded
 from .. import constants as C
-from ..operators import careers, consensus, evaluation, identity, penalties, ranking, rookies, similarity
+from ..operators import careers, consensus, evaluation, identity, order_stats, penalties, ranking, rookies, similarity
 from ..staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,7 +118,7 @@ def trend_slope(spark, sf_dir):
 def discounted_future(spark, sf_dir):
     s = played(spark, sf_dir)
     f = careers.discounted_after(s, s.select("player", F.col("age").alias("snapshot_age")))
-    return _round(f.withColumn("future_points", F.col("future_points") + F.lit(1e-7)), future_points=4)  # off the exact halves
+    return f.withColumn("future_points", rounded("future_points", 4))
 
 
 CURRENT = 2001
@@ -284,7 +284,7 @@ ROOKIE_WEIGHTS = {"rate": 8.0, "played": 0.1, "qty_pg": 0.1, "returns_pg": 0.3,
 @query
 def rookie_profile(spark, sf_dir):
     f = rookie_profiles(spark, sf_dir).select("player", "position", "season", "age", "games", "rate", "played", "qty_pg", "returns_pg", "cents_pg", "later", "later_discounted", "later_seasons")
-    return _round(f.withColumn("later_discounted", F.col("later_discounted") + F.lit(1e-7)), rate=6, played=6, qty_pg=6, returns_pg=6, cents_pg=5, later_discounted=4)
+    return _round(f.withColumn("later_discounted", rounded("later_discounted", 4)), rate=6, played=6, qty_pg=6, returns_pg=6, cents_pg=5)
 
 
 @query
@@ -424,7 +424,7 @@ def pair_h2h(spark, sf_dir):
 @query
 def percentile_cutoffs(spark, sf_dir):
     p = careers.peak3(played(spark, sf_dir)).join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"), F.col("c_mktsegment").alias("position")), "player")
-    return p.groupBy("position").agg(F.round(F.percentile("peak3", 0.8), 5).alias("elite"), F.round(F.percentile("peak3", 0.3), 5).alias("bust"))
+    return _round(order_stats.quantiles(p, ["position"], "peak3", {"elite": 0.8, "bust": 0.3}).drop("_n"), elite=5, bust=5)
 
 
 @query
@@ -518,11 +518,8 @@ def career_length_lift(spark, sf_dir):
     s = played(spark, sf_dir)
     g = s.groupBy("player").agg(F.count("*").alias("n"), F.sum("returns").alias("ret"), F.sum("games").alias("gm"), F.floor((F.min("season") + F.max("season")) / 2).alias("mid")).where("n >= 2")
     per = F.col("ret") / F.col("gm") * 100
-    g = g.withColumn("style", F.when(per < 20, "low").when(per < 28, "mid").otherwise("high")).withColumn("era", F.least(rules.era("mid", ERA_ENDS), F.lit(3)))
-    med = g.groupBy("style", "era").agg(F.median("n").alias("med"), F.count("*").alias("careers"))
-    low = med.where("style = 'low'").select("era", F.col("med").alias("base"))
-    lift = F.when(F.col("careers") < 3, 1.0).otherwise(F.coalesce(clip(F.col("base") / F.col("med"), 1.0, 1.5), F.lit(1.0)))
-    return _round(med.join(low, "era", "left").select("style", "era", "careers", lift.alias("lift")), lift=6)
+    style = F.when(per < 20, "low").when(per < 28, "mid").otherwise("high")
+    return _round(careers.style_lifts(g, style, F.least(rules.era("mid", ERA_ENDS), F.lit(3)), "low"), lift=6)
 
 
 @query

@@ -154,7 +154,7 @@ ORACLES: dict[str, str] = {
     "q_running_total_stage": with_(SEASONS, STAGES, select="SELECT * FROM st"),
     "q_percentile_strict": with_(SEASONS, SPAN, STAGES, select=f"SELECT v.player, v.position, v.stage, v.total, round(coalesce(count(m.total) FILTER (m.total < v.total) / nullif(count(m.total), 0), 0.5), 6) AS pct FROM st v LEFT JOIN (SELECT * FROM st WHERE {DONE}) m ON m.position = v.position AND m.stage = v.stage WHERE v.{NOW} GROUP BY 1, 2, 3, 4"),
     "q_trend_slope": with_(SEASONS, "x AS (SELECT player, rate, row_number() OVER (PARTITION BY player ORDER BY season) - 1 AS x FROM s)", select="SELECT player, round(CASE WHEN count(*) < 2 THEN 0 ELSE regr_slope(rate, x) END, 6) AS slope FROM x GROUP BY 1"),
-    "q_discounted_future": with_(SEASONS, FUTURE, select="SELECT player, snapshot_age, round(future_points + 0.0000001::DOUBLE, 4) AS future_points, future_seasons FROM fut"),
+    "q_discounted_future": with_(SEASONS, FUTURE, select="SELECT player, snapshot_age, round(future_points::DECIMAL(30, 9), 4)::DOUBLE AS future_points, future_seasons FROM fut"),
     "q_vector11": with_(SEASONS, SPAN, STAGES, _vectors("vec", "true"), select="SELECT player, position, season, age, stage, " + ", ".join(f"round(v{k}, {6 if k == 7 else 5}) AS v{k}" for k in range(11)) + " FROM vec"),
     "q_knn_top25": with_(SEASONS, EDGES, select="SELECT player, comp, comp_age, comp_season, round(sim, 6) AS sim, round(raw_sim, 6) AS raw_sim, rank FROM top"),
     "q_weighted_projection": with_(SEASONS, EDGES, FUTURE, PROJECTION, select="SELECT player, round(comp_mean, 3) AS comp_mean, round(years, 5) AS years, round(best_comp, 3) AS best_comp, n_comps, round(anchor, 3) AS anchor, round(projection, 3) AS projection FROM pr"),
@@ -174,7 +174,7 @@ ORACLES: dict[str, str] = {
     "q_upper_median_top50": with_(SEASONS, CAREER, "tp AS (SELECT position, career_points, row_number() OVER (PARTITION BY position ORDER BY career_points DESC) AS rn FROM c QUALIFY rn <= 50)", select="SELECT a.position, career_points AS baseline FROM tp a JOIN (SELECT position, count(*) // 2 + 1 AS place FROM tp GROUP BY 1) b ON a.position = b.position AND rn = place"),
     "q_rank_tier": with_(SEASONS, CAREER, "r AS (SELECT player, position, career_points, row_number() OVER (ORDER BY career_points DESC, player) AS rank, row_number() OVER (PARTITION BY position ORDER BY career_points DESC, player) AS position_rank FROM c)", select=f"SELECT *, {TIER} AS tier FROM r"),
     "q_overlay_baseline": with_(SEASONS, CAREER, "n(position, n) AS (VALUES ('AUTOMOBILE', 28), ('BUILDING', 35), ('FURNITURE', 49), ('HOUSEHOLD', 20), ('MACHINERY', 16)), r AS (SELECT player, position, career_points, row_number() OVER (PARTITION BY position ORDER BY career_points DESC, player) AS rk, count(*) OVER (PARTITION BY position) AS cnt, row_number() OVER (ORDER BY career_points DESC, player) AS base_rank FROM c), b AS (SELECT position, career_points AS baseline FROM r JOIN n USING (position) WHERE rk = least(n, cnt)), v AS (SELECT player, position, career_points - baseline AS value, base_rank FROM r JOIN b USING (position)), w AS (SELECT *, row_number() OVER (ORDER BY value DESC, player) AS new_rank FROM v)", select="SELECT *, base_rank - new_rank AS rank_delta FROM w"),
-    "q_rookie_profile": with_(SEASONS, ROOKIES, select="SELECT player, position, season, age, games, round(rate, 6) AS rate, round(games / 17.0::DOUBLE, 6) AS played, round(qpg, 6) AS qty_pg, round(rpg, 6) AS returns_pg, round(cpg, 5) AS cents_pg, later, round(later_discounted + 0.0000001::DOUBLE, 4) AS later_discounted, later_seasons FROM f"),
+    "q_rookie_profile": with_(SEASONS, ROOKIES, select="SELECT player, position, season, age, games, round(rate, 6) AS rate, round(games / 17.0::DOUBLE, 6) AS played, round(qpg, 6) AS qty_pg, round(rpg, 6) AS returns_pg, round(cpg, 5) AS cents_pg, later, round(later_discounted::DECIMAL(30, 9), 4)::DOUBLE AS later_discounted, later_seasons FROM f"),
     "q_rookie_knn_widen": with_(SEASONS, ROOKIES, ROOKIE_EDGES, select="SELECT player, comp, round(raw, 6) AS raw, round(sim, 6) AS sim, rank, n_near FROM re"),
     "q_rookie_projection": with_(SEASONS, ROOKIES, ROOKIE_EDGES, """
         g AS (SELECT player, sum(sim * later_discounted) / CASE WHEN sum(sim) = 0 THEN 1 ELSE sum(sim) END AS comp_mean, max(later) AS best, count(*) AS n_comps, count(*) FILTER (later <= 0) / count(*) AS bust_rate FROM re GROUP BY 1),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, rules
+from ..functions.numeric import rounded
 from ..operators import careers, consensus, penalties, ranking, reports, scoring, scouting, similarity
 from ..staging import staged
 from . import commerce as c
@@ -42,10 +43,10 @@ def multiplied(spark, sf_dir) -> DataFrame:
     return scoring.era_multiplied(s, table, ["qty", "returns"], FALLBACK).withColumn("games_factor", F.lit(1.0))
 
 
-@query(with_(SEASONS, FACTORS, FORMS, "x AS (SELECT player, season, games, format, qty * fq * kq + returns * fr * kr + CASE WHEN position = 'BUILDING' THEN games * bonus ELSE 0 END AS total FROM fa, fo)", select="SELECT player, season, format, round(total, 4) AS total, round(total / greatest(games, 1) + 0.0000001::DOUBLE, 4) AS per_game FROM x"))
+@query(with_(SEASONS, FACTORS, FORMS, "x AS (SELECT player, season, games, format, qty * fq * kq + returns * fr * kr + CASE WHEN position = 'BUILDING' THEN games * bonus ELSE 0 END AS total FROM fa, fo)", select="SELECT player, season, format, round(total::DECIMAL(30, 9), 4)::DOUBLE AS total, round((total / greatest(games, 1))::DECIMAL(30, 9), 4)::DOUBLE AS per_game FROM x"))
 def era_points(spark, sf_dir):
-    x = scoring.scored(multiplied(spark, sf_dir), POINTS, BONUS).select("player", "season", "format", "total", "per_game")
-    return c._round(x.withColumn("per_game", F.col("per_game") + F.lit(1e-7)), total=4, per_game=4)  # off the exact halves
+    x = scoring.scored(multiplied(spark, sf_dir), POINTS, BONUS)
+    return x.select("player", "season", "format", rounded("total", 4).alias("total"), rounded("per_game", 4).alias("per_game"))
 
 
 @query(with_(SEASONS, FACTORS, select="SELECT player, season, 'qty' AS stat, qty::DOUBLE AS raw, round(fq, 6) AS multiplier, round(qty * fq, 5) AS adjusted FROM fa WHERE qty <> 0 UNION ALL SELECT player, season, 'returns', returns::DOUBLE, round(fr, 6), round(returns * fr, 5) FROM fa WHERE returns <> 0"))
@@ -116,7 +117,7 @@ OVERLAY = {k: POINTS[k] for k in ("std", "deep")}
     o1 AS (SELECT lf.player, lf.position, format, comp_mean, pf.peak3, lift_points, CASE WHEN years > 0 AND greatest(1.1::DOUBLE * rf.recent3, 0.9::DOUBLE * pf.peak3) > 0 AND n_comps >= 3 THEN greatest(1.1::DOUBLE * rf.recent3, 0.9::DOUBLE * pf.peak3) * 17.0::DOUBLE * years * pow(0.95::DOUBLE, years / 2.0::DOUBLE) ELSE 0 END AS anchor
            FROM cmf JOIN rf USING (player, format) JOIN pf USING (player, format) JOIN lf USING (player)),
     o2 AS (SELECT *, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (peak3 - (60.0::DOUBLE - 5.0::DOUBLE)) / 5.0::DOUBLE)) AS share FROM o1)""",
-    select="SELECT player, format, round(comp_mean, 3) AS comp_mean, round(anchor, 3) AS anchor, round(CASE WHEN lift_points <= 1 THEN mixed ELSE greatest(mixed, mixed * lift_points) END, 1) AS score FROM (SELECT *, (1.0::DOUBLE - share) * comp_mean + share * greatest(comp_mean, anchor) AS mixed FROM o2)"))
+    select="SELECT player, format, round(comp_mean::DECIMAL(30, 8), 3)::DOUBLE AS comp_mean, round(anchor::DECIMAL(30, 8), 3)::DOUBLE AS anchor, round((CASE WHEN lift_points <= 1 THEN mixed ELSE greatest(mixed, mixed * lift_points) END)::DECIMAL(30, 6), 1)::DOUBLE AS score FROM (SELECT *, (1.0::DOUBLE - share) * comp_mean + share * greatest(comp_mean, anchor) AS mixed FROM o2)"))
 def format_overlay(spark, sf_dir):
     s = scoring.scored(c.played(spark, sf_dir), OVERLAY, adjusted=False).select("player", "position", "season", "age", "games", "format", F.col("total").alias("points"))
     s = staged(s.withColumn("who", F.struct("player", "format")), "formats")
@@ -126,7 +127,7 @@ def format_overlay(spark, sf_dir):
     futures = ahead.select(F.col("player.player").alias("comp"), F.col("player.format").alias("format"), F.col("snapshot_age").alias("comp_age"), "future_points", "future_seasons")
     lifts = forms(spark, sf_dir).select("player", "position", F.col("lift_points").alias("lift"))
     o = scoring.overlay(rates.join(lifts, "player"), records(spark, sf_dir), futures, {}, bar=60.0)
-    return c._round(o.select("player", "format", "comp_mean", "anchor", "score"), comp_mean=3, anchor=3)
+    return o.select("player", "format", rounded("comp_mean", 3).alias("comp_mean"), rounded("anchor", 3).alias("anchor"), "score")
 
 
 @query(with_(SEASONS, EDGES, "pl AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY raw_sim DESC, comp) AS place FROM edges QUALIFY place <= 25), x AS (SELECT player, comp, rank FROM top EXCEPT SELECT player, comp, place FROM pl), y AS (SELECT player, comp, place FROM pl EXCEPT SELECT player, comp, rank FROM top)", select="SELECT player, count(*) FILTER (k = 'a') AS only_a, count(*) FILTER (k = 'b') AS only_b FROM (SELECT player, 'a' AS k FROM x UNION ALL SELECT player, 'b' FROM y) GROUP BY 1"))
@@ -259,7 +260,7 @@ def ordinal_ranks(spark, sf_dir):
 COLLEGE = {"pass_yds": "cents", "pass_td": "returns", "rush_yds": "qty", "rush_td": "returns", "int_thrown": "games", "rec": "games", "rec_yds": "qty", "rec_td": "returns", "games": "games"}
 
 
-@query(with_(SEASONS, "g AS (SELECT *, max(season) OVER (PARTITION BY player) AS last, min(season) OVER (PARTITION BY player) AS first, ['FR', 'so ', 'JR', 'SR', '', NULL][player % 6 + 1] AS cls FROM s)", select="SELECT player, season, round(CASE WHEN position = 'BUILDING' THEN 0.04::DOUBLE * cents + 4 * returns + 0.1::DOUBLE * qty + 6 * returns - 2 * games ELSE 0.1::DOUBLE * qty + 6 * returns + games + 0.1::DOUBLE * qty + 6 * returns END / games, 5) AS points, CASE upper(trim(cls)) WHEN 'FR' THEN 18 WHEN 'SO' THEN 19 WHEN 'JR' THEN 20 WHEN 'SR' THEN 21 ELSE last - first + 18 END::DOUBLE AS age, coalesce(upper(trim(cls)) NOT IN ('FR', 'SO', 'JR', 'SR'), true) AS inferred FROM g"))
+@query(with_(SEASONS, "g AS (SELECT *, max(season) OVER (PARTITION BY player) AS last, min(season) OVER (PARTITION BY player) AS first, ['FR', 'so ', 'JR', 'SR', '', NULL][player % 6 + 1] AS cls FROM s)", select="SELECT player, season, round(CASE WHEN position = 'BUILDING' THEN 0.04::DOUBLE * cents + 4 * returns + 0.1::DOUBLE * qty + 6 * returns - 2 * games ELSE 0.1::DOUBLE * qty + 6 * returns + games + 0.1::DOUBLE * qty + 6 * returns END / games, 5) AS points, CASE upper(trim(cls)) WHEN 'FR' THEN 19 WHEN 'SO' THEN 20 WHEN 'JR' THEN 21 WHEN 'SR' THEN 22 ELSE last - first + 19 END::DOUBLE AS age, coalesce(upper(trim(cls)) NOT IN ('FR', 'SO', 'JR', 'SR'), true) AS inferred FROM g"))
 def college_seasons(spark, sf_dir):
     span = Window.partitionBy("player")
     cls = F.element_at(F.array(*(F.lit(x) for x in ("FR", "so ", "JR", "SR", "", None))), (F.col("player") % 6 + 1).cast("int"))
