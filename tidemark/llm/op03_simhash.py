@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Batches, BatchFn, columns_as, join_one, kept, staged, tidy, utf8, whole_groups
+from ._shared import Batches, BatchFn, columns_as, join_one, kept, partitions, staged, tidy, utf8, whole_groups
 from .bitmaps import bitmap, has, with_bit
 from .buckets import GROUP, Forest, group_ids, grouped, pairs
 from .components import connected_components
@@ -154,7 +154,7 @@ SAMPLE = 5_000  # documents from which common shingles are learnt, and how many
 COMMON = 200_000
 FEW_GONE = 500_000  # so many ids and hashes of rows that go are broadcast
 BLOCK_HASHES = 1 << 19  # of prefixes, in a block
-SETS = 256  # sets of one candidate group that are compared in one task, twice
+SETS = 256  # sets of one candidate group that are compared in one task; where chunks meet, twice as many
 
 
 def shingle_set(text: bytes, words_each: int) -> np.ndarray:
@@ -314,6 +314,18 @@ def meeting(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(_meet(write_marks(answers.union(checks)))), "node long, bucket long")
 
 
+def _prefixes(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, prefix), once for each node.  Rows that are alone with their set stay where they are; the
+    others are few after exact dedup, and are found by a broadcast while they are."""
+    several = staged(nodes.where("times > 1").select("node"), "several")
+    rows = prints.select("node", "prefix")
+    if several.count() > FEW_GONE:
+        return staged(rows.groupBy("node").agg(F.any_value("prefix").alias("prefix")), "prefixes")
+    several = F.broadcast(several)
+    one = rows.join(several, "node", "left_semi").groupBy("node").agg(F.any_value("prefix").alias("prefix"))
+    return rows.join(several, "node", "left_anti").union(staged(one, "prefixes"))
+
+
 def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose sizes and fingerprints allow a similarity of 0.8."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
@@ -338,19 +350,22 @@ def _candidates(batches: Batches) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """Edges that connect all sets of a group with a Jaccard similarity of 0.8 or more."""
+    """Edges that connect all sets of a group with a Jaccard similarity of 0.8 or more; sets with one
+    label are connected already."""
     for t in whole_groups(batches, GROUP, 1 << 10):
         sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        node, n = t.column("node").to_numpy(), np.array([len(h) for h in sets])
-        up, a, b = list(range(len(sets))), [], []
+        node, n, group = t.column("node").to_numpy(), np.array([len(h) for h in sets]), group_ids(t)
+        first: dict[tuple[int, int], int] = {}
+        up = [first.setdefault(key, k) for k, key in enumerate(zip(group.tolist(), t.column("label").to_pylist(), strict=True))]
+        a, b = [], []
 
         def root(x: int, up: list[int] = up) -> int:
             while up[x] != x:
                 up[x] = x = up[up[x]]
             return x
 
-        for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 16):
+        for i, j in pairs(group, t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 16):
             for x, y in zip(*(v.tolist() for v in _possible(i, j, n, fp)), strict=True):
                 p, q = root(x), root(y)
                 if p == q:
@@ -365,6 +380,45 @@ def _verified(batches: Batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _sets_of(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataFrame:
+    """The rows of `chosen` with the set of their document.  A bitmap says which documents to read; few
+    rows are broadcast, so that no set is shuffled to meet its row."""
+    asked = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, "key"))
+    found = docs.select(F.xxhash64("doc_id", "th").alias("key"), "text").mapInArrow(tidy(_members(words_each, asked)), "node long, hashes binary")
+    return found.join(F.broadcast(chosen) if chosen.count() <= FEW_GONE else chosen, "node")
+
+
+def verified_links(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataFrame:
+    """Edges (a, b) that connect all sets of a candidate group (`bucket`) with a similarity of 0.8 or more.
+
+    A group is dealt out in chunks of SETS sets; the one whose node names the group is in all of them.
+    Chunks compare their own sets, which for copies of one text is all there is to do.  Only groups
+    that are still in several parts go on: their chunks meet in pairs, and only sets of different parts
+    are compared."""
+    total = chosen.agg(F.count("*")).first()[0]
+    sizes = chosen.groupBy("bucket").agg(F.count("*").alias("many")).withColumn("n_chunks", F.ceil(F.col("many") / SETS).cast("int"))
+    chosen = staged(join_one(chosen, sizes, ["bucket"], "many", total), "sized")
+    dealt = _sets_of(docs, chosen, words_each).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
+    dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("bucket"), F.sequence(F.lit(0), F.col("n_chunks") - 1)).otherwise(F.array("own"))))
+    dealt = dealt.select("bucket", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), "chunk", "node", F.col("node").alias("label"), "fp", "hashes")
+    dealt = dealt.repartition(partitions(docs.sparkSession), *GROUP).sortWithinPartitions(*GROUP)
+    edges = staged(dealt.mapInArrow(tidy(_verified), "a long, b long"), "links")
+
+    large = chosen.where("n_chunks > 1")
+    if large.isEmpty():
+        return edges
+    own = edges.join(large.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
+    parts = connected_components(own).withColumnRenamed("node", "part")
+    large = staged(large.join(parts, F.col("node") == F.col("part"), "left").select("bucket", "node", "fp", "key", F.coalesce("component", "node").alias("label")), "parts")
+    open_ = large.groupBy("bucket").agg(F.count_distinct("label").alias("n")).where("n > 1").select("bucket")
+    left = staged(large.join(open_, "bucket", "left_semi"), "open")
+    if left.isEmpty():
+        return edges
+    sets = staged(_sets_of(docs, left, words_each).select("bucket", "node", "label", "fp", "hashes"), "members")
+    more = grouped(sets, "node", SETS).mapInArrow(tidy(_verified), "a long, b long")
+    return edges.union(staged(more, "links"))
+
+
 def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id over links of documents whose sets of shingles have a Jaccard similarity
     of at least 0.8.  Texts without a shingle have one empty set and are a group."""
@@ -381,19 +435,16 @@ def _similar(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> Da
     docs = columns_as(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     common = spark.sparkContext.broadcast(common_shingles(docs, words_each))
     prints = staged(docs.mapInArrow(tidy(_sets(words_each, common)), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"))
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"))
     nodes = staged(nodes, "nodes")
 
-    met = staged(meeting(nodes.select("node", "prefix")), "meeting")
+    met = staged(meeting(_prefixes(prints, nodes)), "meeting")
     rows = staged(met.join(nodes.select("node", "n", "fp"), "node"), "candidates")
     loose = connected_components(grouped(rows, "node", CAP).mapInArrow(tidy(_candidates), "a long, b long")).withColumnRenamed("node", "part")
 
-    # the set of one document for each node that has a candidate: a bitmap says which documents to read
+    # the set of one document for each node that has a candidate
     chosen = staged(nodes.join(loose, F.col("node") == F.col("part")).select(F.col("component").alias("bucket"), "node", "fp", F.xxhash64("one.doc_id", "one.th").alias("key")), "chosen")
-    asked = spark.sparkContext.broadcast(bitmap(chosen, "key"))
-    found = docs.select(F.xxhash64("doc_id", "th").alias("key"), "text").mapInArrow(tidy(_members(words_each, asked)), "node long, hashes binary")
-    sets = staged(found.join(chosen.select("bucket", "node", "fp"), "node").select("bucket", "node", "fp", "hashes"), "members")
-    parts = connected_components(grouped(sets, "node", SETS).mapInArrow(tidy(_verified), "a long, b long"))
+    parts = connected_components(verified_links(docs, chosen, words_each))
 
     return labelled(prints.select("doc_id", "th", "node"), nodes.select("node", "first_id", F.col("times").alias("n")), parts).select("doc_id", "th", "component_id")
 

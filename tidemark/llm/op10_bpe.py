@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._pieces import KIND, LETTER, Memo, buffers, distinct, gathered, ids_of_texts, piece_starts, slices, whole_in_pieces
-from ._shared import Batches, BatchFn, columns_as, kept, staged
+from ._shared import Batches, BatchFn, columns_as, kept, staged, tidy
 
 LEXICON_WORDS = 1 << 15
 KNOWN = 1 << 19  # pieces remembered in a worker
@@ -326,7 +326,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON_
 
     A histogram of counts (one bar for each of the low counts, 64 for each doubling of higher ones)
     gives the bound, so no more than `most` words leave their partitions."""
-    counts = columns_as(docs, text=text_col).mapInArrow(_count(special or []), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = columns_as(docs, text=text_col).mapInArrow(tidy(_count(special or [])), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = staged(counts.withColumn("bar", F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")), "words")
     room, least = most, None
     for r in sorted(counts.groupBy("bar").count().collect(), reverse=True):  # 4,096 bars at most
@@ -422,7 +422,7 @@ def _apply(shared, make) -> BatchFn:
         for b in batches:
             yield make(encoder, b)
 
-    return run
+    return tidy(run)
 
 
 def _digests(encoder: Encoder, b: pa.RecordBatch) -> pa.RecordBatch:

@@ -247,7 +247,7 @@ def _counted(shared, limit: int) -> BatchFn:
             n = state["counter"].counts(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(bytes_of(b.column(1))[1]), pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return run
+    return tidy(run)
 
 
 class TokenCounts:
