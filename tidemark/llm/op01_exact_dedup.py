@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import Batches, BatchFn, columns_as, kept, new_path, partitions, rows_in_arrow, staged, store_of, utf8
@@ -200,9 +200,9 @@ def suspects(docs: DataFrame, folder: str, text_col: str, want: bool = True) ->
     return rows_in_arrow(docs, _with_mark(folder, docs.columns.index(text_col), want))
 
 
-def _lowered(batches: Batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.lower() for x in utf8(b.column(1))], pa.binary())], ["doc_id", "text"])
+def lowered(text_col: str) -> Column:
+    """The text with A-Z in lower case; null counts as empty."""
+    return F.translate(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +212,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _groups(docs: DataFrame, marked: DataFrame, folder: str, n: int, id_col: str, text_col: str) -> DataFrame:
     rows = columns_as(docs, doc_id=id_col, text=text_col)
-    same = suspects(rows, folder, "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(_lowered, "doc_id long, text binary")
+    same = suspects(rows, folder, "text").select(F.col("doc_id").cast("long"), lowered("text").cast("binary").alias("text"))
     # equal bytes, not equal hashes, make a group: the whole text is the grouping key
     groups = same.groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     groups = staged(groups.select(F.unhex(F.sha2("text", 256)).alias("group_sha"), "keep_id", "group_size"), "groups")
@@ -233,7 +233,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = _groups(docs, marked.where("suspect"), folder, n, id_col, text_col).where("kept")
     kept = staged(kept.select(F.col("doc_id").alias("kept_id"), F.unhex("text_sha256").alias("kept_sha")).distinct(), "kept")
     again = suspects(docs, folder, text_col).select(F.struct("*").alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    again = again.withColumn("sha", F.unhex(F.sha2(F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)))
+    again = again.withColumn("sha", F.unhex(F.sha2(lowered("text"), 256)))
     again = again.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("sha") == F.col("kept_sha")), "left_semi")
     again = again.dropDuplicates(["id", "sha"]).select("row.*")
     return suspects(docs, folder, text_col, want=False).union(again)

@@ -372,7 +372,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if r.n <= room[int(r.toxic)]:  # one that does not fit is passed over
             room[int(r.toxic)] -= r.n
             taken.append((r.doc_id, int(r.toxic)))
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int"))
+    ids, marks = zip(*taken, strict=True) if taken else ((), ())
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "toxic": pa.array(marks, pa.int32())})))  # as Arrow: no Python workers
     rows = docs.join(wanted, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max(F.coalesce("text", F.lit(""))).alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     net = Network()

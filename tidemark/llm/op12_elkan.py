@@ -269,5 +269,6 @@ def cluster_report(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     fits = lambda v: v if v is not None and v < 1 << 63 else None
     inertia = fits(None if None in by.values() else sum(by.values()))
     few = [(j, fits(s), inertia, hashlib.sha256(",".join(map(str, centroids[j])).encode()).hexdigest()) for j, s in by.items()]
-    few = vectors.sparkSession.createDataFrame(few, "cluster int, cluster_inertia long, inertia long, centroid_sha256 string")
+    kinds = {"cluster": pa.int32(), "cluster_inertia": pa.int64(), "inertia": pa.int64(), "centroid_sha256": pa.string()}
+    few = vectors.sparkSession.createDataFrame(pa.table({name: pa.array([r[k] for r in few], kind) for k, (name, kind) in enumerate(kinds.items())}))
     return rows.join(F.broadcast(few), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
