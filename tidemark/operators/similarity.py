@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -68,60 +70,133 @@ def snapshots(pool: DataFrame, spans: DataFrame) -> DataFrame:
     return p.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "choice", "comp_max_age")
 
 
-def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C.NEIGHBOURS, old_before: int | None = None, haircut: float = C.OLD_HAIRCUT) -> DataFrame:
+def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C.NEIGHBOURS, old_before: int | None = None, haircut: float = C.OLD_HAIRCUT, whole: int | None = None) -> DataFrame:
     """The k most similar careers of each target, by weighted inverse distance.
 
     targets: one vector row per player, with its n_seasons; pool: vector rows of candidates;
     spans: (player, n_seasons, max_age) of candidates.  A candidate must be as long (or 2 short of 9
     and more) and within one stage.  Each is offered once for each age and stage that it may meet, so
     position, age and stage are keys of an equi-join; distances are taken where pairs are made, and
-    only identifiers and similarities go on to the ranking."""
+    only identifiers and similarities go on to the ranking.
+
+    A group of more than `whole` candidates (40 k if not given; below, cells save nothing) is searched in cells along the directions
+    in which careers differ most (see `in_cells`), so a target meets those around it only; the result
+    is the same."""
+    whole = 40 * k if whole is None else whole
+    keys = ["position", "age", "stage"]
     p = snapshots(pool, spans).withColumn("stage", F.explode(F.array(*(F.col("comp_stage") + d for d in (-1, 0, 1)))))
     need = F.when(F.col("n_seasons") >= 9, F.greatest(F.col("n_seasons") - 2, F.lit(3))).otherwise(F.greatest("n_seasons", F.lit(3)))
-    t = targets.select("player", "position", "age", "stage", need.alias("need"), *V)
-    e = t.join(p, ["position", "age", "stage"]).where((F.col("player") != F.col("comp")) & (F.col("comp_seasons") >= F.col("need")))
-    raw = inverse_distance(squared_distance([(c, f"c{c}") for c in V], C.CAREER_WEIGHTS), C.CAREER_SCALE)
-    e = e.select("player", "comp", "comp_age", "comp_season", raw.alias("raw_sim"))
-    sim = F.when(F.col("comp_season") < old_before, F.col("raw_sim") * F.lit(haircut)).otherwise(F.col("raw_sim")) if old_before is not None else F.col("raw_sim")
+    t = targets.select("player", *keys, need.alias("need"), *V)
+    may = (F.col("player") != F.col("comp")) & (F.col("comp_seasons") >= F.col("need"))
+    squared = squared_distance([(c, f"c{c}") for c in V], C.CAREER_WEIGHTS)
+    raw = inverse_distance(squared, C.CAREER_SCALE)
+    sim = F.when(F.col("comp_season") < old_before, raw * F.lit(haircut)).otherwise(raw) if old_before is not None else raw
+    columns = ["player", "comp", "comp_age", "comp_season", "sim", "raw_sim", "rank"]
     best = Window.partitionBy("player").orderBy(F.desc("sim"), "comp")
-    return e.withColumn("sim", sim).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("player", "comp", "comp_age", "comp_season", "sim", "raw_sim", "rank")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        e = pairs.where(may).select("player", "comp", "comp_age", "comp_season", sim.alias("sim"), raw.alias("raw_sim"))
+        return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*columns)
+
+    sizes = p.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = staged(sizes.where(F.col("_n") > whole), "large")
+    if large.isEmpty():
+        return ranked(t.join(p, keys))
+    p = staged(p, "offers")
+    small = ranked(t.join(large, keys, "left_anti").join(p.join(large, keys, "left_anti"), keys))
+    turn = directions(p.join(large, keys, "left_semi"), [f"c{v}" for v in V], C.CAREER_WEIGHTS)
+    far = axes(p.join(large.select(*keys), keys, "left_semi"), [f"c{v}" for v in V], turn, "_c")
+    near = axes(t.join(large.select(*keys), keys, "left_semi"), V, turn, "_t")
+    held = far.groupBy(*keys, "comp_seasons").count().groupBy(*keys).agg(F.collect_list(F.struct("comp_seasons", "count")).alias("_held"))  # a career is bounded
+    enough = F.aggregate(F.filter("_held", lambda h: h["comp_seasons"] >= F.col("need")), F.lit(0).cast("long"), lambda n, h: n + h["count"])
+    near = near.join(held, keys).withColumn("_need", F.least(F.lit(k), enough)).drop("_held").where("_need > 0")
+    # what lies beyond a cell's width is less similar than this, haircut or not
+    least = lambda w: F.lit(1.0) / (F.lit(1.0) + w / F.lit(C.CAREER_SCALE))
+    pick = [F.col(c) for c in ("player", "comp", "comp_age", "comp_season")]
+    found = in_cells(near, far, keys, len(turn), k, may, [*pick, sim.alias("sim"), raw.alias("raw_sim")], F.desc("sim"), lambda w: F.col("sim") >= least(w))
+    return small.unionByName(found.select(*columns))
+
+
+def directions(rows: DataFrame, columns: list[str], weights, n: int = 3) -> list[list[float]]:
+    """Factors by which the columns add up along the n orthogonal directions in which rows, under the
+    weights, differ most.  The driver gets one row of fixed size."""
+    y = [F.col(c) * F.lit(float(w) ** 0.5) for c, w in zip(columns, weights, strict=True)]
+    d = len(y)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    got = rows.agg(*(F.coalesce(F.avg(x), F.lit(0.0)) for x in y), *(F.coalesce(F.avg(y[i] * y[j]), F.lit(0.0)) for i, j in pairs)).first()
+    mean, spread = np.array(got[:d]), np.zeros((d, d))
+    for (i, j), v in zip(pairs, got[d:], strict=True):
+        spread[i, j] = spread[j, i] = v
+    _, basis = np.linalg.eigh(spread - np.outer(mean, mean))
+    return [[float(b) * float(w) ** 0.5 for b, w in zip(basis[:, -1 - k], weights, strict=True)] for k in range(min(n, d))]
+
+
+def axes(rows: DataFrame, columns: list[str], turn: list[list[float]], prefix: str) -> DataFrame:
+    """`rows` with their place along each direction.  Along none are two rows farther apart than they are."""
+    return rows.withColumns({f"{prefix}{k}": sum((F.col(c) * F.lit(f) for c, f in zip(columns, factors, strict=True)), F.lit(0.0)) for k, factors in enumerate(turn)})
+
+
+def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k: int, may: Column, pick: list[Column], order: Column, near: Callable[[Column], Column]) -> DataFrame:
+    """The first k of each target among the rows of `pool` with its keys that it `may` meet: `pick`, by
+    `order` and then comp, with their rank.
+
+    targets: keys, player, _need (how many there are to find, k at most), _t0, _t1, ...; pool: keys, comp,
+    _c0, _c1, ...: places along axes on which no two rows are farther apart than they are.
+
+    Space is cut into cells as wide as the density of a group suggests, and a target meets the cells
+    around its own.  Rows that are `near` a cell's width are surely among what it has met; a target that
+    has _need of them is done, the others go on with wider cells.  When cells are wider than their
+    group all has been met, so rounds are bounded by the logarithm of the group's size."""
+    sides = [F.stddev_pop(f"_c{a}").alias(f"_s{a}") for a in range(dims)] + [f(f"_c{a}").alias(f"_{n}{a}") for a in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    size = functools.reduce(lambda x, y: x * y, (F.greatest(f"_s{a}", F.lit(1e-6)) for a in range(dims)))
+    width = F.greatest(F.lit(2.0) * F.pow(F.lit(3.0 * k) * size / F.col("_n"), F.lit(1.0 / dims)), F.lit(1e-6))
+    groups = staged(pool.groupBy(*keys).agg(F.count("*").alias("_n"), *sides).withColumn("_w", width).drop("_n", *(f"_s{a}" for a in range(dims))), "groups")
+    # a target has met all of its group when a cell reaches from it to the group's far end
+    reach = F.greatest(F.lit(0.0), *(F.abs(F.col(f"_t{a}") - F.col(f"_{n}{a}")) for a in range(dims) for n in ("lo", "hi")))
+    left = staged(targets.join(groups, keys).withColumn("_reach", reach).drop(*(f"_{n}{a}" for a in range(dims) for n in ("lo", "hi"))), "left")
+    best = Window.partitionBy("player").orderBy(order, "comp")
+    cell = lambda c, r: F.floor(F.col(c) / F.col(r))
+    parts: list[DataFrame] = []
+    factor = 1.0
+    while not left.isEmpty():
+        t = left.withColumn("_r", F.col("_w") * F.lit(factor))
+        t = t.withColumns({f"_x{a}": cell(f"_t{a}", "_r") for a in range(dims)})
+        for a in range(dims):
+            t = t.withColumn(f"_x{a}", F.explode(F.sequence(F.col(f"_x{a}") - 1, F.col(f"_x{a}") + 1)))
+        open_ = left.select(*keys, (F.col("_w") * F.lit(factor)).alias("_q")).distinct()  # a row a group
+        c = pool.join(open_, keys).withColumns({f"_x{a}": cell(f"_c{a}", "_q") for a in range(dims)}).drop("_q", *(f"_c{a}" for a in range(dims)))
+        e = t.join(c, [*keys, *(f"_x{a}" for a in range(dims))]).where(may)
+        all_met = F.col("_reach") < F.col("_r")
+        e = e.select(*pick, "_need", "_r", "_reach").where(near(F.col("_r") * F.lit(1 - 1e-9)) | all_met)
+        e = e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        e = staged(e.withColumn("_found", F.count("*").over(Window.partitionBy("player"))).where((F.col("_found") >= F.col("_need")) | all_met).drop("_found", "_need", "_r", "_reach"), "near")
+        parts.append(e)
+        rest = left.where(F.col("_reach") >= F.col("_w") * F.lit(factor))  # the others have met all, found or not
+        left = staged(rest.join(e.select("player").distinct(), "player", "left_anti"), "left")
+        factor *= 2.0 if len(parts) < 3 else 8.0  # who is left by then is far from all others
+    if not parts:
+        return targets.join(pool, keys).select(*pick).withColumn("rank", F.lit(0)).limit(0)
+    return functools.reduce(DataFrame.union, parts)
 
 
 def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str = "position", order: str = "last_season") -> DataFrame:
     """For every row the k nearest rows (weighted Euclidean distance, ties by player) of its group whose
     `order` is lower; fewer where there are fewer.
 
-    The space is cut into cells along the first and the last weighted column, and a row meets the cells
-    around its own.  Whose k nearest lie within a cell's width is done; the rest go on with wider cells,
-    so the search is exact.  The first width follows from how densely the rows lie.  Rows with a
-    coordinate that is null or not finite are left out on both sides."""
-    first, last = next(iter(weights)), list(weights)[-1]
+    Searched in cells along the directions in which rows differ most, see `in_cells`: exact, and no row
+    meets its whole group.  Rows with a coordinate that is null or not finite are left out on both sides."""
     rows = rows.where(functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in weights)))
-    n, groups, *spread = rows.agg(F.count("*"), F.count_distinct(by), F.stddev_pop(first), F.stddev_pop(last)).first()
-    area = 16 * max(spread[0] or 0, 1e-6) * max(spread[1] or 0, 1e-6) * (weights[first] * weights[last]) ** 0.5
-    reach = (40 * k * area * max(groups, 1) / max(n, 1)) ** 0.5
+    rows = rows.select("player", by, order, *(F.col(c).cast("double").alias(c) for c in weights))
     times = rows.groupBy(by, order).count()
     below = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = times.select(by, order, F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_earlier"))
-    left = staged(rows.join(earlier, [by, order]).where("_earlier > 0").withColumn("_need", F.least(F.lit(k), "_earlier")).drop("_earlier"), "left")
-    distance = F.sqrt(squared_distance([(f"t_{c}", c) for c in weights], weights.values()))
-    best = Window.partitionBy("player").orderBy("distance", "comp")
-    parts = []
-    while left.count():
-        cell = lambda c: F.floor(F.col(c) * F.lit(weights[c] ** 0.5) / F.lit(reach))  # noqa: E731, B023
-        around = lambda c: F.explode(F.sequence(cell(c) - 1, cell(c) + 1))  # noqa: E731, B023
-        t = left.select("player", by, F.col(order).alias("_at"), "_need", *(F.col(c).alias(f"t_{c}") for c in weights), around(first).alias("_x"), cell(last).alias("_own"))
-        t = t.withColumn("_y", F.explode(F.sequence(F.col("_own") - 1, F.col("_own") + 1)))
-        c = rows.select(F.col("player").alias("comp"), by, order, *weights, cell(first).alias("_x"), cell(last).alias("_y"))
-        e = t.join(c, [by, "_x", "_y"]).where(F.col(order) < F.col("_at")).select("player", "comp", "_need", distance.alias("distance")).where(F.col("distance") <= reach)
-        near = e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        near = staged(near.withColumn("_n", F.count("*").over(Window.partitionBy("player"))).where("_n >= _need").drop("_n", "_need"), "near")
-        parts.append(near)
-        left = staged(left.join(near.select("player").distinct(), "player", "left_anti"), "left")
-        reach *= 3
-    if not parts:
-        return rows.select("player", F.col("player").alias("comp"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    return functools.reduce(DataFrame.union, parts)
+    earlier = times.select(by, order, F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_earlier"))  # a row a group and season
+    turn = directions(rows, list(weights), list(weights.values()), min(3, len(weights)))
+    t = rows.join(earlier, [by, order]).where("_earlier > 0").withColumn("_need", F.least(F.lit(k), "_earlier"))
+    t = axes(t, list(weights), turn, "_t").select("player", by, F.col(order).alias("_at"), "_need", *(F.col(c).alias(f"t_{c}") for c in weights), *(f"_t{a}" for a in range(len(turn))))
+    c = axes(rows, list(weights), turn, "_c").withColumnRenamed("player", "comp")
+    distance = F.sqrt(squared_distance([(f"t_{x}", x) for x in weights], weights.values()))
+    found = in_cells(t, c, [by], len(turn), k, F.col(order) < F.col("_at"), [F.col("player"), F.col("comp"), distance.alias("distance")], F.col("distance"), lambda w: F.col("distance") <= w)
+    return found.select("player", "comp", "distance", "rank")
 
 
 def comp_projection(edges: DataFrame, futures: DataFrame) -> DataFrame:
