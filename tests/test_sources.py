@@ -41,18 +41,67 @@ def test_json_arrays_leave_out_broken_files(spark, tmp_path):
     assert sorted(r.a for r in got.collect()) == [1, 2]
 
 
-TABLE = """<table id="other"><tr data-append-csv="n"><td data-stat="x">0</td></tr></table><table class="t" id="stats"><tr class="thead"><th data-stat="x">X</th></tr>
-<tr><th data-stat="name" data-append-csv="p1"><a href="/p">Ann&amp;Co</a></th><td data-stat="x">7</td></tr><tr><td data-stat="x">no key</td></tr></table>"""
+TABLE = """<table id="other"><tr data-append-csv="n"><td data-stat="x">0</td></tr></table>
+<!-- <div><table class="t" id="stats"><thead><tr><th data-stat="player">Name</th></tr></thead><tbody>
+<tr><th data-append-csv="p1" data-stat="player"><a href="/p">Ann&amp;Co</a>*+<td data-stat="x">7<td data-stat="team">2TM
+<tr class="full thead"><th data-stat="x" data-append-csv="zz">X</th></tr>
+<tr><th data-stat='player' data-append-csv='p2'>Bob <b>Ray</b></th><td data-stat=x>8<table id="in"><tr><td data-stat="x">9</td></tr></table></td><td data-stat="">none</td></tr>
+<tr><td data-stat="x">no key</td></tr>
+<tr><th data-stat="player" data-append-csv="p1">Ann&amp;Co</th><td data-stat="x">5</td><td data-stat="team_name_abbr">HOU</td></tr></tbody>
+<tfoot><tr><th data-stat="player" data-append-csv="sum">All</th></tr></tfoot></table></div> -->"""
 
 
 def test_html_table_and_fields(spark):
-    pages = spark.createDataFrame([(1, TABLE), (2, None)], "id int, html string")
+    pages = spark.createDataFrame([(1, TABLE, 1990), (2, None, 1991), (3, "<table id=stats><td data-stat=x data-append-csv=q>1</table>", 1992), (1, TABLE, 1990)], "`page.id` int, html string, year int")
     got = html.table_rows(pages, "html", "stats").collect()
-    assert [(r.id, r.row_id, r.cells) for r in got] == [(1, "p1", {"name": "Ann&Co", "x": "7"})]
+    rows = sorted((r["page.id"], r.year, r.row_id, tuple(sorted(r.cells.items()))) for r in got)
+    one = [("p1", (("player", "Ann&Co*+"), ("team", "2TM"), ("x", "7"))), ("p1", (("player", "Ann&Co"), ("team_name_abbr", "HOU"), ("x", "5"))), ("p2", (("player", "BobRay"), ("x", "89")))]
+    assert rows == sorted([(1, 1990, *x) for x in one * 2])  # cells without a row of their own are left out
+    first = html.table_rows(pages.limit(1), "html", "stats", keep_first="player").collect()
+    assert sorted(r.row_id for r in first) == ["p1", "p1", "p2"]
+    named = sorted(tuple(r)[:5] for r in html.season_rows(pages.limit(1), "html", "stats", "year").collect())
+    assert named == [("p1", "Ann&Co", "2TM", 1990, "stats"), ("p1", "Ann&Co", "HOU", 1990, "stats"), ("p2", "BobRay", "", 1990, "stats")]
+    assert html.table_rows(pages, "html", "absent").count() == 0 and html.table_rows(pages.limit(0), "html", "stats").count() == 0
     one = spark.createDataFrame([('<h1> <b>A</b> B</h1><span data-birth="1990-02-03">',)], "h string").select(html.birth_date(F.col("h")).alias("d"), html.page_title(F.col("h")).alias("t")).first()
     assert str(one.d) == "1990-02-03" and one.t == "A B"
 
 
+def test_draft_class(spark):
+    page = """<table id="drafts"><tbody><tr><th data-stat="draft_round">1</th><td data-stat="draft_pick">2</td><td data-stat="team">NYJ</td><td data-stat="player" data-append-csv="AbcDe00">Abc De+</td><td data-stat="pos">HB</td><td data-stat="age">21</td><td data-stat="college_id"><a>Ohio St.</a></td></tr>
+    <tr class="thead"><th data-stat="draft_round">Rnd</th></tr><tr><th data-stat="draft_round">1</th><td data-stat="draft_pick"></td><td data-stat="player" data-append-csv="x">No Pick</td></tr></tbody></table>"""
+    got = html.draft_rows(spark.createDataFrame([(2001, page)], "year int, html string"), "html", "year").collect()
+    assert [tuple(r) for r in got] == [(2001, 1, 2, "NYJ", "AbcDe00", "Abc De", "HB", "Ohio St.", 21)]
+
+
+BOARD = """<div class="mock-row nfl" data-pos="WR"><div class="mock-row-pick-number">1</div><div class="mock-row-logo"><a href="/nfl/colleges/ohio-state"><img src=x></a></div>
+<div class="mock-row-player"><a href="/nfl/players/a"><div class="mock-row-name">Ann O&#39;Day</div><div class="mock-row-school-position">WR | Ohio State </div></a></div>
+<div class="mock-row-measurements"><div>6&#39;3&#34;</div><div>215</div></div></div>
+<div data-pos="QB" class="future nfl mock-row"><div class="mock-row-pick-number x">2029</div><div class="mock-row-logo"></div><div class="mock-row-player"><a href="/p"><div class="mock-row-name">Bob</div><div class="mock-row-school-position">QB | Iowa</div></a></div></div>
+<div class="mock-row nfl future" data-pos="TE"><div class="mock-row-pick-number">soon</div><div class="mock-row-name">Cy</div><div class="mock-row-school-position">TE |</div></div>
+<div class="mock-row nfl" data-pos="RB"><div class="mock-row-pick-number">-</div><div class="mock-row-name">Di</div><div class="mock-row-school-position">RB | Rice</div></div>
+<div class="mock-row nfl" data-pos="WR"><div class="mock-row-pick-number">9</div><div class="mock-row-name">ANN O'DAY</div><div class="mock-row-school-position">WR | ohio state</div></div>
+<div class="mock-row nfl" data-pos="WR"><div class="mock-row-pick-number">10</div></div>"""
+
+
+def test_big_board(spark):
+    got = html.big_board(spark.createDataFrame([("2026-01-01", BOARD), ("2026-01-02", None)], "at string, html string"), "html", 2027)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("2026-01-01", -1, "Bob", "QB", "Iowa", None, None, None, 2029),
+        ("2026-01-01", -1, "Cy", "TE", None, None, None, None, 2028),
+        ("2026-01-01", -1, "Di", "RB", "Rice", None, None, None, 2027),
+        ("2026-01-01", 1, "Ann O'Day", "WR", "Ohio State", "ohio-state", "6'3\"", 215, 2027),
+    ]
+
+
+def test_elements_stand_in_their_tables(spark):
+    from tidemark.sources import elements
+
+    page = "<p>a<p>b <i>c</i><ul><li>1<li>2</ul><table><tr><td>x<table><tr><td>y</table>z<tr><td>w</table><br class=k><script>var no='<td>';</script>"
+    got = elements.elements(spark.createDataFrame([(page,)], "h string"), "h", ("p", "li", "td"), ("k",)).orderBy("no").collect()
+    assert [(r.tag, r.text) for r in got] == [("p", "a"), ("p", "bc"), ("li", "1"), ("li", "2"), ("td", "xyz"), ("td", "y"), ("td", "w"), ("br", None)]
+    assert got[4].table_no == got[6].table_no != got[5].table_no and got[4].row_no != got[6].row_no and got[4].end_no >= got[5].no
+
+
 def test_embedded_array(spark):
     pages = spark.createDataFrame([('<script>var players = [{"id": 1, "name": "A"}, {"id": 2}];</script>',)], "h string")
     assert [tuple(r) for r in files.embedded_array(pages, "h", "players", "id: int, name: string").collect()] == [(1, "A")]
