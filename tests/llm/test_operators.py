@@ -476,6 +476,76 @@ def test_html_shows_all_visible_text(page, text):
     assert op07_html.extract(page) == text
 
 
+def test_html_comments_raw_text_and_wide_letters():
+    assert op07_html.extract("a<!-- x --!>b<p>c<!-->d<!--->e<!-- <p>no").split() == ["ab", "cde"]
+    assert op07_html.extract("<textarea>\nt &amp; u</textarea><script>if (a &amp;&amp; b)</script>") == "t & u"
+    rows = op07_html.extract("<table><tr><td>漢字<td>x<tr><td>abcd<td>y<tr><td>e\u0301<td>z</table>").split("\n")
+    assert rows == ["漢字 | x", "abcd | y", "e\u0301    | z"]
+
+
+def seen_words(page):
+    """Words of a page by another parser: what is not in a hidden element or one that is never shown."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in ("br", "hr", "img"):
+                self.words += [" "]
+                return
+            if tag in ("p", "div", "ul", "ol", "table", "h1", "h2", "blockquote", "li", "tr", "td") and any(t == "p" for t, _ in self.open[-1:]) and tag not in ("td", "tr", "li"):
+                self.open.pop()
+            style = dict(attrs).get("style") or ""
+            self.open.append((tag, tag in ("script", "style", "title", "head") or "hidden" in dict(attrs) or "display:none" in style.replace(" ", "")))
+            self.words += [" "] if tag not in ("b", "i", "span") else []
+
+        def handle_endtag(self, tag):
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == tag:
+                    del self.open[k:]
+                    break
+            self.words += [" "] if tag not in ("b", "i", "span") else []
+
+        def handle_data(self, data):
+            if not any(hidden for _, hidden in self.open):
+                self.words.append(data)
+
+    p = Plain()
+    p.feed(page)
+    p.close()
+    return "".join(p.words).split()
+
+
+def test_html_shows_what_another_parser_sees(spark):
+    r = random.Random(31)
+
+    def block(depth):
+        kind = r.choice(["p", "div", "ul", "table", "h2", "blockquote", "text"]) if depth else "text"
+        line = lambda: " ".join(r.choice(["alpha", "b &amp; c", "<b>bold</b>", "<i>x</i>y", "漢字", "<span hidden>gone</span>", "<span style='display: none'>gone</span>", "z<br>w", "<!-- no -->k"]) for _ in range(r.randint(1, 5)))
+        if kind in ("p", "h2"):
+            return f"<{kind}>{line()}</{kind}>"
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{line()}{block(depth - 1)}</li>" for _ in range(2)) + "</ul>"
+        if kind == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td>{line()}</td>".replace("<br>", " ") for _ in range(2)) + "</tr>" for _ in range(2)) + "</table>"
+        if kind in ("div", "blockquote"):
+            hide = r.choice(["", "", " hidden"])
+            return f"<{kind}{hide}>" + "".join(block(depth - 1) for _ in range(r.randint(1, 3))) + f"</{kind}>"
+        return line() + " "
+
+    pages = ["<html><head><title>t</title><style>p{}</style></head><body>" + "".join(block(3) for _ in range(4)) + "</body></html>" for _ in range(120)]
+    pages += ["<div>" * 400 + "deep" + "</div>" * 400, "<p>" + "long words " * 30_000]
+    for page in pages:
+        shown = [w for w in op07_html.extract(page).split() if w not in ("-", "|")]
+        assert shown == seen_words(page)
+    rows = [(k, p) for k, p in enumerate(pages[:20])] * 2 + [(None, None), (7, pages[-1])]
+    got = [(x.page_id, x.text) for x in op07_html.extract_pages(spark.createDataFrame(rows, "page_id long, html string").repartition(3)).collect()]
+    assert sorted(got, key=str) == sorted(((i, op07_html.extract(p) if p else "") for i, p in rows), key=str)
+
+
 def test_html_cost_is_in_proportion():
     import time
 
@@ -653,6 +723,12 @@ def test_stores_as_hadoop_names_them():
         store_of("nowhere://x/y")
 
 
+def test_embeddings_of_any_size_link(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [3.0, 6.0], 1), (3, [1e-200, 2e-200], 1), (4, [5e-324, 1e-323], 1), (5, [2e200, -1e200], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in op09_embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+
+
 def test_lexicon_shares_suffixes():
     entries = [(w.encode(), [k, k + 1]) for k, w in enumerate(["", "sing", "ring", "bring", "being", "rings", "seeing"])]
     blob = op10_bpe.compile_lexicon(entries)

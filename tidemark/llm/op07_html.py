@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from ._shared import Batches, columns_as
 
 # fixed values: HTML's elements by the part they play
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ESCAPABLE = frozenset("textarea title".split())  # raw text in which character references count
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas annotation annotation-xml".split())
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())  # any other start tag ends an open head
@@ -52,7 +54,7 @@ IMPLIED = {
 }
 BARRIER = frozenset({"table", "td", "th", "caption", "html", "button"})
 
-TOKEN = re.compile(r"""<!--(?s:.*?)(?:-->|\Z)|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*)[^>]*+>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+TOKEN = re.compile(r"""<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*+>?|</([a-zA-Z][^\s/>]*)[^>]*+>|<([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 HIDING = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
@@ -153,7 +155,8 @@ def parse(page: str) -> Element:
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.children.append(page[at : end.start() if end else n])
+            held = page[at : end.start() if end else n]
+            node.children.append(html.unescape(held).removeprefix("\n") if tag in ESCAPABLE else held)
             at = end.end() if end else n
         elif tag not in VOID and not m[3].endswith("/"):
             open_(node)
@@ -216,6 +219,13 @@ class Lines:
         self.lines.append((indent + line).rstrip())
 
 
+def columns_of(text: str) -> int:
+    """How many columns of a terminal a line takes: wide letters two, marks on others none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.category(c) in ("Mn", "Me", "Cf") else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
     """Rows of (cell text, columns it spans, rows it spans), padded so that columns stand below each
     other; where a cell from above still stands, its columns are empty."""
@@ -231,7 +241,7 @@ def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
                 at += 1
             text = cell.split("\n")
             if span == 1:
-                width[at] = max(width.get(at, 0), *map(len, text))
+                width[at] = max(width.get(at, 0), *map(columns_of, text))
             placed.append((text, span))
             if down > 1:
                 taken |= {x: down - 1 for x in range(at, at + span)}
@@ -244,7 +254,8 @@ def table_lines(rows: list[list[tuple[str, int, int]]]) -> list[str]:
             at, line = 0, []
             for cell, span in row:
                 room = sum(width.get(x, 0) for x in range(at, at + span)) + 3 * (span - 1)
-                line.append((cell[k] if k < len(cell) else "").ljust(room))
+                own = cell[k] if k < len(cell) else ""
+                line.append(own + " " * (room - columns_of(own)))
                 at += span
             out.append(" | ".join(line).rstrip())
     return out

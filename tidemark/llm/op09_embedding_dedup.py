@@ -90,9 +90,14 @@ def _matrix(raw: list[bytes], single: bool) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32 if single else np.float64).reshape(len(raw), -1).astype(np.float64)
 
 
-def _unit(raw: list[bytes], single: bool) -> np.ndarray:
+def _scaled(raw: list[bytes], single: bool) -> np.ndarray:
+    """Vectors times a power of two each, which changes no digit, so that squares neither overflow nor vanish."""
     x = _matrix(raw, single)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def _unit(raw: list[bytes], single: bool) -> np.ndarray:
+    x = _scaled(raw, single)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -151,7 +156,7 @@ def _rerank(masks: list[int], threshold: float, single: bool) -> BatchFn:
             raw = t.column("vec").to_pylist()
             width = np.array([len(r) for r in raw])
             links, forest, found = np.zeros(len(ids), np.int64), Forest(len(ids)), []
-            vectors = {w: (np.cumsum(width == w) - 1, _matrix([r for r in raw if len(r) == w], single)) for w in set(width.tolist())}
+            vectors = {w: (np.cumsum(width == w) - 1, _scaled([r for r in raw if len(r) == w], single)) for w in set(width.tolist())}
             norms = {w: np.sqrt(np.einsum("ij,ij->i", v, v)) for w, (_, v) in vectors.items()}
             for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 18):
                 differ = code[i] ^ code[j]
