@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import tier
 from ..staging import staged
 
 
-def ranked(rows: DataFrame, score: str, tie: str, by: str | None = None, out: str = "rank", tiers: bool = False) -> DataFrame:
-    """Ranks from 1 by falling score, over all rows or within `by`.
+def placed(rows: DataFrame, order: Sequence[Column | str], by: str | None = None, out: str = "place") -> DataFrame:
+    """Places from 1 in the given order, which no two rows may share, over all rows or within `by`.
 
-    Rows are dealt out by ranges of (by, score, tie), so neither a group nor many equal scores must
-    fit one task; a row's rank is its place in its range and the size of its group's ranges above."""
+    Rows are dealt out by ranges of (by, order), so neither a group nor many rows that are equal but for
+    the last of `order` must fit one task; a row's place is that in its range and the size of its
+    group's ranges above."""
     spark, keys = rows.sparkSession, [by] if by else []
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [*keys, F.desc(score), tie]
-    r = staged(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    r = staged(rows.repartitionByRange(parts, *keys, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     above = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = r.groupBy(*keys, "_p").count()  # one row a range, and one more for each group
     lifts = sizes.select(*(F.col(k).alias("_by") for k in keys), F.col("_p").alias("_q"), F.coalesce(F.sum("count").over(above), F.lit(0)).alias("_lift"))
     same = F.col("_p") == F.col("_q")
     same = same & F.col(by).eqNullSafe(F.col("_by")) if by else same
-    own = Window.partitionBy(*keys, "_p").orderBy(F.desc(score), tie)
-    out_rows = r.withColumn("_rn", F.row_number().over(own)).join(lifts, same).withColumn(out, F.col("_rn") + F.col("_lift")).select(*(F.col(f"`{c}`") for c in rows.columns if c != out), out)
+    own = Window.partitionBy(*keys, "_p").orderBy(*order)
+    return r.withColumn("_rn", F.row_number().over(own)).join(lifts, same).withColumn(out, F.col("_rn") + F.col("_lift")).select(*(F.col(f"`{c}`") for c in rows.columns if c != out), out)
+
+
+def ranked(rows: DataFrame, score: str, tie: str, by: str | None = None, out: str = "rank", tiers: bool = False) -> DataFrame:
+    """Ranks from 1 by falling score, over all rows or within `by`; see `placed`."""
+    out_rows = placed(rows, [F.desc(score), tie], by, out)
     return out_rows.withColumn("tier", tier(out)) if tiers else out_rows
 
 
