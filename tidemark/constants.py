@@ -30,6 +30,21 @@ MISSED = (0.45, 0.70, 0.85, 8)
 DECLINE_AGE, DECLINE_SHARE = 27, 0.85
 LATE_AGE, LATE_RATE = 30, 16.0
 
+# prospects (fixed values)
+CONFERENCE_FACTOR = {"P5": 1.00, "G5_top": 0.85, "G5": 0.75, "FCS": 0.65}
+PROSPECT_WEIGHTS = {"z_avg": 3.0, "z_peak": 2.0, "z_final": 2.0, "stage": 1.0, "age": 20.0, "z_factor": 1.5}
+PROSPECT_STAGES, PROSPECT_AGES, PROSPECT_COMPS, PROSPECT_VOLUME = 1, 2, 25, 200.0
+FULL_COMPS = 8
+ROUND_ENDS = ((10, "R1_top10"), (32, "R1"), (64, "R2"), (100, "R3"), (150, "R4"), (200, "R5_6"))
+ROUND_POINTS = {
+    "QB": {"R1_top10": 3200.0, "R1": 2200.0, "R2": 1100.0, "R3": 600.0, "R4": 320.0, "R5_6": 170.0, "R7": 85.0, "UDFA": 40.0},
+    "RB": {"R1_top10": 1600.0, "R1": 1200.0, "R2": 780.0, "R3": 500.0, "R4": 320.0, "R5_6": 180.0, "R7": 95.0, "UDFA": 55.0},
+    "WR": {"R1_top10": 1700.0, "R1": 1250.0, "R2": 820.0, "R3": 480.0, "R4": 300.0, "R5_6": 170.0, "R7": 85.0, "UDFA": 40.0},
+    "TE": {"R1_top10": 900.0, "R1": 700.0, "R2": 520.0, "R3": 330.0, "R4": 210.0, "R5_6": 120.0, "R7": 60.0, "UDFA": 30.0},
+}
+ROUND_PEAK = {"R1_top10": 13.5, "R1": 11.0, "R2": 9.0, "R3": 7.5, "R4": 6.0, "R5_6": 4.5, "R7": 3.0, "UDFA": 2.0}
+ROUND_YEARS = {"R1_top10": 7.5, "R1": 6.5, "R2": 5.5, "R3": 4.5, "R4": 3.5, "R5_6": 2.5, "R7": 1.8, "UDFA": 1.2}
+
 # tables
 TIER_ENDS = (12, 24, 48, 72, 108, 144, 200, 260)
 PICK_TIERS = ((10, "R1_top10"), (32, "R1"), (64, "R2"), (100, "R3"), (150, "R4_5"), (200, "R6"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,6 +56,17 @@ def z_scores(rows: DataFrame, value: str, by: list[str], out: str = "z") -> Data
     return rows.join(g, by).withColumn(out, (F.col(value) - F.col("_m")) / sd).drop("_m", "_sd", "_n")
 
 
+def z_scores_of(rows: DataFrame, columns: Mapping[str, str], by: list[str], digits: int | None = None) -> DataFrame:
+    """`z_scores` of several columns (name -> name of its score) by one aggregate and one join; with
+    `digits`, scores are rounded."""
+    moments = [f for c in columns for f in (F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_sd_{c}"), F.count(c).alias(f"_n_{c}"))]
+    j = rows.join(rows.groupBy(*by).agg(*moments), by)
+    sd = lambda c: F.when((F.col(f"_sd_{c}") <= 1e-9) | (F.col(f"_n_{c}") < 2), 1.0).otherwise(F.col(f"_sd_{c}"))
+    z = {out: (F.col(c) - F.col(f"_m_{c}")) / sd(c) for c, out in columns.items()}
+    z = {out: x if digits is None else F.round(x, digits) for out, x in z.items()}
+    return j.withColumns(z).drop(*(f"_{k}_{c}" for c in columns for k in ("m", "sd", "n")))
+
+
 def min_max(rows: DataFrame, value: str, by: list[str], lower_is_better: bool = False, least: int = 5, out: str = "scaled") -> DataFrame:
     """0 to 10 within the group; null in groups of fewer than `least` values."""
     g = rows.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))

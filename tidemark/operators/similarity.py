@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -117,6 +117,32 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
     return small.unionByName(found.select(*columns))
 
 
+def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Mapping[str, float], k: int, may: Column, pick: list[str], whole: int | None = None) -> DataFrame:
+    """The k offers nearest to each target by weighted Euclidean distance, ties by comp: `pick`, distance, rank.
+
+    targets: keys, player and a column t_{c} for each weighted c; offers: keys, comp and the columns
+    themselves.  Groups of more than `whole` offers (40 k if not given) are searched in cells."""
+    whole = 40 * k if whole is None else whole
+    distance = F.sqrt(squared_distance([(f"t_{c}", c) for c in weights], weights.values()))
+    best = Window.partitionBy("player").orderBy("distance", "comp")
+
+    def ranked(pairs: DataFrame) -> DataFrame:
+        e = pairs.where(may).select(*pick, distance.alias("distance"))
+        return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    sizes = offers.groupBy(*keys).agg(F.count("*").alias("_n"))
+    large = staged(sizes.where(F.col("_n") > whole), "large")
+    if large.isEmpty():
+        return ranked(targets.join(offers, keys))
+    offers = staged(offers, "offers")
+    small = ranked(targets.join(large, keys, "left_anti").join(offers.join(large, keys, "left_anti"), keys))
+    far = offers.join(large.select(*keys), keys, "left_semi")
+    turn = directions(far, list(weights), list(weights.values()), min(3, len(weights)))
+    t = axes(targets.join(large, keys), [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k), "_n")).drop("_n")
+    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k, may, [*(F.col(c) for c in pick), distance.alias("distance")], F.col("distance"), lambda w: F.col("distance") <= w)
+    return small.unionByName(found.select(*pick, "distance", "rank"))
+
+
 def directions(rows: DataFrame, columns: list[str], weights, n: int = 3) -> list[list[float]]:
     """Factors by which the columns add up along the n orthogonal directions in which rows, under the
     weights, differ most.  The driver gets one row of fixed size."""

@@ -1,5 +1,5 @@
-"""The operators bound to tables: `commerce` and `scouting` register queries, `oracles` their SQL."""
+"""The operators bound to tables: `commerce`, `scouting` and the modules after them register queries, `oracles` their SQL."""
 
-from . import commerce, oracles, scouting
+from . import commerce, oracles, prospects, scouting  # isort: skip
 
-__all__ = ["commerce", "oracles", "scouting"]
+__all__ = ["commerce", "oracles", "prospects", "scouting"]
