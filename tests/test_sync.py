@@ -72,15 +72,12 @@ def test_sync_is_the_cascade(spark):
     NORMAL.update({r.n: r.k for r in every.select("n", identity_name(F.col("n")).alias("k")).collect()})
     got = sync.sync(table(spark, records, RECORD).repartition(4), table(spark, players, PLAYER), identity_name)
     want, after = one_by_one(records, players)
-    groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
     ids = {r.order: r.player_id for r in got.records.collect()}
-    # old players keep their ids; new ones are the same groups of records, whatever their numbers
-    assert groups(ids) == groups({k: v[0] for k, v in want.items()})
-    old = {p["player_id"] for p in players}
-    assert {k: v for k, v in ids.items() if v in old} == {k: v for k, (v, _) in want.items() if v in old}
+    assert ids == {k: v[0] for k, v in want.items()} and {r.order: r.step for r in got.records.collect()} == {k: v[1] for k, v in want.items()}
     assert got.created == len(after) - len(players) == got.players.count() - len(players)
-    filled = {p.player_id: tuple(p[c] or None for c in sync.FILLED) for p in got.players.collect() if p.player_id in old}
-    assert filled == {p["player_id"]: tuple(p[c] or None for c in sync.FILLED) for p in after if p["player_id"] in old}
+    old = {p["player_id"] for p in players}
+    filled = {p.player_id: (p.full_name, *(p[c] or None for c in (*sync.IDS, *sync.FILLED))) for p in got.players.collect()}
+    assert filled == {p["player_id"]: (p["full_name"], *(p[c] or None for c in (*sync.IDS, *sync.FILLED))) for p in after}
     assert {p.note for p in got.players.collect() if p.player_id in old} == {"kept"}
     assert sorted(p.player_id for p in got.players.collect())[-1] == max(old) + got.created
 

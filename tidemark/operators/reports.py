@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import expected_at_pick
@@ -24,32 +26,43 @@ def weaknesses(roster: DataFrame, tiers: DataFrame, positions: list[str], worst:
     return teams.join(best, ["team", "position"], "left").where(F.col("best_tier").isNull() | (F.col("best_tier") > worst))
 
 
-def league_report(roster: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per team: players, rated ones, total, mean of the rated, place, and distance from the mean team."""
-    g = roster.join(scores, "player", "left").groupBy("team").agg(F.count("*").alias("players"), F.count("score").alias("rated"), F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
+def league_report(roster: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per team: players, rated ones, total, mean of the rated, place, and distance from the mean team.
+
+    by: the columns that tell leagues apart (platform and league, say), none for a single league.  Teams
+    of one league are placed together: a league has some dozens."""
+    g = roster.join(scores, "player", "left").groupBy(*by, "team").agg(F.count("*").alias("players"), F.count("score").alias("rated"), F.sum(F.coalesce("score", F.lit(0.0))).alias("total"))
     g = g.withColumn("mean_score", F.when(F.col("rated") > 0, F.col("total") / F.col("rated")).otherwise(0.0))
-    whole = Window.partitionBy()  # a league has some dozens of teams
-    return g.withColumns({"power_rank": F.row_number().over(Window.orderBy(F.desc("total"), "team")), "above_mean": F.col("total") - F.avg("total").over(whole)})
+    league = Window.partitionBy(*by)
+    return g.withColumns({"power_rank": F.row_number().over(league.orderBy(F.desc("total"), "team")), "above_mean": F.col("total") - F.avg("total").over(league)})
 
 
-def manager_report(teams: DataFrame, picks: DataFrame, deltas: DataFrame, scores: DataFrame) -> DataFrame:
+def manager_report(teams: DataFrame, picks: DataFrame, deltas: DataFrame, scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per team: what its picks scored over what their places promised, what its trades brought, both as
-    standard scores among those who have any, and their mean as skill.
+    standard scores among those of its league who have any, and their mean as skill.
 
-    teams: team; picks: team, player, pick; deltas: team, delta (one row a trade's side)."""
+    teams: team; picks: team, player, pick; deltas: team, delta (one row a trade's side); all with the
+    columns `by` that tell leagues apart, none for a single league."""
+    keys = [*by, "team"]
     d = picks.join(scores, "player").where(F.col("team").isNotNull())
-    d = d.groupBy("team").agg(F.count("*").alias("n_picks"), F.avg(F.col("score") - expected_at_pick(F.col("pick"))).alias("draft_delta"))
-    t = deltas.groupBy("team").agg(F.count("*").alias("n_trades"), F.sum("delta").alias("trade_delta"))
-    g = teams.join(d, "team", "left").join(t, "team", "left").fillna(0, ["n_picks", "n_trades"])
-    whole = Window.partitionBy()  # a league has some dozens of teams
+    d = d.groupBy(*keys).agg(F.count("*").alias("n_picks"), F.avg(F.col("score") - expected_at_pick(F.col("pick"))).alias("draft_delta"))
+    t = deltas.groupBy(*keys).agg(F.count("*").alias("n_trades"), F.sum("delta").alias("trade_delta"))
+    g = teams.join(d, keys, "left").join(t, keys, "left").fillna(0, ["n_picks", "n_trades"])
+    league = Window.partitionBy(*by)  # some dozens of teams
 
-    def z(value: str) -> F.Column:
-        n, sd = F.count(value).over(whole), F.stddev_pop(value).over(whole)
-        return F.when(F.col(value).isNull() | (n < 2), 0.0).otherwise((F.col(value) - F.avg(value).over(whole)) / F.when(sd == 0, 1.0).otherwise(sd))
+    def z(value: str) -> Column:
+        n, sd = F.count(value).over(league), F.stddev_pop(value).over(league)
+        return F.when(F.col(value).isNull() | (n < 2), 0.0).otherwise((F.col(value) - F.avg(value).over(league)) / F.when(sd == 0, 1.0).otherwise(sd))
 
     g = g.withColumns({"z_draft": z("draft_delta"), "z_trade": z("trade_delta")})
     g = g.withColumn("skill", F.round((F.col("z_draft") + F.col("z_trade")) / 2.0, 9)).fillna(0.0, ["draft_delta", "trade_delta"])
-    return g.withColumn("skill_rank", F.row_number().over(Window.orderBy(F.desc("skill"), "team")))
+    return g.withColumn("skill_rank", F.row_number().over(league.orderBy(F.desc("skill"), "team")))
+
+
+def pick_details(picks: DataFrame, scores: DataFrame) -> DataFrame:
+    """Each pick with what its place promised and by how much its player beat it; null for a player without a score."""
+    expected = expected_at_pick(F.col("pick"))
+    return picks.join(scores, "player", "left").withColumns({"expected": F.round(expected, 2), "delta": F.round(F.col("score") - expected, 2)})
 
 
 def source_backtest(rows: DataFrame, by: list[str], rank: str, actual: str, item: str, least: int = 5) -> DataFrame:

@@ -31,6 +31,47 @@ def profiles(seasons: DataFrame, stats: Sequence[str], rate: float = C.DISCOUNT)
     return g.withColumns({"played": games / F.lit(float(C.SEASON_GAMES)), **{f"{c}_pg": F.col(c) / games for c in stats}})
 
 
+ROOKIE_STATS = ("passing_yards", "rushing_yards", "receiving_yards", "passing_tds", "rushing_tds", "receiving_tds")
+CODES = {"QB": 1.0, "RB": 2.0, "WR": 3.0, "TE": 4.0}
+ROOKIE_VECTOR = ("rate", "played", *(f"{s}_pg" for s in ROOKIE_STATS), "completion_rate", "age", "position_code")
+
+
+def corpus(seasons: DataFrame, debuts: DataFrame | None = None, stats: Mapping[str, str] | None = None, codes: Mapping[str, float] = CODES, min_games: int = C.MIN_GAMES, first_season: int = 1999, left_out: Sequence[int] = (), later_needed: bool = False, min_seasons: int = 0, rate: float = C.DISCOUNT) -> DataFrame:
+    """One row per player whose first season is known and long enough: the 11 numbers of ROOKIE_VECTOR, and
+    what came later, plain and discounted; those who washed out after it are in, with nothing.
+
+    seasons: player, position, season, age, games, points and stats (name in ROOKIE_STATS, or
+    completion_rate -> column; what isn't named is 0).  debuts: player, debut: a player's real first season;
+    where it is earlier than `first_season`, or not among the seasons, the player is left out.  A player
+    without a debut starts with the earliest season.  Classes in `left_out` are not candidates."""
+    named = stats or {}
+    s = seasons.where(F.col("position").isin(*codes))
+    s = s.join(debuts.select("player", F.col("debut").alias("_debut")), "player", "left") if debuts is not None else s.withColumn("_debut", F.lit(None).cast("int"))
+    own = by_season()
+    first = F.coalesce("_debut", F.min("season").over(Window.partitionBy("player")))
+    s = s.withColumn("_first", first)
+    at, later = F.col("season") == F.col("_first"), F.col("season") > F.col("_first")
+    s = s.withColumn("_k", F.sum(F.when(later, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    kept = ["position", "season", "age", "games", "points", *dict.fromkeys(named.values())]
+    g = s.groupBy("player").agg(
+        F.max(F.when(at, F.struct(*kept))).alias("_own"), F.any_value("_debut").alias("_debut"),
+        F.coalesce(F.sum(F.when(later, F.col("points"))), F.lit(0.0)).alias("later"),
+        F.coalesce(F.sum(F.when(later, F.col("points") * F.pow(F.lit(1 - rate), F.col("_k").cast("double")))), F.lit(0.0)).alias("later_discounted"),
+        F.count_if(later).alias("later_seasons"), F.count_if(F.col("games") >= min_games).alias("n_seasons"),
+    )
+    g = g.where("_own is not null").select("player", "_own.*", "later", "later_discounted", "later_seasons", "n_seasons", "_debut")
+    g = g.where((F.coalesce("_debut", F.lit(first_season)) >= first_season) & (F.col("games") >= min_games) & (F.col("n_seasons") >= min_seasons))
+    if left_out:
+        g = g.where(~F.col("season").isin(*left_out))
+    if later_needed:
+        g = g.where("later_seasons > 0")
+    games = F.greatest("games", F.lit(1))
+    of = lambda k: F.coalesce(F.col(named[k]).cast("double"), F.lit(0.0)) if k in named else F.lit(0.0)
+    code = F.coalesce(*(F.when(F.col("position") == p, F.lit(v)) for p, v in codes.items()), F.lit(0.0))
+    vector = {"rate": F.col("points") / games, "played": games / F.lit(float(C.SEASON_GAMES)), **{f"{k}_pg": of(k) / games for k in ROOKIE_STATS}, "completion_rate": of("completion_rate"), "position_code": code}
+    return g.withColumns(vector).select("player", "position", "season", "games", *ROOKIE_VECTOR, "later", "later_discounted", "later_seasons")
+
+
 def dispatched(careers: DataFrame, current: int) -> Column:
     """Which engine a career goes to: one completed season, begun lately, is a rookie's."""
     return F.when((F.col("n_seasons") == 1) & (F.col("first_season") >= current - 1), "rookie").otherwise("cumulative")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -41,6 +41,55 @@ def scored(seasons: DataFrame, formats: Mapping[str, Mapping[str, float]], bonus
     return rows.withColumn("per_game", F.col("total") / F.greatest("games", F.lit(1)))
 
 
+def by_category(seasons: DataFrame, formats: Mapping[str, Mapping[str, float]], categories: Mapping[str, Sequence[str]], bonus: Mapping[str, tuple[str, str, float]] | None = None, bonus_category: str | None = None) -> DataFrame:
+    """One row per season, format and category that has points: where a season's points come from.
+
+    `seasons` as `scored` takes them, adjusted; a bonus counts to `bonus_category`."""
+    value = lambda s: F.coalesce(F.col(s).cast("double"), F.lit(0.0)) * F.col(f"{s}_factor")
+    parts = []
+    for name, points in formats.items():
+        for category, stats in categories.items():
+            total = F.lit(0.0)
+            for s in stats:
+                if s in points:
+                    total = total + value(s) * F.lit(float(points[s]))
+            if name in (bonus or {}) and category == bonus_category:
+                where, s, k = bonus[name]
+                total = total + F.when(F.col("position") == where, value(s) * F.lit(float(k))).otherwise(0.0)
+            parts.append(F.struct(F.lit(name).alias("format"), F.lit(category).alias("category"), total.alias("points")))
+    return seasons.withColumn("_c", F.explode(F.filter(F.array(*parts), lambda x: x["points"] != 0))).select("player", "season", "_c.*")
+
+
+def aliased(rows: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
+    """`rows` and, for each alias, those of the format that it stands for."""
+    named = [F.struct(F.lit(k).alias("to"), F.lit(v).alias("of")) for k, v in aliases.items()]
+    if not named:
+        return rows
+    names = F.concat(F.array(F.col("format")), F.transform(F.filter(F.array(*named), lambda a: a["of"] == F.col("format")), lambda a: a["to"]))
+    return rows.withColumn("format", F.explode(names))
+
+
+def arcs(points: DataFrame) -> DataFrame:
+    """One row per player and format: seasons in order (season, age, games, total, per_game), the career's
+    total, best season rate, best rate over three seasons in a row, and mean rate, weighted by games.
+
+    points: rows of `scored` with player, season, age and games."""
+    w = Window.partitionBy("player", "format").orderBy("season").rowsBetween(0, 2)
+    rolled = ratio0(F.sum("total").over(w), F.sum("games").over(w))
+    g = points.withColumn("_r", rolled).groupBy("player", "format").agg(
+        F.array_sort(F.collect_list(F.struct("season", "age", "games", "total", "per_game"))).alias("seasons"),  # a career is bounded
+        F.sum("total").alias("career_total"), F.max("per_game").alias("peak_season"), F.greatest(F.max("_r"), F.lit(0.0)).alias("peak_3"), ratio0(F.sum("total"), F.sum("games")).alias("career_mean"),
+    )
+    return g
+
+
+def same_formats(points: DataFrame, a: str, b: str, digits: int = 6) -> DataFrame:
+    """Seasons whose points differ between two formats that ought to be equal: none if they are."""
+    rows = points.where(F.col("format").isin(a, b)).groupBy("player", "season")
+    g = rows.agg(F.round(F.max(F.when(F.col("format") == a, F.col("total"))), digits).alias("total_a"), F.round(F.max(F.when(F.col("format") == b, F.col("total"))), digits).alias("total_b"))
+    return g.where(~F.col("total_a").eqNullSafe(F.col("total_b")))
+
+
 def diagnostic(seasons: DataFrame, stats: Sequence[str]) -> DataFrame:
     """Raw value, multiplier and adjusted value of each stat that is not zero."""
     cells = F.array(*(F.struct(F.lit(s).alias("stat"), F.col(s).cast("double").alias("raw"), F.col(f"{s}_factor").alias("multiplier")) for s in stats))

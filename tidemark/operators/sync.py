@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from .ranking import ranked
+from .ranking import placed
 
 IDS = ("sleeper_id", "gsis_id", "mfl_id")
 FILLED = ("draft_year", "draft_round", "draft_pick_overall", "draft_team", "gsis_id", "pfr_id", "college", "nfl_team", "position")
@@ -95,11 +95,12 @@ def sync(records: DataFrame, players: DataFrame, normal: Callable[[Column], Colu
     columns = list(dict.fromkeys(["player_id", *ids, "full_name", "position", *filled, *players.columns]))
     kind = {f.name: f.dataType for f in [*records.schema.fields, *players.schema.fields]}
     missing = lambda df, c: F.lit(None).cast(kind.get(c, "string")).alias(c)
-    own = players.select(*(F.col(c) if c in players.columns else missing(players, c) for c in columns if c != "normalized_name"), normal(F.col("full_name")).alias("normalized_name"))
+    own = players.withColumn("player_id", F.col("player_id").cast("long")).select(*(F.col(c) if c in players.columns else missing(players, c) for c in columns if c != "normalized_name"), normal(F.col("full_name")).alias("normalized_name"))
     wanted = [c for c in dict.fromkeys([order, *ids, "full_name", "position", *filled]) if c != "player_id"]
     rows = records.select(*(F.col(c) if c in records.columns else missing(records, c) for c in wanted), normal(F.col("full_name")).alias("normalized_name"))
     own, left = staged(own, "players"), staged(rows, "records")
-    parts, created = [], 0
+    last, start = own.agg(F.max("player_id")).first()[0] or 0, left.agg(F.min(order)).first()[0] or 0
+    parts, made = [], []
     while True:
         hits = staged(_found(left, own, ids), "hits")
         done = staged(_settled(hits, ids, filled, order), "settled")
@@ -107,18 +108,26 @@ def sync(records: DataFrame, players: DataFrame, normal: Callable[[Column], Colu
         own = staged(_filled(own, known, [c for c in filled if c in columns], order), "players")
         parts.append(known)
         if not leads.isEmpty():
-            last = own.agg(F.max("player_id")).first()[0] or 0
-            new = ranked(leads.withColumn("_first", -F.col(order)), "_first", order, out="_n")
-            new = staged(new.withColumn("player_id", (F.col("_n") + F.lit(last)).cast(kind.get("player_id", "long"))).drop("_n", "_first"), "new")
-            created += new.count()
+            # ids in the order of records until all are known, so that the least id is the first player's
+            new = leads.withColumn("player_id", (F.col(order).cast("long") + F.lit(last + 1 - start)).cast("long"))
+            made.append(new.select("player_id"))
             parts.append(new.select(*left.columns, "player_id", F.lit("created").alias("step"), F.lit(0).cast("long").alias("candidates")))
-            made = new.withColumn("full_name", F.when(some(F.col("full_name")), F.col("full_name")).otherwise("(unknown)"))
-            own = staged(own.unionByName(made.select(*(F.col(c) if c in made.columns else missing(made, c) for c in own.columns))), "players")
+            new = new.withColumn("full_name", F.when(some(F.col("full_name")), F.col("full_name")).otherwise("(unknown)"))
+            own = staged(own.unionByName(new.select(*(F.col(c) if c in new.columns else missing(new, c) for c in own.columns))), "players")
         left = staged(left.join(done.select(order), order, "left_anti"), "records")
         if left.isEmpty():
             break
     resolved = functools.reduce(DataFrame.unionByName, parts)
-    return Synced(resolved, own, created)
+    if not made:
+        return Synced(resolved, own, 0)
+    final = placed(functools.reduce(DataFrame.union, made), ["player_id"], out="_n")
+    final = staged(final.select(F.col("player_id").alias("_old"), (F.col("_n") + F.lit(last)).alias("_new")), "ids")
+
+    def numbered(df: DataFrame) -> DataFrame:
+        j = df.join(final, F.col("player_id") == F.col("_old"), "left")
+        return j.select(*(F.coalesce("_new", "player_id").cast(kind.get("player_id", "long")).alias("player_id") if c == "player_id" else F.col(c) for c in df.columns))
+
+    return Synced(staged(numbered(resolved), "resolved"), staged(numbered(own), "players"), final.count())
 
 
 def crosswalk(rows: DataFrame, players: DataFrame, steps: Sequence[Sequence[str]], foreign: str, positions: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
