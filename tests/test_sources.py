@@ -133,12 +133,44 @@ def test_streams_equal_batches(spark, tmp_path):
     rows = [(k, f"2024-01-{1 + k % 28:02d} 00:00:00", k % 5, "ab"[k % 2], float(k)) for k in range(60)]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").selectExpr("event_id", "to_timestamp(ts) ts", "user_id", "event_type", "value")
     out, state = str(tmp_path / "latest"), str(tmp_path / "state")
-    for k in range(2):
-        df.where(f"event_id % 2 = {k}").write.mode("append").parquet(str(tmp_path / "in"))
-        snapshots.keep_latest(snapshots.arriving(spark, str(tmp_path / "in"), schema), ["user_id"], "ts", "event_id", ["value"], out, state).awaitTermination()
+    arriving = lambda: snapshots.arriving(spark, str(tmp_path / "in"), schema)
+    keys = (["user_id"], "ts", "event_id", ["value", "event_type"])
     from tidemark.operators.consensus import latest
 
-    want = {tuple(r) for r in latest(df, ["user_id"], "ts", "event_id", ["ts", "event_id", "value"]).collect()}
-    assert {tuple(r) for r in spark.read.parquet(f"{out}/v1").collect()} == want
+    def run(rows):
+        """Adds rows, runs the stream anew from its checkpoint, and says how many keys came out."""
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        before = {p.name for p in (tmp_path / "latest" / "changes").glob("batch=*")} if (tmp_path / "latest").exists() else set()
+        snapshots.keep_latest(arriving(), *keys, out, state).awaitTermination()
+        new = [str(p) for p in (tmp_path / "latest" / "changes").glob("batch=*") if p.name not in before]
+        return sum(spark.read.parquet(p).count() for p in new)
+
+    want = lambda rows: {tuple(r) for r in latest(rows, *keys[:3], ["ts", "event_id", *keys[3]]).collect()}
+    got = lambda: {tuple(r) for r in snapshots.current(spark, out, *keys).collect()}
+    half = df.where("event_id < 40")
+    assert run(half) == 5 and got() == want(half)
+    one = df.where("event_id >= 40 and user_id = 2")
+    old = half.where("user_id = 3")  # rows that were there already, and older ones
+    one = one.union(one.limit(1).withColumns({"ts": F.lit("2024-02-01").cast("timestamp"), "event_id": F.lit(99).cast("long")}))
+    assert run(one.union(old)) == 1 == len(want(half.union(one)) - want(half)) and got() == want(half.union(one))
+    assert snapshots.compact(spark, out, *keys) >= 1 and got() == want(half.union(one))
+    rest = df.where("event_id >= 40 and user_id <> 2")
+    every = half.union(one).union(rest)
+    assert run(rest) == len(want(every) - want(half.union(one))) and got() == want(every)
+    df.withColumn("ts", F.when(F.col("event_id") == 1, None).otherwise(F.col("ts"))).where("event_id = 1").write.mode("append").parquet(str(tmp_path / "in"))
+    snapshots.keep_latest(arriving(), *keys, out, state).awaitTermination()
+    assert got() == want(every)
     snapshots.append(snapshots.arriving(spark, str(tmp_path / "in"), schema), str(tmp_path / "all"), str(tmp_path / "s2")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "all")).count() == 60
+    assert spark.read.parquet(str(tmp_path / "all")).count() == 60 + len([0 for k in range(40) if k % 5 == 3]) + 2
+
+
+def test_late_rows_are_passed_over(spark, tmp_path):
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    write = lambda rows: spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").selectExpr("event_id", "to_timestamp(ts) ts", "user_id", "value").write.mode("append").parquet(str(tmp_path / "in"))
+    keys = (["user_id"], "ts", "event_id", ["value"])
+    run = lambda: snapshots.keep_latest(snapshots.arriving(spark, str(tmp_path / "in"), schema), *keys, str(tmp_path / "out"), str(tmp_path / "state"), late="2 days").awaitTermination()
+    write([(1, "2024-01-10 00:00:00", 1, 1.0)])
+    run()
+    write([(2, "2024-01-01 00:00:00", 2, 2.0), (3, "2024-01-09 00:00:00", 3, 3.0)])
+    run()
+    assert {r.user_id for r in snapshots.current(spark, str(tmp_path / "out"), *keys).collect()} == {1, 3}
