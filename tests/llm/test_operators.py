@@ -310,7 +310,7 @@ def test_similar_groups_are_those_of_brute_force(spark):
 def test_warc(spark):
     pages = [(1, "http://a/ b", "<p>é</p>", 1), (2, "http://b", "<p>é</p>", 1), (0, None, "", 1), (5, "http://c\n", None, 1), (7, "u", "x" * 300000, 1), (7, "u", "x" * 300000, 1), (3, "http://d", "<p>é</p>", 2)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int").repartition(3)
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op04_warc.read_archives(op04_warc.write_archives(op04_warc.arc_records(df))).collect())
+    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op04_warc.read_archives(op04_warc.convert_archives(op04_warc.write_arcs(df))).collect())
     first = {}
     for i, _, h, _ in sorted(pages):
         first.setdefault(h or "", i)
@@ -321,7 +321,29 @@ def test_warc(spark):
         want.append((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == f else "revisit", None if i == f else f))
     assert sorted(got, key=str) == sorted(want, key=str)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert op04_warc.read_archives(op04_warc.write_archives(op04_warc.arc_records(empty))).count() == 0
+    assert op04_warc.read_archives(op04_warc.convert_archives(op04_warc.write_arcs(empty))).count() == 0
+
+
+def test_archives_are_files_and_ids_differ(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_shared, "shared_dir", lambda _: f"file:{tmp_path}")
+    pages = [(k % 30, f"http://h/{k}", f"<p>{k % 7}</p>" * 40) for k in range(90)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    arcs = op04_warc.write_arcs(df, per_file=4000)
+    paths = [r.path for r in arcs.collect()]
+    assert len(paths) > 6 and sorted(map(str, tmp_path.rglob("*.arc.gz"))) == sorted(paths)
+    from pyarrow import fs
+
+    store = fs.LocalFileSystem()
+    held = [(source, r.url, op04_warc.split_http(r.content)[1].decode()) for p in paths for source, r in op04_warc.records_in(store, p)]
+    assert sorted(held) == sorted(pages)
+    warcs = [r.path for r in op04_warc.convert_archives(arcs).collect()]
+    records = [f for p in warcs for f, _ in op04_warc.read_warc(store.open_input_stream(p, compression=None)) if f["WARC-Type"] != "warcinfo"]
+    ids = [f["WARC-Record-ID"] for f in records]
+    assert len(ids) == len(set(ids)) == 90 and {f["WARC-Refers-To"] for f in records if "WARC-Refers-To" in f} <= {f["WARC-Record-ID"] for f in records if f["WARC-Type"] == "response"}
+    # archives of others: no header says a source
+    (tmp_path / "old.arc").write_bytes(op04_warc.write_arc([op04_warc.ArcRecord("http://x", "1.2.3.4", "19990203", "text/html", b"plain")]))
+    old = op04_warc.convert_archives(spark.createDataFrame([(str(tmp_path / "old.arc"),)], "path string"))
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in op04_warc.read_archives(old).collect()] == [(None, 5, "response")]
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -594,7 +616,7 @@ def test_files_in_a_folder_given_as_a_uri(spark, docs, monkeypatch, tmp_path):
     got = op08_token_file.read_digests(op08_token_file.write_token_files(docs, byte_bpe()))
     assert got.count() == docs.count() and list(tmp_path.rglob("*.tmpf"))
     pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("http://x").alias("url"), F.col("text").alias("html"))
-    assert op04_warc.read_archives(op04_warc.write_archives(op04_warc.arc_records(pages))).count() == docs.count() and list(tmp_path.rglob("*.warc.gz"))
+    assert op04_warc.read_archives(op04_warc.convert_archives(op04_warc.write_arcs(pages))).count() == docs.count() and list(tmp_path.rglob("*.warc.gz"))
 
 
 def test_token_file_blocks():

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import Batches, BatchFn, columns_as, partitions, staged, utf8, whole_groups
@@ -487,9 +487,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if ids[0] == ids[1]:
         return docs.select(F.col("doc_id").alias("key"), "text", "doc_id")
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    rows = ordered.rdd.zipWithIndex().map(lambda r: (r[1], r[0].text, r[0].doc_id))
-    return staged(docs.sparkSession.createDataFrame(rows, "key long, text string, doc_id long"), "keyed")
+    order = [F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text")]
+    spark = docs.sparkSession
+    # a row's place is that in its range and the size of the ranges before
+    r = staged(docs.repartitionByRange(partitions(spark), *order).withColumn("p", F.spark_partition_id()), "ranges")
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = r.groupBy("p").count().select(F.col("p").alias("q"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))  # a row a range
+    own = F.row_number().over(Window.partitionBy("p").orderBy(*order))
+    rows = r.withColumn("n", own).join(F.broadcast(starts), F.col("p") == F.col("q"))
+    return staged(rows.select((F.col("start") + F.col("n") - 1).cast("long").alias("key"), "text", "doc_id"), "keyed")
 
 
 def _per_doc(ranges: DataFrame, *columns: str) -> DataFrame:

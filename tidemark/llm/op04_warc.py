@@ -1,10 +1,16 @@
 """Legacy archives (ARC) to WARC.
 
+Pages are written as ARC files to the shared folder; what converts them knows nothing but those files.
+A first pass over the files gives each record's digest, from which it follows which records revisit
+others; a second one reads each file again beside the marks of its records and writes WARC files.
+Contents stay in the tasks that read them: marks are all that is shuffled.
+
 An ARC file opens with a version block that names the fields of its record lines; version 1
 has five, version 2 ten.  Each record is such a line and as many bytes as it declares.  From
 these a WARC record is made: an identifier derived from the record, its timestamp in ISO form,
 its type, and SHA-1 digests of block and payload.  Of records with equal payloads the one with
-the smallest source id is a response and the others revisit it.
+the smallest source id is a response and the others revisit it.  An identifier is made from the
+source, the digest and the record's place in its archive, so no two are equal.
 
 Cases: a null payload is empty, and empty payloads equal each other; a null URL is written as
 "-", white space in it is percent-encoded; of repeated rows, all with the smallest id are
@@ -37,6 +43,7 @@ SOURCE_HEADER = b"X-Source-Id"
 ARC_BYTES = 4 << 20
 FILE_BYTES = 32 << 20
 LEVEL = 2
+ARC_LEVEL = 1
 
 
 class ArcRecord(NamedTuple):
@@ -107,8 +114,8 @@ def header(head: bytes, name: bytes) -> bytes | None:
     return None
 
 
-def record_id(source: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'tidemark:{source}:{digest}')}>"
+def record_id(source: int | None, digest: str, place: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'tidemark:{source}:{digest}:{place}')}>"
 
 
 def iso_date(date: str) -> str:
@@ -117,13 +124,13 @@ def iso_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def to_warc(r: ArcRecord, source: int | None, digest: str, first: tuple | None = None) -> bytes:
-    """The WARC record of an ARC record; with `first` (source, url, date of an equal payload) a revisit."""
+def to_warc(r: ArcRecord, source: int | None, digest: str, place: str, first: tuple | None = None) -> bytes:
+    """The WARC record of an ARC record; with `first` (source, place, url, date of an equal payload) a revisit."""
     head, _ = split_http(r.content)
     block = head if first else r.content
     fields = [
         ("WARC-Type", "revisit" if first else "response"),
-        ("WARC-Record-ID", record_id(source, digest)),
+        ("WARC-Record-ID", record_id(source, digest, place)),
         ("WARC-Date", iso_date(r.date)),
         ("WARC-Target-URI", r.url),
         ("WARC-IP-Address", r.ip),
@@ -131,7 +138,7 @@ def to_warc(r: ArcRecord, source: int | None, digest: str, first: tuple | None =
         ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
     ]
     if first:
-        fields += [("WARC-Refers-To", record_id(first[0], digest)), ("WARC-Refers-To-Target-URI", first[1]), ("WARC-Refers-To-Date", iso_date(first[2])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        fields += [("WARC-Refers-To", record_id(first[0], digest, first[1])), ("WARC-Refers-To-Target-URI", first[2]), ("WARC-Refers-To-Date", iso_date(first[3])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -164,19 +171,54 @@ def read_warc(source) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["Content-Length"])]
 
 
-RAW = "source_id long, url string, ip string, date string, mime string, content binary"
+class _Files:
+    """A task's files in the shared folder: an attempt's file gets its name only when it is whole."""
+
+    def __init__(self, folder: str, suffix: str) -> None:
+        self.store, self.root = store_of(folder)
+        self.task, self.suffix, self.done = TaskContext.get(), suffix, []
+
+    @property
+    def name(self) -> str:
+        return f"{self.task.partitionId():06d}-{len(self.done):04d}{self.suffix}"
+
+    def open(self):
+        self.part = f"{self.root}/_{self.name}-{self.task.taskAttemptId()}"
+        self.out = self.store.open_output_stream(self.part, compression=None)
+        return self.out
 
+    def close(self) -> None:
+        self.out.close()
+        path = f"{self.root}/{self.name}"
+        self.store.move(self.part, path)
+        self.done.append(path)
 
-def _as_arc(per_file: int) -> BatchFn:
-    """Rows (id, url, payload) as ARC files of bounded size, of either version in turn, read back as records."""
+    def paths(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.done, pa.string())], ["path"])
+
+
+def _folder(spark, label: str) -> str:
+    folder = new_path(spark, label)
+    store, root = store_of(folder)
+    store.create_dir(root, recursive=True)
+    return folder
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Paths of files, over all tasks."""
+    return files.repartition(partitions(files.sparkSession), "path")
+
+
+def _as_arc(folder: str, per_file: int) -> BatchFn:
+    """Rows (id, url, payload) as ARC files of bounded size, of either version in turn."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        held, size, version = [], 0, 1
+        files, held, size, version = _Files(folder, ".arc.gz"), [], 0, 1
 
-        def records() -> pa.RecordBatch:
-            got = list(read_arc(write_arc(held, version)))
-            sources = [None if (s := header(split_http(r.content)[0], SOURCE_HEADER)) == b"-" else int(s) for r in got]
-            return pa.RecordBatch.from_arrays([pa.array(sources, pa.int64()), *(pa.array(c, pa.string()) for c in list(zip(*got, strict=True))[:4]), pa.array([r.content for r in got], pa.binary())], ["source_id", "url", "ip", "date", "mime", "content"])
+        def write() -> None:
+            name = files.name
+            files.open().write(gzip.compress(write_arc(held, version, name.removesuffix(".gz")), ARC_LEVEL, mtime=0))
+            files.close()
 
         for b in batches:
             for source, url, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
@@ -184,97 +226,96 @@ def _as_arc(per_file: int) -> BatchFn:
                 held.append(ArcRecord(url or "-", "0.0.0.0", "19990101000000", "text/html", head + payload))
                 size += len(payload)
                 if size >= per_file:
-                    yield records()
+                    write()
                     held, size, version = [], 0, 3 - version
         if held:
-            yield records()
+            write()
+        yield files.paths()
 
     return run
 
 
-def arc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Pages as the records of legacy archives."""
+def write_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per_file: int = ARC_BYTES) -> DataFrame:
+    """Pages as legacy archives in the shared folder; the files' paths."""
     pages = columns_as(pages, source_id=id_col, url=url_col, payload=payload_col).withColumn("source_id", F.col("source_id").cast("long"))
-    return pages.mapInArrow(_as_arc(ARC_BYTES), RAW)
+    return staged(pages.mapInArrow(_as_arc(_folder(pages.sparkSession, "arc"), per_file), "path string"), "arcs")
+
 
+def records_in(store, path: str) -> Iterator[tuple[int | None, ArcRecord]]:
+    """(source id, record) of each record of an ARC file, compressed or not; no id where no header has one."""
+    with store.open_input_stream(path, compression=None) as f:
+        data = f.read()
+    for r in read_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+        s = header(split_http(r.content)[0], SOURCE_HEADER)
+        yield (int(s) if s and s.lstrip(b"-").isdigit() else None), r
 
-def parse_archives(files: DataFrame, content_col: str = "content") -> DataFrame:
-    """Records of ARC files, such as `spark.read.format("binaryFile")` gives; source_id is null where no header has it."""
 
+KNOWN = "path string, no int, source_id long, url string, date string, digest string, n long"
+
+
+def _digest(uri: str) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        store, _ = store_of(uri)
         for b in batches:
-            for data in b.column(0).to_pylist():
-                got = list(read_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-                ids = [int(s) if (s := header(split_http(r.content)[0], SOURCE_HEADER)) and s.isdigit() else None for r in got]
-                columns = list(zip(*got, strict=True)) if got else [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, pa.string()) for c in columns[:4]), pa.array(columns[4], pa.binary())], ["source_id", "url", "ip", "date", "mime", "content"])
+            for path in b.column(0).to_pylist():
+                rows = []
+                for no, (source, r) in enumerate(records_in(store, path)):
+                    payload = split_http(r.content)[1]
+                    rows.append((path, no, source, r.url, r.date, base32_sha1(payload), len(payload)))
+                types = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * 7, types, strict=True)], [f.split()[0] for f in KNOWN.split(", ")])
 
-    return columns_as(files, content=content_col).mapInArrow(run, RAW)
+    return run
 
 
-def _digest(batches: Batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        payloads = [split_http(c)[1] for c in b.column(3).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([base32_sha1(p) for p in payloads]), pa.array(map(len, payloads), pa.int64())], ["source_id", "url", "date", "digest", "n"])
+def _place(path: str, no: int) -> str:
+    return f"{path.rpartition('/')[2]}#{no}"
 
 
-def _write(folder: str) -> BatchFn:
+def _convert(uri: str, folder: str) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        store, root = store_of(folder)
-        task, number, out, part, size, done = TaskContext.get(), 0, None, "", 0, []
+        store, _ = store_of(uri)
+        files, out, size = _Files(folder, ".warc.gz"), None, 0
 
         def put(record: bytes) -> int:
             data = gzip.compress(record, LEVEL, mtime=0)
             out.write(data)
             return len(data)
 
-        def finish() -> None:
-            out.close()
-            path = f"{root}/{task.partitionId():06d}-{number:04d}.warc.gz"
-            store.move(part, path)  # an attempt's file gets its name only when whole
-            done.append(path)
-
         for b in batches:
             for row in b.to_pylist():
-                if out is None:
-                    part, size = f"{root}/_{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}", 0
-                    out = store.open_output_stream(part, compression=None)
-                    put(warc_info(f"{task.partitionId():06d}-{number:04d}.warc.gz"))
-                r = ArcRecord(row["url"], row["ip"], row["date"], row["mime"], row["content"])
-                first = row["first"]
-                size += put(to_warc(r, row["source_id"], row["digest"], (first["source_id"], first["url"], first["date"]) if first else None))
-                if size >= FILE_BYTES:
-                    finish()
-                    out, number = None, number + 1
+                marks = {m["no"]: m for m in row["marks"]}
+                for no, (source, r) in enumerate(records_in(store, row["path"])):
+                    if out is None:
+                        out, size = files.open(), 0
+                        put(warc_info(files.name))
+                    m = marks[no]
+                    first = (m["source"], _place(m["path"], m["first_no"]), m["url"], m["date"]) if m["first_no"] is not None else None
+                    size += put(to_warc(r, source, m["digest"], _place(row["path"], no), first))
+                    if size >= FILE_BYTES:
+                        files.close()
+                        out = None
         if out is not None:
-            finish()
-        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["path"])
+            files.close()
+        yield files.paths()
 
     return run
 
 
-def write_archives(records: DataFrame, least: int = 0) -> DataFrame:
-    """Writes a WARC record for each ARC record; returns the files' paths.  Equal payloads of at
-    least `least` bytes are kept once."""
-    spark = records.sparkSession
-    known = staged(records.select("source_id", "url", "date", "content").mapInArrow(_digest, "source_id long, url string, date string, digest string, n long"), "digests")
+def convert_archives(arcs: DataFrame, least: int = 0) -> DataFrame:
+    """Writes a WARC record for each record of the ARC files; returns the new files' paths.  Equal payloads
+    of at least `least` bytes are kept once."""
+    spark = arcs.sparkSession
+    uri = shared_dir(spark)
+    known = staged(_dealt(arcs).mapInArrow(_digest(uri), KNOWN), "digests")
     # null ids last: a struct's fields are compared in turn
-    own = F.struct(F.col("source_id").isNull().alias("unnamed"), "source_id", "url", "date")
+    own = F.struct(F.col("source_id").isNull().alias("unnamed"), "source_id", "url", "date", "path", "no")
     first = staged(known.where(F.col("n") >= least).groupBy("digest", "n").agg(F.min(own).alias("first"), F.count("*").alias("times")), "firsts")
-    chosen = join_one(known.where(F.col("n") >= least), first, ["digest", "n"], "times", known.count()).where(~F.col("first.source_id").eqNullSafe(F.col("source_id")))
-    chosen = staged(chosen.select(F.col("source_id").alias("s"), F.col("digest").alias("d"), "first").distinct(), "revisits")
-    with_digest = records.mapInArrow(_with_digest, RAW + ", digest string")
-    rows = with_digest.join(chosen, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("digest") == F.col("d")), "left").drop("s", "d")
-    folder = new_path(spark, "warc")
-    store, root = store_of(folder)
-    store.create_dir(root, recursive=True)
-    return staged(rows.mapInArrow(_write(folder), "path string"), "files")
-
-
-def _with_digest(batches: Batches) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        digests = [base32_sha1(split_http(c)[1]) for c in b.column(5).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(digests, pa.string())], [*b.schema.names, "digest"])
+    marked = join_one(known.where(F.col("n") >= least), first, ["digest", "n"], "times", known.count()).unionByName(known.where(F.col("n") < least), allowMissingColumns=True)
+    again = ~F.col("first.source_id").eqNullSafe(F.col("source_id")) & F.col("first").isNotNull()
+    of = lambda c: F.when(again, F.col(f"first.{c}"))
+    marks = marked.groupBy("path").agg(F.collect_list(F.struct("no", "digest", of("source_id").alias("source"), of("path").alias("path"), of("no").alias("first_no"), of("url").alias("url"), of("date").alias("date"))).alias("marks"))  # a file is bounded
+    return staged(_dealt(marks).mapInArrow(_convert(uri, _folder(spark, "warc")), "path string"), "files")
 
 
 def _read(uri: str) -> BatchFn:
@@ -301,8 +342,7 @@ def _read(uri: str) -> BatchFn:
 def read_archives(files: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the archives' records."""
     spark = files.sparkSession
-    dealt = files.repartition(partitions(spark), "path")
-    rows = staged(dealt.mapInArrow(_read(shared_dir(spark)), "source_id long, n long, digest string, type string, record_id string, refers_to string"), "records")
+    rows = staged(_dealt(files).mapInArrow(_read(shared_dir(spark)), "source_id long, n long, digest string, type string, record_id string, refers_to string"), "records")
     first = rows.where("type = 'response'").groupBy("record_id").agg(F.min("source_id").alias("first_id")).withColumnRenamed("record_id", "first_record")
     joined = rows.where("type = 'revisit'").join(first, F.col("refers_to") == F.col("first_record"), "left")
     columns = lambda df, to: df.select(F.col("source_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), to.alias("refers_to"))

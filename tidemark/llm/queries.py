@@ -36,9 +36,9 @@ def byte_bpe() -> str:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op04_warc import arc_records, read_archives, write_archives
+    from .op04_warc import convert_archives, read_archives, write_arcs
 
-    return read_archives(write_archives(arc_records(table(spark, sf_dir, "pages"))))
+    return read_archives(convert_archives(write_arcs(table(spark, sf_dir, "pages"))))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
