@@ -102,16 +102,68 @@ def test_elements_stand_in_their_tables(spark):
     assert got[4].table_no == got[6].table_no != got[5].table_no and got[4].row_no != got[6].row_no and got[4].end_no >= got[5].no
 
 
+def test_player_seasons_of_two_eras(spark, tmp_path):
+    (tmp_path / "new.csv").write_text("player_id,player_name,position,season,season_type,recent_team,games,passing_yards,extra\ng1,Al, qb ,2001,,NYJ,16,NA,x\n,none,QB,2001,REG,X,1,1,x\ng2,Bo,WR,2000,POST,DAL,2.0,7.5,x\n")
+    (tmp_path / "old.csv").write_text("season,player_id,player_name,position,games\n1998,p1,Al,QB,15\n1998,p9,Cy,RB,3\n")
+    cross = spark.createDataFrame([("p1", "g1"), ("p9", "g9")], "old string, new string")
+    got = files.player_seasons(spark, str(tmp_path / "new.csv"), str(tmp_path / "old.csv"), cross, ["games", "passing_yards"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("g1", "Al", "QB", 2001, "REG", "NYJ", 16.0, None), ("g2", "Bo", "WR", 2000, "POST", "DAL", 2.0, 7.5), ("g1", "Al", "QB", 1998, "REG", None, 15.0, None), ("p9", "Cy", "RB", 1998, "REG", None, 3.0, None)], key=str)
+    assert files.player_seasons(spark, str(tmp_path / "new.csv")).count() == 2
+
+
+def test_player_files_and_crosswalks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gsis_id,position,name\ng1,K,first\ng1,QB,second\ng2,K,only\n")
+    (tmp_path / "b.csv").write_text("gsis_id,position,birth\ng1,LB,1990\ng3,WR,1991\n")
+    got = {r.gsis_id: (r.position, r.name, r.birth) for r in files.players(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()}
+    assert got == {"g1": ("QB", "second", None), "g2": ("K", "only", None), "g3": ("WR", None, "1991")}
+    (tmp_path / "x.csv").write_text("ktc_id,mfl_id,gsis_id,merge_name,position\n1,10,g1,al,QB\n1,11,g2,al,QB\n2,NA,NA,bo,WR\n3,,g3,,TE\n")
+    maps = files.crosswalk(spark, str(tmp_path / "x.csv"))
+    rows = lambda k: sorted(tuple(r) for r in maps[k].collect())
+    assert rows("ktc_id") == [("1", "g2"), ("3", "g3")] and rows("mfl_id") == [("10", "g1"), ("11", "g2")] and rows("merge_name") == [("al", "QB", "g1")]
+    with pytest.raises(ValueError, match="ktc_id"):
+        files.crosswalk(spark, str(tmp_path / "a.csv"))
+
+
+def test_combine_and_leagues(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("player_name,pos,ht,wt,forty\nAl,fb,6-3,230,NA\nBo,OL,6-5,300,5.1\nCy,WR,71,,4.4\nDi,TE,x-y,240,4.6\n")
+    got = {r.player_name: (r.pos, r.ht, r.wt, r.forty, r.bench) for r in files.combine(spark, str(tmp_path / "c.csv")).collect()}
+    assert got == {"Al": ("RB", 75.0, 230.0, None, None), "Cy": ("WR", 71.0, None, 4.4, None), "Di": ("TE", None, 240.0, 4.6, None)}
+    (tmp_path / "l.json").write_text(json.dumps({"_comment": "x", "leagues": [{"platform": "mfl", "league_id": "62557", "year": 2026}, {"platform": None}]}))
+    assert [tuple(r) for r in files.leagues(spark, str(tmp_path / "l.json")).collect()] == [("mfl", "62557", 2026, "sf_ppr")]
+
+
+def test_page_snapshot(spark):
+    page = '<script>var playersArray = [{"playerID": 7, "playerName": "A]; b", "position": "QB", "team": "NYJ", "superflexValues": {"rank": "1", "positionalRank": 2.0, "value": 9999, "overallTier": "x", "adp": "1.5", "overallTrend": -3}, "oneQBValues": null}, {"playerID": 8}]; var other = [1];</script>'
+    r = files.page_snapshot(spark.createDataFrame([(page,), ("<p>none</p>",), (None,)], "h string"), "h").collect()
+    assert len(r) == 1 and (r[0].id, r[0].name, r[0].superflex.rank, r[0].superflex.positional_rank, r[0].superflex.tier, r[0].superflex.adp, r[0].superflex.overall_trend, r[0].one_qb.value) == (7, "A]; b", 1, 2, None, 1.5, -3, None)
+
+
+def test_settings(spark):
+    from tidemark.config import Settings, settings
+
+    assert settings(spark) == Settings()
+    for k, v in (("neighbours", "7"), ("least_share", "0.25"), ("full_refresh", "Yes"), ("current_season", "2024"), ("data_dir", " "), ("unknown", "x")):
+        spark.conf.set(f"tidemark.{k}", v)
+    try:
+        assert settings(spark, neighbours=9) == Settings(neighbours=9, least_share=0.25, full_refresh=True, current_season=2024)
+        spark.conf.set("tidemark.full_refresh", "maybe")
+        with pytest.raises(ValueError, match="full_refresh"):
+            settings(spark)
+    finally:
+        for k in ("neighbours", "least_share", "full_refresh", "current_season", "data_dir", "unknown"):
+            spark.conf.unset(f"tidemark.{k}")
+
+
 def test_embedded_array(spark):
     pages = spark.createDataFrame([('<script>var players = [{"id": 1, "name": "A"}, {"id": 2}];</script>',)], "h string")
     assert [tuple(r) for r in files.embedded_array(pages, "h", "players", "id: int, name: string").collect()] == [(1, "A")]
 
 
 def test_adapters(spark, tmp_path):
-    (tmp_path / "d.jsonl").write_text('{"source": "s", "gsis_id": "g", "player_name": "N", "position": "QB", "team": "T", "pick": "12", "round": 1, "season": "2020"}\n\n')
+    (tmp_path / "d.jsonl").write_text('{"source": "s", "gsis_id": "g", "player_name": "N", "position": "QB", "team": "T", "pick": "12", "round": 1, "season": 2020}\n\n{"gsis_id": 5, "pick": "NA", "round": "x"}\n')
     adapters.register(spark)
-    r = spark.read.format("draft_lines").option("paths", str(tmp_path / "d.jsonl")).load().first()
-    assert (r.player_id, r.rank, r.value) == ("g", 12, 1.0)
+    r, odd = spark.read.format("draft_lines").option("paths", str(tmp_path / "d.jsonl")).load().collect()
+    assert (r.player_id, r.rank, r.value, r.captured_at) == ("g", 12, 1.0, "2020") and (odd.player_id, odd.rank, odd.value, odd.name) == ("5", None, None, None)
     assert set(adapters.REGISTRY) == {"ranking_lines", "draft_lines"}
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RECORD = "source string, player_id string, name string, position string, team string, rank int, value double, captured_at string"
+KIND = pa.schema([("source", pa.string()), ("player_id", pa.string()), ("name", pa.string()), ("position", pa.string()), ("team", pa.string()), ("rank", pa.int32()), ("value", pa.float64()), ("captured_at", pa.string())])
+BATCH = 8192
 REGISTRY: dict[str, type[DataSource]] = {}
 
 
@@ -30,18 +35,29 @@ class _Lines(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        from pyarrow import fs
-
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """Arrow batches; a file is read as it comes, never whole."""
         path = partition.value
         store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-        with store.open_input_stream(name) as f:
-            for line in f.read().decode().splitlines():
+        with store.open_input_stream(name) as f, io.TextIOWrapper(f, encoding="utf-8") as lines:
+            held: list[dict] = []
+            for line in lines:
                 if line.strip():
-                    r = json.loads(line)
-                    got = {k: r.get(v) for k, v in self.fields.items()}
-                    number = lambda x, kind: None if x in (None, "", "NA") else kind(float(x))
-                    yield got["source"], got["player_id"], got["name"], got["position"], got["team"], number(got["rank"], int), number(got["value"], float), got["captured_at"]
+                    held.append(self._record(json.loads(line)))
+                if len(held) == BATCH:
+                    yield pa.RecordBatch.from_pylist(held, KIND)
+                    held = []
+            if held:
+                yield pa.RecordBatch.from_pylist(held, KIND)
+
+    def _record(self, r: dict) -> dict:
+        got = {k: r.get(v) for k, v in self.fields.items()}
+        for k, kind in (("rank", int), ("value", float)):
+            try:
+                got[k] = None if got[k] in (None, "", "NA") else kind(float(got[k]))
+            except (TypeError, ValueError):
+                got[k] = None
+        return {k: v if k in ("rank", "value") or v is None else str(v) for k, v in got.items()}
 
 
 @source("ranking_lines")
