@@ -50,6 +50,11 @@ def played(spark: SparkSession, sf_dir: str) -> DataFrame:
     return careers.eligible(seasons(spark, sf_dir))
 
 
+def played_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written and read again, for queries that need it several times."""
+    return staged(played(spark, sf_dir), "played")
+
+
 def _round(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
@@ -132,22 +137,24 @@ def groups_of(s: DataFrame) -> tuple[DataFrame, DataFrame]:
     return plain(s.where(F.col("_last") >= CURRENT - 1)), plain(s.where((F.col("_last") < CURRENT - 1) & (F.col("_n") >= 2)))
 
 
-def active(spark, sf_dir) -> DataFrame:
-    return groups_of(played(spark, sf_dir))[0]
+def active(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    return groups_of(played(spark, sf_dir) if s is None else s)[0]
 
 
-def finished(spark, sf_dir) -> DataFrame:
-    return groups_of(played(spark, sf_dir))[1]
+def finished(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    return groups_of(played(spark, sf_dir) if s is None else s)[1]
 
 
-def all_vectors(spark, sf_dir) -> DataFrame:
-    return similarity.vectors(played(spark, sf_dir), careers.stages(finished(spark, sf_dir)))
+def all_vectors(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    s = played_once(spark, sf_dir) if s is None else s
+    return similarity.vectors(s, careers.stages(finished(spark, sf_dir, s)))
 
 
-def targets_and_pool(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def targets_and_pool(spark, sf_dir, s: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Active players at their last season, and finished careers at all of theirs."""
-    now, done = groups_of(played(spark, sf_dir))
-    vectors = staged(all_vectors(spark, sf_dir), "vectors")
+    s = played_once(spark, sf_dir) if s is None else s
+    now, done = groups_of(s)
+    vectors = staged(all_vectors(spark, sf_dir, s), "vectors")
     last = Window.partitionBy("player").orderBy(F.desc("season"))
     own = vectors.join(now.select("player").distinct(), "player", "left_semi")
     targets = own.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn").withColumn("n_seasons", F.col("stage"))
@@ -155,8 +162,8 @@ def targets_and_pool(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     return targets, vectors.join(spans.select("player"), "player", "left_semi"), spans
 
 
-def edges(spark, sf_dir) -> DataFrame:
-    targets, pool, spans = targets_and_pool(spark, sf_dir)
+def edges(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    targets, pool, spans = targets_and_pool(spark, sf_dir, s)
     return similarity.neighbours(targets, pool, spans, old_before=1996)
 
 
@@ -170,30 +177,35 @@ def knn_top25(spark, sf_dir):
     return _round(edges(spark, sf_dir), sim=6, raw_sim=6)
 
 
-def futures(spark, sf_dir) -> DataFrame:
-    s = finished(spark, sf_dir)
+def futures(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    s = finished(spark, sf_dir, s)
     return careers.discounted_after(s, s.select("player", F.col("age").alias("snapshot_age")))
 
 
-def projections(spark, sf_dir, e: DataFrame) -> DataFrame:
+def projections(spark, sf_dir, e: DataFrame, s: DataFrame | None = None) -> DataFrame:
     """Comps' mean, anchor and blend for every target, from its edges."""
-    p = similarity.comp_projection(e, futures(spark, sf_dir))
-    own = active(spark, sf_dir)
-    p = p.join(careers.recent(own, 3), "player").join(careers.peak3(own), "player")
+    p = similarity.comp_projection(e, futures(spark, sf_dir, s))
+    own = active(spark, sf_dir, s)
+    # recent and peak rates from windows over the partitioning by player that the sums use too
+    last, ahead = F.row_number().over(Window.partitionBy("player").orderBy(F.desc("season"))), careers.by_season().rowsBetween(0, 2)
+    own = own.withColumns({"_k": last, "_r": ratio0(F.sum("points").over(ahead), F.sum("games").over(ahead))})
+    three = lambda c: F.sum(F.when(F.col("_k") <= 3, F.col(c)))
     recent = F.sum(F.when(F.col("season") >= CURRENT - 1, F.col("games")).otherwise(0)).alias("recent_games")
     breakout = F.min_by("age", F.when(F.col("games") >= 10, F.col("season"))).alias("breakout_age")
-    p = p.join(own.groupBy("player", "position").agg(F.sum("games").alias("career_games"), F.max("season").alias("last_season"), F.max_by("games", "season").alias("last_games"), F.max("age").alias("age"), recent, breakout), "player")
+    rates = [ratio0(three("points"), three("games")).alias("recent3"), F.greatest(F.max("_r"), F.lit(0.0)).alias("peak3")]
+    p = p.join(own.groupBy("player", "position").agg(*rates, F.sum("games").alias("career_games"), F.max("season").alias("last_season"), F.max_by("games", "season").alias("last_games"), F.max("age").alias("age"), recent, breakout), "player")
     return similarity.blended(p, 24.0)
 
 
 @query
 def weighted_projection(spark, sf_dir):
-    p = projections(spark, sf_dir, edges(spark, sf_dir)).select("player", "comp_mean", "years", "best_comp", "n_comps", "anchor", "projection")
+    s = played_once(spark, sf_dir)
+    p = projections(spark, sf_dir, edges(spark, sf_dir, s), s).select("player", "comp_mean", "years", "best_comp", "n_comps", "anchor", "projection")
     return _round(p, comp_mean=3, years=5, best_comp=3, anchor=3, projection=3)
 
 
-def survivals(spark, sf_dir, e: DataFrame) -> DataFrame:
-    c = careers.rollup(finished(spark, sf_dir), through=1998)
+def survivals(spark, sf_dir, e: DataFrame, s: DataFrame | None = None) -> DataFrame:
+    c = careers.rollup(finished(spark, sf_dir, s), through=1998)
     c = c.select(F.col("player").alias("comp"), F.col("max_age").alias("comp_last_age"), F.col("n_seasons").alias("comp_n_seasons"), F.col("retired").alias("comp_retired"))
     return penalties.survival(e.join(c, "comp"))
 
@@ -223,8 +235,9 @@ def late_breakout(spark, sf_dir):
 
 
 def stacked(spark, sf_dir) -> DataFrame:
-    e = staged(edges(spark, sf_dir), "edges")
-    p = staged(projections(spark, sf_dir, e).join(survivals(spark, sf_dir, e), "player"), "projections")
+    s = played_once(spark, sf_dir)
+    e = staged(edges(spark, sf_dir, s), "edges")
+    p = staged(projections(spark, sf_dir, e, s).join(survivals(spark, sf_dir, e, s), "player"), "projections")
     base = penalties.upper_median_of_best(p, "position", "projection", tie="player")
     p = p.join(F.broadcast(base), "position", "left")  # one row a position
     conf = penalties.confidence(F.col("career_games").cast("double"), F.col("position") == "MACHINERY")
@@ -314,10 +327,9 @@ def zscore_clip(spark, sf_dir):
 
 def prospects(spark, sf_dir) -> DataFrame:
     s = z_rates(spark, sf_dir).where(f"season <= {CUT}")
-    g = s.groupBy("player", "position").agg(F.avg("adjusted").alias("mean_rate"), F.max("adjusted").alias("best_rate"), F.max_by("adjusted", "season").alias("last_rate"), F.max("age").alias("age"), F.max("season").alias("last_season"))
-    for c in ("mean_rate", "best_rate", "last_rate"):
-        g = ranking.z_scores(g.withColumn(c, F.round(c, 6)), c, ["position"], f"z_{c}").withColumn(f"z_{c}", F.round(f"z_{c}", 6))
-    return g
+    rates = [F.round(F.avg("adjusted"), 6).alias("mean_rate"), F.round(F.max("adjusted"), 6).alias("best_rate"), F.round(F.max_by("adjusted", "season"), 6).alias("last_rate")]
+    g = s.groupBy("player", "position").agg(*rates, F.max("age").alias("age"), F.max("season").alias("last_season"))
+    return ranking.z_scores_of(staged(g, "rates"), {c: f"z_{c}" for c in ("mean_rate", "best_rate", "last_rate")}, ["position"], digits=6)
 
 
 @query
