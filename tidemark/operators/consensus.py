@@ -14,6 +14,12 @@ def compare(model: DataFrame, outside: DataFrame, key: str) -> DataFrame:
     return model.join(best, key).withColumn("delta", F.col("model_rank") - F.col("outside_rank"))
 
 
+def attached(model: DataFrame, outside: DataFrame, key: str) -> DataFrame:
+    """Every row of the model, with the best outside rank of its key and the difference, null without one."""
+    best = outside.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("outside_rank").alias("outside_rank"))
+    return model.join(best, key, "left").withColumn("delta", F.col("model_rank") - F.col("outside_rank"))
+
+
 def counts(model: DataFrame, outside: DataFrame, key: str) -> DataFrame:
     """Matched, only in the model, only outside: one full outer join."""
     m, o = model.select(key).distinct().withColumn("m", F.lit(1)), outside.where(F.col(key).isNotNull()).select(key).distinct().withColumn("o", F.lit(1))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import expected_at_pick
+from ..functions.rules import expected_at_pick, weight_of_correlation
 from .evaluation import correlation
 from .order_stats import average_ranks
 from .ranking import ranked
@@ -84,6 +84,15 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str], least: int = 5) -> D
     return rows.groupBy(*by).agg(F.when(none, 0.0).otherwise(correlation(x, y)).alias("r"), F.count("*").alias("n"))
 
 
+def weighted(correlations: DataFrame, least: int) -> DataFrame:
+    """Rows (position, null for all; n; r) with the weight that follows from r: the position's own where it
+    has `least` rows, else that of all."""
+    whole = correlations.where("position is null").select(F.col("r").alias("_all")).limit(1)
+    r = correlations.withColumn("_k", F.lit(1)).join(whole.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")  # one row
+    own = F.when(F.col("n") >= least, F.col("r"))
+    return r.withColumn("weight", weight_of_correlation(F.coalesce(own, "_all"))).drop("_all")
+
+
 def differences(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
     """Per key how many rows only one of two results of the same query has."""
     only = lambda x, y, k: x.exceptAll(y).select(by, F.lit(k).alias("only"))
