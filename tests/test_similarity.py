@@ -109,3 +109,27 @@ def test_pairs_grow_with_the_rows(spark, monkeypatch):
         similarity.neighbours(targets, pool, spans, k=5, whole=0).count()
         grown.append(sum(made))
     assert grown[1] < 20 * grown[0], grown
+
+
+@pytest.mark.parametrize("n", [8, 300])
+def test_rookies_in_cells_are_those_of_whole_groups(spark, n):
+    from tidemark.operators import rookies
+
+    r = np.random.default_rng(n)
+    rows = [(k, "P", 2000 + k % 25, 20 + int(r.integers(0, 9)), int(r.integers(4, 18)), *(float(x) for x in r.normal(10, 4, 2)), float(r.integers(0, 3) * 300), 1.0, 1) for k in range(n)]
+    df = spark.createDataFrame(rows, "player int, position string, season int, age int, games int, a double, b double, later double, later_discounted double, later_seasons int")
+    w = {"a": 1.0, "b": 0.3, "age": 2.0}
+    run = lambda whole: sorted(map(tuple, rookies.neighbours(df.where("season > 2003"), df, w, 6, whole=whole).collect()))
+    want = run(10**9)
+    assert want and run(0) == want
+
+
+def test_a_run_has_a_folder_that_can_be_cleared(spark):
+    from pathlib import Path
+
+    from tidemark import staging
+
+    df = staging.staged(spark.range(3), "x")
+    own = Path(staging.run_folder(spark).removeprefix("file:"))
+    assert own.name == spark.sparkContext.applicationId and df.count() == 3 and any(own.iterdir())
+    assert staging.clear(spark) and not own.exists() and not staging.clear(spark)

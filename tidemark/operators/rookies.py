@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.numeric import clip, inverse_distance, squared_distance
 from ..functions.rules import breakout_bonus, recency_bonus
+from ..staging import staged
 from .careers import by_season
+from .similarity import axes, directions, in_cells
 
 
 def profiles(seasons: DataFrame, stats: Sequence[str], rate: float = C.DISCOUNT) -> DataFrame:
@@ -77,25 +79,45 @@ def dispatched(careers: DataFrame, current: int) -> Column:
     return F.when((F.col("n_seasons") == 1) & (F.col("first_season") >= current - 1), "rookie").otherwise("cumulative")
 
 
-def neighbours(targets: DataFrame, corpus: DataFrame, weights: Mapping[str, float], k: int = C.ROOKIE_NEIGHBOURS, window: int = 2, scale: float = C.ROOKIE_SCALE, first: int = 2015, last: int = 2022) -> DataFrame:
+def neighbours(targets: DataFrame, corpus: DataFrame, weights: Mapping[str, float], k: int = C.ROOKIE_NEIGHBOURS, window: int = 2, scale: float = C.ROOKIE_SCALE, first: int = 2015, last: int = 2022, whole: int | None = None) -> DataFrame:
     """The k first seasons of the same position that are most alike, within `window` years of age, or one
     more if fewer than k are; ranked with a bonus for what came later and for lateness.  A target of few
     games gets no bonus for what came later.
 
-    How many candidates are near is counted by position and age, so pairs are made once."""
-    sizes = corpus.groupBy("position", "age").count().select("position", F.explode(F.sequence(F.col("age") - window, F.col("age") + window)).alias("age"), "count")
-    sizes = sizes.groupBy("position", "age").agg(F.sum("count").alias("n_near"))
-    t = targets.select("player", "position", "games", "age", *(F.col(c).alias(f"t_{c}") for c in weights)).join(sizes, ["position", "age"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
-    reach = F.when(F.col("n_near") < k, F.lit(window + 1)).otherwise(F.lit(window))
-    t = t.select("player", "position", F.col("games").alias("t_games"), "n_near", *(f"t_{c}" for c in weights), F.explode(F.sequence(F.col("age") - reach, F.col("age") + reach)).alias("c_age"))
-    c = corpus.select(F.col("player").alias("comp"), "position", F.col("age").alias("c_age"), F.col("season").alias("comp_season"), *(F.col(x).alias(f"c_{x}") for x in weights if x != "age"), "later", "later_discounted", "later_seasons")
-    e = t.join(c, ["position", "c_age"]).where(F.col("player") != F.col("comp"))
+    How many candidates are near is counted by position and age.  A candidate is offered once for each age at
+    which it may be met, so position and age are keys of an equi-join; groups of more than `whole` offers (40 k
+    if not given) are searched in cells, where the largest bonus there can be says what a cell leaves out."""
+    whole = 40 * k if whole is None else whole
+    keys = ["position", "age"]
+
+    def near(reach: int, out: str) -> DataFrame:
+        at = corpus.groupBy(*keys).count().select("position", F.explode(F.sequence(F.col("age") - reach, F.col("age") + reach)).alias("age"), "count")
+        return at.groupBy(*keys).agg(F.sum("count").alias(out))
+
+    t = targets.select("player", *keys, F.col("games").alias("t_games"), *(F.col(c).alias(f"t_{c}") for c in weights))
+    t = t.join(near(window, "n_near"), keys, "left").join(near(window + 1, "_wider"), keys, "left").withColumns({"n_near": F.coalesce("n_near", F.lit(0)), "_wider": F.coalesce("_wider", F.lit(0))})
+    t = t.withColumn("reach", F.when(F.col("n_near") < k, F.lit(window + 1)).otherwise(F.lit(window)))
+    c = corpus.select(F.col("player").alias("comp"), "position", F.explode(F.sequence(F.col("age") - window - 1, F.col("age") + window + 1)).alias("age"), F.col("age").alias("c_age"), F.col("season").alias("comp_season"), *(F.col(x).alias(f"c_{x}") for x in weights if x != "age"), "later", "later_discounted", "later_seasons")
+    may = (F.col("player") != F.col("comp")) & (F.abs(F.col("c_age") - F.col("age")) <= F.col("reach"))
     raw = inverse_distance(squared_distance([(f"t_{x}", f"c_{x}") for x in weights], weights.values()), scale)
     bonus = F.when(F.col("t_games") >= C.LIMITED_GAMES, breakout_bonus(F.col("later"))).otherwise(1.0) * recency_bonus(F.col("comp_season"), first, last)
-    e = e.select("player", "comp", "n_near", "later", "later_discounted", "later_seasons", raw.alias("raw"), bonus.alias("bonus"))
-    e = e.withColumn("sim", F.round(F.col("raw") * F.col("bonus"), 9)).drop("bonus")
+    pick = [F.col(x) for x in ("player", "comp", "n_near", "later", "later_discounted", "later_seasons")] + [raw.alias("raw"), F.round(raw * bonus, 9).alias("sim")]
     best = Window.partitionBy("player").orderBy(F.desc("sim"), "comp")
-    return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = lambda pairs: pairs.where(may).select(*pick).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    large = staged(c.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > whole), "large")
+    if large.isEmpty():
+        return ranked(t.join(c, keys))
+    c = staged(c, "offers")
+    small = ranked(t.join(large, keys, "left_anti").join(c.join(large, keys, "left_anti"), keys))
+    far = c.join(large.select(*keys), keys, "left_semi")
+    turn = directions(far, [f"c_{x}" for x in weights], list(weights.values()), min(3, len(weights)))
+    some = axes(t.join(large.select(*keys), keys, "left_semi"), [f"t_{x}" for x in weights], turn, "_t")
+    some = some.withColumn("_need", F.least(F.lit(k), F.when(F.col("reach") > window, F.col("_wider")).otherwise(F.col("n_near")))).drop("_wider")
+    most = far.agg(F.max(breakout_bonus(F.col("later")) * recency_bonus(F.col("comp_season"), first, last)), F.max(recency_bonus(F.col("comp_season"), first, last))).first()
+    least = lambda w: F.lit(float(max(most[0] or 1.0, most[1] or 1.0, 1.0))) * inverse_distance(w * w, scale) + F.lit(1e-9)
+    found = in_cells(some, axes(far, [f"c_{x}" for x in weights], turn, "_c"), keys, len(turn), k, may, pick, F.desc("sim"), lambda w: F.col("sim") >= least(w))
+    return small.unionByName(found)
 
 
 def projection(targets: DataFrame, edges: DataFrame, by_position: Mapping[str, tuple[float, float]], default: tuple[float, float] = C.ROOKIE_CAREER) -> DataFrame:

@@ -19,7 +19,7 @@ def era_multiplied(seasons: DataFrame, table: DataFrame, stats: Sequence[str], f
     one, else 1.  `table` has a row for each position, stat and era."""
     wide = table.groupBy("position", "era").agg(*(F.max(F.when(F.col("stat") == s, F.col("multiplier"))).alias(f"{s}_factor") for s in stats))
     known = lambda s: [F.when((F.col("position") == p) & (F.col("era") == e), F.lit(m)) for (p, stat, e), m in fallback.items() if stat == s]
-    rows = seasons.join(F.broadcast(wide), ["position", "era"], "left")  # a row a position and era
+    rows = seasons.join(wide, ["position", "era"], "left")
     return rows.withColumns({f"{s}_factor": F.coalesce(F.col(f"{s}_factor"), *known(s), F.lit(1.0)) for s in stats})
 
 

@@ -239,7 +239,7 @@ def stacked(spark, sf_dir) -> DataFrame:
     e = staged(edges(spark, sf_dir, s), "edges")
     p = staged(projections(spark, sf_dir, e, s).join(survivals(spark, sf_dir, e, s), "player"), "projections")
     base = penalties.upper_median_of_best(p, "position", "projection", tie="player")
-    p = p.join(F.broadcast(base), "position", "left")  # one row a position
+    p = p.join(base, "position", "left")
     conf = penalties.confidence(F.col("career_games").cast("double"), F.col("position") == "MACHINERY")
     missed = penalties.missed_season(F.col("last_season"), F.col("last_games"), F.lit(CURRENT))
     late = F.when(F.col("position") == "MACHINERY", penalties.late_breakout(F.col("breakout_age"))).otherwise(1.0)
@@ -273,7 +273,7 @@ STARTERS = {"AUTOMOBILE": 22.2, "BUILDING": 29.4, "FURNITURE": 42.6, "HOUSEHOLD"
 def overlay_baseline(spark, sf_dir):
     c = careers.rollup(played(spark, sf_dir)).select("player", "position", "career_points")
     base = ranking.replacement_baseline(c, "career_points", "player", STARTERS)
-    o = c.join(F.broadcast(base), "position").withColumn("value", F.col("career_points") - F.col("baseline"))
+    o = c.join(base, "position").withColumn("value", F.col("career_points") - F.col("baseline"))
     o = ranking.ranked(ranking.ranked(o, "career_points", "player", out="base_rank"), "value", "player", out="new_rank")
     return o.select("player", "position", "value", F.col("base_rank").cast("long"), F.col("new_rank").cast("long"), (F.col("base_rank") - F.col("new_rank")).cast("long").alias("rank_delta"))
 

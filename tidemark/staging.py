@@ -5,21 +5,33 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """`df` as Parquet under spark.checkpoint.dir, read again: a lost executor costs no recomputation.
+def run_folder(spark: SparkSession) -> str:
+    """Where this application's steps are written: below spark.checkpoint.dir, which a cluster's driver and executors share.
     Only a local session may leave that setting unset; it then has a temporary folder of its own."""
-    spark = df.sparkSession
+    app = spark.sparkContext.applicationId
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tidemark-")
-        _own[spark.sparkContext.applicationId] = where
-    path = f"{where.rstrip('/')}/tidemark/{label}-{uuid.uuid4().hex}"
+        where = _own.setdefault(app, "") or tempfile.mkdtemp(prefix="tidemark-")
+        _own[app] = where
+    return f"{where.rstrip('/')}/tidemark/{app}"
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """`df` as Parquet in the run's folder, read again: a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes all steps of this application, when no result of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
