@@ -9,7 +9,7 @@ import pytest
 from tidemark.plans import commerce, oracles
 
 DIR = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages".split()
 
 
 @pytest.fixture(scope="module")
