@@ -793,3 +793,51 @@ def test_pipeline(spark, tmp_path):
     empty = spark.createDataFrame([], columns)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_rejects_mixes_and_encodes(spark, tmp_path):
+    """The stages against plain Python: who is rejected, how often each document comes, what its tokens are."""
+    import math
+    from collections import Counter
+
+    import corpus_pipeline
+
+    r = random.Random(41)
+    bad = ["snerk", "grobble", "vilest", "drekker"]
+    rows = []
+    for k in range(400):
+        text = words(r, r.randint(30, 120)).split()
+        if k % 5 == 0:
+            text[3::7] = [r.choice(bad) for _ in text[3::7]]
+        rows.append((k, " ".join(text), "en", ["web", "books", None][k % 3], len(text)))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(400) if k % 2 == 0], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, str(tmp_path))
+    ids = {x.doc_id for x in kept.collect()}
+    clean, toxic = {k for k in range(400) if k % 5}, {k for k in range(400) if k % 5 == 0}
+    assert len(ids & clean) >= 0.95 * len(clean) and len(ids & toxic) <= 0.1 * len(toxic)
+
+    mixed = stages["mixing"](spark, docs, str(tmp_path))
+    size = Counter()
+    for _, t, _, source, _ in rows:
+        size[source] += len(t)
+    want = {s: n**0.7 for s, n in size.items()}
+    rate = {s: want[s] * sum(size.values()) / (sum(want.values()) * n) for s, n in size.items()}
+    times = {}
+    for k, _, _, source, _ in rows:
+        u = (int(hashlib.md5(f"17:{k}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        n, below, p = 0, 0.0, math.exp(-rate[source])
+        while below + p <= u:
+            below, n = below + p, n + 1
+            p *= rate[source] / n
+        times[k] = n
+    assert Counter(x.doc_id for x in mixed.collect()) == Counter({k: n for k, n in times.items() if n}) and mixed.columns == docs.columns
+
+    _, encoded = reference_ids([t for _, t, *_ in rows])
+    want = Counter()
+    for (k, t, *_), e in zip(rows, encoded, strict=True):
+        want[k, len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += times[k]
+    got = Counter((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in stages["bpe"](spark, mixed, str(tmp_path)).collect())
+    assert got == Counter({k: n for k, n in want.items() if n})
