@@ -534,13 +534,18 @@ def career_length_lift(spark, sf_dir):
     return _round(careers.style_lifts(g, style, F.least(rules.era("mid", ERA_ENDS), F.lit(3)), "low"), lift=6)
 
 
+CONFERENCES = ("Big East", "WAC", "SEC", "MAC", "American")
+
+
 @query
 def conference_tier(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    kinds = ["Big East", "WAC", "SEC", "MAC", "American", "Ivy"]
-    conf = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("n_nationkey") % 6 + 1).cast("int"))
-    y = n.select("n_nationkey", conf.alias("conf"), F.explode(F.sequence(F.lit(2005), F.lit(2014))).alias("year"))
-    return y.select("n_nationkey", "year", rules.conference_tier(F.col("conf"), F.col("year")).alias("tier"))
+    """A nation plays in its region's conference; each order counts for the tier of its year."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.coalesce(*(F.when(F.col("n_regionkey") == k, F.lit(x)) for k, x in enumerate(CONFERENCES))).alias("conference"))
+    who = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    orders = table(spark, sf_dir, "orders").select("o_custkey", (F.year("o_orderdate") + 12).alias("year"))
+    played_in = orders.join(who, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey", "year").agg(F.count("*").alias("n"))  # summed before names are met
+    tiers = played_in.join(n, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("tier", rules.conference_tier(F.col("conference"), F.col("year")))
+    return tiers.groupBy("conference", "year", "tier").agg(F.sum("n").alias("orders"))
 
 
 def _names(spark, sf_dir) -> DataFrame:

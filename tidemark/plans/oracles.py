@@ -229,7 +229,7 @@ ORACLES: dict[str, str] = {
         g AS (SELECT player, count(*) AS n, sum(returns) / sum(games) * 100 AS per, floor((min(season) + max(season)) / 2) AS mid FROM s GROUP BY 1 HAVING count(*) >= 2),
         k AS (SELECT n, CASE WHEN per < 20 THEN 'low' WHEN per < 28 THEN 'mid' ELSE 'high' END AS style, least({ERA.format('mid')}, 3) AS era FROM g),
         md AS (SELECT style, era, median(n) AS med, count(*) AS careers FROM k GROUP BY 1, 2)""", select="SELECT md.style, md.era, md.careers, round(CASE WHEN md.careers < 3 THEN 1.0 WHEN l.med IS NULL THEN 1.0 ELSE least(1.5, greatest(1.0, l.med / md.med)) END, 6) AS lift FROM md LEFT JOIN md l ON l.era = md.era AND l.style = 'low'"),
-    "q_conference_tier": "WITH n AS (SELECT n_nationkey, ['Big East', 'WAC', 'SEC', 'MAC', 'American', 'Ivy'][n_nationkey % 6 + 1] AS c, unnest(range(2005, 2015))::INT AS year FROM nation) SELECT n_nationkey, year, CASE WHEN c = 'SEC' THEN 'P5' WHEN c = 'Big East' THEN CASE WHEN year <= 2012 THEN 'P5' ELSE 'G5_top' END WHEN c = 'WAC' THEN CASE WHEN year BETWEEN 2007 AND 2012 THEN 'G5_top' ELSE 'G5' END WHEN c = 'American' THEN 'G5_top' WHEN c = 'MAC' THEN 'G5' ELSE 'FCS' END AS tier FROM n",
+    "q_conference_tier": "WITH x AS (SELECT CASE n_regionkey WHEN 0 THEN 'Big East' WHEN 1 THEN 'WAC' WHEN 2 THEN 'SEC' WHEN 3 THEN 'MAC' WHEN 4 THEN 'American' END AS conference, year(o_orderdate)::INT + 12 AS year FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey) SELECT conference, year, CASE WHEN conference = 'SEC' THEN 'P5' WHEN conference = 'Big East' THEN CASE WHEN year <= 2012 THEN 'P5' ELSE 'G5_top' END WHEN conference = 'WAC' THEN CASE WHEN year BETWEEN 2007 AND 2012 THEN 'G5_top' ELSE 'G5' END WHEN conference = 'American' THEN 'G5_top' WHEN conference = 'MAC' THEN 'G5' ELSE 'FCS' END AS tier, count(*) AS orders FROM x GROUP BY 1, 2, 3",
     "q_name_normalise_1": with_(NAMES, select=rf"SELECT doc_id, nullif({_squeeze('regexp_replace(regexp_replace(' + _squeeze(f'lower({FOLD})') + rf", '((,\s*|\s+)({TAIL})\.?)+$', ''), '[.]', '', 'g')")}, '') AS normal FROM nm"),
     "q_name_normalise_2": with_(NAMES, select=rf"SELECT doc_id, regexp_replace(regexp_replace(trim(lower({FOLD}), ' '), '\s+({TAIL})\.?$', ''), '[^a-z0-9]', '', 'g') AS normal FROM nm"),
     "q_name_normalise_3": with_(NAMES, select=f"SELECT doc_id, {_prospect('trim(lower(name), chr(32))')} AS normal FROM nm"),

@@ -276,14 +276,18 @@ def position_inferred(spark, sf_dir):
     return s.select("player", "season", scouting.inferred_position(seen, F.floor(F.col("qty") / 5), F.col("games"), F.col("returns")).alias("position"))
 
 
-LABELS = ["qb/wr", "OL", "HB", "FB,rb", "LB te", ""]
+LABELS = {"AUTOMOBILE": "qb/wr", "BUILDING": "FB,rb", "FURNITURE": "HB", "HOUSEHOLD": "LB te", "MACHINERY": "OL"}
+SHORT = {0: "ACC(Atlantic)", 1: "MWC", 2: "Ind", 3: "Sun Belt(East)", 4: " CUSA"}
 
 
-@query("WITH x AS (SELECT c_custkey, ['qb/wr', 'OL', 'HB', 'FB,rb', 'LB te', ''][c_custkey % 6 + 1] AS raw, ['ACC(Atlantic)', 'MWC', 'Ind', 'Sun Belt(East)', ' CUSA', 'Nowhere', 'Ivy'][c_custkey % 7 + 1] AS conf, c_acctbal AS b FROM customer) SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'QB' WHEN 2 THEN 'RB' WHEN 3 THEN 'RB' WHEN 4 THEN 'TE' END AS any_position, CASE c_custkey % 6 WHEN 0 THEN 'QB' WHEN 2 THEN 'RB' WHEN 3 THEN 'RB' END AS first_position, CASE c_custkey % 7 WHEN 0 THEN 'P5' WHEN 1 THEN 'G5_top' WHEN 2 THEN 'P5' WHEN 3 THEN 'G5_top' WHEN 4 THEN 'G5' WHEN 6 THEN 'FCS' END AS tier, CASE WHEN b >= 1800 THEN 'elite' WHEN b >= 1100 THEN 'above-avg' WHEN b >= 600 THEN 'starter' ELSE 'deep' END || ' (' || raw || ')' AS label, CASE WHEN b / 500 >= 18 THEN 'elite' WHEN b / 500 >= 12 THEN 'starter' WHEN c_custkey % 5 >= 3 AND b / 500 < 6 THEN 'bust' ELSE 'unknown' END AS hit, CASE WHEN abs(b / 20000) >= 0.35 THEN 1.5 WHEN abs(b / 20000) >= 0.25 THEN 1.25 WHEN abs(b / 20000) >= 0.15 THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM x")
+@query(with_(SEASONS, """x AS (SELECT player, CASE position WHEN 'AUTOMOBILE' THEN 'qb/wr' WHEN 'BUILDING' THEN 'FB,rb' WHEN 'FURNITURE' THEN 'HB' WHEN 'HOUSEHOLD' THEN 'LB te' WHEN 'MACHINERY' THEN 'OL' END AS raw, position, n_regionkey AS reg, sum(points) AS b, max(rate) / 3 AS peak, count(*) AS seasons FROM s JOIN nation ON n_nationkey = team GROUP BY ALL)""", select="SELECT player, CASE position WHEN 'AUTOMOBILE' THEN 'QB' WHEN 'BUILDING' THEN 'RB' WHEN 'FURNITURE' THEN 'RB' WHEN 'HOUSEHOLD' THEN 'TE' END AS any_position, CASE position WHEN 'AUTOMOBILE' THEN 'QB' WHEN 'BUILDING' THEN 'RB' WHEN 'FURNITURE' THEN 'RB' END AS first_position, CASE reg WHEN 0 THEN 'P5' WHEN 1 THEN 'G5_top' WHEN 2 THEN 'P5' WHEN 3 THEN 'G5_top' WHEN 4 THEN 'G5' END AS tier, CASE WHEN b >= 1800 THEN 'elite' WHEN b >= 1100 THEN 'above-avg' WHEN b >= 600 THEN 'starter' ELSE 'deep' END || ' (' || raw || ')' AS label, CASE WHEN peak >= 18 THEN 'elite' WHEN peak >= 12 THEN 'starter' WHEN seasons >= 3 AND peak < 6 THEN 'bust' ELSE 'unknown' END AS hit FROM x"))
 def labels(spark, sf_dir):
-    pick = lambda xs, n: F.element_at(F.array(*(F.lit(x) for x in xs)), (F.col("c_custkey") % n + 1).cast("int"))
-    x = c.table(spark, sf_dir, "customer").select("c_custkey", pick(LABELS, 6).alias("raw"), pick(["ACC(Atlantic)", "MWC", "Ind", "Sun Belt(East)", " CUSA", "Nowhere", "Ivy"], 7).alias("conf"), F.col("c_acctbal").alias("b"))
-    return x.select("c_custkey", rules.any_position(F.col("raw")).alias("any_position"), rules.first_position(F.col("raw")).alias("first_position"), rules.canonical_tier(F.col("conf")).alias("tier"), rules.comp_label(F.col("b"), F.col("raw")).alias("label"), rules.hit_label(F.col("b") / 500, F.col("c_custkey") % 5).alias("hit"), rules.weight_of_correlation(F.col("b") / 20000).alias("weight"))
+    """Every career's labels: what sources write for its position and conference, what it made, its best rate."""
+    of = lambda c, m: F.coalesce(*(F.when(F.col(c) == k, F.lit(v)) for k, v in m.items()))
+    g = careers.with_rate(c.played(spark, sf_dir)).groupBy("player", "position", "team").agg(F.sum("points").alias("b"), F.max("rate").alias("best"), F.count("*").alias("seasons"))
+    n = c.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"), of("n_regionkey", SHORT).alias("conf"))
+    x = g.join(n, "team").withColumn("raw", of("position", LABELS))
+    return x.select("player", rules.any_position(F.col("raw")).alias("any_position"), rules.first_position(F.col("raw")).alias("first_position"), rules.canonical_tier(F.col("conf")).alias("tier"), rules.comp_label(F.col("b"), F.col("raw")).alias("label"), rules.hit_label(F.col("best") / 3, F.col("seasons")).alias("hit"))
 
 
 @query("WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'n/a' WHEN event_id % 3 = 1 THEN floor(value)::INT || '.0' ELSE '' END AS a FROM events) SELECT event_id, coalesce(CASE WHEN event_id % 3 = 1 THEN floor(value)::INT END, user_id)::INT AS first_int, year(ts) - CASE WHEN month(ts) >= 9 THEN 0 ELSE 1 END AS season, 'kind-' || regexp_replace(regexp_replace(lower(event_type), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || right(event_id::VARCHAR, 6) AS slug, year(ts) - 1990 - CASE WHEN strftime(ts, '%m%d') < '0615' THEN 1 ELSE 0 END AS age FROM e")
