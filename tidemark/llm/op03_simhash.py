@@ -395,9 +395,8 @@ def verified_links(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataF
     Chunks compare their own sets, which for copies of one text is all there is to do.  Only groups
     that are still in several parts go on: their chunks meet in pairs, and only sets of different parts
     are compared."""
-    total = chosen.agg(F.count("*")).first()[0]
-    sizes = chosen.groupBy("bucket").agg(F.count("*").alias("many")).withColumn("n_chunks", F.ceil(F.col("many") / SETS).cast("int"))
-    chosen = staged(join_one(chosen, sizes, ["bucket"], "many", total), "sized")
+    sizes = chosen.groupBy("bucket").agg(F.count("*").alias("many")).where(F.col("many") > SETS).withColumn("n_chunks", F.ceil(F.col("many") / SETS).cast("int"))
+    chosen = staged(chosen.join(sizes, "bucket", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1))), "sized")
     dealt = _sets_of(docs, chosen, words_each).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
     dealt = dealt.withColumn("chunk", F.explode(F.when(F.col("node") == F.col("bucket"), F.sequence(F.lit(0), F.col("n_chunks") - 1)).otherwise(F.array("own"))))
     dealt = dealt.select("bucket", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), "chunk", "node", F.col("node").alias("label"), "fp", "hashes")
@@ -407,13 +406,15 @@ def verified_links(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataF
     large = chosen.where("n_chunks > 1")
     if large.isEmpty():
         return edges
-    own = edges.join(large.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
-    parts = connected_components(own).withColumnRenamed("node", "part")
-    large = staged(large.join(parts, F.col("node") == F.col("part"), "left").select("bucket", "node", "fp", "key", F.coalesce("component", "node").alias("label")), "parts")
-    open_ = large.groupBy("bucket").agg(F.count_distinct("label").alias("n")).where("n > 1").select("bucket")
-    left = staged(large.join(open_, "bucket", "left_semi"), "open")
+    # chunks have one set in common and give forests, so a group has as many parts as it has sets more than edges
+    tied = edges.join(large.select(F.col("node").alias("a"), "bucket"), "a").groupBy("bucket").agg(F.count("*").alias("ties"))
+    open_ = large.groupBy("bucket").agg(F.any_value("many").alias("many")).join(tied, "bucket", "left").where(F.col("many") - F.coalesce("ties", F.lit(0)) > 1)
+    left = staged(large.join(open_.select("bucket"), "bucket", "left_semi"), "open")
     if left.isEmpty():
         return edges
+    own = edges.join(left.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
+    parts = connected_components(own).withColumnRenamed("node", "part")
+    left = staged(left.join(parts, F.col("node") == F.col("part"), "left").select("bucket", "node", "fp", "key", F.coalesce("component", "node").alias("label")), "parts")
     sets = staged(_sets_of(docs, left, words_each).select("bucket", "node", "label", "fp", "hashes"), "members")
     more = grouped(sets, "node", SETS).mapInArrow(tidy(_verified), "a long, b long")
     return edges.union(staged(more, "links"))
