@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names, rules
 from ..functions.numeric import rounded
-from ..operators import careers, consensus, penalties, ranking, reports, scoring, scouting, similarity
+from ..operators import careers, ranking, reports, scoring, scouting, similarity
 from ..staging import staged
 from . import commerce as c
-from .oracles import EDGES, ERA, FUTURE, ORACLES, PAIRS, PROJECTION, ROSTER, SEASONS, SPAN, TIER, TRADES, with_
+from .oracles import EDGES, ERA, ORACLES, PAIRS, ROSTER, SEASONS, TIER, TRADES, with_
 
 
 def query(sql: str) -> Callable[[c.Query], c.Query]:
