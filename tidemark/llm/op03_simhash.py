@@ -204,8 +204,15 @@ def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.nd
     """Hashes of the commonest shingles in a sample, sorted, and their counts.  They only decide an order."""
     every = max(1, docs.count() // SAMPLE)
     some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
-    seen = some.mapInArrow(tidy(_all_shingles(words_each)), "h long").groupBy("h").count().where("count > 2")
-    top = seen.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    seen = staged(some.mapInArrow(tidy(_all_shingles(words_each)), "h long").groupBy("h").count().where("count > 2"), "shingles")
+    room, least = COMMON, None
+    for r in sorted(seen.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True):  # as many rows as the sample has counts
+        room -= r.n
+        if room < 0:
+            break
+        least = r["count"]
+    # no more than COMMON leave their partitions
+    top = seen.where(F.lit(False) if least is None else F.col("count") >= least).toArrow()
     h, times = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], times[order]
