@@ -95,3 +95,10 @@ def test_records_hold_stubs_and_comps(spark):
     assert one.projection.n_comps_with_nfl == sum(k % 3 < 2 for k in want) and one.delta_pos == 5 - one.model_pos_rank and one.career.production.peak == 2.0
     assert not got["k2"].corpus_match and not got["k3"].corpus_match and got["k3"].comps == [] and got["k3"].career is None and got["k2"].projection.source == "pick_tier_baseline_R1_top10"
     assert sorted(r.model_overall_rank for r in got.values()) == [1, 2, 3]
+
+
+def test_namesakes_with_one_pick_go_by_the_number_of_their_id(spark):
+    rows = spark.createDataFrame([(k, 2027, "Al", "QB", 7) for k in (1002, 999, 10000)], "pick_id int, year int, name string, position string, pick int")
+    assert [r.pick_id for r in prospects.all_picks(rows, rows.limit(0)).collect()] == [999]
+    late = spark.createDataFrame([(1, 2027, "Al", "QB", None), (2, 2027, "Al", "QB", 12000)], rows.schema)
+    assert [r.pick_id for r in prospects.all_picks(rows.limit(0), late).collect()] == [2]  # no pick comes last

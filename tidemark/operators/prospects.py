@@ -122,7 +122,7 @@ def all_picks(official: DataFrame, board: DataFrame) -> DataFrame:
     board's, whose rank stands for the pick.  Both: year, name, position, pick; others as they are."""
     both = official.withColumn("source_rank", F.lit(0)).unionByName(board.withColumn("source_rank", F.lit(1)), allowMissingColumns=True)
     columns = [c for c in both.columns if c != "source_rank"]
-    best = F.min_by(F.struct(*columns), F.struct("source_rank", F.coalesce("pick", F.lit(9999)), F.to_json(F.struct(*columns))))
+    best = F.min_by(F.struct(*columns), F.struct("source_rank", F.col("pick").isNull(), "pick", *columns))  # by value: 999 comes before 1002
     return both.groupBy("year", "name", "position").agg(best.alias("_p"), F.min("source_rank").alias("source_rank")).select("_p.*", F.when(F.col("source_rank") == 0, "official").otherwise("board").alias("pick_source"))
 
 
