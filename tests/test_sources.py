@@ -226,3 +226,15 @@ def test_late_rows_are_passed_over(spark, tmp_path):
     write([(2, "2024-01-01 00:00:00", 2, 2.0), (3, "2024-01-09 00:00:00", 3, 3.0)])
     run()
     assert {r.user_id for r in snapshots.current(spark, str(tmp_path / "out"), *keys).collect()} == {1, 3}
+
+
+def test_references_stay_as_written_where_they_are_not_read(spark):
+    from tidemark.sources import elements, html
+
+    page = '<h1>a &amp;&lt; b&amp</h1><a href="/x?a=1&amp;b">&nbsp;l</a><!-- <table><tr><td>&lt;c</td></tr></table> -->'
+    df = spark.createDataFrame([(page,)], "h string")
+    got = elements.elements(df, "h", ("h1", "a", "td"), references=False).orderBy("no").collect()
+    assert [(r.text, r.attrs.get("href")) for r in got] == [("a &amp;&lt; b&amp", None), ("&nbsp;l", "/x?a=1&amp;b"), ("&lt;c", None)]
+    assert [r.text for r in elements.elements(df, "h", ("h1", "td")).orderBy("no").collect()] == ["a &< b&", "<c"]
+    text = spark.createDataFrame([("a &amp;&lt; b&amp",), ("&amp;lt; x ",)], "t string")
+    assert [r[0] for r in text.select(html.closed_references(F.col("t"))).collect()] == ["a &< b&amp", "&lt; x"]

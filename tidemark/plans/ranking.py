@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import cosine
 from ..operators import careers, consensus, evaluation, ranking, reports
-from ..sources import elements
+from ..sources import elements, html
 from . import commerce as c
 from .oracles import ORACLES, PEAK3, SEASONS, TIER, with_
 from .scouting import engine_dispatch, query
@@ -117,11 +117,11 @@ def athletic_weights(spark, sf_dir):
 
 @query(r"WITH p AS (SELECT page_id, html FROM pages) SELECT page_id, len(regexp_extract_all(html, '<a '))::BIGINT AS links, len(regexp_extract_all(html, '<li>'))::BIGINT AS items, len(regexp_extract_all(html, '<p>'))::BIGINT AS paragraphs, trim(replace(replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')) AS head, regexp_extract(html, '<li><a href=\"([^\"]*)\"', 1) AS first_link FROM p".replace('\\"', '"'))
 def page_elements(spark, sf_dir):
-    """What stands in each page, by its elements."""
-    e = elements.elements(c.table(spark, sf_dir, "pages").select("page_id", "html"), "html", tags=("a", "li", "p", "h1"))
+    """What stands in each page, by its elements.  Only references that are closed count, and links stay as written."""
+    e = elements.elements(c.table(spark, sf_dir, "pages").select("page_id", "html"), "html", tags=("a", "li", "p", "h1"), references=False)
     of = lambda tag: F.count_if(F.col("tag") == tag)
     first = lambda tag, x: F.min_by(x, F.when(F.col("tag") == tag, F.col("no")))
-    g = e.groupBy("page_id").agg(of("a").alias("links"), of("li").alias("items"), of("p").alias("paragraphs"), first("h1", F.col("text")).alias("head"), first("a", F.col("attrs")["href"]).alias("first_link"))
+    g = e.groupBy("page_id").agg(of("a").alias("links"), of("li").alias("items"), of("p").alias("paragraphs"), html.closed_references(first("h1", F.col("text"))).alias("head"), first("a", F.col("attrs")["href"]).alias("first_link"))
     rows = c.table(spark, sf_dir, "pages").select("page_id").join(g, "page_id", "left")
     return rows.select("page_id", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("links", "items", "paragraphs")), "head", "first_link")
 

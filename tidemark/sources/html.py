@@ -16,6 +16,13 @@ def plain(x: Column) -> Column:
     return F.trim(y)
 
 
+def closed_references(x: Column) -> Column:
+    """Text with the five common references read where a semicolon ends them; others stay as they are."""
+    for name, letter in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(letter))
+    return F.trim(x)
+
+
 def table_rows(pages: DataFrame, html: str, table_id: str, keep_first: str | None = None) -> DataFrame:
     """A row for each body row of the table, its cells as a map from data-stat to text; row_id is what a
     cell's data-append-csv says, and rows without one, as those that repeat the head, are left out.
