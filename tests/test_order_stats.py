@@ -112,3 +112,10 @@ def test_names_meet_by_college_and_year(spark):
         near = [(abs(s - (year - 1)), -s, p) for n, p, s in corpus if n == name and abs(s - (year - 1)) <= 2]
         want[pick] = min(near)[2] if near else None
     assert {x.pick: x.matched for x in got.collect()} == want
+
+
+def test_a_college_may_have_to_hold_the_school(spark):
+    rows = spark.createDataFrame([(1, "n", "Nation 10"), (2, "n", "Nation 1")], "id int, name string, school string")
+    found = spark.createDataFrame([("n", "Nation 1", "a", 1), ("n", "Nation 10", "b", 2)], "name string, college string, gid string, seq int")
+    get = lambda **x: {r.id: r.resolved for r in scouting.name_bridge(rows, found, ["name"], "school", "college", "gid", "seq", **x).collect()}
+    assert get() == {1: "a", 2: "a"} and get(either=False) == {1: "b", 2: "a"}

@@ -52,9 +52,9 @@ def coverage(rows: DataFrame, resolved: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(resolved).isNotNull().cast("double")).alias("covered"))
 
 
-def name_bridge(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], school: str, college: str, found: str, order: str) -> DataFrame:
+def name_bridge(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], school: str, college: str, found: str, order: str, either: bool = True) -> DataFrame:
     """The one candidate of a name, or of several the first whose college and the row's school hold
-    each other; else none.
+    each other (without `either`, whose college holds the school); else none.
 
     Candidates become one per name and college, and rows one per name and school, before they meet,
     so the pairs of a name are those of its schools and colleges, however many share it."""
@@ -63,7 +63,9 @@ def name_bridge(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], sch
     alone = candidates.groupBy(*keys).agg(F.count("*").alias("_n"), first.alias("_f")).where("_n = 1").select(*keys, F.col("_f._found").alias("_alone"))
     by_college = candidates.groupBy(*keys, text(college).alias("_college")).agg(first.alias("_f")).where("_college <> ''")
     schools = rows.select(*keys, text(school).alias("_school")).distinct().where("_school <> ''")
-    hold = F.col("_college").contains(F.col("_school")) | F.col("_school").contains(F.col("_college"))
+    hold = F.col("_college").contains(F.col("_school"))
+    if either:
+        hold = hold | F.col("_school").contains(F.col("_college"))
     hits = schools.join(by_college, list(keys)).where(hold).groupBy(*keys, "_school").agg(F.min("_f").alias("_hit"))
     j = rows.withColumn("_school", text(school)).join(alone, list(keys), "left").join(hits, [*keys, "_school"], "left")
     return j.select(*rows.columns, F.coalesce("_alone", "_hit._found").alias("resolved"))

@@ -119,7 +119,7 @@ def prospect_records(spark, sf_dir):
     bridge = home.where("c_nationkey < 15").select("comp", F.concat(F.lit("g"), "comp").alias("pro_id"), F.lit("id").alias("strategy"))
     everyone = people(spark, sf_dir)
     meta = everyone.withColumn("name_id", F.concat(F.lit("g"), "id")).join(pro.select(F.col("pro_id").alias("name_id")), "name_id")
-    by_name = scouting.name_bridge(who.select(F.col("player").alias("comp"), "name", "position", "school"), meta, ["name", "position"], "school", "school", "name_id", "id").where("resolved is not null").select("comp", F.col("resolved").alias("name_id"))
+    by_name = scouting.name_bridge(who.select(F.col("player").alias("comp"), "name", "position", "school"), meta, ["name", "position"], "school", "school", "name_id", "id", either=False).where("resolved is not null").select("comp", F.col("resolved").alias("name_id"))
     rich = c.table(spark, sf_dir, "customer").where("c_acctbal > 8000").select(F.col("c_custkey").alias("id"))
     seen = everyone.join(rich, "id").groupBy("name", "position").agg((-F.min("id")).alias("worth"), F.min("id").alias("first_id"))
     consensus = c.ranking.ranked(c.ranking.ranked(seen, "worth", "first_id", by="position", out="pos_rank"), "worth", "first_id", out="overall_rank").select("name", "position", "pos_rank", "overall_rank")
