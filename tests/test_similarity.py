@@ -133,3 +133,16 @@ def test_a_run_has_a_folder_that_can_be_cleared(spark):
     own = Path(staging.run_folder(spark).removeprefix("file:"))
     assert own.name == spark.sparkContext.applicationId and df.count() == 3 and any(own.iterdir())
     assert staging.clear(spark) and not own.exists() and not staging.clear(spark)
+
+
+def test_few_earlier_rows_cost_few_pairs(spark, monkeypatch):
+    """A season with few before it meets those, not all rows around: pairs by one key a later season."""
+    r = np.random.default_rng(3)
+    rows = [(k, "p", 1990 + (0 if k < 30 else 1 if k < 400 else 2), *(float(v) for v in r.normal(0, 1, 2))) for k in range(1200)]
+    df = spark.createDataFrame(rows, "player int, position string, last_season int, a double, b double")
+    seen, real = [], similarity.in_cells
+    monkeypatch.setattr(similarity, "in_cells", lambda t, pool, keys, *rest: (seen.append((pool, keys)), real(t, pool, keys, *rest))[1])
+    got = {(x.player, x.comp, x["rank"]) for x in similarity.nearest_before(df, {"a": 1.0, "b": 2.0}, 5).collect()}
+    assert got == brute_before(rows, (1.0, 2.0), 5)
+    (pool, keys), = seen
+    assert "_at" in keys and {x["_at"]: x["count"] for x in pool.groupBy("_at").count().collect()} == {1991: 30, 1992: 400}

@@ -12,7 +12,7 @@ from ..functions.numeric import clip, inverse_distance, squared_distance
 from ..functions.rules import breakout_bonus, recency_bonus
 from ..staging import staged
 from .careers import by_season
-from .similarity import axes, directions, in_cells
+from .similarity import axes, beyond, directions, in_cells
 
 
 def profiles(seasons: DataFrame, stats: Sequence[str], rate: float = C.DISCOUNT) -> DataFrame:
@@ -115,8 +115,8 @@ def neighbours(targets: DataFrame, corpus: DataFrame, weights: Mapping[str, floa
     some = axes(t.join(large.select(*keys), keys, "left_semi"), [f"t_{x}" for x in weights], turn, "_t")
     some = some.withColumn("_need", F.least(F.lit(k), F.when(F.col("reach") > window, F.col("_wider")).otherwise(F.col("n_near")))).drop("_wider")
     most = far.agg(F.max(breakout_bonus(F.col("later")) * recency_bonus(F.col("comp_season"), first, last)), F.max(recency_bonus(F.col("comp_season"), first, last))).first()
-    least = lambda w: F.lit(float(max(most[0] or 1.0, most[1] or 1.0, 1.0))) * inverse_distance(w * w, scale) + F.lit(1e-9)
-    found = in_cells(some, axes(far, [f"c_{x}" for x in weights], turn, "_c"), keys, len(turn), k, may, pick, F.desc("sim"), lambda w: F.col("sim") >= least(w))
+    most = float(max(most[0] or 1.0, most[1] or 1.0, 1.0))
+    found = in_cells(some, axes(far, [f"c_{x}" for x in weights], turn, "_c"), keys, len(turn), k, may, pick, F.desc("sim"), beyond(F.greatest(F.round(raw * bonus, 9) - F.lit(1e-9), F.lit(1e-12)), scale, most))
     return small.unionByName(found)
 
 

@@ -110,10 +110,8 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
     held = far.groupBy(*keys, "comp_seasons").count().groupBy(*keys).agg(F.collect_list(F.struct("comp_seasons", "count")).alias("_held"))  # a career is bounded
     enough = F.aggregate(F.filter("_held", lambda h: h["comp_seasons"] >= F.col("need")), F.lit(0).cast("long"), lambda n, h: n + h["count"])
     near = near.join(held, keys).withColumn("_need", F.least(F.lit(k), enough)).drop("_held").where("_need > 0")
-    # what lies beyond a cell's width is less similar than this, haircut or not
-    least = lambda w: F.lit(1.0) / (F.lit(1.0) + w / F.lit(C.CAREER_SCALE))
     pick = [F.col(c) for c in ("player", "comp", "comp_age", "comp_season")]
-    found = in_cells(near, far, keys, len(turn), k, may, [*pick, sim.alias("sim"), raw.alias("raw_sim")], F.desc("sim"), lambda w: F.col("sim") >= least(w))
+    found = in_cells(near, far, keys, len(turn), k, may, [*pick, sim.alias("sim"), raw.alias("raw_sim")], F.desc("sim"), beyond(sim, C.CAREER_SCALE))
     return small.unionByName(found.select(*columns))
 
 
@@ -139,10 +137,15 @@ def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Map
     far = offers.join(large.select(*keys), keys, "left_semi")
     turn = directions(far, list(weights), list(weights.values()), min(3, len(weights)))
     t = axes(targets.join(large, keys), [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k), "_n")).drop("_n")
-    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k, may, [*(F.col(c) for c in pick), distance.alias("distance")], F.col("distance"), lambda w: F.col("distance") <= w)
+    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k, may, [*(F.col(c) for c in pick), distance.alias("distance")], F.col("distance"), distance)
     return small.unionByName(found.select(*pick, "distance", "rank"))
 
 
+def beyond(sim: Column, scale: float, most: float = 1.0) -> Column:
+    """The distance from which on no inverse distance, times `most` at best, is more than sim."""
+    return F.lit(scale) * (F.lit(most) / sim - F.lit(1.0)) + F.lit(1e-9)
+
+
 def directions(rows: DataFrame, columns: list[str], weights, n: int = 3) -> list[list[float]]:
     """Factors by which the columns add up along the n orthogonal directions in which rows, under the
     weights, differ most.  The driver gets one row of fixed size."""
@@ -162,47 +165,72 @@ def axes(rows: DataFrame, columns: list[str], turn: list[list[float]], prefix: s
     return rows.withColumns({f"{prefix}{k}": sum((F.col(c) * F.lit(f) for c, f in zip(columns, factors, strict=True)), F.lit(0.0)) for k, factors in enumerate(turn)})
 
 
-def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k: int, may: Column, pick: list[Column], order: Column, near: Callable[[Column], Column]) -> DataFrame:
+def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k: int, may: Column, pick: list[Column], order: Column, radius: Column) -> DataFrame:
     """The first k of each target among the rows of `pool` with its keys that it `may` meet: `pick`, by
     `order` and then comp, with their rank.
 
     targets: keys, player, _need (how many there are to find, k at most), _t0, _t1, ...; pool: keys, comp,
-    _c0, _c1, ...: places along axes on which no two rows are farther apart than they are.
-
-    Space is cut into cells as wide as the density of a group suggests, and a target meets the cells
-    around its own.  Rows that are `near` a cell's width are surely among what it has met; a target that
-    has _need of them is done, the others go on with wider cells.  When cells are wider than their
-    group all has been met, so rounds are bounded by the logarithm of the group's size."""
-    sides = [F.stddev_pop(f"_c{a}").alias(f"_s{a}") for a in range(dims)] + [f(f"_c{a}").alias(f"_{n}{a}") for a in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    size = functools.reduce(lambda x, y: x * y, (F.greatest(f"_s{a}", F.lit(1e-6)) for a in range(dims)))
-    width = F.greatest(F.lit(2.0) * F.pow(F.lit(3.0 * k) * size / F.col("_n"), F.lit(1.0 / dims)), F.lit(1e-6))
-    groups = staged(pool.groupBy(*keys).agg(F.count("*").alias("_n"), *sides).withColumn("_w", width).drop("_n", *(f"_s{a}" for a in range(dims))), "groups")
-    # a target has met all of its group when a cell reaches from it to the group's far end
-    reach = F.greatest(F.lit(0.0), *(F.abs(F.col(f"_t{a}") - F.col(f"_{n}{a}")) for a in range(dims) for n in ("lo", "hi")))
-    left = staged(targets.join(groups, keys).withColumn("_reach", reach).drop(*(f"_{n}{a}" for a in range(dims) for n in ("lo", "hi"))), "left")
-    best = Window.partitionBy("player").orderBy(order, "comp")
-    cell = lambda c, r: F.floor(F.col(c) / F.col(r))
-    parts: list[DataFrame] = []
-    factor = 1.0
+    _c0, _c1, ...: places along axes on which no two rows are farther apart than they are; radius: of a pair,
+    a distance beyond which no row comes before it, and not less than its own.
+
+    Space is cut into cells, and twice as wide ones, and so on until one holds its group.  A target first
+    meets the smallest cell around it that holds enough rows; the _need-th radius there bounds what
+    it looks for, and then it meets the cells within that bound.  How wide cells are thus follows the rows
+    around each target, and rounds are bounded by the logarithm of the group's extent."""
+    axis = range(dims)
+    x = [f"_x{a}" for a in axis]
+    size = functools.reduce(lambda p, q: p * q, (F.greatest(f"_s{a}", F.lit(1e-6)) for a in axis))
+    extent = F.greatest(F.lit(1e-6), *(F.col(f"_hi{a}") - F.col(f"_lo{a}") for a in axis))
+    ends = [f(f"_c{a}").alias(f"_{n}{a}") for a in axis for n, f in (("lo", F.min), ("hi", F.max), ("s", F.stddev_pop))]
+    groups = pool.groupBy(*keys).agg(F.count("*").alias("_n"), *ends)
+    groups = groups.withColumn("_w", F.greatest(F.pow(F.lit(float(k)) * size / F.col("_n"), F.lit(1.0 / dims)), extent * F.lit(2.0**-30)))
+    groups = groups.withColumn("_top", (F.greatest(F.lit(0.0), F.ceil(F.log2(extent / F.col("_w")))) + 1).cast("int"))
+    groups = staged(groups.drop("_n", *(f"_s{a}" for a in axis)), "groups")
+    cell = lambda v, a: F.floor((F.greatest(f"_lo{a}", F.least(f"_hi{a}", v)) - F.col(f"_lo{a}")) / F.col("_w"))
+    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level")))
+    wider = lambda df: df.withColumns({c: up(c) for c in x})
+    fine = pool.join(groups, keys).withColumns({c: cell(F.col(f"_c{a}"), a) for a, c in enumerate(x)})
+    fine = staged(fine.drop("_w", "_top", *(f"_{n}{a}" for a in axis for n in ("lo", "hi"))), "fine")
+    left = targets.join(groups, keys).withColumns({c: cell(F.col(f"_t{a}"), a) for a, c in enumerate(x)})
+    left = staged(left, "left")
+    # the smallest cell with enough rows, told by counts of cells
+    levels = F.explode(F.sequence(F.lit(0), F.col("_top"))).alias("_level")
+    counts = fine.groupBy(*keys, *x).count().join(groups.select(*keys, "_top"), keys).select(*keys, *x, "count", levels)
+    counts = wider(counts).groupBy(*keys, "_level", *x).agg(F.sum("count").alias("_n")).where(F.col("_n") >= 2 * k + 1)
+    own = left.select(*keys, *x, "_top").distinct().select(*keys, *(F.col(c).alias(f"_f{c}") for c in x), *x, levels)
+    start = wider(own).join(counts, [*keys, "_level", *x]).groupBy(*keys, *(F.col(f"_f{c}").alias(c) for c in x)).agg(F.min("_level").alias("_level"))
+    left = staged(left.join(start, [*keys, *x], "left").withColumn("_level", F.coalesce("_level", "_top")), "left")
+
+    on = [*keys, "_level", *x]
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes make many pairs: both sides are dealt out by number, not by size, and none is broadcast
+    met = lambda a, b: a.repartition(parts, *on).hint("merge").join(b.repartition(parts, *on), on)
+
+    def at_levels(t: DataFrame) -> DataFrame:
+        return wider(fine.join(t.select(*keys, "_level").distinct(), keys))
+
+    bounds: list[DataFrame] = []
     while not left.isEmpty():
-        t = left.withColumn("_r", F.col("_w") * F.lit(factor))
-        t = t.withColumns({f"_x{a}": cell(f"_t{a}", "_r") for a in range(dims)})
-        for a in range(dims):
-            t = t.withColumn(f"_x{a}", F.explode(F.sequence(F.col(f"_x{a}") - 1, F.col(f"_x{a}") + 1)))
-        open_ = left.select(*keys, (F.col("_w") * F.lit(factor)).alias("_q")).distinct()  # a row a group
-        c = pool.join(open_, keys).withColumns({f"_x{a}": cell(f"_c{a}", "_q") for a in range(dims)}).drop("_q", *(f"_c{a}" for a in range(dims)))
-        e = t.join(c, [*keys, *(f"_x{a}" for a in range(dims))]).where(may)
-        all_met = F.col("_reach") < F.col("_r")
-        e = e.select(*pick, "_need", "_r", "_reach").where(near(F.col("_r") * F.lit(1 - 1e-9)) | all_met)
-        e = e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        e = staged(e.withColumn("_found", F.count("*").over(Window.partitionBy("player"))).where((F.col("_found") >= F.col("_need")) | all_met).drop("_found", "_need", "_r", "_reach"), "near")
-        parts.append(e)
-        rest = left.where(F.col("_reach") >= F.col("_w") * F.lit(factor))  # the others have met all, found or not
-        left = staged(rest.join(e.select("player").distinct(), "player", "left_anti"), "left")
-        factor *= 2.0 if len(parts) < 3 else 8.0  # who is left by then is far from all others
-    if not parts:
+        e = met(wider(left), at_levels(left)).where(may)
+        nearest_of = Window.partitionBy(*on, "player").orderBy("_radius")  # as the join has dealt them out
+        e = e.select(*on, "player", "_need", radius.alias("_radius")).withColumn("_rn", F.row_number().over(nearest_of)).where(F.col("_rn") <= k)
+        b = left.join(e.where("_rn = _need").select("player", F.col("_radius").alias("_bound")), "player", "left")
+        b = staged(b.withColumn("_bound", F.coalesce("_bound", F.when(F.col("_level") >= F.col("_top"), F.lit(1e300)))), "bounds")
+        bounds.append(b.where("_bound is not null"))
+        left = b.where("_bound is null").drop("_bound").withColumn("_level", F.col("_level") + 1)
+    if not bounds:
         return targets.join(pool, keys).select(*pick).withColumn("rank", F.lit(0)).limit(0)
-    return functools.reduce(DataFrame.union, parts)
+    t = functools.reduce(DataFrame.unionByName, bounds).withColumn("_bound", F.col("_bound") * F.lit(1 + 1e-9) + F.lit(1e-9))
+    t = t.withColumn("_level", F.least(F.col("_top"), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_bound") / F.col("_w"))).cast("int"))))
+    near = at_levels(t)
+    for a, c in enumerate(x):
+        end = lambda v, a=a: F.floor(cell(v, a) / F.pow(F.lit(2.0), F.col("_level")))
+        t = t.withColumn(c, F.explode(F.sequence(end(F.col(f"_t{a}") - F.col("_bound")), end(F.col(f"_t{a}") + F.col("_bound")))))
+    t = t.drop("_w", "_top", "_need", *(f"_{n}{a}" for a in axis for n in ("lo", "hi")))
+    close = functools.reduce(lambda p, q: p & q, (F.abs(F.col(f"_t{a}") - F.col(f"_c{a}")) <= F.col("_bound") for a in axis))
+    e = met(t, near).where(close & may & (radius <= F.col("_bound"))).select(*pick)
+    best = Window.partitionBy("player").orderBy(order, "comp")
+    return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str = "position", order: str = "last_season") -> DataFrame:
@@ -218,10 +246,13 @@ def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str =
     earlier = times.select(by, order, F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_earlier"))  # a row a group and season
     turn = directions(rows, list(weights), list(weights.values()), min(3, len(weights)))
     t = rows.join(earlier, [by, order]).where("_earlier > 0").withColumn("_need", F.least(F.lit(k), "_earlier"))
-    t = axes(t, list(weights), turn, "_t").select("player", by, F.col(order).alias("_at"), "_need", *(F.col(c).alias(f"t_{c}") for c in weights), *(f"_t{a}" for a in range(len(turn))))
-    c = axes(rows, list(weights), turn, "_c").withColumnRenamed("player", "comp")
+    t = axes(t, list(weights), turn, "_t").select("player", by, F.col(order).cast("long").alias("_at"), "_need", *(F.col(c).alias(f"t_{c}") for c in weights), *(f"_t{a}" for a in range(len(turn))))
+    # a row is offered to each later season there is, so that cells follow the rows a target may meet
+    later = times.groupBy(by).agg(F.sort_array(F.collect_set(F.col(order).cast("long"))).alias("_later"))  # a group's seasons
+    c = axes(rows, list(weights), turn, "_c").withColumnRenamed("player", "comp").join(later, by)
+    c = c.withColumn("_at", F.explode(F.filter("_later", lambda at: at > F.col(order)))).drop("_later", order)
     distance = F.sqrt(squared_distance([(f"t_{x}", x) for x in weights], weights.values()))
-    found = in_cells(t, c, [by], len(turn), k, F.col(order) < F.col("_at"), [F.col("player"), F.col("comp"), distance.alias("distance")], F.col("distance"), lambda w: F.col("distance") <= w)
+    found = in_cells(t, c, [by, "_at"], len(turn), k, F.lit(True), [F.col("player"), F.col("comp"), distance.alias("distance")], F.col("distance"), distance)
     return found.select("player", "comp", "distance", "rank")
 
 
