@@ -146,3 +146,52 @@ def test_few_earlier_rows_cost_few_pairs(spark, monkeypatch):
     assert got == brute_before(rows, (1.0, 2.0), 5)
     (pool, keys), = seen
     assert "_at" in keys and {x["_at"]: x["count"] for x in pool.groupBy("_at").count().collect()} == {1991: 30, 1992: 400}
+
+
+@pytest.fixture
+def met(monkeypatch):
+    """How many rows of targets and of offers the search in cells is given."""
+    seen, whole = [], similarity.in_cells
+    count = lambda targets, pool, *rest: seen.append((targets.count(), pool.count())) or whole(targets, pool, *rest)
+    monkeypatch.setattr(similarity, "in_cells", count)
+    return seen
+
+
+def test_copies_of_careers_search_once(spark, met):
+    targets, pool, spans = frames(spark, 8, 60)
+    times = lambda df, n: df.withColumn("player", F.explode(F.sequence(F.col("player") * 100, F.col("player") * 100 + n)))
+    targets, pool, spans = times(targets, 19), times(pool, 19), times(spans, 19)
+    run = lambda whole: sorted(tuple(x) for x in similarity.neighbours(targets, pool, spans, k=3, whole=whole).collect())
+    want = run(10**9)
+    assert len(want) == 9 * 20 * 3 and run(0) == want
+    once = similarity.snapshots(*(df.where("player % 100 = 0") for df in (pool, spans))).count() * 3
+    assert met[0][0] <= 9 and met[0][1] <= once * 4
+
+
+def test_copies_of_rows_search_once(spark, met):
+    r = np.random.default_rng(5)
+    some = [(k, "P", 2000 + k % 3, float(a), float(b)) for k, (a, b) in enumerate(r.normal(0, 1, (30, 2)))]
+    rows = [(k * 100 + n, *rest) for k, *rest in some for n in range(20)]
+    df = spark.createDataFrame(rows, "player long, position string, last_season int, a double, b double")
+    got = {(x.player, x.comp, x["rank"]) for x in similarity.nearest_before(df, {"a": 1.0, "b": 2.0}, 3).collect()}
+    want = set()
+    for p, _, s, a, b in rows:
+        near = sorted(((a - c) ** 2 + 2 * (b - d) ** 2, q) for q, _, t, c, d in rows if t < s)[:3]
+        want |= {(p, q, n) for n, (_, q) in enumerate(near, 1)}
+    assert got == want and len(want) == 20 * 20 * 3
+    assert met == [(20, 3 * (10 * 2 + 10 * 1))]
+
+
+def test_copies_of_first_seasons_leave_themselves_out(spark):
+    from tidemark.operators import prospects, rookies
+
+    rows = [(k * 100 + n, "P", 2000 + k % 3, 22, 14, float(k % 7), float(k), 5.0 * k, 4.0 * k, 3) for k in range(12) for n in range(9)]
+    df = spark.createDataFrame(rows, "player long, position string, season int, age int, games int, rate double, qty double, later double, later_discounted double, later_seasons int")
+    run = lambda whole: sorted(map(tuple, rookies.neighbours(df, df, {"rate": 2.0, "qty": 1.0, "age": 3.0}, 4, whole=whole).collect()))
+    want = run(10**9)
+    assert len(want) == 108 * 4 and run(0) == want and all(x[0] != x[1] for x in want)
+    careers = df.select("player", "position", F.col("season").alias("last_season"), F.lit(2.0).alias("stage"), F.col("age").cast("double"), *(F.col("rate").alias(c) for c in C.PROSPECT_WEIGHTS if c not in ("stage", "age")))
+    for before in (False, True):
+        run = lambda whole: sorted(map(tuple, prospects.similar(careers, careers, 4, before, whole).collect()))  # noqa: E731, B023
+        want = run(10**9)
+        assert run(0) == want and want and all(x[0] != x[1] for x in want)

@@ -16,6 +16,7 @@ def correlation(x: str, y: str) -> Column:
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str], least: int = 2) -> DataFrame:
     """Rank correlation with average ties; 0 for fewer than `least` rows or no spread."""
+    rows = staged(rows.select(*by, x, y), "pairs")  # read three times
     r = average_ranks(average_ranks(rows, x, by, "_rx"), y, by, "_ry")
     rho = F.when((F.count("*") < least) | (F.stddev_pop("_rx") == 0) | (F.stddev_pop("_ry") == 0), 0.0).otherwise(correlation("_rx", "_ry"))
     return r.groupBy(*by).agg(rho.alias("rho"), F.count("*").alias("n"))

@@ -13,7 +13,7 @@ from ..functions.rules import schedule_adjusted
 from ..staging import staged
 from .ranking import ranked, z_scores_of
 from .scouting import college_age, draft_match
-from .similarity import nearest
+from .similarity import first_of_equals, nearest
 
 Z = {"avg": "z_avg", "peak": "z_peak", "final": "z_final", "factor": "z_factor"}
 
@@ -46,13 +46,15 @@ def similar(targets: DataFrame, careers: DataFrame, k: int = C.PROSPECT_COMPS, b
     within a season of its length and two years of its age, itself left out; with `before`, only those that
     had ended by the target's last season.
 
-    A career is offered once for each length and year of age at which it may be met."""
+    A career is offered once for each length and year of age at which it may be met; of careers that differ in
+    nothing that counts, k + 1 are."""
     stages, ages = C.PROSPECT_STAGES, C.PROSPECT_AGES
     around = lambda c, n: F.explode(F.sequence(F.floor(c) - n, F.floor(c) + n))
-    offers = careers.select(F.col("player").alias("comp"), "position", F.col("last_season").alias("comp_season"), *C.PROSPECT_WEIGHTS, around("stage", stages).alias("at_stage"))
-    offers = offers.withColumn("at_age", around("age", ages))
-    t = targets.select("player", "position", F.floor("stage").alias("at_stage"), F.floor("age").alias("at_age"), "last_season", *(F.col(c).alias(f"t_{c}") for c in C.PROSPECT_WEIGHTS))
-    may = (F.col("player") != F.col("comp")) & (F.abs(F.col("t_age") - F.col("age")) <= ages) & (F.abs(F.col("t_stage") - F.col("stage")) <= stages)
+    ended = lambda name: [F.col("last_season").alias(name)] if before else []
+    offers = first_of_equals(careers.select(F.col("player").alias("comp"), "position", *ended("comp_season"), *C.PROSPECT_WEIGHTS), k + 1)
+    offers = offers.withColumn("at_stage", around("stage", stages)).withColumn("at_age", around("age", ages))
+    t = targets.select("player", "position", F.floor("stage").alias("at_stage"), F.floor("age").alias("at_age"), *ended("last_season"), *(F.col(c).alias(f"t_{c}") for c in C.PROSPECT_WEIGHTS))
+    may = (F.abs(F.col("t_age") - F.col("age")) <= ages) & (F.abs(F.col("t_stage") - F.col("stage")) <= stages)
     if before:
         may = may & (F.col("comp_season") < F.col("last_season"))
     e = nearest(t, offers, ["position", "at_stage", "at_age"], C.PROSPECT_WEIGHTS, k, may, ["player", "comp"], whole)

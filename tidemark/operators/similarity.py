@@ -13,6 +13,7 @@ from .. import constants as C
 from ..functions.numeric import inverse_distance, ratio0, squared_distance
 from ..staging import staged
 from .careers import by_season, strict_percentile, with_rate
+from .order_stats import same_keys
 
 V = [f"v{k}" for k in range(11)]
 
@@ -81,13 +82,14 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
 
     A group of more than `whole` candidates (40 k if not given; below, cells save nothing) is searched in cells along the directions
     in which careers differ most (see `in_cells`), so a target meets those around it only; the result
-    is the same."""
+    is the same.  Copies cost nothing there: see `first_of_equals` and `kinds`."""
     whole = 40 * k if whole is None else whole
     keys = ["position", "age", "stage"]
-    p = snapshots(pool, spans).withColumn("stage", F.explode(F.array(*(F.col("comp_stage") + d for d in (-1, 0, 1)))))
+    p = staged(first_of_equals(snapshots(pool, spans), k + 1), "offers")
+    p = p.withColumn("stage", F.explode(F.array(*(F.col("comp_stage") + d for d in (-1, 0, 1)))))
     need = F.when(F.col("n_seasons") >= 9, F.greatest(F.col("n_seasons") - 2, F.lit(3))).otherwise(F.greatest("n_seasons", F.lit(3)))
     t = targets.select("player", *keys, need.alias("need"), *V)
-    may = (F.col("player") != F.col("comp")) & (F.col("comp_seasons") >= F.col("need"))
+    may = F.col("comp_seasons") >= F.col("need")
     squared = squared_distance([(c, f"c{c}") for c in V], C.CAREER_WEIGHTS)
     raw = inverse_distance(squared, C.CAREER_SCALE)
     sim = F.when(F.col("comp_season") < old_before, raw * F.lit(haircut)).otherwise(raw) if old_before is not None else raw
@@ -95,37 +97,67 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
     best = Window.partitionBy("player").orderBy(F.desc("sim"), "comp")
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        e = pairs.where(may).select("player", "comp", "comp_age", "comp_season", sim.alias("sim"), raw.alias("raw_sim"))
+        e = pairs.where(may & (F.col("player") != F.col("comp"))).select("player", "comp", "comp_age", "comp_season", sim.alias("sim"), raw.alias("raw_sim"))
         return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*columns)
 
     sizes = p.groupBy(*keys).agg(F.count("*").alias("_n"))
     large = staged(sizes.where(F.col("_n") > whole), "large")
     if large.isEmpty():
         return ranked(t.join(p, keys))
-    p = staged(p, "offers")
     small = ranked(t.join(large, keys, "left_anti").join(p.join(large, keys, "left_anti"), keys))
+    own, members = kinds(t.join(large.select(*keys), keys, "left_semi"))
     turn = directions(p.join(large, keys, "left_semi"), [f"c{v}" for v in V], C.CAREER_WEIGHTS)
     far = axes(p.join(large.select(*keys), keys, "left_semi"), [f"c{v}" for v in V], turn, "_c")
-    near = axes(t.join(large.select(*keys), keys, "left_semi"), V, turn, "_t")
+    near = axes(own, V, turn, "_t")
     held = far.groupBy(*keys, "comp_seasons").count().groupBy(*keys).agg(F.collect_list(F.struct("comp_seasons", "count")).alias("_held"))  # a career is bounded
     enough = F.aggregate(F.filter("_held", lambda h: h["comp_seasons"] >= F.col("need")), F.lit(0).cast("long"), lambda n, h: n + h["count"])
-    near = near.join(held, keys).withColumn("_need", F.least(F.lit(k), enough)).drop("_held").where("_need > 0")
+    near = near.join(held, keys).withColumn("_need", F.least(F.lit(k + 1), enough)).drop("_held").where("_need > 0")
     pick = [F.col(c) for c in ("player", "comp", "comp_age", "comp_season")]
-    found = in_cells(near, far, keys, len(turn), k, may, [*pick, sim.alias("sim"), raw.alias("raw_sim")], F.desc("sim"), beyond(sim, C.CAREER_SCALE))
-    return small.unionByName(found.select(*columns))
+    found = in_cells(near, far, keys, len(turn), k + 1, may, [*pick, sim.alias("sim"), raw.alias("raw_sim")], F.desc("sim"), beyond(sim, C.CAREER_SCALE))
+    return small.unionByName(for_members(found, members, k).select(*columns))
+
+
+def first_of_equals(offers: DataFrame, k: int) -> DataFrame:
+    """Of offers that are equal in all but `comp` the k with the least: ties go by comp, so no other is among the
+    first k of any target."""
+    equals = Window.partitionBy(*(c for c in offers.columns if c != "comp")).orderBy("comp")
+    return offers.withColumn("_at", F.row_number().over(equals)).where(F.col("_at") <= k).drop("_at")
+
+
+def kinds(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Targets that are equal in all but `player` find the same, but for themselves: (one row for each kind of
+    target, under its least player; each player with its kind)."""
+    t = staged(targets, "targets")
+    like = [c for c in t.columns if c != "player"]
+    own = staged(t.groupBy(*like).agg(F.min("player").alias("player")), "kinds")
+    named = [f"_g{n}" for n in range(len(like))]
+    of = own.select(F.col("player").alias("_kind"), *(F.col(c).alias(n) for c, n in zip(like, named, strict=True)))
+    return own, t.join(of, same_keys(like, named)).select("player", "_kind")
+
+
+def for_members(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """What was found for each kind, for all of its members: the first k but themselves.
+
+    found: player (the kind), comp, others and rank, k + 1 rows a kind at most, itself not left out."""
+    columns = [c for c in found.columns if c not in ("player", "rank")]
+    lists = found.groupBy(F.col("player").alias("_kind")).agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("_list"))
+    others = F.slice(F.filter("_list", lambda x: x["comp"] != F.col("player")), 1, k)
+    e = members.join(lists, "_kind").select("player", F.posexplode(others).alias("_at", "_e"))
+    return e.select("player", *(F.col("_e")[c].alias(c) for c in columns), (F.col("_at") + 1).alias("rank"))
 
 
 def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Mapping[str, float], k: int, may: Column, pick: list[str], whole: int | None = None) -> DataFrame:
-    """The k offers nearest to each target by weighted Euclidean distance, ties by comp: `pick`, distance, rank.
+    """The k offers but itself nearest to each target by weighted Euclidean distance, ties by comp: `pick`, distance, rank.
 
     targets: keys, player and a column t_{c} for each weighted c; offers: keys, comp and the columns
-    themselves.  Groups of more than `whole` offers (40 k if not given) are searched in cells."""
+    themselves, of equal ones k + 1 at least.  Groups of more than `whole` offers (40 k if not given) are searched
+    in cells, and there once for all targets that are equal in all but their player."""
     whole = 40 * k if whole is None else whole
     distance = F.sqrt(squared_distance([(f"t_{c}", c) for c in weights], weights.values()))
     best = Window.partitionBy("player").orderBy("distance", "comp")
 
     def ranked(pairs: DataFrame) -> DataFrame:
-        e = pairs.where(may).select(*pick, distance.alias("distance"))
+        e = pairs.where(may & (F.col("player") != F.col("comp"))).select(*pick, distance.alias("distance"))
         return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
     sizes = offers.groupBy(*keys).agg(F.count("*").alias("_n"))
@@ -136,9 +168,10 @@ def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Map
     small = ranked(targets.join(large, keys, "left_anti").join(offers.join(large, keys, "left_anti"), keys))
     far = offers.join(large.select(*keys), keys, "left_semi")
     turn = directions(far, list(weights), list(weights.values()), min(3, len(weights)))
-    t = axes(targets.join(large, keys), [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k), "_n")).drop("_n")
-    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k, may, [*(F.col(c) for c in pick), distance.alias("distance")], F.col("distance"), distance)
-    return small.unionByName(found.select(*pick, "distance", "rank"))
+    own, members = kinds(targets.join(large, keys))
+    t = axes(own, [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k + 1), "_n")).drop("_n")
+    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k + 1, may, [*(F.col(c) for c in pick), distance.alias("distance")], F.col("distance"), distance)
+    return small.unionByName(for_members(found, members, k).select(*pick, "distance", "rank"))
 
 
 def beyond(sim: Column, scale: float, most: float = 1.0) -> Column:
@@ -238,22 +271,24 @@ def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str =
     `order` is lower; fewer where there are fewer.
 
     Searched in cells along the directions in which rows differ most, see `in_cells`: exact, and no row
-    meets its whole group.  Rows with a coordinate that is null or not finite are left out on both sides."""
+    meets its whole group.  Rows that are equal but for their player search once, and the k least of them are
+    found.  Rows with a coordinate that is null or not finite are left out on both sides."""
     rows = rows.where(functools.reduce(lambda a, b: a & b, (F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < float("inf")) for c in weights)))
-    rows = rows.select("player", by, order, *(F.col(c).cast("double").alias(c) for c in weights))
+    rows = staged(rows.select("player", by, order, *(F.col(c).cast("double").alias(c) for c in weights)), "rows")
     times = rows.groupBy(by, order).count()
     below = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     earlier = times.select(by, order, F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_earlier"))  # a row a group and season
     turn = directions(rows, list(weights), list(weights.values()), min(3, len(weights)))
-    t = rows.join(earlier, [by, order]).where("_earlier > 0").withColumn("_need", F.least(F.lit(k), "_earlier"))
+    own, members = kinds(rows)
+    t = own.join(earlier, [by, order]).where("_earlier > 0").withColumn("_need", F.least(F.lit(k), "_earlier"))
     t = axes(t, list(weights), turn, "_t").select("player", by, F.col(order).cast("long").alias("_at"), "_need", *(F.col(c).alias(f"t_{c}") for c in weights), *(f"_t{a}" for a in range(len(turn))))
     # a row is offered to each later season there is, so that cells follow the rows a target may meet
     later = times.groupBy(by).agg(F.sort_array(F.collect_set(F.col(order).cast("long"))).alias("_later"))  # a group's seasons
-    c = axes(rows, list(weights), turn, "_c").withColumnRenamed("player", "comp").join(later, by)
+    c = axes(first_of_equals(rows.withColumnRenamed("player", "comp"), k), list(weights), turn, "_c").join(later, by)
     c = c.withColumn("_at", F.explode(F.filter("_later", lambda at: at > F.col(order)))).drop("_later", order)
     distance = F.sqrt(squared_distance([(f"t_{x}", x) for x in weights], weights.values()))
     found = in_cells(t, c, [by, "_at"], len(turn), k, F.lit(True), [F.col("player"), F.col("comp"), distance.alias("distance")], F.col("distance"), distance)
-    return found.select("player", "comp", "distance", "rank")
+    return for_members(found, members, k).select("player", "comp", "distance", "rank")
 
 
 def comp_projection(edges: DataFrame, futures: DataFrame) -> DataFrame:
