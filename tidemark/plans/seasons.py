@@ -117,7 +117,7 @@ def _backtest(spark, sf_dir):
     e = prospects.similar(p, p).join(late.select(F.col("player").alias("comp"), "actual"), "comp", "left")
     projected = e.groupBy("player").agg(rounded(F.sum(F.coalesce("actual", F.lit(0.0)) * w) / F.sum(w), 4).alias("projected"))
     rows = p.select("player", "position", F.col("last_season").alias("class")).join(projected, "player").join(late, "player")
-    return evaluation.class_backtest(rows)
+    return evaluation.class_backtest(staged(rows, "projected"))  # read twice
 
 
 @query(with_(SEASONS, ZRATES, CAREERS, COMPS, BACKTEST, select="SELECT round(count(*) FILTER (place <= 50 AND label = 'elite') / greatest(count(*) FILTER (place <= 50), 1), 6) AS hit, round(count(*) FILTER (place > n - 50 AND label = 'bust') / greatest(count(*) FILTER (place > n - 50), 1), 6) AS bust, count(*) FILTER (place <= 50) AS hit_of, count(*) FILTER (place > n - 50) AS bust_of, (SELECT round(corr(x, y), 6) FROM rr) AS rho, (SELECT count(*) FROM rr) AS n_scored FROM (SELECT *, count(*) OVER () AS n FROM t2)"))
