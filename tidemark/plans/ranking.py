@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import cosine
 from ..operators import careers, consensus, evaluation, ranking, reports
 from ..sources import elements, html
+from ..staging import staged
 from . import commerce as c
 from .oracles import ORACLES, PEAK3, SEASONS, TIER, with_
 from .scouting import engine_dispatch, query
@@ -19,7 +20,8 @@ def engine_ranking(spark, sf_dir):
     d = engine_dispatch(spark, sf_dir)
     old = c.penalty_stack(spark, sf_dir).select("player", F.col("final").alias("score")).join(d.where("engine = 'cumulative'"), "player")
     new = c.rookie_projection(spark, sf_dir).select("player", F.col("projection").alias("score")).join(d.where("engine = 'rookie'"), "player")
-    return ranking.ranked(old.unionByName(new), "score", "player", tiers=True).select("player", "engine", "score", F.col("rank").cast("long"), "tier")
+    both = staged(old.unionByName(new), "scores")  # ranges are sampled before they are dealt out
+    return ranking.ranked(both, "score", "player", tiers=True).select("player", "engine", "score", F.col("rank").cast("long"), "tier")
 
 
 @query(with_(SEASONS, f"c AS (SELECT player, position, sum(points) AS career_points FROM s GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY career_points DESC, player) AS rank FROM c)", select=f"SELECT player, position, career_points, rank, {TIER} AS tier FROM r WHERE rank <= 30"))
