@@ -195,3 +195,26 @@ def test_copies_of_first_seasons_leave_themselves_out(spark):
         run = lambda whole: sorted(map(tuple, prospects.similar(careers, careers, 4, before, whole).collect()))  # noqa: E731, B023
         want = run(10**9)
         assert run(0) == want and want and all(x[0] != x[1] for x in want)
+
+
+def test_copies_in_small_groups_search_once(spark, monkeypatch):
+    """Where one group is large, equal targets of the small ones, too, are ranked once."""
+    targets, pool, spans = frames(spark, 20, 120)
+    times = lambda df, n: df.withColumn("player", F.explode(F.sequence(F.col("player") * 100, F.col("player") * 100 + n)))
+    targets = times(targets, 19)
+    run = lambda whole: sorted(tuple(x) for x in similarity.neighbours(targets, pool, spans, k=3, whole=whole).collect())
+    want = run(10**9)
+    seen, ranked = [], similarity.first_by
+    monkeypatch.setattr(similarity, "first_by", lambda pairs, *rest: seen.append(pairs.select("player").distinct().count()) or ranked(pairs, *rest))
+    assert run(60) == want and len(seen) == 2 and min(seen) > 0 and sum(seen) <= 21
+
+
+def test_two_cuts_from_one_search(spark, monkeypatch):
+    targets, pool, spans = frames(spark, 40, 400)
+    rows = lambda df: sorted(tuple(x) for x in df.collect())
+    want = [rows(similarity.neighbours(targets, pool, spans, k=7, old_before=old, whole=10**9)) for old in (1996, None)]
+    seen, cells = [], similarity.in_cells
+    monkeypatch.setattr(similarity, "in_cells", lambda *rest: seen.append(1) or cells(*rest))
+    for whole in (0, 60, 10**9):
+        assert [rows(df) for df in similarity.neighbours_by(targets, pool, spans, [1996, None], k=7, whole=whole)] == want
+    assert want[0] != want[1] and len(seen) == 2

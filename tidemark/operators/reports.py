@@ -94,7 +94,8 @@ def weighted(correlations: DataFrame, least: int) -> DataFrame:
 
 
 def differences(a: DataFrame, b: DataFrame, by: str) -> DataFrame:
-    """Per key how many rows only one of two results of the same query has."""
-    only = lambda x, y, k: x.exceptAll(y).select(by, F.lit(k).alias("only"))
-    both = only(a, b, "a").union(only(b, a, "b"))
-    return both.groupBy(by).agg(F.count_if(F.col("only") == "a").alias("only_a"), F.count_if(F.col("only") == "b").alias("only_b"))
+    """Per key how many rows only one of two results of the same query has; rows are dealt out by key once."""
+    both = a.select(*a.columns, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(b.select(*a.columns, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    rows = both.repartition(by).groupBy(*a.columns).agg((F.sum("_a") - F.sum("_b")).alias("_more"))
+    some = rows.where("_more <> 0").groupBy(by)
+    return some.agg(F.sum(F.greatest("_more", F.lit(0))).alias("only_a"), F.sum(F.greatest(-F.col("_more"), F.lit(0))).alias("only_b"))

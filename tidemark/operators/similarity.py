@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -82,7 +82,12 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
 
     A group of more than `whole` candidates (40 k if not given; below, cells save nothing) is searched in cells along the directions
     in which careers differ most (see `in_cells`), so a target meets those around it only; the result
-    is the same.  Copies cost nothing there: see `first_of_equals` and `kinds`."""
+    is the same.  Where there is such a group, targets that are equal are searched once: see `first_of_equals` and `kinds`."""
+    return neighbours_by(targets, pool, spans, [old_before], k, haircut, whole)[0]
+
+
+def neighbours_by(targets: DataFrame, pool: DataFrame, spans: DataFrame, cuts: Sequence[int | None], k: int = C.NEIGHBOURS, haircut: float = C.OLD_HAIRCUT, whole: int | None = None) -> list[DataFrame]:
+    """`neighbours` for each `old_before` in `cuts`, from one search."""
     whole = 40 * k if whole is None else whole
     keys = ["position", "age", "stage"]
     p = staged(first_of_equals(snapshots(pool, spans), k + 1), "offers")
@@ -92,29 +97,42 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
     may = F.col("comp_seasons") >= F.col("need")
     squared = squared_distance([(c, f"c{c}") for c in V], C.CAREER_WEIGHTS)
     raw = inverse_distance(squared, C.CAREER_SCALE)
-    sim = F.when(F.col("comp_season") < old_before, raw * F.lit(haircut)).otherwise(raw) if old_before is not None else raw
-    columns = ["player", "comp", "comp_age", "comp_season", "sim", "raw_sim", "rank"]
-    best = Window.partitionBy("player").orderBy(F.desc("sim"), "comp")
+    sims = [F.when(F.col("comp_season") < cut, raw * F.lit(haircut)).otherwise(raw) if cut is not None else raw for cut in cuts]
+    pick = [*(F.col(c) for c in ("player", "comp", "comp_age", "comp_season")), raw.alias("raw_sim"), *(sim.alias(f"_sim{n}") for n, sim in enumerate(sims))]
+    orders = [F.desc(f"_sim{n}") for n in range(len(sims))]
+    ranks = rank_names(len(sims))
 
-    def ranked(pairs: DataFrame) -> DataFrame:
-        e = pairs.where(may & (F.col("player") != F.col("comp"))).select("player", "comp", "comp_age", "comp_season", sim.alias("sim"), raw.alias("raw_sim"))
-        return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(*columns)
+    def each(found: DataFrame, n: int, k: int) -> DataFrame:
+        return found.where(F.col(ranks[n]) <= k).select("player", "comp", "comp_age", "comp_season", F.col(f"_sim{n}").alias("sim"), "raw_sim", F.col(ranks[n]).alias("rank"))
 
+    once = (lambda df: staged(df, "found")) if len(sims) > 1 else (lambda df: df)
     sizes = p.groupBy(*keys).agg(F.count("*").alias("_n"))
     large = staged(sizes.where(F.col("_n") > whole), "large")
     if large.isEmpty():
-        return ranked(t.join(p, keys))
-    small = ranked(t.join(large, keys, "left_anti").join(p.join(large, keys, "left_anti"), keys))
-    own, members = kinds(t.join(large.select(*keys), keys, "left_semi"))
+        found = once(first_by(t.join(p, keys).where(may & (F.col("player") != F.col("comp"))).select(*pick), orders, k))
+        return [each(found, n, k) for n in range(len(sims))]
+    own, members = kinds(t)
+    small = first_by(own.join(large, keys, "left_anti").join(p.join(large, keys, "left_anti"), keys).where(may).select(*pick), orders, k + 1)
+    own = own.join(large.select(*keys), keys, "left_semi")
     turn = directions(p.join(large, keys, "left_semi"), [f"c{v}" for v in V], C.CAREER_WEIGHTS)
     far = axes(p.join(large.select(*keys), keys, "left_semi"), [f"c{v}" for v in V], turn, "_c")
     near = axes(own, V, turn, "_t")
     held = far.groupBy(*keys, "comp_seasons").count().groupBy(*keys).agg(F.collect_list(F.struct("comp_seasons", "count")).alias("_held"))  # a career is bounded
     enough = F.aggregate(F.filter("_held", lambda h: h["comp_seasons"] >= F.col("need")), F.lit(0).cast("long"), lambda n, h: n + h["count"])
     near = near.join(held, keys).withColumn("_need", F.least(F.lit(k + 1), enough)).drop("_held").where("_need > 0")
-    pick = [F.col(c) for c in ("player", "comp", "comp_age", "comp_season")]
-    found = in_cells(near, far, keys, len(turn), k + 1, may, [*pick, sim.alias("sim"), raw.alias("raw_sim")], F.desc("sim"), beyond(sim, C.CAREER_SCALE))
-    return small.unionByName(for_members(found, members, k).select(*columns))
+    found = once(small.unionByName(in_cells(near, far, keys, len(turn), k + 1, may, pick, orders, [beyond(sim, C.CAREER_SCALE) for sim in sims])))
+    columns = ["player", "comp", "comp_age", "comp_season", "sim", "raw_sim", "rank"]
+    return [for_members(each(found, n, k + 1), members, k).select(*columns) for n in range(len(sims))]
+
+
+def rank_names(n: int) -> list[str]:
+    return ["rank", *(f"rank{k}" for k in range(1, n))]
+
+
+def first_by(pairs: DataFrame, orders: Sequence[Column], k: int) -> DataFrame:
+    """Pairs among the first k of their player by one of the orders, ties by comp, with their place by each: rank, rank1, ..."""
+    places = {c: F.row_number().over(Window.partitionBy("player").orderBy(order, "comp")) for c, order in zip(rank_names(len(orders)), orders, strict=True)}
+    return pairs.withColumns(places).where(functools.reduce(lambda a, b: a | b, (F.col(c) <= k for c in places)))
 
 
 def first_of_equals(offers: DataFrame, k: int) -> DataFrame:
@@ -151,27 +169,23 @@ def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Map
 
     targets: keys, player and a column t_{c} for each weighted c; offers: keys, comp and the columns
     themselves, of equal ones k + 1 at least.  Groups of more than `whole` offers (40 k if not given) are searched
-    in cells, and there once for all targets that are equal in all but their player."""
+    in cells; where there are such groups, once for all targets that are equal in all but their player."""
     whole = 40 * k if whole is None else whole
     distance = F.sqrt(squared_distance([(f"t_{c}", c) for c in weights], weights.values()))
-    best = Window.partitionBy("player").orderBy("distance", "comp")
-
-    def ranked(pairs: DataFrame) -> DataFrame:
-        e = pairs.where(may & (F.col("player") != F.col("comp"))).select(*pick, distance.alias("distance"))
-        return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
+    pick = [*(F.col(c) for c in pick), distance.alias("distance")]
+    order = F.col("distance")
     sizes = offers.groupBy(*keys).agg(F.count("*").alias("_n"))
     large = staged(sizes.where(F.col("_n") > whole), "large")
     if large.isEmpty():
-        return ranked(targets.join(offers, keys))
+        return first_by(targets.join(offers, keys).where(may & (F.col("player") != F.col("comp"))).select(*pick), [order], k)
     offers = staged(offers, "offers")
-    small = ranked(targets.join(large, keys, "left_anti").join(offers.join(large, keys, "left_anti"), keys))
+    own, members = kinds(targets)
+    small = first_by(own.join(large, keys, "left_anti").join(offers.join(large, keys, "left_anti"), keys).where(may).select(*pick), [order], k + 1)
     far = offers.join(large.select(*keys), keys, "left_semi")
     turn = directions(far, list(weights), list(weights.values()), min(3, len(weights)))
-    own, members = kinds(targets.join(large, keys))
-    t = axes(own, [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k + 1), "_n")).drop("_n")
-    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k + 1, may, [*(F.col(c) for c in pick), distance.alias("distance")], F.col("distance"), distance)
-    return small.unionByName(for_members(found, members, k).select(*pick, "distance", "rank"))
+    t = axes(own.join(large, keys), [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k + 1), "_n")).drop("_n")
+    found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k + 1, may, pick, order, distance)
+    return for_members(small.unionByName(found), members, k).select(*small.columns)
 
 
 def beyond(sim: Column, scale: float, most: float = 1.0) -> Column:
@@ -198,18 +212,21 @@ def axes(rows: DataFrame, columns: list[str], turn: list[list[float]], prefix: s
     return rows.withColumns({f"{prefix}{k}": sum((F.col(c) * F.lit(f) for c, f in zip(columns, factors, strict=True)), F.lit(0.0)) for k, factors in enumerate(turn)})
 
 
-def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k: int, may: Column, pick: list[Column], order: Column, radius: Column) -> DataFrame:
+def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k: int, may: Column, pick: list[Column], order: Column | list[Column], radius: Column | list[Column]) -> DataFrame:
     """The first k of each target among the rows of `pool` with its keys that it `may` meet: `pick`, by
     `order` and then comp, with their rank.
 
     targets: keys, player, _need (how many there are to find, k at most), _t0, _t1, ...; pool: keys, comp,
     _c0, _c1, ...: places along axes on which no two rows are farther apart than they are; radius: of a pair,
-    a distance beyond which no row comes before it, and not less than its own.
+    a distance beyond which no row comes before it, and not less than its own.  With several orders and
+    their radii: what is among the first k by one of them, with its rank by each (see `first_by`).
 
     Space is cut into cells, and twice as wide ones, and so on until one holds its group.  A target first
     meets the smallest cell around it that holds enough rows; the _need-th radius there bounds what
     it looks for, and then it meets the cells within that bound.  How wide cells are thus follows the rows
     around each target, and rounds are bounded by the logarithm of the group's extent."""
+    orders, radii = (x if isinstance(x, list) else [x] for x in (order, radius))
+    widest, narrowest = (f(*radii) if len(radii) > 1 else radii[0] for f in (F.greatest, F.least))
     axis = range(dims)
     x = [f"_x{a}" for a in axis]
     size = functools.reduce(lambda p, q: p * q, (F.greatest(f"_s{a}", F.lit(1e-6)) for a in axis))
@@ -246,13 +263,13 @@ def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k:
     while not left.isEmpty():
         e = met(wider(left), at_levels(left)).where(may)
         nearest_of = Window.partitionBy(*on, "player").orderBy("_radius")  # as the join has dealt them out
-        e = e.select(*on, "player", "_need", radius.alias("_radius")).withColumn("_rn", F.row_number().over(nearest_of)).where(F.col("_rn") <= k)
+        e = e.select(*on, "player", "_need", widest.alias("_radius")).withColumn("_rn", F.row_number().over(nearest_of)).where(F.col("_rn") <= k)
         b = left.join(e.where("_rn = _need").select("player", F.col("_radius").alias("_bound")), "player", "left")
         b = staged(b.withColumn("_bound", F.coalesce("_bound", F.when(F.col("_level") >= F.col("_top"), F.lit(1e300)))), "bounds")
         bounds.append(b.where("_bound is not null"))
         left = b.where("_bound is null").drop("_bound").withColumn("_level", F.col("_level") + 1)
     if not bounds:
-        return targets.join(pool, keys).select(*pick).withColumn("rank", F.lit(0)).limit(0)
+        return first_by(targets.join(pool, keys).select(*pick), orders, k).limit(0)
     t = functools.reduce(DataFrame.unionByName, bounds).withColumn("_bound", F.col("_bound") * F.lit(1 + 1e-9) + F.lit(1e-9))
     t = t.withColumn("_level", F.least(F.col("_top"), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_bound") / F.col("_w"))).cast("int"))))
     near = at_levels(t)
@@ -261,9 +278,7 @@ def in_cells(targets: DataFrame, pool: DataFrame, keys: list[str], dims: int, k:
         t = t.withColumn(c, F.explode(F.sequence(end(F.col(f"_t{a}") - F.col("_bound")), end(F.col(f"_t{a}") + F.col("_bound")))))
     t = t.drop("_w", "_top", "_need", *(f"_{n}{a}" for a in axis for n in ("lo", "hi")))
     close = functools.reduce(lambda p, q: p & q, (F.abs(F.col(f"_t{a}") - F.col(f"_c{a}")) <= F.col("_bound") for a in axis))
-    e = met(t, near).where(close & may & (radius <= F.col("_bound"))).select(*pick)
-    best = Window.partitionBy("player").orderBy(order, "comp")
-    return e.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return first_by(met(t, near).where(close & may & (narrowest <= F.col("_bound"))).select(*pick), orders, k)
 
 
 def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str = "position", order: str = "last_season") -> DataFrame:
