@@ -218,3 +218,19 @@ def test_two_cuts_from_one_search(spark, monkeypatch):
     for whole in (0, 60, 10**9):
         assert [rows(df) for df in similarity.neighbours_by(targets, pool, spans, [1996, None], k=7, whole=whole)] == want
     assert want[0] != want[1] and len(seen) == 2
+
+
+def test_first_seasons_of_small_groups_search_once(spark, monkeypatch):
+    from tidemark.operators import prospects, rookies
+
+    rows = [(k * 100 + n, "P" if k < 9 else "Q", 2000, 22, 14, float(k % 7), float(k), 5.0 * k, 4.0 * k, 3) for k in range(12) for n in range(9)]
+    df = spark.createDataFrame(rows, "player long, position string, season int, age int, games int, rate double, qty double, later double, later_discounted double, later_seasons int")
+    run = lambda whole: sorted(map(tuple, rookies.neighbours(df, df, {"rate": 2.0, "qty": 1.0, "age": 3.0}, 4, whole=whole).collect()))
+    want = run(10**9)
+    seen, ranked = [], rookies.first_by
+    monkeypatch.setattr(rookies, "first_by", lambda pairs, *rest: seen.append(pairs.select("player").distinct().count()) or ranked(pairs, *rest))
+    assert len(want) == 108 * 4 and run(30) == want and seen == [3]
+    careers = df.select("player", "position", F.col("season").alias("last_season"), F.lit(2.0).alias("stage"), F.col("age").cast("double"), *(F.col("rate").alias(c) for c in C.PROSPECT_WEIGHTS if c not in ("stage", "age")))
+    run = lambda whole: sorted(map(tuple, prospects.similar(careers, careers, 4, False, whole).collect()))
+    want = run(10**9)
+    assert want and run(30) == want

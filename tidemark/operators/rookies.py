@@ -12,7 +12,7 @@ from ..functions.numeric import clip, inverse_distance, squared_distance
 from ..functions.rules import breakout_bonus, recency_bonus
 from ..staging import staged
 from .careers import by_season
-from .similarity import axes, beyond, directions, first_of_equals, for_members, in_cells, kinds
+from .similarity import axes, beyond, directions, first_by, first_of_equals, for_members, in_cells, kinds
 
 
 def profiles(seasons: DataFrame, stats: Sequence[str], rate: float = C.DISCOUNT) -> DataFrame:
@@ -86,8 +86,8 @@ def neighbours(targets: DataFrame, corpus: DataFrame, weights: Mapping[str, floa
 
     How many candidates are near is counted by position and age.  A candidate is offered once for each age at
     which it may be met, so position and age are keys of an equi-join; groups of more than `whole` offers (40 k
-    if not given) are searched in cells, where the largest bonus there can be says what a cell leaves out, and
-    there once for all targets that are equal in all but their player."""
+    if not given) are searched in cells, where the largest bonus there can be says what a cell leaves out; where
+    there are such groups, once for all targets that are equal in all but their player."""
     whole = 40 * k if whole is None else whole
     keys = ["position", "age"]
 
@@ -104,22 +104,19 @@ def neighbours(targets: DataFrame, corpus: DataFrame, weights: Mapping[str, floa
     raw = inverse_distance(squared_distance([(f"t_{x}", f"c_{x}") for x in weights], weights.values()), scale)
     bonus = F.when(F.col("t_games") >= C.LIMITED_GAMES, breakout_bonus(F.col("later"))).otherwise(1.0) * recency_bonus(F.col("comp_season"), first, last)
     pick = [F.col(x) for x in ("player", "comp", "n_near", "later", "later_discounted", "later_seasons")] + [raw.alias("raw"), F.round(raw * bonus, 9).alias("sim")]
-    best = Window.partitionBy("player").orderBy(F.desc("sim"), "comp")
-    ranked = lambda pairs: pairs.where(may & (F.col("player") != F.col("comp"))).select(*pick).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
     large = staged(c.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > whole), "large")
     if large.isEmpty():
-        return ranked(t.join(c, keys))
-    small = ranked(t.join(large, keys, "left_anti").join(c.join(large, keys, "left_anti"), keys))
+        return first_by(t.join(c, keys).where(may & (F.col("player") != F.col("comp"))).select(*pick), [F.desc("sim")], k)
+    own, members = kinds(t)
+    small = first_by(own.join(large, keys, "left_anti").join(c.join(large, keys, "left_anti"), keys).where(may).select(*pick), [F.desc("sim")], k + 1)
     far = c.join(large.select(*keys), keys, "left_semi")
     turn = directions(far, [f"c_{x}" for x in weights], list(weights.values()), min(3, len(weights)))
-    own, members = kinds(t.join(large.select(*keys), keys, "left_semi"))
-    some = axes(own, [f"t_{x}" for x in weights], turn, "_t")
+    some = axes(own.join(large.select(*keys), keys, "left_semi"), [f"t_{x}" for x in weights], turn, "_t")
     some = some.withColumn("_need", F.least(F.lit(k + 1), F.when(F.col("reach") > window, F.col("_wider")).otherwise(F.col("n_near")))).drop("_wider")
     most = far.agg(F.max(breakout_bonus(F.col("later")) * recency_bonus(F.col("comp_season"), first, last)), F.max(recency_bonus(F.col("comp_season"), first, last))).first()
     most = float(max(most[0] or 1.0, most[1] or 1.0, 1.0))
     found = in_cells(some, axes(far, [f"c_{x}" for x in weights], turn, "_c"), keys, len(turn), k + 1, may, pick, F.desc("sim"), beyond(F.greatest(F.round(raw * bonus, 9) - F.lit(1e-9), F.lit(1e-12)), scale, most))
-    return small.unionByName(for_members(found, members, k).select(*small.columns))
+    return for_members(small.unionByName(found), members, k).select(*small.columns)
 
 
 def projection(targets: DataFrame, edges: DataFrame, by_position: Mapping[str, tuple[float, float]], default: tuple[float, float] = C.ROOKIE_CAREER) -> DataFrame:
