@@ -18,11 +18,11 @@ from .order_stats import same_keys
 V = [f"v{k}" for k in range(11)]
 
 
-def vectors(seasons: DataFrame, long_arc: DataFrame, min_games: int = C.MIN_GAMES) -> DataFrame:
+def vectors(seasons: DataFrame, long_arc: DataFrame, min_games: int = C.MIN_GAMES, keep: Sequence[str] = ()) -> DataFrame:
     """One row per (player, season): the 11 numbers that describe the career up to it.
 
     All come from windows over a player's seasons, so the seasons are shuffled once.
-    `long_arc` holds the (position, stage, total) rows that percentiles are taken from."""
+    `long_arc` holds the (position, stage, total) rows that percentiles are taken from; columns of seasons in `keep` pass."""
     upto = by_season().rowsBetween(Window.unboundedPreceding, 0)
     s = with_rate(seasons.where(F.col("games") >= min_games))
     s = s.withColumn("stage", F.row_number().over(by_season()).cast("long"))
@@ -57,25 +57,29 @@ def vectors(seasons: DataFrame, long_arc: DataFrame, min_games: int = C.MIN_GAME
     )
     s = strict_percentile(long_arc, s, ["position", "stage"], "total")
     v = [F.col("now"), F.lit(0.7) * F.col("back1"), F.lit(0.5) * F.col("back2"), ratio0("total", "all_games"), F.col("peak3"), F.col("peak1"), F.col("total") / 100.0, F.col("slope"), F.lit(10.0) * F.least(F.lit(1.0), F.col("all_games") / (F.lit(17.0) * n)), F.lit(30.0) * F.col("pct"), F.lit(0.5) * F.col("age")]
-    return s.select("player", "position", "season", "age", "stage", *(c.cast("double").alias(name) for c, name in zip(v, V, strict=True)))
+    return s.select("player", "position", "season", "age", "stage", *(c.cast("double").alias(name) for c, name in zip(v, V, strict=True)), *keep)
 
 
-def snapshots(pool: DataFrame, spans: DataFrame) -> DataFrame:
+def snapshots(pool: DataFrame, spans: DataFrame | None = None) -> DataFrame:
     """For each candidate and age at which a target may meet it, the season to compare with: at that
-    age, else a year before, else a year after; only if the candidate went on beyond that age."""
-    spans = spans.select(F.col("player").alias("comp"), F.col("n_seasons").alias("comp_seasons"), F.col("max_age").alias("comp_max_age"))
-    p = pool.select(F.col("player").alias("comp"), "position", F.col("season").alias("comp_season"), F.col("age").alias("comp_age"), F.col("stage").alias("comp_stage"), *(F.col(c).alias(f"c{c}") for c in V)).join(spans, "comp")
+    age, else a year before, else a year after; only if the candidate went on beyond that age.
+
+    A career's n_seasons and max_age are in `spans` or, without it, in `pool`."""
+    if spans is not None:
+        pool = pool.select("player", "position", "season", "age", "stage", *V).join(spans.select("player", "n_seasons", "max_age"), "player")
+    p = pool.select(F.col("player").alias("comp"), "position", F.col("season").alias("comp_season"), F.col("age").alias("comp_age"), F.col("stage").alias("comp_stage"), *(F.col(c).alias(f"c{c}") for c in V), F.col("n_seasons").alias("comp_seasons"), F.col("max_age").alias("comp_max_age"))
+    p = p.repartition("comp")  # before each season becomes three
     p = p.withColumn("meets", F.explode(F.array(*(F.struct((F.col("comp_age") + d).alias("age"), F.lit(rank).alias("choice")) for d, rank in ((0, 0), (1, 1), (-1, 2))))))
     p = p.select("*", F.col("meets.age").alias("age"), F.col("meets.choice").alias("choice")).drop("meets").where(F.col("comp_max_age") > F.col("age"))
     first = Window.partitionBy("comp", "age").orderBy("choice")
     return p.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn", "choice", "comp_max_age")
 
 
-def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C.NEIGHBOURS, old_before: int | None = None, haircut: float = C.OLD_HAIRCUT, whole: int | None = None) -> DataFrame:
+def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame | None = None, k: int = C.NEIGHBOURS, old_before: int | None = None, haircut: float = C.OLD_HAIRCUT, whole: int | None = None) -> DataFrame:
     """The k most similar careers of each target, by weighted inverse distance.
 
     targets: one vector row per player, with its n_seasons; pool: vector rows of candidates;
-    spans: (player, n_seasons, max_age) of candidates.  A candidate must be as long (or 2 short of 9
+    spans: (player, n_seasons, max_age) of candidates, or None if pool has these.  A candidate must be as long (or 2 short of 9
     and more) and within one stage.  Each is offered once for each age and stage that it may meet, so
     position, age and stage are keys of an equi-join; distances are taken where pairs are made, and
     only identifiers and similarities go on to the ranking.
@@ -86,7 +90,7 @@ def neighbours(targets: DataFrame, pool: DataFrame, spans: DataFrame, k: int = C
     return neighbours_by(targets, pool, spans, [old_before], k, haircut, whole)[0]
 
 
-def neighbours_by(targets: DataFrame, pool: DataFrame, spans: DataFrame, cuts: Sequence[int | None], k: int = C.NEIGHBOURS, haircut: float = C.OLD_HAIRCUT, whole: int | None = None) -> list[DataFrame]:
+def neighbours_by(targets: DataFrame, pool: DataFrame, spans: DataFrame | None, cuts: Sequence[int | None], k: int = C.NEIGHBOURS, haircut: float = C.OLD_HAIRCUT, whole: int | None = None) -> list[DataFrame]:
     """`neighbours` for each `old_before` in `cuts`, from one search."""
     whole = 40 * k if whole is None else whole
     keys = ["position", "age", "stage"]
