@@ -12,13 +12,22 @@ from ..functions.numeric import clip
 def survival(edges: DataFrame) -> DataFrame:
     """From a target's comps (sim, rank, comp_last_age, comp_n_seasons, comp_retired): weighted rates
     of busts and short careers, and the multiplier."""
+    e = edges.select("player", "sim", "rank", "comp_last_age", "comp_n_seasons", "comp_retired").repartition("player")
+    return with_survival(e.groupBy("player").agg(*survival_rates()))
+
+
+def survival_rates() -> list[Column]:
+    """bust_rate, short_rate and top5_busts as aggregates over a target's comps."""
     bust = F.col("comp_retired") & (F.col("comp_last_age") <= C.BUST_AGE) & (F.col("comp_n_seasons") < C.BUST_SEASONS)
     short = F.when(F.col("comp_retired"), F.col("comp_n_seasons") <= C.SHORT_SEASONS).otherwise(F.col("comp_n_seasons") <= 2)
     w = F.sum("sim")
     w = F.when(w == 0, F.lit(1.0)).otherwise(w)
     rate = lambda flag: F.sum(F.when(flag, F.col("sim")).otherwise(0.0)) / w
-    g = edges.groupBy("player").agg(rate(bust).alias("bust_rate"), rate(short).alias("short_rate"), F.count_if(bust & (F.col("rank") <= 5)).alias("top5_busts"))
-    return g.withColumn("survival", survival_multiplier(F.col("bust_rate"), F.col("short_rate"), F.col("top5_busts")))
+    return [rate(bust).alias("bust_rate"), rate(short).alias("short_rate"), F.count_if(bust & (F.col("rank") <= 5)).alias("top5_busts")]
+
+
+def with_survival(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("survival", survival_multiplier(F.col("bust_rate"), F.col("short_rate"), F.col("top5_busts")))
 
 
 def survival_multiplier(bust: Column, short: Column, top5: Column) -> Column:

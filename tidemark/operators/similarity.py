@@ -313,10 +313,15 @@ def nearest_before(rows: DataFrame, weights: dict[str, float], k: int, by: str =
 def comp_projection(edges: DataFrame, futures: DataFrame) -> DataFrame:
     """Similarity-weighted mean of what the neighbours went on to make, and the best of them."""
     e = edges.join(futures.select(F.col("player").alias("comp"), F.col("snapshot_age").alias("comp_age"), "future_points", "future_seasons"), ["comp", "comp_age"], "left")
+    return e.select("player", "sim", "future_points", "future_seasons").repartition("player").groupBy("player").agg(*projection_sums())
+
+
+def projection_sums() -> list[Column]:
+    """`comp_projection` as aggregates over a target's neighbours, with future_points and future_seasons (null: none)."""
     pts, yrs = F.coalesce("future_points", F.lit(0.0)), F.coalesce("future_seasons", F.lit(0))
     w = F.sum("sim")
     w = F.when(w == 0, F.lit(1.0)).otherwise(w)
-    return e.groupBy("player").agg((F.sum(F.col("sim") * pts) / w).alias("comp_mean"), (F.sum(F.col("sim") * yrs) / w).alias("years"), F.max(pts).alias("best_comp"), F.count("*").alias("n_comps"))
+    return [(F.sum(F.col("sim") * pts) / w).alias("comp_mean"), (F.sum(F.col("sim") * yrs) / w).alias("years"), F.max(pts).alias("best_comp"), F.count("*").alias("n_comps")]
 
 
 def blended(rows: DataFrame, bars: dict[str, float] | float) -> DataFrame:
