@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import _shared, op01_exact_dedup, op02_suffix_dedup, op03_simhash, op04_warc, op05_mixing, op06_toxicity, op07_html, op08_token_file, op09_embedding_dedup, op10_bpe
+from tidemark.llm import _shared, components, op01_exact_dedup, op02_suffix_dedup, op03_simhash, op04_warc, op05_mixing, op06_toxicity, op07_html, op08_token_file, op09_embedding_dedup, op10_bpe
 from tidemark.llm.queries import byte_bpe
 from tidemark.llm.components import connected_components
 
@@ -307,6 +307,51 @@ def test_similar_groups_are_those_of_brute_force(spark):
         op03_simhash.SETS = marked
 
 
+def test_shingles_of_all_documents_are_counted(spark):
+    texts = [f"one two three four five {'six' if k % 3 else 'seven'} {k}" for k in range(6000)] + [None, "", "one two"]
+    counts = op03_simhash.shingle_counts(spark.createDataFrame([(x,) for x in texts], "text string").repartition(3), 5)
+    want = np.zeros_like(counts)
+    for x in texts:
+        want[np.unique(op03_simhash.slot_of(op03_simhash.shingle_set((x or "").encode(), 5)))] += 1
+    assert counts.max() == 6000 and (counts == want).all()
+    shared = op03_simhash.slot_of(op03_simhash.shingle_set(b"one two three four five", 5))[0]
+    h = op03_simhash.shingle_set(texts[0].encode(), 5)
+    assert counts[shared] == 6000 and shared not in op03_simhash.slot_of(op03_simhash.prefix(h, counts))
+
+
+def test_open_groups_compare_few_pairs(spark, monkeypatch):
+    """Texts of one large candidate group, each like the next only: no set meets its whole group."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(7))
+    row, n = [word() for _ in range(40 + 4 * 300)], 300
+    docs = [(k, " ".join(row[4 * k : 4 * k + 44 - (k % 5 == 0)])) for k in range(n)]
+    compared, write = [], op03_simhash.staged
+
+    def seen(df, label):
+        out = write(df, label)
+        compared.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(op03_simhash, "staged", seen)
+    monkeypatch.setattr(op03_simhash, "SETS", 8)
+    got = {g.doc_id: g.component_id for g in op03_simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[x : x + 5]) for x in range(len(t.split()) - 4)} for _, t in docs]
+    first = list(range(n))
+    for x in range(1, n):
+        if len(sets[x] & sets[x - 1]) >= 0.8 * len(sets[x] | sets[x - 1]):
+            first[x] = first[x - 1]
+    assert got == dict(enumerate(first))
+    assert compared and sum(compared) < 10 * n
+
+
+def test_components_by_joins_are_those_by_windows(spark, monkeypatch):
+    r = random.Random(3)
+    edges = spark.createDataFrame([(r.randrange(400), r.randrange(400)) for _ in range(300)] + [(0, k) for k in range(400, 600)], "a long, b long")
+    few = sorted(connected_components(edges).collect())
+    monkeypatch.setattr(components, "FEW", 0)
+    assert few and sorted(connected_components(edges).collect()) == few
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b", "<p>é</p>", 1), (2, "http://b", "<p>é</p>", 1), (0, None, "", 1), (5, "http://c\n", None, 1), (7, "u", "x" * 300000, 1), (7, "u", "x" * 300000, 1), (3, "http://d", "<p>é</p>", 2)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int").repartition(3)

@@ -1,16 +1,17 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is joins and grouped minima only.  A minimum is combined before the shuffle, and a hub's
-edges meet its minimum by broadcast; no node's neighbours are collected."""
+Each round is joins and grouped minima only, or windows while edges are few; no node's neighbours are collected."""
 
 from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import hot_from, join_one, staged
+from ._shared import dropped, hot_from, join_one, staged
+
+FEW = 1 << 20  # edges of which a node's, all of them at most, may be in one task
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -18,9 +19,30 @@ def _both(e: DataFrame) -> DataFrame:
 
 
 def _known(e: DataFrame) -> tuple:
-    """(edges of the largest hub, edges counted from both ends, a sum of hashes that tells rounds apart)."""
-    h = F.xxhash64(F.greatest("x", "y"), F.least("x", "y")).cast("decimal(38,0)")
-    return tuple(_both(e).groupBy("x").agg(F.count("*").alias("n"), F.sum(h).alias("h")).agg(F.max("n"), F.sum("n"), F.sum("h")).first())
+    """(number of edges, a sum of hashes that tells rounds apart)."""
+    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
+def _by_windows(e: DataFrame) -> DataFrame:
+    """A round over few edges: each node's are in one place."""
+    least = lambda of, value: F.min(value).over(Window.partitionBy(of))
+    large = _both(e).withColumn("v", F.least("x", least("x", "y"))).where("y > x").select(F.col("y").alias("u"), "v")
+    small = large.withColumn("m", least("u", "v"))
+    return small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+
+
+def _by_joins(e: DataFrame, n: int) -> DataFrame:
+    """A round over any number of edges: a minimum is combined before the shuffle, and a hub's edges meet it by
+    broadcast."""
+    total = 2 * n
+    hub = _both(e).groupBy("x").count().agg(F.max("count")).first()[0] or 0
+    meet = functools.partial(join_one, weight="n", total=total) if hub > hot_from(total) else lambda rows, one, on: rows.join(one.drop("n"), on)
+    both = _both(e)
+    least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
+    large = meet(both, least, ["x"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+    least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    small = meet(large, least, ["u"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m")
+    return small.toDF("u", "v")
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -31,13 +53,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     e = staged(e.distinct(), "edges")
     before = _known(e)
     for _ in range(max_rounds):
-        meet = functools.partial(join_one, weight="n", total=before[1] or 0) if (before[0] or 0) > hot_from(before[1] or 0) else lambda rows, one, on: rows.join(one.drop("n"), on)
-        both = _both(e)
-        least = both.groupBy("x").agg(F.min("y").alias("m"), F.count("*").alias("n")).select("x", F.least("x", "m").alias("m"), "n")
-        large = meet(both, least, ["x"]).where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = meet(large, least, ["u"]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("x"), "m")
-        e = staged(small.toDF("u", "v").where("u > v").distinct(), "edges")
+        r = _by_windows(e) if before[0] <= FEW else _by_joins(e, before[0])
+        last, e = e, staged(r.where("u > v").distinct(), "edges")
+        dropped(last)
         now = _known(e)
         if now == before:
             break

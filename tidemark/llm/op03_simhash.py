@@ -150,16 +150,27 @@ def labelled(rows: DataFrame, nodes: DataFrame, parts: DataFrame) -> DataFrame:
 WIDE = 4  # 64-bit words of a wide fingerprint
 LIMIT = 69  # of 256 bits: a Jaccard similarity of 0.8 has 39 that differ, give or take 6
 LEAST = 64  # sets of fewer shingles are not judged by their fingerprints, which scatter more
-SAMPLE = 5_000  # documents from which common shingles are learnt, and how many of those are
-COMMON = 200_000
+SLOTS = 22  # bits of a hash that say which counter counts it
+PIECES = 64  # in which counters are sent and summed
 FEW_GONE = 500_000  # so many ids and hashes of rows that go are broadcast
 BLOCK_HASHES = 1 << 19  # of prefixes, in a block
-SETS = 256  # sets of one candidate group that are compared in one task; where chunks meet, twice as many
+SETS = 256  # sets of one candidate group that are compared in one task
+NEAREST = 8  # pairs of two parts at a shared hash that are compared before all are
 
 
 def shingle_set(text: bytes, words_each: int) -> np.ndarray:
-    """The different hashes of a text's shingles, sorted."""
-    return np.unique(shingle_hashes(text, words_each))
+    """The different hashes of a text's shingles, sorted; a hash is mixed from those of its words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    k = min(words_each, len(words))
+    h = np.full(len(words) - k + 1, k, np.uint64)
+    for at in range(k):
+        h = (h ^ each[at : at + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> np.uint64(32)))
 
 
 def wide_simhash(h: np.ndarray) -> bytes:
@@ -178,47 +189,55 @@ def wide_simhash(h: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(h)).tobytes()
 
 
-def prefix(h: np.ndarray, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+def slot_of(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def prefix(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest n - ceil(0.8 n) + 1 of a set's n hashes, in an order that is the same for all sets.
     Two sets with a Jaccard similarity of 0.8 share one of theirs, whatever the order."""
     n = len(h)
-    rank = np.zeros(n, np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
-        rank = np.where(common[at] == h, times[at], 0)
-    return h[np.lexsort((h, rank))[: n - (4 * n + 4) // 5 + 1]] if n else h
+    return h[np.lexsort((h, counts[slot_of(h)]))[: n - (4 * n + 4) // 5 + 1]] if n else h
 
 
-def _all_shingles(words_each: int) -> BatchFn:
+def _counters(words_each: int) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         kept("simhash")
+        counts = np.zeros(1 << SLOTS, np.uint32)
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                sets = [shingle_set(x, words_each) for x in utf8(b.column(0).slice(lo, 256))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["h"])
+            for x in utf8(b.column(0)):
+                counts[slot_of(shingle_set(x, words_each))] += 1
+        for piece, part in enumerate(counts.reshape(PIECES, -1)):
+            if part.any():
+                part = part.astype(np.min_scalar_type(part.max()))
+                packed = pa.compress(part.tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([part.itemsize], pa.int32()), pa.array([packed], pa.binary())], ["piece", "width", "counts"])
 
     return run
 
 
-def common_shingles(docs: DataFrame, words_each: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the commonest shingles in a sample, sorted, and their counts.  They only decide an order."""
-    every = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text")
-    seen = staged(some.mapInArrow(tidy(_all_shingles(words_each)), "h long").groupBy("h").count().where("count > 2"), "shingles")
-    room, least = COMMON, None
-    for r in sorted(seen.groupBy("count").agg(F.count("*").alias("n")).collect(), reverse=True):  # as many rows as the sample has counts
-        room -= r.n
-        if room < 0:
-            break
-        least = r["count"]
-    # no more than COMMON leave their partitions
-    top = seen.where(F.lit(False) if least is None else F.col("count") >= least).toArrow()
-    h, times = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
-    order = np.argsort(h)
-    return h[order], times[order]
-
-
-def _sets(words_each: int, common) -> BatchFn:
+def _summed(batches: Batches) -> Iterator[pa.RecordBatch]:
+    each, sums = (1 << SLOTS) // PIECES, {}
+    for b in batches:
+        for piece, width, packed in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            part = np.frombuffer(pa.decompress(packed, decompressed_size=each * width, codec="zstd", asbytes=True), f"u{width}")
+            sums[piece] = sums.get(piece, np.zeros(each, np.uint64)) + part
+    for piece, total in sums.items():
+        total = np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["piece", "counts"])
+
+
+def shingle_counts(docs: DataFrame, words_each: int) -> np.ndarray:
+    """In how many documents, of all there are, a shingle of each slot occurs.  The driver gets 16 MB, whatever the input."""
+    sent = docs.select("text").mapInArrow(tidy(_counters(words_each)), "piece int, width int, counts binary")
+    summed = sent.repartition(PIECES, "piece").mapInArrow(tidy(_summed), "piece int, counts binary").toArrow()
+    counts = np.zeros((PIECES, (1 << SLOTS) // PIECES), np.uint32)
+    for piece, total in zip(summed.column("piece").to_pylist(), summed.column("counts").to_pylist(), strict=True):
+        counts[piece] = np.frombuffer(total, np.uint32)
+    return counts.reshape(-1)
+
+
+def _sets(words_each: int, counts) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         kept("simhash")
         for b in batches:
@@ -226,7 +245,7 @@ def _sets(words_each: int, common) -> BatchFn:
                 part = b.slice(lo, 1024)
                 sets = [shingle_set(x, words_each) for x in utf8(part.column(1))]
                 node = list(map(node_of, sets))
-                first = [prefix(h, *common.value).view(np.int64) for h in sets]
+                first = [prefix(h, counts.value).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(wide_simhash, sets), pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "th", "node", "n", "fp", "prefix"])
 
     return run
@@ -252,15 +271,16 @@ def node_of(h: np.ndarray) -> int:
 
 # Which prefix hashes occur in several rows: the exchange of compressed fingerprints of exact dedup.
 
-def _blocks(batches: Batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(number, node of each hash, different hashes, which of them each is, how often each occurs, check)
+def _blocks(batches: Batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(number, node of each hash, its place in its prefix, different hashes, which of them each is, how often each occurs, check)
     of blocks of whole rows; where rows are cut into blocks does not depend on batches."""
     number, nodes, lists, held = TaskContext.get().partitionId() << 32, [], [], 0
 
     def block() -> tuple:
         h = np.concatenate(lists)
         distinct, where, times = np.unique(h.view(np.uint64), return_inverse=True, return_counts=True)
-        return number, np.repeat(np.array(nodes, np.int64), [len(x) for x in lists]), distinct, where, times, xxhash.xxh64_intdigest(h.tobytes()) >> 1
+        many = [len(x) for x in lists]
+        return number, np.repeat(np.array(nodes, np.int64), many), np.concatenate([np.arange(n) for n in many]), distinct, where, times, xxhash.xxh64_intdigest(h.tobytes()) >> 1
 
     for b in batches:
         prefixes = b.column(1)
@@ -280,14 +300,14 @@ def _blocks(batches: Batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.
 
 def _sent(owners: int) -> BatchFn:
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for number, _, distinct, _, _, check in _blocks(batches):
+        for number, _, _, distinct, _, _, check in _blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([check], pa.int64()), pa.array([packets_of(distinct, owners)], PACKET)], ["block", "check", "packets"])
 
     return run
 
 
 def _meet(folder: str) -> BatchFn:
-    """(node, bucket) of each hash that another row has too.  If a block is not the one that was sent,
+    """(node, bucket, at) of each hash that another row has too, with its place in the prefix.  If a block is not the one that was sent,
     all its hashes are taken to be shared."""
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -298,27 +318,27 @@ def _meet(folder: str) -> BatchFn:
                     checks[r["block"]] = r["check"]
                 else:
                     answers.setdefault(r["block"], []).append(r)
-        for number, nodes, distinct, where, times, check in _blocks(batches):
+        for number, nodes, places, distinct, where, times, check in _blocks(batches):
             shared = times > 1
             for r in answers.pop(number, []) if checks.get(number) == check else []:
                 shared[r["first"] : r["first"] + r["n"]] |= np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).astype(bool)
             if checks.get(number) != check:
                 shared[:] = True
             keep = shared[where]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(distinct[where[keep]].view(np.int64))], ["node", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[keep]), pa.array(distinct[where[keep]].view(np.int64)), pa.array(places[keep], pa.int32())], ["node", "bucket", "at"])
 
     return run
 
 
 def meeting(rows: DataFrame) -> DataFrame:
-    """(node, bucket) of rows (node, prefix) that share a hash of their prefix with another row.  Hashes
+    """(node, bucket, at) of rows (node, prefix) that share a hash of their prefix with another row.  Hashes
     are sent compressed to the owners of their ranges, which send back a bit for each."""
     spark = rows.sparkSession
     n = rows.agg(F.sum(F.size("prefix"))).first()[0] or 0
     sent = staged(rows.mapInArrow(tidy(_sent(owners_for(n, spark))), "block long, check long, packets array<struct<owner: int, first: int, n: int, k: int, unary: binary, rest: binary>>"), "blocks")
     answers = answers_of(sent.select("block", F.inline("packets"))).withColumn("check", F.lit(None).cast("long"))
     checks = sent.select("block", F.lit(0).alias("first"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("bits"), "check")
-    return rows.mapInArrow(tidy(_meet(write_marks(answers.union(checks)))), "node long, bucket long")
+    return rows.mapInArrow(tidy(_meet(write_marks(answers.union(checks)))), "node long, bucket long, at int")
 
 
 def _prefixes(prints: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -333,10 +353,13 @@ def _prefixes(prints: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(several, "node", "left_anti").union(staged(one, "prefixes"))
 
 
-def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs whose sizes and fingerprints allow a similarity of 0.8."""
+def _possible(i: np.ndarray, j: np.ndarray, n: np.ndarray, fp: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose sizes and fingerprints allow a similarity of 0.8.  With `at`, the place of the hash that they share:
+    if none before it is shared, what follows it bounds what they share; a similar pair also meets at its first one."""
     low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
     go = 5 * low >= 4 * high
+    if at is not None:
+        go &= 9 * np.minimum(n[i] - at[i], n[j] - at[j]) >= 4 * (low + high)
     i, j, low = i[go], j[go], low[go]
     go = (np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= LIMIT) | (low < LEAST)
     return i[go], j[go]
@@ -346,11 +369,11 @@ def _candidates(batches: Batches) -> Iterator[pa.RecordBatch]:
     """Edges of a spanning forest of each bucket's possible pairs."""
     for t in whole_groups(batches, GROUP):
         fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
-        node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+        node, n, at = (t.column(c).to_numpy() for c in ("node", "n", "at"))
         forest, found = Forest(len(fp)), []
         for i, j in pairs(group_ids(t), t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 18):
             apart = forest.label[i] != forest.label[j]
-            found.append(forest.add(*_possible(i[apart], j[apart], n, fp)))
+            found.append(forest.add(*_possible(i[apart], j[apart], n, fp, at)))
         if found:
             i, j = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
@@ -395,13 +418,77 @@ def _sets_of(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataFrame:
     return found.join(F.broadcast(chosen) if chosen.count() <= FEW_GONE else chosen, "node")
 
 
-def verified_links(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataFrame:
+def _between(nearest: int | None) -> BatchFn:
+    """The possible pairs of different parts that a hash brings together: of two parts the `nearest` by fingerprint (`more`
+    says that there are others), or all."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, GROUP):
+            fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(-1, WIDE)
+            node, n, at, label = (t.column(c).to_numpy() for c in ("node", "n", "at", "label"))
+            group = group_ids(t)
+            for i, j in pairs(group, t.column("chunk").to_numpy(), t.column("c1").to_numpy(), t.column("c2").to_numpy(), 1 << 20):
+                apart = label[i] != label[j]
+                i, j = _possible(i[apart], j[apart], n, fp, at)
+                i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+                more = np.zeros(len(i), bool)
+                if nearest and len(i):
+                    low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                    by = np.lexsort((np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1), high, low, group[i]))
+                    key = np.stack((group[i], low, high))[:, by]
+                    new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))
+                    first, which = np.flatnonzero(new), np.cumsum(new) - 1
+                    own = np.arange(len(by)) - first[which] < nearest
+                    more = (np.diff(np.append(first, len(by))) > nearest)[which[own]]
+                    i, j = i[by[own]], j[by[own]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[i], node[j], label[i], label[j], more)], ["a", "b", "la", "lb", "more"])
+
+    return run
+
+
+def _alike(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """The pairs with a Jaccard similarity of 0.8 or more."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
+            both = np.sort(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64))))
+            shared = int((both[1:] == both[:-1]).sum())
+            keep.append(5 * shared >= 4 * (len(both) - shared))
+        yield b.select(["la", "lb", "a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def links_between(docs: DataFrame, left: DataFrame, met: DataFrame, words_each: int) -> DataFrame:
+    """Edges (a, b) that connect the parts (`label`) of open groups.  Similar sets share a hash of their prefixes, so
+    sets meet by hashes that two parts have, not by group.  The NEAREST pairs of two parts at each hash are compared
+    first; only if there were others, all pairs of parts that are still apart are."""
+    rows = left.select("node", "n", "fp", "key", "label").join(met.select("node", F.col("bucket").alias("h"), "at"), "node")
+
+    def several(rows: DataFrame) -> DataFrame:
+        rows = staged(rows, "shared")
+        return staged(rows.join(rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h"), "h", "left_semi"), "shared")
+
+    def compared(rows: DataFrame, nearest: int | None) -> tuple[DataFrame, bool]:
+        e = grouped(rows.select(F.col("h").alias("bucket"), "node", "n", "fp", "at", "label"), "node", CAP).mapInArrow(tidy(_between(nearest)), "a long, b long, la long, lb long, more boolean")
+        e = staged(e.groupBy("a", "b").agg(F.any_value("la").alias("la"), F.any_value("lb").alias("lb"), F.max("more").alias("more")), "pairs")
+        met = e.select("la", "lb", "a", "b").join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b").select("la", "lb", "a", "b", "ha", "hb")
+        return staged(met.mapInArrow(tidy(_alike), "la long, lb long, a long, b long"), "links"), not e.where("more").isEmpty()
+
+    rows = several(rows)
+    sets = staged(_sets_of(docs, rows.select("node", "key").distinct(), words_each).select("node", "hashes"), "members")
+    edges, more = compared(rows, NEAREST)
+    if not more:
+        return edges.select("a", "b")
+    merged = connected_components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("node", "part")
+    rows = rows.join(merged, F.col("label") == F.col("part"), "left").withColumn("label", F.coalesce("component", "label")).drop("part", "component")
+    return edges.union(compared(several(rows), None)[0]).select("a", "b")
+
+
+def verified_links(docs: DataFrame, chosen: DataFrame, met: DataFrame, words_each: int) -> DataFrame:
     """Edges (a, b) that connect all sets of a candidate group (`bucket`) with a similarity of 0.8 or more.
 
     A group is dealt out in chunks of SETS sets; the one whose node names the group is in all of them.
     Chunks compare their own sets, which for copies of one text is all there is to do.  Only groups
-    that are still in several parts go on: their chunks meet in pairs, and only sets of different parts
-    are compared."""
+    that are still in several parts go on, see `links_between`."""
     sizes = chosen.groupBy("bucket").agg(F.count("*").alias("many")).where(F.col("many") > SETS).withColumn("n_chunks", F.ceil(F.col("many") / SETS).cast("int"))
     chosen = staged(chosen.join(sizes, "bucket", "left").withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1))), "sized")
     dealt = _sets_of(docs, chosen, words_each).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_chunks")).cast("int"))
@@ -421,10 +508,8 @@ def verified_links(docs: DataFrame, chosen: DataFrame, words_each: int) -> DataF
         return edges
     own = edges.join(left.select(F.col("node").alias("a")), "a", "left_semi").select("a", "b")
     parts = connected_components(own).withColumnRenamed("node", "part")
-    left = staged(left.join(parts, F.col("node") == F.col("part"), "left").select("bucket", "node", "fp", "key", F.coalesce("component", "node").alias("label")), "parts")
-    sets = staged(_sets_of(docs, left, words_each).select("bucket", "node", "label", "fp", "hashes"), "members")
-    more = grouped(sets, "node", SETS).mapInArrow(tidy(_verified), "a long, b long")
-    return edges.union(staged(more, "links"))
+    left = staged(left.join(parts, F.col("node") == F.col("part"), "left").select("node", "n", "fp", "key", F.coalesce("component", "node").alias("label")), "parts")
+    return edges.union(links_between(docs, left, met, words_each))
 
 
 def similar_groups(docs: DataFrame, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -441,8 +526,8 @@ def _similar(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> Da
     every pair that is looked for, and in them the sets themselves are compared."""
     spark = docs.sparkSession
     docs = columns_as(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    common = spark.sparkContext.broadcast(common_shingles(docs, words_each))
-    prints = staged(docs.mapInArrow(tidy(_sets(words_each, common)), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, words_each))
+    prints = staged(docs.mapInArrow(tidy(_sets(words_each, counts)), "doc_id long, th long, node long, n long, fp binary, prefix array<long>"), "sets")
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("times"), F.any_value(F.struct("doc_id", "th")).alias("one"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"))
     nodes = staged(nodes, "nodes")
 
@@ -451,8 +536,8 @@ def _similar(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> Da
     loose = connected_components(grouped(rows, "node", CAP).mapInArrow(tidy(_candidates), "a long, b long")).withColumnRenamed("node", "part")
 
     # the set of one document for each node that has a candidate
-    chosen = staged(nodes.join(loose, F.col("node") == F.col("part")).select(F.col("component").alias("bucket"), "node", "fp", F.xxhash64("one.doc_id", "one.th").alias("key")), "chosen")
-    parts = connected_components(verified_links(docs, chosen, words_each))
+    chosen = staged(nodes.join(loose, F.col("node") == F.col("part")).select(F.col("component").alias("bucket"), "node", "n", "fp", F.xxhash64("one.doc_id", "one.th").alias("key")), "chosen")
+    parts = connected_components(verified_links(docs, chosen, met, words_each))
 
     return labelled(prints.select("doc_id", "th", "node"), nodes.select("node", "first_id", F.col("times").alias("n")), parts).select("doc_id", "th", "component_id")
 
