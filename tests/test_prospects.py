@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,29 @@ def test_namesakes_with_one_pick_go_by_the_number_of_their_id(spark):
     assert [r.pick_id for r in prospects.all_picks(rows, rows.limit(0)).collect()] == [999]
     late = spark.createDataFrame([(1, 2027, "Al", "QB", None), (2, 2027, "Al", "QB", 12000)], rows.schema)
     assert [r.pick_id for r in prospects.all_picks(rows.limit(0), late).collect()] == [2]  # no pick comes last
+
+
+def test_other_lengths_and_ages_are_met_only_within_what_was_found(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(k, "WR", 2000, float(1 + k % 3), float(19 + k % 2), *map(float, r.normal(0, 0.3, 4).round(6))) for k in range(360)]
+    rows += [(1000 + k, "WR", 2000, float(1 + k), 22.0, 2.0, 2.0, 2.0, 2.0) for k in range(3)]  # few of their age
+    df = spark.createDataFrame(rows, "player long, position string, last_season int, stage double, age double, z_avg double, z_peak double, z_final double, z_factor double")
+    sizes, write = [], prospects.staged
+    monkeypatch.setattr(prospects, "staged", lambda d, label: (out := write(d, label), sizes.append((label, out.count())))[0])
+    got = prospects.similar(df, df, 5).collect()
+    w = C.PROSPECT_WEIGHTS
+    names = df.columns
+    want = {}
+    for a in rows:
+        pairs = []
+        for b in rows:
+            x, y = dict(zip(names, a, strict=True)), dict(zip(names, b, strict=True))
+            if a[0] != b[0] and abs(x["age"] - y["age"]) <= 2 and abs(x["stage"] - y["stage"]) <= 1:
+                pairs.append((sum(v * (x[c] - y[c]) ** 2 for c, v in w.items()) ** 0.5, b[0]))
+        want[a[0]] = [p[1] for p in sorted(pairs)[:5]]
+    have = {}
+    for g in sorted(got, key=lambda g: g["rank"]):
+        have.setdefault(g["player"], []).append(g["comp"])
+    assert have == {k: v for k, v in want.items() if v}
+    assert dict(sizes)["offers"] == len(rows)  # each once, not for each length and age
+    assert [n for label, n in sizes if label == "asked"][1] < 3 * len(rows)  # of 14 others each

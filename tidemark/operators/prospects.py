@@ -13,7 +13,7 @@ from ..functions.rules import schedule_adjusted
 from ..staging import staged
 from .ranking import ranked, z_scores_of
 from .scouting import college_age, draft_match
-from .similarity import first_of_equals, nearest
+from .similarity import first_by, first_of_equals, nearest
 
 Z = {"avg": "z_avg", "peak": "z_peak", "final": "z_final", "factor": "z_factor"}
 
@@ -46,21 +46,42 @@ def similar(targets: DataFrame, careers: DataFrame, k: int = C.PROSPECT_COMPS, b
     within a season of its length and two years of its age, itself left out; with `before`, only those that
     had ended by the target's last season.
 
-    A career is offered once for each length and year of age at which it may be met; of careers that differ in
-    nothing that counts, k + 1 are."""
+    A target first meets careers of its own length and age.  Others are farther away by what lengths and ages differ,
+    so it meets only those whose least distance is within what it has found.  Of careers that differ in nothing that
+    counts, k + 1 are offered."""
     stages, ages = C.PROSPECT_STAGES, C.PROSPECT_AGES
-    around = lambda c, n: F.explode(F.sequence(F.floor(c) - n, F.floor(c) + n))
+    keys = ["position", "at_stage", "at_age"]
     ended = lambda name: [F.col("last_season").alias(name)] if before else []
     offers = first_of_equals(careers.select(F.col("player").alias("comp"), "position", *ended("comp_season"), *C.PROSPECT_WEIGHTS), k + 1)
-    offers = offers.withColumn("at_stage", around("stage", stages)).withColumn("at_age", around("age", ages))
+    offers = staged(offers.withColumns({"at_stage": F.floor("stage"), "at_age": F.floor("age")}), "offers")
     t = targets.select("player", "position", F.floor("stage").alias("at_stage"), F.floor("age").alias("at_age"), *ended("last_season"), *(F.col(c).alias(f"t_{c}") for c in C.PROSPECT_WEIGHTS))
+    t = staged(t, "asked")
     may = (F.abs(F.col("t_age") - F.col("age")) <= ages) & (F.abs(F.col("t_stage") - F.col("stage")) <= stages)
     if before:
         may = may & (F.col("comp_season") < F.col("last_season"))
-    e = nearest(t, offers, ["position", "at_stage", "at_age"], C.PROSPECT_WEIGHTS, k, may, ["player", "comp"], whole)
+    e = staged(nearest(t, offers, keys, C.PROSPECT_WEIGHTS, k, may, ["player", "comp"], whole), "own")
+    others = staged(elsewhere(t, offers, e.where(F.col("rank") == k).select("player", F.col("distance").alias("_bound")), stages, ages), "asked")
+    if not others.isEmpty():
+        far = nearest(others, offers, keys, C.PROSPECT_WEIGHTS, k, may, ["player", "comp"], whole, apart=True)
+        e = first_by(e.drop("rank").union(far.select("player.player", "comp", "distance")), [F.col("distance")], k)
     return e.withColumns({"distance": F.round("distance", 6), "similarity": F.round(F.lit(1.0) / (F.lit(1.0) + F.col("distance")), 6)})
 
 
+def elsewhere(targets: DataFrame, offers: DataFrame, bounds: DataFrame, stages: int, ages: int) -> DataFrame:
+    """The targets for each other length and age at which a career may be as near as their bound; without a
+    bound all of them.  As player they have what tells these apart."""
+    sides = {"at_stage": "stage", "at_age": "age"}
+    ends = offers.groupBy("position", *sides).agg(*(f(c).alias(f"_{n}_{c}") for c in sides.values() for n, f in (("lo", F.min), ("hi", F.max))))
+    t = targets.join(bounds, "player", "left").withColumns({f"_own_{c}": F.col(c) for c in sides})
+    for c, n in zip(sides, (stages, ages), strict=True):
+        t = t.withColumn(c, F.explode(F.sequence(F.col(c) - n, F.col(c) + n)))
+    t = t.where((F.col("at_stage") != F.col("_own_at_stage")) | (F.col("at_age") != F.col("_own_at_age"))).join(ends, ["position", *sides])
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"_lo_{c}") - F.col(f"t_{c}"), F.col(f"t_{c}") - F.col(f"_hi_{c}"))
+    least = F.sqrt(sum((F.lit(float(C.PROSPECT_WEIGHTS[c])) * gap(c) * gap(c) for c in sides.values()), F.lit(0.0)))
+    t = t.where(F.col("_bound").isNull() | (least <= F.col("_bound") * F.lit(1 + 1e-9) + F.lit(1e-9)))
+    return t.withColumn("player", F.struct("player", *sides)).select(*targets.columns)
+
+
 def tier_of_pick(pick: Column) -> Column:
     out = F.when(pick.isNull(), "UDFA")
     for end, label in C.ROUND_ENDS:

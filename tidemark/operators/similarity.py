@@ -157,19 +157,20 @@ def kinds(targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, t.join(of, same_keys(like, named)).select("player", "_kind")
 
 
-def for_members(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """What was found for each kind, for all of its members: the first k but themselves.
+def for_members(found: DataFrame, members: DataFrame, k: int, apart: bool = False) -> DataFrame:
+    """What was found for each kind, for all of its members: the first k but themselves, or all if these are `apart`.
 
     found: player (the kind), comp, others and rank, k + 1 rows a kind at most, itself not left out."""
     columns = [c for c in found.columns if c not in ("player", "rank")]
     lists = found.groupBy(F.col("player").alias("_kind")).agg(F.array_sort(F.collect_list(F.struct("rank", *columns))).alias("_list"))
-    others = F.slice(F.filter("_list", lambda x: x["comp"] != F.col("player")), 1, k)
+    others = F.slice(F.col("_list") if apart else F.filter("_list", lambda x: x["comp"] != F.col("player")), 1, k)
     e = members.join(lists, "_kind").select("player", F.posexplode(others).alias("_at", "_e"))
     return e.select("player", *(F.col("_e")[c].alias(c) for c in columns), (F.col("_at") + 1).alias("rank"))
 
 
-def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Mapping[str, float], k: int, may: Column, pick: list[str], whole: int | None = None) -> DataFrame:
+def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Mapping[str, float], k: int, may: Column, pick: list[str], whole: int | None = None, apart: bool = False) -> DataFrame:
     """The k offers but itself nearest to each target by weighted Euclidean distance, ties by comp: `pick`, distance, rank.
+    With `apart` no target is among the offers, and players need not be comps.
 
     targets: keys, player and a column t_{c} for each weighted c; offers: keys, comp and the columns
     themselves, of equal ones k + 1 at least.  Groups of more than `whole` offers (40 k if not given) are searched
@@ -181,7 +182,7 @@ def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Map
     sizes = offers.groupBy(*keys).agg(F.count("*").alias("_n"))
     large = staged(sizes.where(F.col("_n") > whole), "large")
     if large.isEmpty():
-        return first_by(targets.join(offers, keys).where(may & (F.col("player") != F.col("comp"))).select(*pick), [order], k)
+        return first_by(targets.join(offers, keys).where(may if apart else may & (F.col("player") != F.col("comp"))).select(*pick), [order], k)
     offers = staged(offers, "offers")
     own, members = kinds(targets)
     small = first_by(own.join(large, keys, "left_anti").join(offers.join(large, keys, "left_anti"), keys).where(may).select(*pick), [order], k + 1)
@@ -189,7 +190,7 @@ def nearest(targets: DataFrame, offers: DataFrame, keys: list[str], weights: Map
     turn = directions(far, list(weights), list(weights.values()), min(3, len(weights)))
     t = axes(own.join(large, keys), [f"t_{c}" for c in weights], turn, "_t").withColumn("_need", F.least(F.lit(k + 1), "_n")).drop("_n")
     found = in_cells(t, axes(far, list(weights), turn, "_c"), keys, len(turn), k + 1, may, pick, order, distance)
-    return for_members(small.unionByName(found), members, k).select(*small.columns)
+    return for_members(small.unionByName(found), members, k, apart).select(*small.columns)
 
 
 def beyond(sim: Column, scale: float, most: float = 1.0) -> Column:

@@ -19,15 +19,15 @@ TIERS = ("P5", "G5_top", "G5", "FCS")
 POINTS = {"AUTOMOBILE": C.ROUND_POINTS["QB"], "BUILDING": C.ROUND_POINTS["RB"], "FURNITURE": C.ROUND_POINTS["WR"], "HOUSEHOLD": C.ROUND_POINTS["TE"]}
 
 
-def college(spark, sf_dir) -> DataFrame:
+def college(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
     n = c.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("team"), F.coalesce(*(F.when(F.col("n_regionkey") == k, F.lit(t)) for k, t in enumerate(TIERS))).alias("tier"))
     who = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("player"), F.when(F.col("c_acctbal") >= 7500, "SR").when(F.col("c_acctbal") >= 5000, "jr").when(F.col("c_acctbal") >= 2500, "SO ").when(F.col("c_acctbal") >= 0, "FR").alias("class_year"))
-    s = c.z_rates(spark, sf_dir).where(f"season <= {c.CUT}")
+    s = c.z_rates(spark, sf_dir, c.played_once(spark, sf_dir) if s is None else s).where(f"season <= {c.CUT}")
     return s.join(n, "team").join(who, "player").withColumn("volume", F.col("qty").cast("double"))
 
 
-def college_careers(spark, sf_dir) -> DataFrame:
-    return prospects.corpus(college(spark, sf_dir))
+def college_careers(spark, sf_dir, s: DataFrame | None = None) -> DataFrame:
+    return prospects.corpus(college(spark, sf_dir, s))
 
 
 CAREERS = f"""

@@ -110,8 +110,9 @@ rr AS (SELECT rank() OVER (ORDER BY projected) + (count(*) OVER (PARTITION BY pr
 def _backtest(spark, sf_dir):
     from ..operators import careers, prospects
 
-    p = staged(college_careers(spark, sf_dir), "careers")
-    late = careers.with_rate(c.played(spark, sf_dir)).where(f"season > {c.CUT}").groupBy("player").agg(F.sum("points").alias("actual"), F.count("*").alias("seasons"), F.max("rate").alias("value"))
+    s = c.played_once(spark, sf_dir)
+    p = staged(college_careers(spark, sf_dir, s), "careers")
+    late = careers.with_rate(s).where(f"season > {c.CUT}").groupBy("player").agg(F.sum("points").alias("actual"), F.count("*").alias("seasons"), F.max("rate").alias("value"))
     late = staged(late, "late")
     w = F.lit(1.0) / (F.lit(1.0) + F.col("distance"))
     e = prospects.similar(p, p).join(late.select(F.col("player").alias("comp"), "actual"), "comp", "left")
