@@ -32,3 +32,19 @@ def test_projections_and_survivals_in_one_are_those_of_each(spark):
     rows = lambda df: sorted(map(str, df.select(*(digits[c] for c in each.columns)).collect()))
     got = rows(both)
     assert len(got) > 100 and got == rows(each)
+
+
+def test_prospects_and_backtests_make_played_seasons_once(spark, monkeypatch):
+    from tidemark.plans import seasons
+
+    made, played = [], commerce.played
+    monkeypatch.setattr(commerce, "played", lambda *a: made.append(a) or played(*a))
+    commerce.prospect_knn(spark, SMALL)
+    assert len(made) == 1
+    write = commerce.staged
+    labels = []
+    monkeypatch.setattr(commerce, "staged", lambda df, label: labels.append(label) or write(df, label))
+    seasons.backtest_by_class(spark, SMALL)
+    assert len(made) == 2 and labels.count("played") == 1
+    commerce.prospects(spark, SMALL)
+    assert labels.count("played") == 2
